@@ -18,6 +18,15 @@ def triplet_id(a: Column, b: Column, c: Column) -> Column:
     return F.concat_ws(",", a, b, c)
 
 
+def _steps(low: Column, high: Column) -> Column:
+    """Integers low..high, nothing when high < low.
+
+    The outer generator keeps Catalyst from deriving a filter on the array and pushing it below the
+    parsing projections, which would parse every statement twice. Callers drop the NULL row afterwards.
+    """
+    return F.explode_outer(F.when(high >= low, F.sequence(low, high)))
+
+
 def combinations(df: DataFrame, taxa: str, carry: list[str]) -> DataFrame:
     """All sorted triplets of the array column ``taxa``, as columns taxon_a, taxon_b, taxon_c.
 
@@ -25,10 +34,11 @@ def combinations(df: DataFrame, taxa: str, carry: list[str]) -> DataFrame:
     """
     n = F.size("__taxa")
     return (
-        df.withColumn("__taxa", F.array_sort(taxa)).where(n >= 3)
-        .select(*carry, "__taxa", F.explode(F.sequence(F.lit(1), n - 2)).alias("__i"))
-        .select(*carry, "__taxa", "__i", F.explode(F.sequence(F.col("__i") + 1, n - 1)).alias("__j"))
-        .select(*carry, "__taxa", "__i", "__j", F.explode(F.sequence(F.col("__j") + 1, n)).alias("__k"))
+        df.withColumn("__taxa", F.array_sort(taxa))
+        .select(*carry, "__taxa", _steps(F.lit(1), n - 2).alias("__i"))
+        .select(*carry, "__taxa", "__i", _steps(F.col("__i") + 1, n - 1).alias("__j"))
+        .select(*carry, "__taxa", "__i", "__j", _steps(F.col("__j") + 1, n).alias("__k"))
+        .where(F.col("__k").isNotNull())
         .select(
             *carry,
             F.element_at("__taxa", F.col("__i")).alias("taxon_a"),
@@ -85,9 +95,9 @@ def tree_triplets(df: DataFrame, tree: str, carry: list[str], taxa: str | None =
     position = lambda x: F.array_position(t["taxa"], x).cast("int")
     pairs = (
         df.select(*carry, F.col(tree).alias("__tree"), (F.col(taxa) if taxa else F.col(tree)["taxa"]).alias("__from"))
-        .withColumn("__taxa", F.array_sort("__from")).where(n >= 3)
-        .select(*carry, "__tree", "__taxa", F.explode(F.sequence(F.lit(1), n - 2)).alias("__i"))
-        .select(*carry, "__tree", "__taxa", "__i", F.explode(F.sequence(F.col("__i") + 1, n - 1)).alias("__j"))
+        .withColumn("__taxa", F.array_sort("__from"))
+        .select(*carry, "__tree", "__taxa", _steps(F.lit(1), n - 2).alias("__i"))
+        .select(*carry, "__tree", "__taxa", "__i", _steps(F.col("__i") + 1, n - 1).alias("__j"))
         .withColumn("taxon_a", at("__i")).withColumn("taxon_b", at("__j"))
         .withColumn("__pa", position(F.col("taxon_a"))).withColumn("__pb", position(F.col("taxon_b")))
         .withColumn("__ab", nw.pair_mrca(t, F.col("__pa"), F.col("__pb")))
@@ -95,8 +105,9 @@ def tree_triplets(df: DataFrame, tree: str, carry: list[str], taxa: str | None =
     triples = (
         pairs.select(
             *carry, "__tree", "__taxa", "taxon_a", "taxon_b", "__pa", "__pb", "__ab",
-            F.explode(F.sequence(F.col("__j") + 1, n)).alias("__k"),
+            _steps(F.col("__j") + 1, n).alias("__k"),
         )
+        .where(F.col("__k").isNotNull())
         .withColumn("taxon_c", at("__k")).withColumn("__pc", position(F.col("taxon_c")))
         .withColumn("__ac", nw.pair_mrca(t, F.col("__pa"), F.col("__pc")))
         .withColumn("__bc", nw.pair_mrca(t, F.col("__pb"), F.col("__pc")))
@@ -114,7 +125,7 @@ def planned_triplets(df: DataFrame, tree: str, plan: str, carry: list[str]) -> D
 
     Adds ``problem``, which names a missing taxon or an unresolved triplet.
     """
-    exploded = df.select(*carry, F.col(tree).alias("__tree"), F.explode(plan).alias("__p"))
+    exploded = df.select(*carry, F.col(tree).alias("__tree"), F.explode_outer(plan).alias("__p"))
     exploded = exploded.select(*carry, "__tree", "__p.taxon_a", "__p.taxon_b", "__p.taxon_c")
     resolved = exploded.withColumn("__r", resolve(F.col("__tree"), F.col("taxon_a"), F.col("taxon_b"), F.col("taxon_c")))
     return _finish(resolved, carry)

@@ -49,6 +49,7 @@ def relation(source: str, key: str, text: str, p: str = "") -> str:
 REL = "WITH " + relation(TREES, "tree_id", "newick")
 # statements that close every parenthesis they open
 GOOD = f"SELECT * FROM ({PAIRS}) WHERE len(replace(inferred_newick, '(', '')) = len(replace(inferred_newick, ')', ''))"
+#: RELP reads only those; its queries join the others back as NULL
 RELP = "WITH " + relation(GOOD, "event_id", "inferred_newick")
 
 
@@ -66,7 +67,7 @@ FROM leaves l LEFT JOIN LATERAL (SELECT w.pos, w.dep FROM wk w WHERE w.id = l.id
 LEFT JOIN dist d ON d.id = l.id AND d.dep = c.dep AND d.opos < c.pos AND d.cpos > c.pos""")
 def newick_parse(spark, sf):
     t = F.col("tree")
-    rows = parsed(spark, sf).select("tree_id", F.col("tree"), F.posexplode(t["taxa"]).alias("i", "taxon"))
+    rows = parsed(spark, sf).select("tree_id", F.col("tree"), F.posexplode_outer(t["taxa"]).alias("i", "taxon"))
     join = F.get(t["joins"], F.col("i"))
     return rows.select(
         "tree_id", big(F.col("i") + 1).alias("leaf"), "taxon", big(F.get(t["leaf_depths"], F.col("i"))).alias("leaf_depth"),
@@ -81,25 +82,26 @@ def newick_errors(spark, sf):
     return ad.tree_pairs(spark, sf).select("event_id", nw.newick_error(F.col("inferred_newick")).alias("problem"))
 
 
-@query("leaf_set", RELP + " SELECT id AS event_id, string_agg(taxon, ',' ORDER BY taxon) AS taxa FROM leaves GROUP BY id")
+@query("leaf_set", RELP + f""" SELECT p.event_id, string_agg(taxon, ',' ORDER BY taxon) AS taxa
+FROM ({PAIRS}) p LEFT JOIN leaves l ON l.id = p.event_id GROUP BY p.event_id""")
 def leaf_set(spark, sf):
-    return parsed(spark, sf, True).where(F.col("tree").isNotNull()).select(
+    return parsed(spark, sf, True).select(
         "event_id", F.array_join(F.array_sort(F.col("tree")["taxa"]), ",").alias("taxa")
     )
 
 
-@query("clades", RELP + " SELECT id AS event_id, clade FROM clades")
+@query("clades", RELP + f" SELECT p.event_id, clade FROM ({PAIRS}) p LEFT JOIN clades c ON c.id = p.event_id")
 def clades(spark, sf):
-    return parsed(spark, sf, True).where(F.col("tree").isNotNull()).select(
-        "event_id", F.explode(nw.clades(F.col("tree"))).alias("clade")
+    return parsed(spark, sf, True).select(
+        "event_id", F.explode_outer(nw.clades(F.col("tree"))).alias("clade")
     )
 
 
-@query("is_binary", RELP + """, kids AS (SELECT n.id, n.opos, 1 + count(w.pos) AS k FROM nodes n LEFT JOIN wk w
+@query("is_binary", RELP + f""", kids AS (SELECT n.id, n.opos, 1 + count(w.pos) AS k FROM nodes n LEFT JOIN wk w
   ON w.id = n.id AND w.tok = ',' AND w.dep = n.dep AND w.pos > n.opos AND w.pos < n.cpos GROUP BY ALL)
-SELECT id AS event_id, bool_and(k = 2) AS fully_resolved FROM kids GROUP BY id""")
+SELECT p.event_id, bool_and(k = 2) AS fully_resolved FROM ({PAIRS}) p LEFT JOIN kids ON kids.id = p.event_id GROUP BY p.event_id""")
 def is_binary(spark, sf):
-    return parsed(spark, sf, True).where(F.col("tree").isNotNull()).select(
+    return parsed(spark, sf, True).select(
         "event_id", nw.is_binary(F.col("tree")).alias("fully_resolved")
     )
 
@@ -120,8 +122,9 @@ JOIN leaves x ON x.id = p.id AND x.taxon = p.a JOIN leaves y ON y.id = p.id AND
 def path_distance(spark, sf):
     t = F.col("tree")
     at = lambda c: F.array_position(t["taxa"], F.col(c)).cast("int")
-    rows = parsed(spark, sf).select("tree_id", "tree", F.explode(t["taxa"]).alias("first"))
-    rows = rows.select("tree_id", "tree", "first", F.explode(F.filter(t["taxa"], lambda x: x > F.col("first"))).alias("second"))
+    rows = parsed(spark, sf).select("tree_id", "tree", F.explode_outer(t["taxa"]).alias("first"))
+    rows = rows.select("tree_id", "tree", "first", F.explode_outer(F.filter(t["taxa"], lambda x: x > F.col("first"))).alias("second"))
+    rows = rows.where(F.col("second").isNotNull())
     return rows.select("tree_id", "first", "second", big(nw.path_distance(t, at("first"), at("second"))).alias("edges"))
 
 
@@ -129,8 +132,9 @@ def path_distance(spark, sf):
 def pair_mrca(spark, sf):
     t = F.col("tree")
     at = lambda c: F.array_position(t["taxa"], F.col(c)).cast("int")
-    rows = parsed(spark, sf).select("tree_id", "tree", F.explode(t["taxa"]).alias("first"))
-    rows = rows.select("tree_id", "tree", "first", F.explode(F.filter(t["taxa"], lambda x: x > F.col("first"))).alias("second"))
+    rows = parsed(spark, sf).select("tree_id", "tree", F.explode_outer(t["taxa"]).alias("first"))
+    rows = rows.select("tree_id", "tree", "first", F.explode_outer(F.filter(t["taxa"], lambda x: x > F.col("first"))).alias("second"))
+    rows = rows.where(F.col("second").isNotNull())
     node = nw.pair_mrca(t, at("first"), at("second"))
     return rows.select("tree_id", "first", "second", big(node["depth"]).alias("depth"), r6(node["dist"]).alias("root_distance"))
 
@@ -183,7 +187,7 @@ def triplet_topology(spark, sf):
 SELECT id AS event_id, a || ',' || b || ',' || c AS triplet_id, CASE WHEN topo IS NULL THEN 'Unresolved rooted triplet' END AS problem
 FROM trip""")
 def triplet_problems(spark, sf):
-    rows = tp.tree_triplets(parsed(spark, sf, True).where(F.col("tree").isNotNull()), "tree", ["event_id"])
+    rows = tp.tree_triplets(parsed(spark, sf, True), "tree", ["event_id"])
     return rows.select("event_id", "triplet_id", "problem")
 
 
