@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .plan_tools import attach
+
 #: Bins per power of two of the value: 256 keeps a bin to about 0.3 % of a value's magnitude.
 BINS_PER_OCTAVE = 256
 
@@ -24,13 +26,6 @@ def value_bin(value: Column, per_octave: int = BINS_PER_OCTAVE) -> Column:
     )
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
-
-
 def grouped_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
     """Exact median of the non-NULL values of each key, one row per key.
 
@@ -56,9 +51,7 @@ def grouped_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "
         .where((F.col("__upto") >= F.col("__lo")) & (F.col("__before") < F.col("__hi")))
         .select(*keys, "__bin", "__before", "__lo", "__hi")
     )
-    middle = counted.alias("c").join(bins.alias("b"), _same(counted, bins, [*keys, "__bin"]), "inner").select(
-        *[counted[k] for k in keys], counted["__bin"], "__value", "__n", "__before", "__lo", "__hi"
-    )
+    middle = attach(counted, bins, [*keys, "__bin"])
     in_bin = Window.partitionBy(*keys, "__bin").orderBy("__value").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         middle.withColumn("__last", F.col("__before") + F.sum("__n").over(in_bin))
@@ -101,8 +94,7 @@ def row_numbers(
     )
     inside = Window.partitionBy(*keys, *bin_names).orderBy(*order)
     ranked = (
-        marked.join(offsets, _same(marked, offsets, [*keys, *bin_names]), "inner")
-        .select(*[marked[c] for c in marked.columns], "__offset", "__total")
+        attach(marked, offsets, [*keys, *bin_names])
         .withColumn(name, (F.col("__offset") + F.row_number().over(inside)).cast("bigint"))
     )
     if total:

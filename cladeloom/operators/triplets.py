@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import newick as nw
 from ..functions.hashing import md5_int
+from .plan_tools import late_where
 
 
 def topology_labels(a: Column, b: Column, c: Column) -> list[Column]:
@@ -158,9 +159,9 @@ def capped_plan(df: DataFrame, key: str, taxa: str, cap: str | Column, seed: str
         F.col(key), F.array_sort(taxa).alias("__taxa"), cap.cast("bigint").alias("__cap"), seed.alias("__seed")
     ).withColumn("__all", _choose3(n.cast("bigint")))
     whole = F.col("__cap").isNull() | (F.col("__cap") >= F.col("__all"))
-    every = combinations(base.where(whole), "__taxa", [key])
+    every = combinations(late_where(base, whole), "__taxa", [key])
 
-    capped = base.where(~whole).withColumn(
+    capped = late_where(base, ~whole).withColumn(
         "__cap",
         F.when(F.col("__cap") * 3 < n, F.raise_error(F.lit("triplets_per_simulation is too small to cover every taxon")).cast("bigint"))
         .otherwise(F.col("__cap")),
@@ -175,7 +176,7 @@ def capped_plan(df: DataFrame, key: str, taxa: str, cap: str | Column, seed: str
     # the last group of three is filled from the front of the deal
     cover = shuffled.select(
         key, "__taxa", "__cap", "__seed",
-        F.explode(F.sequence(F.lit(0), F.ceil(n / 3).cast("int") - 1)).alias("__g"), "__deal",
+        _steps(F.lit(0), F.ceil(n / 3).cast("int") - 1).alias("__g"), "__deal",
     ).select(
         key, "__cap", "__seed",
         F.array_sort(
@@ -185,7 +186,7 @@ def capped_plan(df: DataFrame, key: str, taxa: str, cap: str | Column, seed: str
     )
     draws = capped.select(
         key, "__taxa", "__cap", "__seed", "__all",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__cap") - 1)).alias("__b"),
+        _steps(F.lit(0).cast("bigint"), F.col("__cap") - 1).alias("__b"),
     )
     low = F.floor(F.col("__b") * F.col("__all") / F.col("__cap"))
     high = F.floor((F.col("__b") + 1) * F.col("__all") / F.col("__cap"))

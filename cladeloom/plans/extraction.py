@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import newick as nw
 from ..operators import features as ft
 from ..operators import triplets as tp
+from ..operators.plan_tools import late_where
 
 # Manifest columns that a feature row repeats when the manifest has them.
 METADATA = (
@@ -44,8 +45,8 @@ def observe(trees: DataFrame, prepared: DataFrame) -> DataFrame:
     if capped:
         cap = F.col("triplets_per_simulation").cast("bigint")
         is_capped = cap.isNotNull() & (cap < (n * (n - 1) * (n - 2) / 6))
-        whole = prepared.where(~F.coalesce(is_capped, F.lit(False))).select(*side.columns)
-        limited = prepared.where(is_capped)
+        whole = late_where(prepared, ~F.coalesce(is_capped, F.lit(False))).select(*side.columns)
+        limited = late_where(prepared, is_capped)
     else:
         whole, limited = side, None
 
@@ -70,18 +71,23 @@ def observe(trees: DataFrame, prepared: DataFrame) -> DataFrame:
     return rows.withColumn("topo", F.when(F.col("problem").isNotNull(), stop).otherwise(F.col("topo"))).drop("problem")
 
 
-def extract_features(trees: DataFrame, manifest: DataFrame) -> DataFrame:
+def extract_features(trees: DataFrame, manifest: DataFrame, largest: int | None = None) -> DataFrame:
     """One feature row per simulation and triplet, with manifest metadata and the backbone's label.
 
     The number of trees per simulation comes from the manifest and is enforced, so it bounds each triplet's
     group: simulations up to PLAIN_MEDIAN_TREES go through one aggregation, larger ones through medians that
-    split a group over tasks.
+    split a group over tasks. ``largest`` is the largest gene_tree_count; by default one aggregate over that
+    manifest column looks it up, so a second pass over the trees is planned only when it is needed.
     """
+    if largest is None:
+        largest = manifest.agg(F.max("gene_tree_count")).first()[0] or 0
     prepared = prepare_manifest(manifest)
     small = F.col("gene_tree_count") <= ft.PLAIN_MEDIAN_TREES
-    rows = ft.summarize(observe(trees, prepared.where(small)), bounded=True, extra=["gene_tree_count"])
-    large = ft.summarize(observe(trees, prepared.where(~small)), bounded=False, extra=["gene_tree_count"])
-    rows = rows.unionByName(large.select(*rows.columns))
+    split = largest > ft.PLAIN_MEDIAN_TREES
+    rows = ft.summarize(observe(trees, prepared.where(small) if split else prepared), bounded=True, extra=["gene_tree_count"])
+    if split:
+        large = ft.summarize(observe(trees, prepared.where(~small)), bounded=False, extra=["gene_tree_count"])
+        rows = rows.unionByName(large.select(*rows.columns))
     seen = F.col("n0") + F.col("n1") + F.col("n2")
     stop = F.raise_error(
         F.format_string("%s: expected %d gene trees, found %d", F.col("simulation_id"), F.col("gene_tree_count"), seen)

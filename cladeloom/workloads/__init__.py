@@ -1,6 +1,6 @@
 from importlib import import_module
 
-MODULES = ("q_trees",)
+MODULES = ("q_trees", "q_features", "q_assembly")
 
 
 def load_all() -> None:

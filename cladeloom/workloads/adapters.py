@@ -6,6 +6,7 @@ differ. Every adapter keeps one output row per input row, so its work grows with
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -48,9 +49,20 @@ SHAPES = [
 STAR = "(({1}:1,{2}:1,{3}:1):{a},({4}:1,{5}:1):{b},{6}:1);"
 
 
+#: All orders of the six taxa, six characters each.
+DEALS = "".join("".join(p) for p in itertools.permutations("ABCDEF"))
+
+
 def _template(shape: str, prefix: str) -> str:
-    pieces = re.split(r"\{(\w)\}", shape)
-    return "(" + " || ".join(f"'{p}'" if i % 2 == 0 else f"{prefix}{p}" for i, p in enumerate(pieces) if p) + ")"
+    out = []
+    for i, piece in enumerate(re.split(r"\{(\w)\}", shape)):
+        if i % 2 == 0:
+            out.append(f"'{piece}'")
+        elif piece.isdigit():
+            out.append(f"substr({prefix}deal, {piece}, 1)")
+        else:
+            out.append(f"{prefix}{piece}")
+    return "(" + " || ".join(out) + ")"
 
 
 def _labelled(d: Dialect, prefix: str, draw: str, lengths: str | None, star: str | None = None) -> str:
@@ -58,15 +70,10 @@ def _labelled(d: Dialect, prefix: str, draw: str, lengths: str | None, star: str
 
     ``lengths`` is an integer expression for the four internal lengths; None gives 0.1 to all.
     """
-    out = [f"{draw} AS {prefix}q", f"'ABCDEF' AS {prefix}s0"]
-    step, left = 1, 6
-    for k in range(1, 7):
-        index = f"({d.div(prefix + 'q', str(step))}) % {left}"
-        out.append(f"substr({prefix}s{k - 1}, cast(1 + {index} as int), 1) AS {prefix}{k}")
-        if k < 6:
-            out.append(f"replace({prefix}s{k - 1}, {prefix}{k}, '') AS {prefix}s{k}")
-        step, left = step * left, left - 1
-    out.append(f"({d.div(prefix + 'q', '720')}) % 6 AS {prefix}shape")
+    out = [
+        f"substr('{DEALS}', cast(1 + 6 * (({draw}) % 720) as int), 6) AS {prefix}deal",
+        f"({d.div(draw, '720')}) % 6 AS {prefix}shape",
+    ]
     for k, name in enumerate("abcd"):
         value = "'0.1'" if lengths is None else f"'0.' || {d.text(f'10 + ({d.div(lengths, str(83 ** k))}) % 83')}"
         out.append(f"{value} AS {prefix}{name}")
@@ -119,7 +126,7 @@ def observations_sql(d: Dialect, lineitem: str) -> str:
     return (
         f"SELECT 's' || {d.text('l_suppkey')} AS simulation_id, 'p' || {d.text('l_partkey % 20')} AS triplet_id, "
         f"'A' AS taxon_a, 'B' AS taxon_b, 'p' || {d.text('l_partkey % 20')} AS taxon_c, "
-        f"cast((l_orderkey * l_linenumber + l_partkey) % 5 % 3 as int) AS topo, l_extendedprice / 1e3 AS bl FROM {lineitem}"
+        f"cast((l_orderkey * l_linenumber + l_partkey) % 5 % 3 as int) AS topo, l_extendedprice / 1e2 AS bl FROM {lineitem}"
     )
 
 
