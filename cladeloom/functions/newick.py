@@ -13,6 +13,8 @@ Everything below is a per-row projection: no shuffle, no Python worker.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,52 +97,73 @@ def first_statement(text: Column) -> Column:
     return F.when(F.locate("(", text) > 0, F.when(scan["done"], F.substr(tail, F.lit(1), scan["size"])))
 
 
-def newick_error(text: Column) -> Column:
-    """NULL for a readable statement, else what is wrong with it.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once per row, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    Every check is a regular expression or a count on the whole statement.
-    """
-    body = statement_body(text)
-    opens = F.length(body) - F.length(F.replace(body, F.lit("("), F.lit("")))
-    closes = F.length(body) - F.length(F.replace(body, F.lit(")"), F.lit("")))
-    steps = F.regexp_extract_all(body, F.lit(r"[(),]"), F.lit(0))
-    walk = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("depth"), F.lit(False).alias("outside")),
-        lambda s, t: F.struct(
-            F.when(t == "(", s["depth"] + 1).when(t == ")", s["depth"] - 1).otherwise(s["depth"]).alias("depth"),
-            # a comma or an opening at depth 0 after something was read lies outside the tree
-            (s["outside"] | ((t != "(") & (s["depth"] == 0))).alias("outside"),
-        ),
-    )
+
+# Fixed value: what may not stand next to what inside a statement; parentheses are balanced separately.
+_MISPLACED = (
+    r";|[^\s(,]\s*\(|(?:^|[(,])\s*(?:[,):]|$)"
+    r"|:(?!\s*[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?\s*(?:[,)]|$))"
+)
+
+
+def _detail(body: Column) -> Column:
+    """Which rule of ``_MISPLACED`` a body breaks."""
     lengths = F.regexp_extract_all(body, F.lit(r":([^,();]*)"), F.lit(1))
     return (
-        F.when(text.isNull() | (body == ""), F.lit("Expected leaf label"))
-        .when(hide_quoted(F.trim(text)).rlike(r"[(,)]\s*(?:'[^']*|\"[^\"]*)$"), F.lit("Unterminated quoted label"))
+        F.when(body.rlike(r"[(,)]\s*(?:'[^']*|\"[^\"]*)$"), F.lit("Unterminated quoted label"))
         .when(body.contains(";"), F.lit("Unexpected text after the statement"))
-        .when((opens != closes) | walk["outside"] | (walk["depth"] != 0), F.lit("Unbalanced parentheses"))
         .when(body.rlike(r"[^\s(,]\s*\("), F.lit("Expected ',' or ')'"))
-        .when(body.rlike(r"(?:^|[(,])\s*(?:[,):]|$)"), F.lit("Expected leaf label"))
         .when(F.exists(lengths, lambda x: F.trim(x) == ""), F.lit("Missing branch length"))
         .when(F.exists(lengths, lambda x: ~x.rlike(_NUMBER)), F.lit("Invalid branch length"))
+        .otherwise(F.lit("Expected leaf label"))
     )
 
 
+_QUOTE_LEFT = r"[(,)]\s*(?:'[^']*|\"[^\"]*)$"
+
+
+def newick_error(text: Column) -> Column:
+    """NULL for a readable statement, else what is wrong with it. ``with_tree`` gives the same answer."""
+
+    def check(body: Column) -> Column:
+        walk = F.aggregate(
+            F.regexp_extract_all(body, F.lit(r"[(),]"), F.lit(0)),
+            F.struct(F.lit(0).alias("depth"), F.lit(False).alias("outside")),
+            lambda s, t: F.struct(
+                F.when(t == "(", s["depth"] + 1).when(t == ")", s["depth"] - 1).otherwise(s["depth"]).alias("depth"),
+                # a comma or a closing at depth 0 lies outside the tree
+                (s["outside"] | ((t != "(") & (s["depth"] == 0))).alias("outside"),
+            ),
+            lambda s: s["outside"] | (s["depth"] != 0),
+        )
+        return F.when(body.rlike(_MISPLACED) | body.rlike(_QUOTE_LEFT), _detail(body)).when(
+            walk, F.lit("Unbalanced parentheses")
+        )
+
+    return F.when(text.isNull(), F.lit("Expected leaf label")).otherwise(let(statement_body(text), check))
+
+
 def with_tree(df: DataFrame, text: str | Column, name: str = "tree") -> DataFrame:
-    """Add struct column ``name``: taxa and leaf_depths (text order), joins (depth, dist), opens, missing_lengths.
+    """Add ``name`` and ``name_error`` for a statement.
 
-    Statements that ``newick_error`` rejects give NULL.
+    ``name`` is a struct: taxa and leaf_depths (text order), joins (depth, dist), opens, missing_lengths. An
+    unreadable statement gives NULL and says why in ``name_error``.
     """
     source = F.col(text) if isinstance(text, str) else text
-    pieces, parts = f"__{name}_pieces", f"__{name}_parts"
+    body, parts, walk = f"__{name}_body", f"__{name}_parts", f"__{name}_walk"
     # One piece per leaf: the opens before it, its label and length, the closes after it.
     close = F.lit(r"\)[^:(),]*(?::([^(),]*))?")
     described = F.transform(
-        F.col(pieces),
+        F.split(F.col(body), ","),
         lambda p: F.struct(
             (F.length(p) - F.length(F.replace(p, F.lit("("), F.lit("")))).alias("opens"),
             F.trim(F.regexp_extract(p, r"^[\s(]*([^:()]*)", 1)).alias("label"),
-            F.transform(F.regexp_extract_all(p, close, F.lit(1)), lambda x: x.try_cast("double")).alias("closes"),
+            F.when(
+                p.contains(")"), F.transform(F.regexp_extract_all(p, close, F.lit(1)), lambda x: x.try_cast("double"))
+            ).otherwise(F.array().cast("array<double>")).alias("closes"),
         ),
     )
     start = F.struct(
@@ -148,41 +171,62 @@ def with_tree(df: DataFrame, text: str | Column, name: str = "tree") -> DataFram
         F.array().cast("array<struct<depth:int,dist:double>>").alias("joins"),
         F.array().cast("array<int>").alias("leaf_depths"),
     )
+    # Right to left: a close enters a node, so its root distance goes on the path; an open leaves it again.
+    # The first node entered is the root, whose own length does not count.
+    enter = lambda path, length: F.concat(
+        path,
+        F.array(F.coalesce(F.get(path, F.size(path) - 1) + F.coalesce(length, F.lit(0.0)), F.lit(0.0))),
+    )
 
     def step(state: Column, part: Column) -> Column:
-        # Right to left: closes put the lengths of enclosing edges on the path, opens take them off.
-        grown = F.concat(state["path"], F.reverse(part["closes"]))
-        path = F.slice(grown, F.lit(1), F.size(grown) - part["opens"])
-        # the first entry belongs to the root, whose own length does not count
-        dist = F.aggregate(
-            F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0))),
-            F.lit(0.0), lambda total, x: total + F.coalesce(x, F.lit(0.0)),
-        )
-        join = F.struct(F.size(path).alias("depth"), dist.alias("dist"))
-        return F.struct(
-            path.alias("path"),
-            F.concat(F.array(join), state["joins"]).alias("joins"),
-            F.concat(F.array(F.size(grown)), state["leaf_depths"]).alias("leaf_depths"),
+        grown = F.when(F.size(part["closes"]) == 0, state["path"]).otherwise(
+            F.aggregate(F.reverse(part["closes"]), state["path"], enter)
         )
 
-    walk = f"__{name}_walk"
-    walked = F.col(walk)["joins"]
-    closes = F.flatten(F.transform(F.col(parts), lambda p: p["closes"]))
+        def leave(above: Column) -> Column:
+            return let(
+                F.slice(above, F.lit(1), F.greatest(F.size(above) - part["opens"], F.lit(0))),
+                lambda path: F.struct(
+                    path.alias("path"),
+                    F.concat(
+                        F.array(F.struct(F.size(path).alias("depth"), F.coalesce(F.get(path, F.size(path) - 1), F.lit(0.0)).alias("dist"))),
+                        state["joins"],
+                    ).alias("joins"),
+                    F.concat(F.array(F.size(above)), state["leaf_depths"]).alias("leaf_depths"),
+                ),
+            )
+
+        return let(grown, leave)
+
+    w, p = F.col(walk), F.col(parts)
+    b = F.col(body)
+    count = lambda mark: F.length(b) - F.length(F.replace(b, F.lit(mark), F.lit("")))
+    # the walk emits one entry left of the first leaf: back at depth 0 if the parentheses match
+    joins = F.slice(w["joins"], F.lit(2), F.greatest(F.size(p) - 1, F.lit(0)))
+    opens = count("(")
+    # without a comma below depth 1, equal counts are enough
+    shallow = F.array_min(joins)["depth"]
+    balanced = (opens == count(")")) & F.when(F.size(p) == 1, F.lit(True)).otherwise(shallow >= 1)
     tree = F.struct(
-        F.transform(F.col(parts), lambda p: show_quoted(p["label"])).alias("taxa"),
-        F.col(walk)["leaf_depths"].alias("leaf_depths"),
-        # the walk also emits one entry left of the first leaf; it is not a join
-        F.slice(walked, F.lit(2), F.greatest(F.size(F.col(parts)) - 1, F.lit(0))).alias("joins"),
-        F.aggregate(F.col(parts), F.lit(0), lambda n, p: n + p["opens"]).alias("opens"),
-        F.size(F.filter(F.slice(closes, F.lit(1), F.greatest(F.size(closes) - 1, F.lit(0))),
-                        lambda x: x.isNull())).alias("missing_lengths"),
+        F.transform(p, lambda x: show_quoted(x["label"])).alias("taxa"),
+        w["leaf_depths"].alias("leaf_depths"), joins.alias("joins"), opens.alias("opens"),
+        # closes followed by another token before any length; nothing follows the root's
+        F.regexp_count(b, F.lit(r"\)[^:(),]*(?=[(),])")).alias("missing_lengths"),
+    )
+    local = F.when(b.isNull(), F.lit("Expected leaf label")).when(
+        b.rlike(_MISPLACED) | (b.rlike("['\"]") & b.rlike(_QUOTE_LEFT)), _detail(b)
     )
     return (
-        df.withColumn(pieces, F.when(newick_error(source).isNull(), F.split(statement_body(source), ",")))
-        .withColumn(parts, described)
-        .withColumn(walk, F.aggregate(F.reverse(F.col(parts)), start, step))
-        .withColumn(name, F.when(F.col(pieces).isNotNull(), tree))
-        .drop(pieces, parts, walk)
+        df.withColumn(body, statement_body(source))
+        .withColumn(f"{name}_error", local)
+        .withColumn(parts, F.when(F.col(f"{name}_error").isNull(), described))
+        .withColumn(walk, F.aggregate(F.reverse(p), start, step))
+        .withColumn(name, F.when(F.col(f"{name}_error").isNull() & balanced, tree))
+        .withColumn(
+            f"{name}_error",
+            F.coalesce(F.col(f"{name}_error"), F.when(F.col(name).isNull(), F.lit("Unbalanced parentheses"))),
+        )
+        .drop(body, parts, walk)
     )
 
 

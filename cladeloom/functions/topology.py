@@ -137,7 +137,7 @@ def render(
     return (
         parsed.withColumn("__marks", _marks(F.concat(F.col(topology), F.lit(";"))))
         .withColumn("__order", order).withColumn("__drawn", drawn)
-        .withColumn(name, whole).drop("__t", "__marks", "__order", "__drawn")
+        .withColumn(name, whole).drop("__t", "__t_error", "__marks", "__order", "__drawn")
     )
 
 

@@ -26,7 +26,7 @@ def with_rf(df: DataFrame, true: str, inferred: str) -> DataFrame:
     t, i = F.col("__true"), F.col("__inf")
     missing = F.array_sort(F.array_except(t["taxa"], i["taxa"]))
     extra = F.array_sort(F.array_except(i["taxa"], t["taxa"]))
-    unreadable = F.coalesce(nw.newick_error(F.col(true)), nw.newick_error(F.col(inferred)), nw.leaf_guard(t), nw.leaf_guard(i))
+    unreadable = F.coalesce(F.col("__true_error"), F.col("__inf_error"), nw.leaf_guard(t), nw.leaf_guard(i))
     same = (F.size(missing) == 0) & (F.size(extra) == 0)
     mismatch = F.concat(
         F.lit("Taxon mismatch; missing=["), F.array_join(missing, ", "), F.lit("], extra=["), F.array_join(extra, ", "), F.lit("]")
@@ -42,7 +42,7 @@ def with_rf(df: DataFrame, true: str, inferred: str) -> DataFrame:
         .withColumn("rooted_rf", F.when(ok, distance.cast("bigint")))
         .withColumn("normalized_rooted_rf", F.when(ok, F.when(total > 0, distance / total).otherwise(F.lit(0.0))))
         .withColumn("exact_match", F.when(ok, distance == 0))
-        .drop("__true", "__inf", "__tc", "__ic")
+        .drop("__true", "__inf", "__tc", "__ic", "__true_error", "__inf_error")
     )
 
 

@@ -106,13 +106,13 @@ def true_labels(backbones: DataFrame, key: str, newick: str, plan: str | None =
     return rows.select(key, *TAXA, "triplet_id", F.col("topo").alias("label"), "problem")
 
 
-def tree_problem(tree: Column, text: Column, taxa: Column) -> Column:
+def tree_problem(tree: Column, error: Column, taxa: Column) -> Column:
     """Why a gene tree cannot be used with a plan over ``taxa``; NULL when it can.
 
     Unresolved triplets are found later, on the triplet rows.
     """
     return F.coalesce(
-        nw.newick_error(text),
+        error,
         nw.leaf_guard(tree),
         F.when(F.size(F.array_except(taxa, tree["taxa"])) > 0, F.lit("Missing taxa")),
         F.when(tree["missing_lengths"] > 0, F.lit("Branch length is required for triplet features")),

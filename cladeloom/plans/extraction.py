@@ -22,7 +22,7 @@ def prepare_manifest(manifest: DataFrame) -> DataFrame:
     """Manifest with its parsed backbone and sorted backbone taxa; a broken backbone stops the job."""
     parsed = nw.with_tree(manifest, "backbone_newick", "btree")
     problem = F.coalesce(
-        nw.newick_error(F.col("backbone_newick")), nw.leaf_guard(F.col("btree")),
+        F.col("btree_error"), nw.leaf_guard(F.col("btree")),
         F.when(~nw.is_binary(F.col("btree")), F.lit("Backbone must be rooted and binary")),
     )
     return parsed.withColumn(
@@ -52,7 +52,7 @@ def observe(trees: DataFrame, prepared: DataFrame) -> DataFrame:
 
     def readable(part: DataFrame) -> DataFrame:
         joined = nw.with_tree(trees.select("simulation_id", "newick").join(part, "simulation_id"), "newick")
-        problem = ft.tree_problem(F.col("tree"), F.col("newick"), F.col("taxa"))
+        problem = ft.tree_problem(F.col("tree"), F.col("tree_error"), F.col("taxa"))
         checked = F.when(problem.isNotNull(), F.raise_error(F.concat_ws(": ", F.col("simulation_id"), problem))).otherwise(
             F.col("tree")
         )

@@ -75,7 +75,10 @@ def _labelled(d: Dialect, prefix: str, draw: str, lengths: str | None, star: str
         f"({d.div(draw, '720')}) % 6 AS {prefix}shape",
     ]
     for k, name in enumerate("abcd"):
-        value = "'0.1'" if lengths is None else f"'0.' || {d.text(f'10 + ({d.div(lengths, str(83 ** k))}) % 83')}"
+        # twelve digits, so that no mean or median falls on a rounding boundary of six
+        value = "'0.1'" if lengths is None else (
+            f"'0.' || {d.text(f'10 + ({d.div(lengths, str(83 ** k))}) % 83')} || {d.text(f'1000000000 + ({lengths} * {7919 + k}) % 8999999999')}"
+        )
         out.append(f"{value} AS {prefix}{name}")
     cases = " ".join(f"WHEN {prefix}shape = {i} THEN {_template(s, prefix)}" for i, s in enumerate(SHAPES))
     first = f"WHEN {star} THEN {_template(STAR, prefix)} " if star else ""
@@ -126,7 +129,7 @@ def observations_sql(d: Dialect, lineitem: str) -> str:
     return (
         f"SELECT 's' || {d.text('l_suppkey')} AS simulation_id, 'p' || {d.text('l_partkey % 20')} AS triplet_id, "
         f"'A' AS taxon_a, 'B' AS taxon_b, 'p' || {d.text('l_partkey % 20')} AS taxon_c, "
-        f"cast((l_orderkey * l_linenumber + l_partkey) % 5 % 3 as int) AS topo, l_extendedprice / 1e2 AS bl FROM {lineitem}"
+        f"cast((l_orderkey * l_linenumber + l_partkey) % 5 % 3 as int) AS topo, ln(l_extendedprice) AS bl FROM {lineitem}"
     )
 
 
