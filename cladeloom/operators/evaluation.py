@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import newick as nw
+from .plan_tools import late_where
 from .ranking import grouped_median
 
 # The strata of an evaluation, each used when all of its columns exist.
@@ -142,8 +143,8 @@ def evaluate_external(manifest: DataFrame, trees: DataFrame, runs: DataFrame | N
         F.col("inferred_newick").isNull(), "No complete Newick statement"
     ).otherwise(F.col("problem"))
     marked = joined.withColumn("problem", problem).drop("__found")
-    failures = marked.where(F.col("problem").isNotNull()).select("simulation_id", F.col("problem").alias("error"))
-    good = marked.where(F.col("problem").isNull()).withColumnRenamed("resolved", "fully_resolved").drop("problem", "taxon_match")
+    failures = late_where(marked, F.col("problem").isNotNull()).select("simulation_id", F.col("problem").alias("error"))
+    good = late_where(marked, F.col("problem").isNull()).withColumnRenamed("resolved", "fully_resolved").drop("problem", "taxon_match")
     if runs is not None:
         good = good.join(runs.select("simulation_id", "runtime_seconds"), "simulation_id", "left")
     return good, failures

@@ -1,6 +1,6 @@
 from importlib import import_module
 
-MODULES = ("q_trees", "q_features", "q_assembly")
+MODULES = ("q_trees", "q_features", "q_assembly", "q_evaluation")
 
 
 def load_all() -> None:
