@@ -1,6 +1,6 @@
 from importlib import import_module
 
-MODULES = ("q_trees", "q_features", "q_assembly", "q_evaluation")
+MODULES = ("q_trees", "q_features", "q_assembly", "q_evaluation", "q_learning")
 
 
 def load_all() -> None:
