@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.hashing import md5_int
 from .evaluation import rate
 from .plan_tools import attach
-from .ranking import grouped_median, row_numbers, value_bin
+from .ranking import grouped_median, row_numbers, value_bin  # noqa: F401
 
 # The normal quantile of a 95 % interval, and the taxon-count regimes (lower bounds excluded).
 Z95 = 1.959963984540054

@@ -1,6 +1,6 @@
 from importlib import import_module
 
-MODULES = ("q_trees", "q_features", "q_assembly", "q_evaluation", "q_learning")
+MODULES = ("q_trees", "q_features", "q_assembly", "q_evaluation", "q_learning", "q_design")
 
 
 def load_all() -> None:
