@@ -136,5 +136,5 @@ def trained(spark, sf, **options):
 @query("oof_forest")
 def oof_forest(spark, sf):
     """Out-of-fold predictions of the grouped cross-validation over all gene-tree features."""
-    run = trained(spark, sf, feature_set="enhanced", folds=3, inner_folds=2, rows_per_simulation=20, iterations=10)
+    run = trained(spark, sf, feature_set="enhanced", folds=2, inner_folds=2, rows_per_simulation=20, iterations=5)
     return run.predictions.select(*[r6(c).alias(c) if "prob" in c else F.col(c) for c in ln.PREDICTION_COLUMNS])
