@@ -107,8 +107,18 @@ def scaled(values: list[Column], temperature: float | Column) -> list[Column]:
 def temperature_losses(df: DataFrame, prefix: str = "raw_prob", keys: list[str] | None = None) -> DataFrame:
     """Mean log loss at each of the 161 temperatures. The grid is expanded and summed before the shuffle."""
     keys = keys or []
-    grid = df.select(*keys, "label", *prob(prefix), F.posexplode(F.array(*[F.lit(t) for t in TEMPERATURES])).alias("step", "temperature"))
-    loss = log_loss(scaled(prob(prefix), F.col("temperature")))
+    logs = [F.log(F.least(F.greatest(v, F.lit(FLOOR)), F.lit(1.0))) for v in prob(prefix)]
+    # relative to the largest log probability; only exponentials are left to compute per temperature
+    rows = df.select(*keys, *[x.alias(f"__l{k}") for k, x in enumerate(logs)], "label").withColumn("__top", F.greatest("__l0", "__l1", "__l2"))
+    near = rows.select(
+        *keys, *[(F.col(f"__l{k}") - F.col("__top")).alias(f"__d{k}") for k in range(3)],
+        of_label([F.col(f"__l{k}") - F.col("__top") for k in range(3)]).alias("__own"),
+    )
+    steps = F.array(*[F.struct(F.lit(k).alias("step"), F.lit(t).alias("temperature")) for k, t in enumerate(TEMPERATURES)])
+    grid = near.select("*", F.inline(steps))
+    t = F.col("temperature")
+    total = F.exp(F.col("__d0") / t) + F.exp(F.col("__d1") / t) + F.exp(F.col("__d2") / t)
+    loss = F.least(F.log(total) - F.col("__own") / t, F.lit(-math.log(FLOOR)))
     return grid.groupBy(*keys, "step", "temperature").agg(F.avg(loss).alias("log_loss"))
 
 

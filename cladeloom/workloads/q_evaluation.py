@@ -118,7 +118,7 @@ def methods_sql(d, events):
         parts.append(
             f"SELECT '{name}' AS method, {k} AS method_order, 'e' || {d.text('event_id')} AS simulation_id, 'u' || {d.text('user_id')} AS backbone_id, "
             f"'u' || {d.text('user_id')} || '|' || event_type AS scenario_group, 4 + (user_id * 37) % 177 AS tree_size, ln(1 + value) AS seconds, "
-            f"({h} % {9 + k}) / 8e0 * 8e0 / {8 + k} AS normalized_rooted_rf, {h} % {9 + k} = 0 AS exact_match FROM {events}"
+            f"({h} % {9 + k}) / {(11, 13, 17)[k]}e0 AS normalized_rooted_rf, {h} % {9 + k} = 0 AS exact_match FROM {events}"
         )
     return " UNION ALL ".join(parts)
 
