@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +16,6 @@ DEFAULTS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # percentile() keeps one state per group; stay hash based well past the default of 128 groups
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }
 
 
@@ -28,15 +28,26 @@ def build_session(app: str = "cladeloom", master: str | None = None, **extra: st
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and intermediate tables that driver and executors share.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a session without that
-    setting (a test on one machine) gets a folder of its own.
+    A cluster names it in ``spark.checkpoint.dir``; without that setting the job stops. Only a session whose
+    master is ``local[...]`` has no other machine, so it gets a folder of its own, removed at the end.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cladeloom-checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not shared:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            own = tempfile.TemporaryDirectory(prefix="cladeloom-checkpoint-")
+            atexit.register(own.cleanup)
+            shared = own.name
+        context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` with a reliable checkpoint in :func:`checkpoint_folder`."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
