@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .q_language import op1_language_id
+from .q_near import op3_near_dedup
+from .q_packing import op5_best_fit_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op3_near_dedup": op3_near_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
