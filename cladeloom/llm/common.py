@@ -16,6 +16,9 @@ from cladeloom.session import checkpoint_folder
 #: Distinct words whose hashes one Python worker keeps at most.
 WORDS_KEPT = 400_000
 
+#: Spark drops the shuffle files of a statement at its end; a stored table never needs them again.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,7 +29,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     nor depend on an executor that may be lost, and read only the columns they need."""
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .q_language import op1_language_id
 from .q_near import op3_near_dedup
 from .q_packing import op5_best_fit_packing
+from .q_substring import op7_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_near_dedup": op3_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
