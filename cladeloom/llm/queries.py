@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .q_language import op1_language_id
 from .q_near import op3_near_dedup
 from .q_packing import op5_best_fit_packing
+from .q_pieces import op8_sentencepiece
 from .q_substring import op7_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,5 +17,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": op3_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
