@@ -11,10 +11,12 @@ from .q_near import op3_near_dedup
 from .q_packing import op5_best_fit_packing
 from .q_pieces import op8_sentencepiece
 from .q_substring import op7_substring_dedup
+from .q_warc import op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_near_dedup": op3_near_dedup,
+    "op4_warc": op4_warc,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_sentencepiece": op8_sentencepiece,
