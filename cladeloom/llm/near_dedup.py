@@ -6,10 +6,12 @@
    ``distance // chunks`` symbols. Every chunk therefore emits one key for each choice of the symbols that may
    differ (left out). All pairs within ``distance`` share a key. A pair of similarity s differs in a binomial number
    of symbols with probability 1 - s each; at the defaults and 0.8, 2 in 100,000 such pairs exceed the distance.
-3. Keys held by several classes are kept. Within a key, every class is first compared with one hub (the class with
-   the most company over all its keys), so a key never lists its pairs. Confirmed links give components.
-4. Classes that their key's hub didn't reach are joined with the classes of other components under the same key;
-   the signature distance is part of the join condition, and Spark splits keys with many rows. Confirmed again.
+3. Keys held by several classes are kept. Within a key, the classes are compared with one hub at a time (the classes
+   with the most company over all their keys come first), so a key never lists its pairs. Confirmed links give
+   components, and the next hub meets only the classes of other components.
+4. What these rounds leave apart is joined with the classes of other components under the same key. The signature
+   distance is part of the join condition, as is that this key is the first the two share, so that a pair comes up
+   once; Spark splits keys with many rows. Confirmed again, so no pair within the distance goes unchecked.
 5. Components of all links, carried back to every row of the input.
 
 Rules for unusual rows: a NULL text or one without words has an empty set and is linked with nothing. A row with a
@@ -27,13 +29,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, binary_lists, components, gram_hashes, mix, stored
 
 SYMBOL_BITS = 16
-PER_LONG = 64 // SYMBOL_BITS
+#: Symbols in a chunk.
+WIDTH = 4
 
 
 @dataclass(frozen=True)
@@ -41,16 +44,19 @@ class Settings:
     words: int = 5  # words in a shingle
     percent: int = 80  # link if 100 * intersection >= percent * union
     chunks: int = 10
-    width: int = 4  # symbols in a chunk
-    distance: int = 19  # symbols that may differ
+    distance: int = 19  # symbols that may differ; less than two a chunk
+    rounds: int = 3  # hubs that every key tries before its open pairs are listed
 
     @property
     def symbols(self) -> int:
-        return self.chunks * self.width
+        return self.chunks * WIDTH
 
     @property
     def errors(self) -> int:
-        return self.distance // self.chunks
+        errors = self.distance // self.chunks
+        if errors > 1:
+            raise ValueError("chunks with more than one differing symbol aren't enumerated: take more chunks")
+        return errors
 
 
 def shingle_set(text: bytes | None, width: int, hashes: WordHashes) -> np.ndarray:
@@ -68,8 +74,8 @@ class Signer:
         draw = np.random.default_rng(20_11)
         self.factor = draw.integers(1, 2**63, settings.symbols, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.shift = draw.integers(0, 2**63, settings.symbols, dtype=np.uint64)
-        keep = settings.width - settings.errors
-        self.subsets = [list(c) for c in combinations(range(settings.width), keep)]
+        keep = WIDTH - settings.errors
+        self.subsets = [list(c) for c in combinations(range(WIDTH), keep)]
 
     def sign(self, shingles: np.ndarray) -> np.ndarray:
         """16-bit symbols of the signature; one pass over the set per function, so memory stays that of the set."""
@@ -80,7 +86,7 @@ class Signer:
         return (mix(low) & np.uint64(2**SYMBOL_BITS - 1)).astype(np.uint16)
 
     def keys(self, symbols: np.ndarray) -> np.ndarray:
-        chunks = symbols.reshape(self.settings.chunks, self.settings.width).astype(np.uint64)
+        chunks = symbols.reshape(self.settings.chunks, WIDTH).astype(np.uint64)
         found = np.empty((self.settings.chunks, len(self.subsets)), np.uint64)
         for at, subset in enumerate(self.subsets):
             value = np.arange(self.settings.chunks, dtype=np.uint64) * np.uint64(len(self.subsets)) + np.uint64(at)
@@ -103,13 +109,13 @@ def _sign_rows(settings: Settings):
                     digests.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                     if len(shingles):
                         symbols = signer.sign(shingles)
-                        signs.append(symbols.view(np.int64))
+                        signs.append(symbols.view(np.int16))
                         keys.append(signer.keys(symbols).view(np.int64))
                     else:
-                        signs.append(np.empty(0, np.int64))
+                        signs.append(np.empty(0, np.int16))
                         keys.append(np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), binary_lists(signs, pa.int64()), binary_lists(keys, pa.int64())],
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), binary_lists(signs, pa.int16()), binary_lists(keys, pa.int64())],
                     names=["id", "n_shingles", "digest", "sign", "keys"],
                 )
 
@@ -128,17 +134,37 @@ def _shingle_rows(words: int):
     return run
 
 
-def differing(a: Column, b: Column, longs: int) -> Column:
-    """Number of 16-bit symbols in which two signatures differ: fold each lane of the XOR onto its lowest bit."""
+def _differ_in(chunk: int) -> Column:
+    """Number of symbols of a chunk in which the signatures ``a`` and ``b`` differ."""
     total = F.lit(0)
-    for i in range(longs):
-        x = a[i].bitwiseXOR(b[i])
-        for step in (8, 4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+    for i in range(chunk * WIDTH, (chunk + 1) * WIDTH):
+        total = total + (F.get(F.col("a"), F.lit(i)) != F.get(F.col("b"), F.lit(i))).cast("int")
     return total
 
 
+def differing(settings: Settings) -> Column:
+    """Number of symbols in which the signatures ``a`` and ``b`` differ."""
+    total = F.lit(0)
+    for chunk in range(settings.chunks):
+        total = total + _differ_in(chunk)
+    return total
+
+
+def first_shared(settings: Settings) -> Column:
+    """Whether the key at position ``at`` is the first that ``a`` and ``b`` share, in the order of :meth:`Signer.keys`:
+    no chunk before agrees, and within the chunk, agreement in all symbols counts for the first subset only."""
+    subsets = WIDTH if settings.errors else 1
+    at = F.col("at")
+    first = F.lit(True)
+    for chunk in range(settings.chunks - 1):
+        first = first & ((at < (chunk + 1) * subsets) | (_differ_in(chunk) > settings.errors))
+    if settings.errors:  # the subsets leave out the last symbol first
+        subset = at % F.lit(subsets)
+        left_out = at - subset + (WIDTH - 1) - subset
+        first = first & ((subset == 0) | (F.get(F.col("a"), left_out) != F.get(F.col("b"), left_out)))
+    return first
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     """Links ``(u, v)`` among distinct ``pairs`` whose full sets are similar enough."""
     pairs = stored(pairs, "pairs")
@@ -155,10 +181,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFr
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
     """``(id, n_shingles, component_id, kept)``, one row per row of ``docs`` with an id."""
     settings = settings or Settings()
-    longs = settings.symbols // PER_LONG
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text")).where("id IS NOT NULL")
     signed = stored(
-        texts.mapInArrow(_sign_rows(settings), "id bigint, n_shingles bigint, digest binary, sign array<bigint>, keys array<bigint>"), "signed"
+        texts.mapInArrow(_sign_rows(settings), "id bigint, n_shingles bigint, digest binary, sign array<smallint>, keys array<bigint>"), "signed"
     )
     filled = signed.where("n_shingles > 0")
     chosen = filled.groupBy("id").agg(F.min(F.struct("digest", "n_shingles")).alias("set")).select("id", "set.digest", "set.n_shingles")
@@ -170,63 +195,79 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         chosen.join(several, ["digest", "n_shingles"], "left").select("id", "digest", F.coalesce("class_id", "id").alias("class_id")), "classes"
     )
     firsts = filled.join(membership.where("id = class_id"), ["id", "digest"], "left_semi").dropDuplicates(["id"])
-    keyed = firsts.select("id", F.explode("keys").alias("key"))
+    keyed = firsts.select("id", F.posexplode("keys").alias("at", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     held = stored(keyed.join(shared, "key"), "keys")
     company = held.groupBy("id").agg(F.sum("held").alias("company"))
-    held = stored(held.select("key", "id").join(company, "id"), "company")
-    hubs = held.groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("back"))).alias("hub")).select("key", (-F.col("hub.back")).alias("hub"))
+    held = stored(held.select("key", "at", "id").join(company, "id"), "company")
+    turn = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("company"), "id"))
+    hubs = stored(held.select("key", F.col("id").alias("hub"), turn.alias("turn")).where(F.col("turn") <= settings.rounds), "hubs")
     signs = stored(firsts.join(held.select("id").distinct(), "id", "left_semi").select("id", "sign", "n_shingles"), "signs")
-    close = held.select("key", "id").join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
-    close = (
-        close.join(signs.select(F.col("id").alias("u"), F.col("sign").alias("a"), F.col("n_shingles").alias("m")), "u")
-        .join(signs.select(F.col("id").alias("v"), F.col("sign").alias("b"), F.col("n_shingles").alias("n")), "v")
-        .where(_may_link("a", "b", "m", "n", longs, settings))
-        .select("u", "v")
-    )
-    links = _confirmed(close, texts, settings)
-    found = components(links)
-    # what the hub of a key didn't reach meets the other components under that key
-    placed = (
-        held.select("key", "id").join(hubs, "key")
-        .join(found.select(F.col("node").alias("id"), "component"), "id", "left")
-        .join(found.select(F.col("node").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
-        .select("key", "id", F.coalesce("component", "id").alias("component"), F.coalesce("hub_component", "hub").alias("hub_component"))
-    )
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high AND n > 2").select("key")
-    placed = stored(placed.join(open_keys, "key", "left_semi").join(signs, "id"), "placed")
-    outside = placed.where("component <> hub_component").select(
-        "key", F.col("id").alias("u"), F.col("component").alias("cu"), F.col("sign").alias("a"), F.col("n_shingles").alias("m")
-    )
-    inside = placed.select(
-        "key", F.col("id").alias("v"), F.col("component").alias("cv"), F.col("sign").alias("b"), F.col("n_shingles").alias("n"), (F.col("component") != F.col("hub_component")).alias("out")
-    )
+    placed = held.select("key", "at", "id", F.col("id").alias("component"))
+    labels = None
+    for turn in range(1, settings.rounds + 1):
+        own = placed.select("key", F.col("id").alias("hub"), F.col("component").alias("hub_component"))
+        told = hubs.where(F.col("turn") == turn).select("key", "hub").join(own, ["key", "hub"])
+        apart = placed.join(told, "key").where("component <> hub_component")
+        close = apart.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
+        labels = _contract(labels, _confirmed(_close(close, signs, settings), texts, settings))
+        placed = _open(placed, labels)
+    # what the hubs didn't bring together, by key; a row is inside if it's in the first hub's component
+    first_hub = hubs.where("turn = 1").select("key", "hub")
+    own = placed.select("key", F.col("id").alias("hub"), F.col("component").alias("hub_component"))
+    placed = placed.join(first_hub.join(own, ["key", "hub"]).select("key", "hub_component"), "key").join(signs, "id")
+    placed = stored(placed.withColumn("out", F.col("component") != F.col("hub_component")), "placed")
+    outside = placed.where("out").select("key", "at", F.col("id").alias("u"), F.col("component").alias("cu"), F.col("sign").alias("a"), F.col("n_shingles").alias("m"))
+    inside = placed.select("key", F.col("id").alias("v"), F.col("component").alias("cv"), F.col("sign").alias("b"), F.col("n_shingles").alias("n"), "out")
     met = outside.join(
         inside,
-        (outside.key == inside.key) & (F.col("cu") != F.col("cv")) & (~F.col("out") | (F.col("u") < F.col("v"))) & _may_link("a", "b", "m", "n", longs, settings),
+        (outside.key == inside.key)
+        & (F.col("cu") != F.col("cv"))
+        & (~F.col("out") | (F.col("u") < F.col("v")))
+        & _may_link(settings)
+        & first_shared(settings),
+    )
+    rest = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    labels = _contract(labels, _confirmed(rest, texts, settings))
+    final = membership.join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select(
+        "id", F.coalesce("component", "class_id").alias("component_id")
     )
-    rest = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    more = _confirmed(rest, texts, settings)
-    # a component found so far is one node from here on
-    labels = found.select("node", "component")
+    # signed holds a row per input row; ids without words belong to themselves
+    result = signed.select("id", "n_shingles").join(final, "id", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    return result.withColumn("kept", F.col("id") == F.col("component_id"))
+
+
+def _may_link(settings: Settings) -> Column:
+    """Neither the sizes ``m, n`` nor the signatures ``a, b`` rule the pair out."""
+    smaller, larger = F.least("m", "n"), F.greatest("m", "n")
+    return (100 * smaller >= settings.percent * larger) & (differing(settings) <= settings.distance)
+
+
+def _close(pairs: DataFrame, signs: DataFrame, settings: Settings) -> DataFrame:
+    one = signs.select(F.col("id").alias("u"), F.col("sign").alias("a"), F.col("n_shingles").alias("m"))
+    other = signs.select(F.col("id").alias("v"), F.col("sign").alias("b"), F.col("n_shingles").alias("n"))
+    return pairs.join(one, "u").join(other, "v").where(_may_link(settings)).select("u", "v")
+
+
+def _contract(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``(node, component)`` after more links; a component found before is one node of the new graph."""
+    if labels is None:
+        return stored(components(links), "labels")
     raised = (
-        more.join(labels.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left")
+        links.join(labels.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left")
         .join(labels.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
         .select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
     )
     merged = components(raised)
-    final = membership.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select(
-        "id", F.coalesce("component", "class_id").alias("component")
-    )
-    final = final.join(merged.select(F.col("node").alias("component"), F.col("component").alias("low")), "component", "left").select(
-        "id", F.coalesce("low", "component").alias("component_id")
+    moved = labels.join(merged.select(F.col("node").alias("component"), F.col("component").alias("low")), "component", "left").select(
+        "node", F.coalesce("low", "component").alias("component")
     )
-    # signed holds a row per input row; ids without words belong to themselves
-    result = signed.select("id", "n_shingles").join(final, "id", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-    return result.withColumn("kept", F.col("id") == F.col("component_id"))
+    return stored(moved.unionAll(merged.join(labels.select("node"), "node", "left_anti").select("node", "component")), "labels")
 
 
-def _may_link(a: str, b: str, m: str, n: str, longs: int, settings: Settings) -> Column:
-    """Neither the sizes nor the signatures rule the pair out."""
-    smaller, larger = F.least(m, n), F.greatest(m, n)
-    return (100 * smaller >= settings.percent * larger) & (differing(F.col(a), F.col(b), longs) <= settings.distance)
+def _open(placed: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows, with their components as they are now, of the keys that still hold several components."""
+    now = placed.select("key", "at", "id").join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
+    now = now.select("key", "at", "id", F.coalesce("component", "id").alias("component"))
+    several = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    return stored(now.join(several, "key", "left_semi"), "open")

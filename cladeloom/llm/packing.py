@@ -17,6 +17,7 @@ Other columns are never read.
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import stored, union
 
-#: White-space-separated chunks whose ids one Python worker keeps at most.
-CHUNKS_KEPT = 300_000
+#: White-space-separated chunks, and words in them, whose ids one Python worker keeps in each generation.
+CHUNKS_KEPT = 150_000
+WORDS_KEPT = 250_000
 PIECE = "uid bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -47,27 +49,63 @@ class Settings:
     seed: int = 17
 
 
-class ChunkIds(dict):
-    """Little-endian 32-bit ids of a chunk of text. Neither the normaliser nor a pattern or an added token of the
-    vocabulary reaches across ASCII white space, so the ids of a text are those of its chunks in a row."""
+#: A chunk that is one run of Latin letters and perhaps one of other signs: two words of the vocabulary's split pattern.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies show for each byte: itself if it is printable, else one from 256 up."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class Remembered(dict):
+    """A cache in two generations: when the young one is full it becomes the old one; what is asked for again stays."""
+
+    def __init__(self, most: int, compute):
+        super().__init__()
+        self.most, self.compute, self.old = most, compute, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(key) <= 100:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class ChunkIds:
+    """Little-endian 32-bit ids of a text. Neither the normaliser nor a pattern or an added token of the vocabulary
+    reaches across ASCII white space, so the ids of a text are those of its chunks in a row."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
-        value = np.array(ids, "<u4").tobytes()
-        if len(chunk) <= 100:
-            self[chunk] = value
-        return value
+        self.letters = byte_letters()
+        self.words = Remembered(WORDS_KEPT, self._word)
+        self.chunks = Remembered(CHUNKS_KEPT, self._chunk)
+
+    def _word(self, word: str) -> bytes:
+        """A lower-case run of Latin letters, or of signs: the model's own step, after the byte-level spelling."""
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        plain = PLAIN.fullmatch(text)
+        if plain and "<|" not in text:
+            word, signs = plain.groups()
+            return self.words[word.lower()] + (self.words[signs] if signs else b"")
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of(self, text: bytes | None) -> bytes:
-        if len(self) > CHUNKS_KEPT:
-            self.clear()
-        return b"".join(map(self.__getitem__, text.split())) if text else b""
+        return b"".join(map(self.chunks.__getitem__, text.split())) if text else b""
 
 
 def _cut(path: str, end_id: int, capacity: int):
