@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .q_language import op1_language_id
 from .q_near import op3_near_dedup
+from .q_neighbours import op10_nn_descent
 from .q_packing import op5_best_fit_packing
 from .q_pieces import op8_sentencepiece
 from .q_substring import op7_substring_dedup
@@ -20,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_sentencepiece": op8_sentencepiece,
+    "op10_nn_descent": op10_nn_descent,
 }
 ORACLES: dict[str, str] = {}
