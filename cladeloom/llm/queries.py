@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .q_chat import op9_chat_format
 from .q_language import op1_language_id
+from .q_license import op6_license_scan
 from .q_near import op3_near_dedup
 from .q_neighbours import op10_nn_descent
 from .q_packing import op5_best_fit_packing
@@ -19,8 +21,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": op3_near_dedup,
     "op4_warc": op4_warc,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_license_scan": op6_license_scan,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_chat_format": op9_chat_format,
     "op10_nn_descent": op10_nn_descent,
 }
 ORACLES: dict[str, str] = {}
