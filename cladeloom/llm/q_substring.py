@@ -18,15 +18,15 @@ OP7_SQL = r"""
 WITH texts AS (
   SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents WHERE doc_id IS NOT NULL
 ), starts AS (
-  SELECT doc_id, unnest(range(1, len(w) - 18)) AS at, unnest(list_transform(range(1, len(w) - 18), lambda i: md5(array_to_string(w[i:i + 19], ' ')))) AS window_hash
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS pos, unnest(list_transform(range(1, len(w) - 18), lambda i: md5(array_to_string(w[i:i + 19], ' ')))) AS window_hash
   FROM texts WHERE len(w) >= 20
 ), repeats AS (
-  SELECT doc_id, at FROM (SELECT *, row_number() OVER (PARTITION BY window_hash ORDER BY doc_id, at) AS turn FROM starts) WHERE turn > 1
-), gone AS (SELECT DISTINCT doc_id, unnest(range(at, at + 20)) AS at FROM repeats),
-words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS at, unnest(w) AS word FROM texts),
+  SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY window_hash ORDER BY doc_id, pos) AS turn FROM starts) WHERE turn > 1
+), gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM repeats),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM texts),
 kept AS (
-  SELECT w.doc_id, count(*) AS n_words, count(g.at) AS n_removed, string_agg(word, ' ' ORDER BY w.at) FILTER (WHERE g.at IS NULL) AS text
-  FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.at = w.at GROUP BY w.doc_id
+  SELECT w.doc_id, count(*) AS n_words, count(g.pos) AS n_removed, string_agg(word, ' ' ORDER BY w.pos) FILTER (WHERE g.pos IS NULL) AS text
+  FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.pos = w.pos GROUP BY w.doc_id
 )
 SELECT t.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM texts t LEFT JOIN kept k USING (doc_id)
