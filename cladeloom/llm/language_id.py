@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
@@ -102,11 +102,7 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     most = F.sum("n").over(_by("word")).alias("total")
     words = counts.select("*", most).orderBy(F.desc("total"), "word", "lang").limit(bounds.words).select("lang", "word", "n").toPandas()
     marked = F.concat(F.lit("^"), "word", F.lit("$"))
-    parts = [
-        F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i, n=n: marked.substr(i, F.lit(n)))
-        for n in range(1, bounds.longest_ngram + 1)
-    ]
-    parts = [F.when(F.length(marked) >= n, p).otherwise(F.array().cast("array<string>")) for n, p in enumerate(parts, 1)]
+    parts = [_parts(marked, n) for n in range(1, bounds.longest_ngram + 1)]
     grams = counts.select("lang", "n", F.explode(F.concat(*parts)).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     most = F.sum("n").over(_by("gram")).alias("total")
     grams = grams.select("*", most).orderBy(F.desc("total"), "gram", "lang").limit(bounds.ngrams).select("lang", "gram", "n").toPandas()
@@ -118,12 +114,16 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model(languages, word_keys, word_logs, gram_keys, gram_logs, bounds.longest_ngram)
 
 
-def _by(column: str):
-    from pyspark.sql import Window
-
+def _by(column: str) -> WindowSpec:
     return Window.partitionBy(column)
 
 
+def _parts(marked: Column, length: int) -> Column:
+    """All n-grams of one length of a marked word."""
+    places = F.sequence(F.lit(1), F.length(marked) - length + 1)
+    return F.when(F.length(marked) >= length, F.transform(places, lambda i: marked.substr(i, F.lit(length)))).otherwise(F.array().cast("array<string>"))
+
+
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
