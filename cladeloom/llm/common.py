@@ -64,6 +64,25 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+class Remembered(dict):
+    """A cache in two generations: when the young one is full it becomes the old one; what is asked for again stays."""
+
+    def __init__(self, most: int, compute):
+        super().__init__()
+        self.most, self.compute, self.old = most, compute, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(key) <= 100:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 def gram_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hash of every run of ``width`` consecutive words."""
     count = len(hashes) - width + 1

@@ -122,24 +122,20 @@ class Templates:
 
     def best_stretch(self, words: list[bytes], template: list[bytes], least: float) -> list[tuple[int, int]]:
         """The whole text is aligned first. Words of the template that the text repeats elsewhere are no anchors there, so
-        each stretch of template-length around the rarest word that all long enough matches must hold is aligned too."""
+        the stretch around every place of its rarest words is aligned too: of one word more than a good match may
+        miss, it holds at least one, and lies where that word's place in the template says."""
         best = align(words, template)
-        # of any so many distinct words, a good match misses fewer than it may
         spare = int((1 - least) * len(template)) + 1
         places: dict[bytes, list[int]] = {w: [] for w in template}
         for i, w in enumerate(words):
             if w in places:
                 places[w].append(i)
-        rare = sorted(set(template), key=lambda w: (len(places[w]), w))[:spare]
-        starts = sorted({i for w in rare for i in places[w]})
-        reach, end = len(template) + spare, -1
-        for i in starts:
+        rare = sorted(range(len(template)), key=lambda j: (len(places[template[j]]), j))[:spare]
+        starts = sorted({i - j for j in rare for i in places[template[j]]})
+        for start in starts:
             if len(best) == len(template):
                 break
-            if i < end:
-                continue
-            low, high = max(0, i - reach), min(len(words), i + 2 * reach)
-            end = i + reach
+            low, high = max(0, start - spare), min(len(words), start + len(template) + spare)
             found = [(a + low, b) for a, b in align(words[low:high], template)]
             if len(found) > len(best):
                 best = found

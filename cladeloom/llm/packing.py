@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, union
+from .common import Remembered, stored, union
 
 #: White-space-separated chunks, and words in them, whose ids one Python worker keeps in each generation.
 CHUNKS_KEPT = 150_000
@@ -60,25 +60,6 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class Remembered(dict):
-    """A cache in two generations: when the young one is full it becomes the old one; what is asked for again stays."""
-
-    def __init__(self, most: int, compute):
-        super().__init__()
-        self.most, self.compute, self.old = most, compute, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.compute(key)
-        if len(key) <= 100:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
 class ChunkIds:
     """Little-endian 32-bit ids of a text. Neither the normaliser nor a pattern or an added token of the vocabulary
     reaches across ASCII white space, so the ids of a text are those of its chunks in a row."""
