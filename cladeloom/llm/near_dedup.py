@@ -9,9 +9,10 @@
 3. Keys held by several classes are kept. Within a key, the classes are compared with one hub at a time (the classes
    with the most company over all their keys come first), so a key never lists its pairs. Confirmed links give
    components, and the next hub meets only the classes of other components.
-4. What these rounds leave apart is joined with the classes of other components under the same key. The signature
-   distance is part of the join condition, as is that this key is the first the two share, so that a pair comes up
-   once; Spark splits keys with many rows. Confirmed again, so no pair within the distance goes unchecked.
+4. What these rounds leave apart is compared without listing the pairs of a key: every class of an open key is
+   written as its difference from the key's first hub, and two classes can only be linked if they share enough of
+   their differences. They are joined on shared differences, the new shingles first, at positions that still allow
+   enough of them (a prefix filter); then confirmed. So no pair within the distance goes unchecked.
 5. Components of all links, carried back to every row of the input.
 
 Rules for unusual rows: a NULL text or one without words has an empty set and is linked with nothing. A row with a
@@ -45,7 +46,7 @@ class Settings:
     percent: int = 80  # link if 100 * intersection >= percent * union
     chunks: int = 10
     distance: int = 19  # symbols that may differ; less than two a chunk
-    rounds: int = 3  # hubs that every key tries before its open pairs are listed
+    rounds: int = 1  # hubs that every key tries before its open pairs are looked for by their differences
 
     @property
     def symbols(self) -> int:
@@ -128,8 +129,10 @@ def _shingle_rows(words: int):
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                sets = [shingle_set(text.as_py(), words, hashes).view(np.int64) for text in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), binary_lists(sets, pa.int64())], names=["id", "shingles"])
+                sets = [shingle_set(text.as_py(), words, hashes) for text in part.column(1)]
+                digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+                lists = binary_lists([s.view(np.int64) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), digests, lists], names=["id", "digest", "shingles"])
 
     return run
 
@@ -150,27 +153,8 @@ def differing(settings: Settings) -> Column:
     return total
 
 
-def first_shared(settings: Settings) -> Column:
-    """Whether the key at position ``at`` is the first that ``a`` and ``b`` share, in the order of :meth:`Signer.keys`:
-    no chunk before agrees, and within the chunk, agreement in all symbols counts for the first subset only."""
-    subsets = WIDTH if settings.errors else 1
-    at = F.col("at")
-    first = F.lit(True)
-    for chunk in range(settings.chunks - 1):
-        first = first & ((at < (chunk + 1) * subsets) | (_differ_in(chunk) > settings.errors))
-    if settings.errors:  # the subsets leave out the last symbol first
-        subset = at % F.lit(subsets)
-        left_out = at - subset + (WIDTH - 1) - subset
-        first = first & ((subset == 0) | (F.get(F.col("a"), left_out) != F.get(F.col("b"), left_out)))
-    return first
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """Links ``(u, v)`` among distinct ``pairs`` whose full sets are similar enough."""
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))).distinct()
-    sets = texts.join(wanted, "id", "left_semi").mapInArrow(_shingle_rows(settings.words), "id bigint, shingles array<bigint>")
-    sets = stored(sets, "sets")
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(
         sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v"
     )
@@ -178,6 +162,45 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFr
     return stored(both.where(100 * common >= settings.percent * (F.size("a") + F.size("b") - common)).select("u", "v"), "links")
 
 
+def _left_apart(placed: DataFrame, hubs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Distinct pairs ``(u, v)`` of different components under one first hub h that may be linked.
+
+    With D the symmetric difference from h and A the sum of both set sizes, u and v are linked only if their own
+    difference, of size ``d_u + d_v - 2 * shared``, is at most ``c * A``, c = (100 - percent) / (100 + percent). One of the two
+    isn't linked with h, so ``d > c * (size + size of h)`` holds for it, and ``shared`` has to be positive. In any common
+    order of the elements, the first shared one stands at ``d - shared + 1`` at the latest, on both sides.
+    """
+    c = (100 - settings.percent) / (100 + settings.percent)
+    own = placed.select("key", F.col("id").alias("hub"), F.col("component").alias("hub_component"))
+    told = hubs.where("turn = 1").select("key", "hub").join(own, ["key", "hub"])
+    groups = placed.join(told, "key").where("id <> hub").select("hub", "id", "component", "hub_component").distinct()
+    met = groups.join(sets, "id").join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("of_hub")), "hub")
+    gained, lost = F.array_except("shingles", "of_hub"), F.array_except("of_hub", "shingles")
+    rows = met.select(
+        "hub", "id", "component", (F.col("component") != F.col("hub_component")).alias("out"), F.size("shingles").alias("n"),
+        F.concat(F.array_sort(gained), F.array_sort(lost)).alias("difference"),
+    ).withColumn("d", F.size("difference"))
+    # the latest position at which a partner could still share enough
+    reach = F.when(F.col("out"), F.least(F.col("d"), F.floor(F.col("n") * (c * (1 + 100 / settings.percent))) + 1)).otherwise(
+        F.floor(F.col("d") * (1 + c) / 2) + 1
+    )
+    rows = stored(rows.withColumn("difference", F.slice("difference", 1, F.least(reach, F.col("d")).cast("int"))), "differences")
+    listed = rows.select("hub", "id", "component", "out", "n", "d", F.posexplode("difference").alias("at", "element"))
+    outside = listed.where("out").select("hub", "element", F.col("id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("m"), F.col("d").alias("du"), F.col("at").alias("pu"))
+    inside = listed.select("hub", "element", F.col("id").alias("v"), F.col("component").alias("cv"), "n", F.col("d").alias("dv"), F.col("at").alias("pv"), "out")
+    shared = F.greatest(F.lit(1), F.ceil((F.col("du") + F.col("dv") - (F.col("m") + F.col("n")) * c) / 2 - 1e-6))
+    found = outside.join(
+        inside,
+        (outside.hub == inside.hub)
+        & (outside.element == inside.element)
+        & (F.col("cu") != F.col("cv"))
+        & (~F.col("out") | (F.col("u") < F.col("v")))
+        & (F.col("pu") <= F.col("du") - shared)
+        & (F.col("pv") <= F.col("dv") - shared),
+    )
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
     """``(id, n_shingles, component_id, kept)``, one row per row of ``docs`` with an id."""
     settings = settings or Settings()
@@ -195,40 +218,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         chosen.join(several, ["digest", "n_shingles"], "left").select("id", "digest", F.coalesce("class_id", "id").alias("class_id")), "classes"
     )
     firsts = filled.join(membership.where("id = class_id"), ["id", "digest"], "left_semi").dropDuplicates(["id"])
-    keyed = firsts.select("id", F.posexplode("keys").alias("at", "key"))
+    keyed = firsts.select("id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     held = stored(keyed.join(shared, "key"), "keys")
     company = held.groupBy("id").agg(F.sum("held").alias("company"))
-    held = stored(held.select("key", "at", "id").join(company, "id"), "company")
+    held = stored(held.select("key", "id").join(company, "id"), "company")
     turn = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("company"), "id"))
     hubs = stored(held.select("key", F.col("id").alias("hub"), turn.alias("turn")).where(F.col("turn") <= settings.rounds), "hubs")
-    signs = stored(firsts.join(held.select("id").distinct(), "id", "left_semi").select("id", "sign", "n_shingles"), "signs")
-    placed = held.select("key", "at", "id", F.col("id").alias("component"))
+    met = held.select("id").distinct()
+    signs = stored(firsts.join(met, "id", "left_semi").select("id", "digest", "sign", "n_shingles"), "signs")
+    sets = texts.join(signs.select("id"), "id", "left_semi").mapInArrow(_shingle_rows(settings.words), "id bigint, digest binary, shingles array<bigint>")
+    sets = stored(sets.join(signs.select("id", "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id"]).select("id", "shingles"), "sets")
+    placed = held.select("key", "id", F.col("id").alias("component"))
     labels = None
     for turn in range(1, settings.rounds + 1):
         own = placed.select("key", F.col("id").alias("hub"), F.col("component").alias("hub_component"))
         told = hubs.where(F.col("turn") == turn).select("key", "hub").join(own, ["key", "hub"])
         apart = placed.join(told, "key").where("component <> hub_component")
         close = apart.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
-        labels = _contract(labels, _confirmed(_close(close, signs, settings), texts, settings))
+        labels = _contract(labels, _confirmed(_close(close, signs, settings), sets, settings))
         placed = _open(placed, labels)
-    # what the hubs didn't bring together, by key; a row is inside if it's in the first hub's component
-    first_hub = hubs.where("turn = 1").select("key", "hub")
-    own = placed.select("key", F.col("id").alias("hub"), F.col("component").alias("hub_component"))
-    placed = placed.join(first_hub.join(own, ["key", "hub"]).select("key", "hub_component"), "key").join(signs, "id")
-    placed = stored(placed.withColumn("out", F.col("component") != F.col("hub_component")), "placed")
-    outside = placed.where("out").select("key", "at", F.col("id").alias("u"), F.col("component").alias("cu"), F.col("sign").alias("a"), F.col("n_shingles").alias("m"))
-    inside = placed.select("key", F.col("id").alias("v"), F.col("component").alias("cv"), F.col("sign").alias("b"), F.col("n_shingles").alias("n"), "out")
-    met = outside.join(
-        inside,
-        (outside.key == inside.key)
-        & (F.col("cu") != F.col("cv"))
-        & (~F.col("out") | (F.col("u") < F.col("v")))
-        & _may_link(settings)
-        & first_shared(settings),
-    )
-    rest = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    labels = _contract(labels, _confirmed(rest, texts, settings))
+    labels = _contract(labels, _confirmed(_left_apart(placed, hubs, sets, settings), sets, settings))
     final = membership.join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select(
         "id", F.coalesce("component", "class_id").alias("component_id")
     )
@@ -267,7 +277,7 @@ def _contract(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def _open(placed: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows, with their components as they are now, of the keys that still hold several components."""
-    now = placed.select("key", "at", "id").join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
-    now = now.select("key", "at", "id", F.coalesce("component", "id").alias("component"))
+    now = placed.select("key", "id").join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
+    now = now.select("key", "id", F.coalesce("component", "id").alias("component"))
     several = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     return stored(now.join(several, "key", "left_semi"), "open")
