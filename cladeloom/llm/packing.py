@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import Remembered, stored, union
 
 #: White-space-separated chunks, and words in them, whose ids one Python worker keeps in each generation.
-CHUNKS_KEPT = 150_000
-WORDS_KEPT = 250_000
+CHUNKS_KEPT = 400_000
+WORDS_KEPT = 400_000
 PIECE = "uid bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -75,7 +75,7 @@ class ChunkIds:
     def _word(self, word: str) -> bytes:
         """A lower-case run of Latin letters, or of signs: the model's own step, after the byte-level spelling."""
         spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelled)])
 
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()
