@@ -113,18 +113,23 @@ def _detail(body: Column) -> Column:
     """Which rule of ``_MISPLACED`` a body breaks."""
     lengths = F.regexp_extract_all(body, F.lit(r":([^,();]*)"), F.lit(1))
     return (
-        F.when(body.rlike(r"[(,)]\s*(?:'[^']*|\"[^\"]*)$"), F.lit("Unterminated quoted label"))
-        .when(body.contains(";"), F.lit("Unexpected text after the statement"))
-        .when(body.rlike(r"[^\s(,]\s*\("), F.lit("Expected ',' or ')'"))
-        .when(F.exists(lengths, lambda x: F.trim(x) == ""), F.lit("Missing branch length"))
-        .when(F.exists(lengths, lambda x: ~x.rlike(_NUMBER)), F.lit("Invalid branch length"))
-        .otherwise(F.lit("Expected leaf label"))
+        F.when(body.rlike(r"[(,)]\s*(?:'[^']*|\"[^\"]*)$"), F.lit("a quoted label has no end"))
+        .when(body.contains(";"), F.lit("text follows the statement"))
+        .when(body.rlike(r"[^\s(,]\s*\("), F.lit("a comma or a closing parenthesis is missing"))
+        .when(F.exists(lengths, lambda x: F.trim(x) == ""), F.lit("a colon without a branch length"))
+        .when(F.exists(lengths, lambda x: ~x.rlike(_NUMBER)), F.lit("a branch length is not a number"))
+        .otherwise(F.lit("a leaf has no label"))
     )
 
 
+AFTER_QUOTE = "text follows a quoted label"
 _QUOTE_LEFT = r"[(,)]\s*(?:'[^']*|\"[^\"]*)$"
 
 
+#: A closing quote followed by more text; a quote can't be doubled inside a label.
+_AFTER_QUOTE = r"(?:^|[(,])\s*(?:'[^']*'|\"[^\"]*\")\s*[^\s:,()\[;]"
+
+
 def newick_error(text: Column) -> Column:
     """NULL for a readable statement, else what is wrong with it. ``with_tree`` gives the same answer."""
 
@@ -140,10 +145,10 @@ def newick_error(text: Column) -> Column:
             lambda s: s["outside"] | (s["depth"] != 0),
         )
         return F.when(body.rlike(_MISPLACED) | body.rlike(_QUOTE_LEFT), _detail(body)).when(
-            walk, F.lit("Unbalanced parentheses")
+            walk, F.lit("parentheses do not match")
         )
 
-    return F.when(text.isNull(), F.lit("Expected leaf label")).otherwise(let(statement_body(text), check))
+    return F.when(text.isNull(), F.lit("a leaf has no label")).when(text.rlike(_AFTER_QUOTE), F.lit(AFTER_QUOTE)).otherwise(let(statement_body(text), check))
 
 
 def with_tree(df: DataFrame, text: str | Column, name: str = "tree") -> DataFrame:
@@ -213,7 +218,7 @@ def with_tree(df: DataFrame, text: str | Column, name: str = "tree") -> DataFram
         # closes followed by another token before any length; nothing follows the root's
         F.regexp_count(b, F.lit(r"\)[^:(),]*(?=[(),])")).alias("missing_lengths"),
     )
-    local = F.when(b.isNull(), F.lit("Expected leaf label")).when(
+    local = F.when(b.isNull(), F.lit("a leaf has no label")).when(source.rlike(_AFTER_QUOTE), F.lit(AFTER_QUOTE)).when(
         b.rlike(_MISPLACED) | (b.rlike("['\"]") & b.rlike(_QUOTE_LEFT)), _detail(b)
     )
     return (
@@ -224,7 +229,7 @@ def with_tree(df: DataFrame, text: str | Column, name: str = "tree") -> DataFram
         .withColumn(name, F.when(F.col(f"{name}_error").isNull() & balanced, tree))
         .withColumn(
             f"{name}_error",
-            F.coalesce(F.col(f"{name}_error"), F.when(F.col(name).isNull(), F.lit("Unbalanced parentheses"))),
+            F.coalesce(F.col(f"{name}_error"), F.when(F.col(name).isNull(), F.lit("parentheses do not match"))),
         )
         .drop(body, parts, walk)
     )
@@ -232,7 +237,7 @@ def with_tree(df: DataFrame, text: str | Column, name: str = "tree") -> DataFram
 
 def leaf_guard(tree: Column) -> Column:
     """NULL when all leaves are distinct, else the complaint."""
-    return F.when(F.size(F.array_distinct(tree["taxa"])) != F.size(tree["taxa"]), F.lit("Tree contains duplicate taxon labels"))
+    return F.when(F.size(F.array_distinct(tree["taxa"])) != F.size(tree["taxa"]), F.lit("a label occurs twice in the tree"))
 
 
 def pair_mrca(tree: Column, first: Column, second: Column) -> Column:

@@ -128,10 +128,10 @@ def render(
     whole = F.concat(F.substr(text, F.lit(1), F.length(text) - F.length(edge) + 1), F.lit(";"))
     if with_net:
         problem = (
-            F.when(gamma > 0.5, F.lit("gamma must be in (0, 0.5]"))
-            .when((donor == recipient) | donor.isNull() | recipient.isNull(), F.lit("Positive gamma requires distinct donor and recipient"))
-            .when(~F.array_contains(F.col("__t")["taxa"], donor) | ~F.array_contains(F.col("__t")["taxa"], recipient), F.lit("Donor and recipient must be tip taxa"))
-            .when((height <= 0) | F.exists("__drawn", lambda x: x["edge"] <= height), F.lit("gene_flow_height must lie inside every affected pendant edge"))
+            F.when(gamma > 0.5, F.lit("gamma above one half"))
+            .when((donor == recipient) | donor.isNull() | recipient.isNull(), F.lit("gene flow takes two different tips"))
+            .when(~F.array_contains(F.col("__t")["taxa"], donor) | ~F.array_contains(F.col("__t")["taxa"], recipient), F.lit("gene flow from or to a taxon that the tree lacks"))
+            .when((height <= 0) | F.exists("__drawn", lambda x: x["edge"] <= height), F.lit("the gene flow height leaves a pendant edge"))
         )
         whole = F.when(net & problem.isNotNull(), F.raise_error(problem)).otherwise(whole)
     return (
@@ -162,7 +162,7 @@ def enumerate_topologies(spark: SparkSession, taxa: list[str]) -> DataFrame:
     reaches each topology exactly once: (2n - 3)!! rows.
     """
     if len(taxa) > 8:
-        raise ValueError("Exhaustive topology enumeration is restricted to at most eight taxa")
+        raise ValueError("more than eight taxa have too many topologies to list")
     taxa = sorted(taxa)
     df = spark.createDataFrame([(taxa[0],)], "topology string")
     for taxon in taxa[1:]:

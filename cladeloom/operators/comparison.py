@@ -31,7 +31,7 @@ def taxon_regime(size: Column) -> Column:
     label = F.when((size >= 3) & (size <= 10), REGIMES[0][2])
     for low, high, name in REGIMES[1:]:
         label = label.when((size > low) & (size <= high), name)
-    return label.otherwise(F.raise_error(F.lit("A row could not be assigned to a taxon group")))
+    return label.otherwise(F.raise_error(F.lit("a tree size outside 3 to 180 has no regime")))
 
 
 def regime_order(label: Column) -> Column:
@@ -91,8 +91,11 @@ def checked_method(df: DataFrame, name: str) -> DataFrame:
     problem = F.when(flag.isNull(), "invalid exact_match").when(F.col("normalized_rooted_rf").isNull(), "missing normalized_rooted_rf")
     if "evaluation_status" in df.columns:
         problem = problem.when(F.col("evaluation_status") != "ok", "failed evaluation")
+    repeats = df.groupBy(F.col("simulation_id").alias("__id")).agg(F.count(F.lit(1)).alias("__rows"))
+    rows = df.join(repeats, F.col("simulation_id").eqNullSafe(F.col("__id")))
+    problem = F.when(F.col("__rows") > 1, "repeated simulation_id").otherwise(problem)
     stop = F.raise_error(F.concat_ws(": ", F.lit(name), F.col("simulation_id"), problem))
-    return df.withColumn("exact_match", F.when(problem.isNotNull(), stop).otherwise(flag))
+    return rows.withColumn("exact_match", F.when(problem.isNotNull(), stop).otherwise(flag)).select(*df.columns)
 
 
 def first_wins(df: DataFrame, key: list[str], order: list[Column], columns: list[str]) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import newick as nw
 from . import triplets as tp
-from .ranking import grouped_median
+from .plan_tools import attach
+from .ranking import median_of_counts, moments, value_bin
 
 # The feature sets and their column order.
 _FREQUENCY = ["p0", "p1", "p2"]
@@ -23,9 +24,6 @@ FEATURE_SETS = {
     "frequency_asymmetry": _FREQUENCY + _ASYMMETRY,
 }
 
-#: Gene trees of one simulation up to which one aggregation state per triplet may hold all lengths.
-PLAIN_MEDIAN_TREES = 100_000
-
 KEY = ["simulation_id", "triplet_id"]
 TAXA = ["taxon_a", "taxon_b", "taxon_c"]
 
@@ -60,31 +58,32 @@ def derived(counted: DataFrame) -> DataFrame:
     )
 
 
-def summarize(observations: DataFrame, bounded: bool = False, extra: list[str] | None = None) -> DataFrame:
+def summarize(observations: DataFrame, extra: list[str] | None = None, spread: bool = True) -> DataFrame:
     """Observations (simulation_id, triplet_id, taxon_a..c, topo, bl) to one feature row per triplet.
 
-    ``bounded`` says that a triplet has at most PLAIN_MEDIAN_TREES observations; then one partial and one
-    final aggregation do all of it. Otherwise medians come from ``grouped_median``, which splits groups of
-    any size, and the rest stays a plain mergeable aggregation.
+    With ``spread``, equal lengths of a triplet and topology are counted before the one shuffle of observations;
+    counts, means, deviations and medians all come from that table, and no group is ever held by one task. Without it,
+    one aggregation does everything and holds the lengths of one triplet at a time: for inputs whose groups are
+    bounded by a contract, such as the enforced number of trees of a simulation.
     """
     group = [*KEY, *TAXA, *(extra or [])]
-    is_k = [F.col("topo") == k for k in range(3)]
-    aggregates = [F.count(F.when(is_k[k], 1)).alias(f"n{k}") for k in range(3)]
-    for k in range(3):
-        length = F.when(is_k[k], F.col("bl"))
-        aggregates.append(F.avg(length).alias(f"mean_bl{k}"))
-        if bounded:
-            aggregates.append(F.median(length).alias(f"median_bl{k}"))
-        aggregates.append(F.stddev_pop(length).alias(f"std_bl{k}"))
-    rows = observations.groupBy(*group).agg(*aggregates)
-    if not bounded:
-        medians = (
-            grouped_median(observations, [*KEY, "topo"], "bl")
-            .groupBy(*KEY)
-            .agg(*[F.max(F.when(F.col("topo") == k, F.col("median"))).alias(f"median_bl{k}") for k in range(3)])
-        )
-        rows = rows.join(medians, KEY, "left")
-    return derived(rows)
+    if not spread:
+        of = lambda k: F.when(F.col("topo") == k, F.col("bl"))
+        wide = [F.count(F.when(F.col("topo") == k, 1)).alias(f"n{k}") for k in range(3)]
+        for k in range(3):
+            wide += [F.avg(of(k)).alias(f"mean_bl{k}"), F.median(of(k)).alias(f"median_bl{k}"), F.stddev_pop(of(k)).alias(f"std_bl{k}")]
+        return derived(observations.groupBy(*group).agg(*wide))
+    counted = observations.groupBy(*group, "topo", value_bin(F.col("bl")).alias("__bin"), F.col("bl").alias("__value")).agg(
+        F.count(F.lit(1)).alias("__n"), F.count("bl").alias("__valid")
+    )
+    rows = moments(counted, [*group, "topo"])
+    # a filter on the count stays above the shared shuffle, one on the value would be moved below it
+    medians = median_of_counts(counted.where("__valid > 0"), [*group, "topo"])
+    rows = attach(rows, medians, [*group, "topo"], "left")
+    at = lambda name, k: F.max(F.when(F.col("topo") == k, F.col(name)))  # noqa: E731  one row per topology
+    wide = [F.coalesce(at("n", k), F.lit(0)).alias(f"n{k}") for k in range(3)]
+    wide += [at(stat, k).alias(f"{stat}_bl{k}") for k in range(3) for stat in ("mean", "median", "std")]
+    return derived(rows.groupBy(*group).agg(*wide))
 
 
 def project(features: DataFrame, feature_set: str, carry: list[str] | None = None) -> DataFrame:
@@ -114,6 +113,6 @@ def tree_problem(tree: Column, error: Column, taxa: Column) -> Column:
     return F.coalesce(
         error,
         nw.leaf_guard(tree),
-        F.when(F.size(F.array_except(taxa, tree["taxa"])) > 0, F.lit("Missing taxa")),
-        F.when(tree["missing_lengths"] > 0, F.lit("Branch length is required for triplet features")),
+        F.when(F.size(F.array_except(taxa, tree["taxa"])) > 0, F.lit("planned taxa are absent")),
+        F.when(tree["missing_lengths"] > 0, F.lit("a branch without a length")),
     )

@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_int
+from .plan_tools import attach
 from .ranking import row_numbers
 
 
 def group_folds(df: DataFrame, group: str, folds: int, seed: int, strata: str | None = None) -> DataFrame:
     """One row per group: group, stratum, rows, fold (1..folds). Whole groups, balanced within each stratum.
 
-    Groups of a stratum are ordered by rows (largest first, ties by hash) and dealt in rounds of ``folds``,
-    every second round backwards, so a stratum's groups per fold differ by at most one and large groups are
-    spread. A group in two strata or a stratum with fewer groups than folds stops the job.
+    Groups of a stratum are ordered by rows (largest first, ties by hash) and dealt to the folds in turn; the next
+    stratum goes on at the fold where the one before stopped. So the groups per fold differ by at most one, within
+    every stratum and over all of them. A group in two strata or a stratum with fewer groups than folds stops the job.
     """
     if folds < 2:
-        raise ValueError("folds must be at least 2")
+        raise ValueError(f"{folds} fold leaves nothing to hold out")
     stratum = F.col(strata) if strata else F.lit("all")
     sizes = df.groupBy(F.col(group)).agg(
         F.count(F.lit(1)).alias("rows"), F.min(stratum).alias("stratum"),
@@ -30,9 +31,12 @@ def group_folds(df: DataFrame, group: str, folds: int, seed: int, strata: str |
         sizes, ["stratum"], [-F.col("rows"), F.substring(tie, 1, 3)], [tie, F.col(group)], "rank", total="groups"
     )
     few = F.raise_error(F.format_string(f"Every stratum needs at least {folds} groups; %s has %d", F.col("stratum").cast("string"), F.col("groups")))
-    place = (F.col("rank") - 1) % folds
-    turn = F.floor((F.col("rank") - 1) / folds) % 2
-    fold = F.when(turn == 0, place).otherwise(folds - 1 - place) + 1
+    # one row per stratum
+    totals = sizes.groupBy("stratum").agg(F.count(F.lit(1)).alias("__groups"))
+    before = F.sum("__groups").over(Window.partitionBy(F.lit(1)).orderBy("stratum").rowsBetween(Window.unboundedPreceding, -1))
+    starts = totals.select("stratum", F.coalesce(before, F.lit(0)).alias("__start"))
+    ranked = attach(ranked, starts, ["stratum"])
+    fold = (F.col("__start") + F.col("rank") - 1) % folds + 1
     return ranked.select(
         group, "stratum", "rows", F.when(F.col("groups") < folds, few.cast("int")).otherwise(fold.cast("int")).alias("fold")
     )

@@ -215,9 +215,9 @@ def cross_validate(
     training rows only.
     """
     if cv_mode not in ("backbone", "scenario"):
-        raise ValueError("cv_mode must be 'backbone' or 'scenario'")
+        raise ValueError(f"no such grouping of folds: {cv_mode}")
     if calibration not in ("none", "temperature"):
-        raise ValueError("calibration must be 'none' or 'temperature'")
+        raise ValueError(f"no such calibration: {calibration}")
     group = "backbone_id" if cv_mode == "backbone" else "scenario_group"
     missing = [c for c in [*feature_columns(feature_set), "label", group] if c not in features.columns]
     if missing:

@@ -96,7 +96,7 @@ def scaled(values: list[Column], temperature: float | Column) -> list[Column]:
     """Probabilities after temperature scaling, as three columns."""
     if not isinstance(temperature, Column):
         if temperature <= 0:
-            raise ValueError("temperature must be positive")
+            raise ValueError("a temperature is larger than zero")
         temperature = F.lit(float(temperature))
     logs = [F.log(F.least(F.greatest(v, F.lit(FLOOR)), F.lit(1.0))) / temperature for v in values]
     top = F.greatest(*logs)

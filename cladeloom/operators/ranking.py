@@ -32,12 +32,45 @@ def grouped_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "
     Equal values of a key are counted before the shuffle; the shuffle key includes the value, so no
     key, however frequent, is held by one task.
     """
-    keys = list(keys)
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value_bin(F.col(value)).alias("__bin"), F.col(value).alias("__value"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
+    return median_of_counts(counted, keys, name)
+
+
+def bin_center(number: Column, per_octave: int = BINS_PER_OCTAVE) -> Column:
+    """A value within a bin's magnitude, the same for all values of the bin."""
+    return F.when(number == 0, F.lit(0.0)).otherwise(F.signum(number.cast("double")) * F.pow(F.lit(2.0), F.abs(number) / per_octave - 1100.0))
+
+
+def moments(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Number of rows ``n``, ``mean`` and population deviation ``std`` of counted values, one row per key.
+
+    Sums are taken around the center of each bin, and bins (a bounded number per key) are joined around the mean, so
+    nothing cancels when values are large and close together.
+    """
+    off = F.col("__value") - bin_center(F.col("__bin"))
+    bins = counted.groupBy(*keys, "__bin").agg(
+        F.sum("__n").alias("n"), F.sum(F.when(F.col("__value").isNotNull(), F.col("__n"))).alias("m"), F.sum(F.col("__n") * off).alias("s1"), F.sum(F.col("__n") * off * off).alias("s2")
+    )
+    parts = F.collect_list(F.when(F.col("m") > 0, F.struct(bin_center(F.col("__bin")).alias("c"), F.col("m").cast("double").alias("m"), "s1", "s2")))
+    rows = bins.groupBy(*keys).agg(F.sum("n").alias("n"), parts.alias("__p"))
+    add = lambda f: F.aggregate("__p", F.lit(0.0), lambda a, p: a + f(p))
+    rows = rows.withColumn("__m", add(lambda p: p["m"])).withColumn("mean", F.try_divide(add(lambda p: p["m"] * p["c"] + p["s1"]), F.col("__m")))
+
+    def around(p: Column) -> Column:
+        gap = p["c"] - F.col("mean")
+        return p["s2"] + 2 * gap * p["s1"] + p["m"] * gap * gap
+
+    spread = F.when(F.col("__m") > 0, F.sqrt(F.greatest(F.lit(0.0), add(around) / F.col("__m"))))
+    return rows.withColumn("std", spread).select(*keys, "n", "mean", "std")
+
+
+def median_of_counts(counted: DataFrame, keys: Sequence[str], name: str = "median") -> DataFrame:
+    """Exact median per key of values counted by (keys, ``__bin``, ``__value``) in ``__n``."""
+    keys = list(keys)
     per_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
     # one row per key and bin
     bins = (

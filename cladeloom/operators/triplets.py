@@ -80,7 +80,7 @@ def _resolved(pa, pb, pc, ab, ac, bc) -> Column:
     return F.struct(
         F.when(present, topo).alias("topo"),
         F.when(present, F.when(topo.isNotNull(), by_depth)).alias("bl"),
-        F.when(~present, F.lit("Missing taxa")).when(topo.isNull(), F.lit("Unresolved rooted triplet")).alias("problem"),
+        F.when(~present, F.lit("planned taxa are absent")).when(topo.isNull(), F.lit("the tree leaves the triplet open")).alias("problem"),
     )
 
 
@@ -132,6 +132,35 @@ def planned_triplets(df: DataFrame, tree: str, plan: str, carry: list[str]) -> D
     return _finish(resolved, carry)
 
 
+def any_triplets(df: DataFrame, tree: str, taxa: str, plan: str, carry: list[str]) -> DataFrame:
+    """The triplets of each row's ``plan``, or all triplets of its ``taxa`` where the plan is NULL; trees are read once."""
+    n, t, whole = F.size("__taxa"), F.col("__tree"), F.col("__plan").isNull()
+    numbers = lambda a, b: F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    position = lambda x: F.array_position(t["taxa"], x).cast("int")
+    kept = [*carry, "__tree", "__plan", "__taxa"]
+    rows = df.select(*carry, F.col(tree).alias("__tree"), F.col(plan).alias("__plan"), F.array_sort(taxa).alias("__taxa"))
+    # a row with a plan passes the first two generators as one row
+    rows = rows.select(*kept, F.explode(F.when(whole, numbers(F.lit(1), n - 2)).otherwise(F.array(F.lit(1)))).alias("__i"))
+    rows = rows.select(*kept, "__i", F.explode(F.when(whole, numbers(F.col("__i") + 1, n - 1)).otherwise(F.array(F.lit(2)))).alias("__j"))
+    rows = rows.withColumn("__a", F.element_at("__taxa", F.col("__i"))).withColumn("__b", F.element_at("__taxa", F.col("__j")))
+    rows = rows.withColumn("__pa", position(F.col("__a"))).withColumn("__pb", position(F.col("__b")))
+    rows = rows.withColumn("__ab", F.when(whole, nw.pair_mrca(t, F.col("__pa"), F.col("__pb"))))
+    third = F.transform(
+        numbers(F.col("__j") + 1, n), lambda k: F.struct(F.col("__a").alias("taxon_a"), F.col("__b").alias("taxon_b"), F.element_at("__taxa", k).alias("taxon_c"))
+    )
+    rows = rows.select(*carry, "__tree", "__plan", "__pa", "__pb", "__ab", F.explode(F.when(whole, third).otherwise(F.col("__plan"))).alias("__p"))
+    rows = rows.select(
+        *carry, "__tree", "__plan", "__ab", "__p.*",
+        F.when(whole, F.col("__pa")).otherwise(position(F.col("__p.taxon_a"))).alias("__pa"),
+        F.when(whole, F.col("__pb")).otherwise(position(F.col("__p.taxon_b"))).alias("__pb"),
+        position(F.col("__p.taxon_c")).alias("__pc"),
+    )
+    pa, pb, pc = F.col("__pa"), F.col("__pb"), F.col("__pc")
+    rows = rows.withColumn("__ab", F.when(whole, F.col("__ab")).otherwise(nw.pair_mrca(t, pa, pb)))
+    rows = rows.withColumn("__ac", nw.pair_mrca(t, pa, pc)).withColumn("__bc", nw.pair_mrca(t, pb, pc))
+    return _finish(rows.withColumn("__r", _resolved(pa, pb, pc, F.col("__ab"), F.col("__ac"), F.col("__bc"))), carry)
+
+
 def _finish(resolved: DataFrame, carry: list[str]) -> DataFrame:
     return resolved.select(
         *carry, "taxon_a", "taxon_b", "taxon_c",
@@ -163,7 +192,7 @@ def capped_plan(df: DataFrame, key: str, taxa: str, cap: str | Column, seed: str
 
     capped = late_where(base, ~whole).withColumn(
         "__cap",
-        F.when(F.col("__cap") * 3 < n, F.raise_error(F.lit("triplets_per_simulation is too small to cover every taxon")).cast("bigint"))
+        F.when(F.col("__cap") * 3 < n, F.raise_error(F.lit("the cap leaves taxa without a triplet")).cast("bigint"))
         .otherwise(F.col("__cap")),
     )
     shuffled = capped.withColumn(

@@ -49,7 +49,7 @@ def with_weights(features: DataFrame, mode: str, predictions: DataFrame | None =
         )
         joined = features.drop(*wanted).join(slim, KEY, "left")
         problem = F.when(F.col("__copies") > 1, "Predictions repeat a feature row").when(
-            F.expr(" OR ".join(f"{c} IS NULL" for c in wanted)), "Predictions do not cover every feature row"
+            F.expr(" OR ".join(f"{c} IS NULL" for c in wanted)), "feature rows without a prediction"
         )
         stop = F.raise_error(F.concat_ws(": ", problem, *KEY))
         features = joined.withColumn(wanted[0], F.when(problem.isNotNull(), stop).otherwise(F.col(wanted[0]))).drop("__copies")

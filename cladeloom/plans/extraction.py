@@ -8,14 +8,32 @@ from pyspark.sql import functions as F
 from ..functions import newick as nw
 from ..operators import features as ft
 from ..operators import triplets as tp
-from ..operators.plan_tools import late_where
 
 # Manifest columns that a feature row repeats when the manifest has them.
-METADATA = (
-    "experiment_id backbone_id backbone_shape backbone_shape_class backbone_newick donor recipient direction "
-    "gamma ils_length gene_tree_count replicate scenario_group seed taxon_set_id tree_size "
-    "triplets_per_simulation backbone_balance_score backbone_balance_bin pair_type perturbation perturbation_level"
-).split()
+METADATA = [
+    "experiment_id",
+    "backbone_id",
+    "backbone_shape",
+    "backbone_shape_class",
+    "backbone_newick",
+    "donor",
+    "recipient",
+    "direction",
+    "gamma",
+    "ils_length",
+    "gene_tree_count",
+    "replicate",
+    "scenario_group",
+    "seed",
+    "taxon_set_id",
+    "tree_size",
+    "triplets_per_simulation",
+    "backbone_balance_score",
+    "backbone_balance_bin",
+    "pair_type",
+    "perturbation",
+    "perturbation_level",
+]
 
 
 def prepare_manifest(manifest: DataFrame) -> DataFrame:
@@ -23,7 +41,7 @@ def prepare_manifest(manifest: DataFrame) -> DataFrame:
     parsed = nw.with_tree(manifest, "backbone_newick", "btree")
     problem = F.coalesce(
         F.col("btree_error"), nw.leaf_guard(F.col("btree")),
-        F.when(~nw.is_binary(F.col("btree")), F.lit("Backbone must be rooted and binary")),
+        F.when(~nw.is_binary(F.col("btree")), F.lit("the backbone is not a rooted binary tree")),
     )
     return parsed.withColumn(
         "taxa",
@@ -40,54 +58,35 @@ def observe(trees: DataFrame, prepared: DataFrame) -> DataFrame:
     holds only the plan; whether it is broadcast is left to its size at run time.
     """
     side = prepared.select("simulation_id", F.col("gene_tree_count").cast("bigint").alias("gene_tree_count"), "taxa")
-    n = F.size("taxa").cast("bigint")
-    capped = "triplets_per_simulation" in prepared.columns
-    if capped:
-        cap = F.col("triplets_per_simulation").cast("bigint")
-        is_capped = cap.isNotNull() & (cap < (n * (n - 1) * (n - 2) / 6))
-        whole = late_where(prepared, ~F.coalesce(is_capped, F.lit(False))).select(*side.columns)
-        limited = late_where(prepared, is_capped)
-    else:
-        whole, limited = side, None
-
-    def readable(part: DataFrame) -> DataFrame:
-        joined = nw.with_tree(trees.select("simulation_id", "newick").join(part, "simulation_id"), "newick")
-        problem = ft.tree_problem(F.col("tree"), F.col("tree_error"), F.col("taxa"))
-        checked = F.when(problem.isNotNull(), F.raise_error(F.concat_ws(": ", F.col("simulation_id"), problem))).otherwise(
-            F.col("tree")
-        )
-        return joined.withColumn("tree", checked)
-
-    carry = ["simulation_id", "gene_tree_count"]
-    rows = tp.tree_triplets(readable(whole), "tree", carry, taxa="taxa")
-    if limited is not None:
+    plan = F.lit(None).cast("array<struct<taxon_a:string,taxon_b:string,taxon_c:string>>")
+    if "triplets_per_simulation" in prepared.columns:
         seed = F.col("seed") if "seed" in prepared.columns else F.lit(0)
-        plan = tp.capped_plan(limited.withColumn("__seed0", seed), "simulation_id", "taxa", "triplets_per_simulation", "__seed0")
-        # at most the cap, or C(n, 3), entries per simulation
-        plans = plan.groupBy("simulation_id").agg(F.collect_list(F.struct("taxon_a", "taxon_b", "taxon_c")).alias("plan"))
-        part = limited.select(*side.columns).join(plans, "simulation_id")
-        rows = rows.unionByName(tp.planned_triplets(readable(part), "tree", "plan", carry))
+        n, cap = F.size("taxa").cast("bigint"), F.col("triplets_per_simulation").cast("bigint")
+        limited = prepared.where(cap.isNotNull() & (cap < n * (n - 1) * (n - 2) / 6)).withColumn("__seed0", seed)
+        drawn = tp.capped_plan(limited, "simulation_id", "taxa", "triplets_per_simulation", "__seed0")
+        # at most the cap of a simulation
+        drawn = drawn.groupBy("simulation_id").agg(F.collect_list(F.struct("taxon_a", "taxon_b", "taxon_c")).alias("plan"))
+        side = side.join(drawn, "simulation_id", "left")
+    else:
+        side = side.withColumn("plan", plan)
+    # one read and one parse of the trees: whoever has no plan takes all triplets
+    joined = nw.with_tree(trees.select("simulation_id", "newick").join(side, "simulation_id"), "newick")
+    problem = ft.tree_problem(F.col("tree"), F.col("tree_error"), F.col("taxa"))
+    checked = F.when(problem.isNotNull(), F.raise_error(F.concat_ws(": ", F.col("simulation_id"), problem))).otherwise(F.col("tree"))
+    rows = tp.any_triplets(joined.withColumn("tree", checked), "tree", "taxa", "plan", ["simulation_id", "gene_tree_count"])
     stop = F.raise_error(F.concat_ws(": ", F.col("simulation_id"), F.col("problem"), F.col("triplet_id")))
     return rows.withColumn("topo", F.when(F.col("problem").isNotNull(), stop).otherwise(F.col("topo"))).drop("problem")
 
 
-def extract_features(trees: DataFrame, manifest: DataFrame, largest: int | None = None) -> DataFrame:
+def extract_features(trees: DataFrame, manifest: DataFrame, spread: bool = False) -> DataFrame:
     """One feature row per simulation and triplet, with manifest metadata and the backbone's label.
 
-    The number of trees per simulation comes from the manifest and is enforced, so it bounds each triplet's
-    group: simulations up to PLAIN_MEDIAN_TREES go through one aggregation, larger ones through medians that
-    split a group over tasks. ``largest`` is the largest gene_tree_count; by default one aggregate over that
-    manifest column looks it up, so a second pass over the trees is planned only when it is needed.
+    The number of trees of a simulation comes from the manifest and is enforced, so it bounds each triplet's group.
+    ``spread`` asks for the plan that splits a group over tasks, for simulations of many millions of trees; the
+    caller decides, nothing looks at the data while the job is planned.
     """
-    if largest is None:
-        largest = manifest.agg(F.max("gene_tree_count")).first()[0] or 0
     prepared = prepare_manifest(manifest)
-    small = F.col("gene_tree_count") <= ft.PLAIN_MEDIAN_TREES
-    split = largest > ft.PLAIN_MEDIAN_TREES
-    rows = ft.summarize(observe(trees, prepared.where(small) if split else prepared), bounded=True, extra=["gene_tree_count"])
-    if split:
-        large = ft.summarize(observe(trees, prepared.where(~small)), bounded=False, extra=["gene_tree_count"])
-        rows = rows.unionByName(large.select(*rows.columns))
+    rows = ft.summarize(observe(trees, prepared), extra=["gene_tree_count"], spread=spread)
     seen = F.col("n0") + F.col("n1") + F.col("n2")
     stop = F.raise_error(
         F.format_string("%s: expected %d gene trees, found %d", F.col("simulation_id"), F.col("gene_tree_count"), seen)

@@ -83,14 +83,20 @@ def cover_problems(manifest: DataFrame, output: DataFrame, key: str = "simulatio
     return both.where((F.col("expected") != 1) | (F.col("found") != 1))
 
 
-def upsert_records(existing: DataFrame, current: DataFrame, key: str = "simulation_id", status: str = "status") -> DataFrame:
-    """Run records merged by key: the current one wins unless it only says ``skipped_existing``.
+def upsert_records(existing: DataFrame, current: DataFrame, key: str = "simulation_id", status: str = "status", order: str | None = None) -> DataFrame:
+    """Run records merged by key: the last current one wins unless it only says ``skipped_existing``.
 
-    One aggregation; ``max`` over (precedence, record) keeps the winner.
+    ``order`` names the column of both sides that says which record is later. Without it, several current records
+    of a key have no order, and the job stops. One aggregation; ``max_by`` over (precedence, order) keeps the winner.
     """
     columns = existing.columns
     old = existing.withColumn("__rank", F.lit(1))
     new = current.select(*columns).withColumn("__rank", F.when(F.col(status) == "skipped_existing", 0).otherwise(2))
-    best = F.max(F.struct("__rank", *[c for c in columns if c != key]))
-    merged = old.unionByName(new).groupBy(key).agg(best.alias("__b"))
+    both = old.unionByName(new)
+    later = F.struct("__rank", F.col(order)) if order else F.struct("__rank")
+    best = F.max_by(F.struct(*[c for c in columns if c != key]), later)
+    merged = both.groupBy(key).agg(best.alias("__b"), F.count(F.when(F.col("__rank") == 2, 1)).alias("__many"))
+    if order is None:
+        stop = F.raise_error(F.concat(F.lit("several current records and no order column: "), F.col(key).cast("string")))
+        merged = merged.withColumn("__b", F.when(F.col("__many") > 1, stop).otherwise(F.col("__b")))
     return merged.select(*[F.col(key) if c == key else F.col(f"__b.{c}").alias(c) for c in columns])

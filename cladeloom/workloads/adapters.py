@@ -167,19 +167,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the files have fewer splits than that; otherwise unchanged.
-
-    Parsing is work for the processor, and a small table comes as a single split.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def derive(spark: SparkSession, sf_dir: str, maker, name: str) -> DataFrame:
     source = table(spark, sf_dir, name)
     if maker in (gene_trees_sql, tree_pairs_sql):
-        source = spread(source.select("event_id", "user_id", "event_type", "value"))
+        # a row becomes a tree whose parsing is work for the processor, so rows are dealt evenly whatever the files are like
+        source = source.select("event_id", "user_id", "event_type", "value").repartition("event_id")
     return spark.sql(maker(SPARK, "{source}"), source=source)
 
 

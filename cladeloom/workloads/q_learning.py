@@ -115,7 +115,7 @@ FOLDS = 5
 
 @query("balanced_folds", f"""WITH s AS (SELECT user_id, count(*) AS rows, user_id % 3 AS stratum FROM events GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY rows DESC, md5('11|' || user_id), user_id) - 1 AS k FROM s)
-SELECT user_id, stratum::bigint AS stratum, rows, (CASE WHEN (k // {FOLDS}) % 2 = 0 THEN k % {FOLDS} ELSE {FOLDS - 1} - k % {FOLDS} END + 1)::bigint AS fold FROM r""")
+SELECT user_id, stratum::bigint AS stratum, rows, ((k + (SELECT count(*) FROM s WHERE s.stratum < r.stratum)) % {FOLDS} + 1)::bigint AS fold FROM r""")
 def balanced_folds(spark, sf):
     rows = ad.table(spark, sf, "events").select("user_id", (F.col("user_id") % 3).alias("stratum_id"))
     return fd.group_folds(rows, "user_id", FOLDS, 11, "stratum_id").select("user_id", big("stratum").alias("stratum"), "rows", big("fold").alias("fold"))

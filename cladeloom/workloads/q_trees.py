@@ -19,21 +19,21 @@ def relation(source: str, key: str, text: str, p: str = "") -> str:
     """DuckDB CTEs that turn Newick text into nodes, leaves and their containment."""
     return f"""
 {p}src AS ({source}),
-{p}tk AS (SELECT id, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS pos FROM
+{p}tk AS MATERIALIZED (SELECT id, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS pos FROM
   (SELECT {key} AS id, regexp_extract_all({text}, '[(),]|:[^(),;]+|[^(),:;]+') AS toks FROM {p}src)),
-{p}wk AS (SELECT *, sum(CASE tok WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER w AS dep,
+{p}wk AS MATERIALIZED (SELECT *, sum(CASE tok WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER w AS dep,
   lag(tok) OVER w AS prv, lead(tok) OVER w AS nxt FROM {p}tk WINDOW w AS (PARTITION BY id ORDER BY pos)),
 {p}nodes AS (SELECT o.id, o.pos AS opos, o.dep, min(c.pos) AS cpos FROM {p}wk o JOIN {p}wk c
   ON c.id = o.id AND c.tok = ')' AND c.dep = o.dep - 1 AND c.pos > o.pos WHERE o.tok = '(' GROUP BY ALL),
-{p}noden AS (SELECT n.*, CASE WHEN w.nxt LIKE ':%' THEN cast(substr(w.nxt, 2) AS DOUBLE) END AS len
+{p}noden AS MATERIALIZED (SELECT n.*, CASE WHEN w.nxt LIKE ':%' THEN cast(substr(w.nxt, 2) AS DOUBLE) END AS len
   FROM {p}nodes n JOIN {p}wk w ON w.id = n.id AND w.pos = n.cpos),
-{p}leaves AS (SELECT id, pos, tok AS taxon, dep FROM {p}wk
+{p}leaves AS MATERIALIZED (SELECT id, pos, tok AS taxon, dep FROM {p}wk
   WHERE tok NOT IN ('(', ')', ',') AND tok NOT LIKE ':%' AND prv IN ('(', ',')),
-{p}ins AS (SELECT n.id, n.opos, n.cpos, n.dep, l.taxon, l.pos FROM {p}nodes n JOIN {p}leaves l
+{p}ins AS MATERIALIZED (SELECT n.id, n.opos, n.cpos, n.dep, l.taxon, l.pos FROM {p}nodes n JOIN {p}leaves l
   ON l.id = n.id AND l.pos > n.opos AND l.pos < n.cpos),
-{p}dist AS (SELECT a.id, a.opos, a.cpos, a.dep, coalesce(sum(b.len) FILTER (b.dep > 1), 0) AS rd FROM {p}noden a JOIN {p}noden b
+{p}dist AS MATERIALIZED (SELECT a.id, a.opos, a.cpos, a.dep, coalesce(sum(b.len) FILTER (b.dep > 1), 0) AS rd FROM {p}noden a JOIN {p}noden b
   ON a.id = b.id AND b.opos <= a.opos AND b.cpos >= a.cpos GROUP BY ALL),
-{p}pairs AS (SELECT x.id, x.taxon AS a, y.taxon AS b, max(x.dep) AS dep, max_by(d.rd, x.dep) AS rd FROM {p}ins x
+{p}pairs AS MATERIALIZED (SELECT x.id, x.taxon AS a, y.taxon AS b, max(x.dep) AS dep, max_by(d.rd, x.dep) AS rd FROM {p}ins x
   JOIN {p}ins y ON x.id = y.id AND x.opos = y.opos AND x.taxon < y.taxon
   JOIN {p}dist d ON d.id = x.id AND d.opos = x.opos GROUP BY ALL),
 {p}trip AS (SELECT ab.id, ab.a, ab.b, ac.b AS c,
@@ -77,7 +77,7 @@ def newick_parse(spark, sf):
 
 @query("newick_errors", f"""
 WITH p AS ({PAIRS}) SELECT event_id, CASE WHEN len(replace(inferred_newick, '(', '')) <> len(replace(inferred_newick, ')', ''))
-  THEN 'Unbalanced parentheses' END AS problem FROM p""")
+  THEN 'parentheses do not match' END AS problem FROM p""")
 def newick_errors(spark, sf):
     return ad.tree_pairs(spark, sf).select("event_id", nw.newick_error(F.col("inferred_newick")).alias("problem"))
 
@@ -184,7 +184,7 @@ def triplet_topology(spark, sf):
 
 
 @query("triplet_problems", RELP + """
-SELECT id AS event_id, a || ',' || b || ',' || c AS triplet_id, CASE WHEN topo IS NULL THEN 'Unresolved rooted triplet' END AS problem
+SELECT id AS event_id, a || ',' || b || ',' || c AS triplet_id, CASE WHEN topo IS NULL THEN 'the tree leaves the triplet open' END AS problem
 FROM trip""")
 def triplet_problems(spark, sf):
     rows = tp.tree_triplets(parsed(spark, sf, True), "tree", ["event_id"])

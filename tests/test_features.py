@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cladeloom.functions import newick as nw
 from cladeloom.operators import comparison as cmp
+from cladeloom.operators import features as ft
 from cladeloom.operators import folds as fd
 from cladeloom.operators import metrics as mt
 from cladeloom.operators import ranking as rk
@@ -76,61 +77,105 @@ def test_row_numbers_match_a_plain_window(spark):
     assert wrong.count() == 0
 
 
+SEVEN = "(((t1:2,t2:2):0.5,t3:2.5):1.5,((t4:1,t5:1):2,(t6:1.25,t7:1.25):1.75):1);"
+
+
 def manifest(spark, **extra):
-    rows = [{"simulation_id": "s1", "backbone_newick": "(((A:1,B:1):0.1,(C:1,D:1):0.1):0.1,(E:1.1,F:1.1):0.1);", "gene_tree_count": 3, "seed": 7, **extra}]
-    return spark.createDataFrame(rows)
+    return spark.createDataFrame([{"simulation_id": "run", "backbone_newick": SEVEN, "gene_tree_count": 4, "seed": 11, **extra}])
+
 
+def copies(spark, count, text=SEVEN):
+    return spark.createDataFrame([("run", text)] * count, "simulation_id string, newick string")
 
-def test_feature_rows_of_the_backbone_itself(spark):
-    text = "(((A:1,B:1):0.1,(C:1,D:1):0.1):0.1,(E:1.1,F:1.1):0.1);"
-    trees = spark.createDataFrame([("s1", text)] * 3, "simulation_id string, newick string")
-    rows = ex.extract_features(trees, manifest(spark)).collect()
-    assert len(rows) == 20
+
+def test_identical_gene_trees_agree_with_their_backbone(spark):
+    rows = ex.extract_features(copies(spark, 4), manifest(spark)).collect()
+    assert len(rows) == math.comb(7, 3)
     for r in rows:
-        assert r[f"p{r.label}"] == 1.0 and r[f"n{r.label}"] == 3
-        other = (r.label + 1) % 3
-        assert r[f"mean_bl{other}"] is None and r[f"std_bl{r.label}"] == 0.0
-    with pytest.raises(Exception, match="expected 3 gene trees, found 4"):
-        ex.extract_features(trees.union(trees.limit(1)), manifest(spark)).collect()
-    bad = trees.union(spark.createDataFrame([("s1", "((A:1,B:1,C:1):1,(D:1,E:1):1,F:1);")], trees.schema))
-    with pytest.raises(Exception, match="Unresolved"):
-        ex.extract_features(bad, manifest(spark)).collect()
-
-
-def test_capped_plan_covers_taxa(spark):
-    text = "(((A:1,B:1):0.1,(C:1,D:1):0.1):0.1,(E:1.1,F:1.1):0.1);"
-    trees = spark.createDataFrame([("s1", text)] * 3, "simulation_id string, newick string")
-    rows = ex.extract_features(trees, manifest(spark, triplets_per_simulation=5)).collect()
-    assert len(rows) == 5 and {x for r in rows for x in (r.taxon_a, r.taxon_b, r.taxon_c)} == set("ABCDEF")
-
-
-def test_weight_modes(spark):
-    features = spark.createDataFrame([("s", "A,B,C")], "simulation_id string, triplet_id string")
-    given_ = spark.createDataFrame([("s", "A,B,C", 0.2, 0.7, 0.1)], "simulation_id string, triplet_id string, prob0 double, prob1 double, prob2 double")
-    get = lambda mode: [wt.with_weights(features, mode, given_).first()[f"weight{k}"] for k in range(3)]
-    assert get("ml-soft") == [0.2, 0.7, 0.1] and get("ml-hard") == [0.0, 1.0, 0.0] and get("ml-confidence") == [0.0, 0.7, 0.0]
-    with pytest.raises(Exception, match="cover every"):
-        wt.with_weights(features, "ml-soft", given_.limit(0)).collect()
-    with pytest.raises(Exception, match="repeat"):
-        wt.with_weights(features, "ml-soft", given_.union(given_)).collect()
-
-
-def test_folds_are_balanced_within_strata(spark):
-    frame = spark.createDataFrame([(f"b{s}_{i}", f"s{s}") for s in range(6) for i in range(10)], "backbone_id string, shape string")
-    cells = fd.group_folds(frame, "backbone_id", 5, 123, "shape").groupBy("fold", "stratum").count().collect()
-    assert len(cells) == 30 and all(c["count"] == 2 for c in cells)
-    with pytest.raises(Exception, match="at least 11"):
-        fd.group_folds(frame, "backbone_id", 11, 123, "shape").collect()
-
-
-def test_temperature_and_bins(spark):
-    frame = spark.createDataFrame([(0, 0.8, 0.1, 0.1), (1, 0.7, 0.2, 0.1), (2, 0.6, 0.2, 0.2)], "label int, prob0 double, prob1 double, prob2 double")
+        counts = [r.n0, r.n1, r.n2]
+        assert counts.pop(r.label) == 4 and counts == [0, 0]
+        assert r[f"median_bl{r.label}"] == r[f"mean_bl{r.label}"] > 0 and r[f"std_bl{r.label}"] == 0.0
+        assert all(r[f"{stat}_bl{k}"] is None for k in range(3) if k != r.label for stat in ("mean", "median", "std"))
+
+
+@pytest.mark.parametrize("extra", [1, 3])
+def test_a_wrong_number_of_trees_stops(spark, extra):
+    with pytest.raises(Exception, match=f"expected 4 gene trees, found {4 + extra}"):
+        ex.extract_features(copies(spark, 4 + extra), manifest(spark)).collect()
+
+
+def test_an_open_triplet_stops(spark):
+    trees = copies(spark, 3).union(copies(spark, 1, SEVEN.replace("(t1:2,t2:2):0.5,t3:2.5", "t1:2,t2:2,t3:2.5")))
+    with pytest.raises(Exception, match="run: the tree leaves the triplet open"):
+        ex.extract_features(trees, manifest(spark)).collect()
+
+
+def test_trees_are_read_once_with_and_without_a_cap(spark, tmp_path):
+    (tmp_path / "run.tre").write_text("\n".join([SEVEN] * 4))
+    trees = spark.read.text(str(tmp_path)).select(F.lit("run").alias("simulation_id"), F.col("value").alias("newick"))
+    for plan in (manifest(spark), manifest(spark, triplets_per_simulation=9)):
+        rows = ex.extract_features(trees, plan)
+        rows.collect()
+        final = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "isFinalPlan=true" in final and final.count("FileScan text") == 1
+    assert len({t for r in rows.collect() for t in (r.taxon_a, r.taxon_b, r.taxon_c)}) == 7 and rows.count() == 9
+
+
+def test_lengths_spread_over_any_group(spark):
+    """Moments and medians against the standard library, with lengths of very different size."""
+    draw = random.Random(5)
+    values = {(k, s): [draw.choice([1e-3, 1.0, 1e5]) + draw.random() / 8 for _ in range(draw.randrange(1, 60))] for k in range(3) for s in ("a", "b")}
+    flat = [(s, "X,Y,Z", "X", "Y", "Z", k, v) for (k, s), held in values.items() for v in held for _ in range(2)]
+    frame = spark.createDataFrame(flat, "simulation_id string, triplet_id string, taxon_a string, taxon_b string, taxon_c string, topo int, bl double")
+    for r in ft.summarize(frame).collect() + ft.summarize(frame, spread=False).collect():
+        for k in range(3):
+            held = values[k, r.simulation_id]
+            assert r[f"n{k}"] == 2 * len(held) and math.isclose(r[f"mean_bl{k}"], statistics.fmean(held), rel_tol=1e-12)
+            assert math.isclose(r[f"median_bl{k}"], statistics.median(held), rel_tol=1e-12)
+            assert math.isclose(r[f"std_bl{k}"], statistics.pstdev(held), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_weights_of_given_probabilities(spark):
+    features = spark.createDataFrame([("r", "P,Q,R")], "simulation_id string, triplet_id string")
+    table = spark.createDataFrame([("r", "P,Q,R", 0.5, 0.125, 0.375)], "simulation_id string, triplet_id string, prob0 double, prob1 double, prob2 double")
+    weights = {m: [wt.with_weights(features, m, table).first()[f"weight{k}"] for k in range(3)] for m in ("ml-soft", "ml-hard", "ml-confidence")}
+    assert weights == {"ml-soft": [0.5, 0.125, 0.375], "ml-hard": [1.0, 0.0, 0.0], "ml-confidence": [0.5, 0.0, 0.0]}
+    for wrong, complaint in ((table.where("prob0 > 1"), "without a prediction"), (table.unionAll(table), "repeat")):
+        with pytest.raises(Exception, match=complaint):
+            wt.with_weights(features, "ml-soft", wrong).collect()
+
+
+def test_remainders_of_strata_go_round_the_folds(spark):
+    groups = [(f"g{s}_{i}", f"s{s}") for s in range(20) for i in range(6) for _ in range(1 + i % 2)]
+    placed = fd.group_folds(spark.createDataFrame(groups, "g string, s string"), "g", 5, 9, "s").toPandas()
+    assert placed.groupby("fold").size().tolist() == [24] * 5
+    inside = placed.groupby(["stratum", "fold"]).size().unstack(fill_value=0)
+    assert (inside.max(axis=1) - inside.min(axis=1)).max() == 1
+    with pytest.raises(Exception, match="at least 7"):
+        fd.group_folds(spark.createDataFrame(groups, "g string, s string"), "g", 7, 9, "s").collect()
+
+
+def test_quoted_labels(spark):
+    frame = spark.createDataFrame([(1, "('it''s',B);"), (2, "('a b':1,\"c,(d\":2);"), (3, "('x'y,B);"), (4, "((A,B),'C');"), (5, "('open,B);")], "i int, t string")
+    rows = {r.i: r for r in nw.with_tree(frame, "t", "p").withColumn("e", nw.newick_error(F.col("t"))).collect()}
+    assert rows[1].p_error == rows[1].e == rows[3].e == nw.AFTER_QUOTE and rows[1].p is None
+    assert rows[2].p.taxa == ["a b", "c,(d"] and rows[4].p.taxa == ["A", "B", "C"] and rows[5].e is not None and rows[5].p_error == rows[5].e
+
+
+def test_temperature_keeps_probabilities(spark):
+    frame = spark.createDataFrame([(k, *p) for k, p in [(2, (0.1, 0.3, 0.6)), (0, (0.5, 0.2, 0.3)), (1, (0.45, 0.35, 0.2))]], "label int, prob0 double, prob1 double, prob2 double")
     t = mt.fit_temperature(frame, "prob").first()["temperature"]
-    total = frame.select(sum(mt.scaled(mt.prob(), t), F.lit(0.0)).alias("s")).collect()
-    assert t > 0 and all(abs(r.s - 1) < 1e-12 for r in total)
-    confidence = spark.createDataFrame([(0.3,), (0.6,), (0.7,), (1.0,)], "c double")
-    rows = confidence.select(mt.edge_bin(F.col("c")).alias("e"), mt.floor_bin(F.col("c")).alias("f")).collect()
-    assert [(r.e, r.f) for r in rows] == [(3, 4), (6, 7), (7, 8), (10, 10)]
+    sums = [r[0] for r in frame.select(sum(mt.scaled(mt.prob(), t), F.lit(0.0))).collect()]
+    assert t > 0 and np.allclose(sums, 1.0, atol=1e-12)
+    edges = spark.createDataFrame([(x / 20,) for x in range(1, 21)], "c double").select(mt.edge_bin(F.col("c")), mt.floor_bin(F.col("c"))).collect()
+    assert all(1 <= a <= 10 and a <= b <= a + 1 for a, b in edges)
+
+
+def test_repeated_ids_stop_a_comparison(spark):
+    rows = spark.createDataFrame([("p", "true", 0.0), ("q", "false", 0.5), ("q", "false", 0.5)], "simulation_id string, exact_match string, normalized_rooted_rf double")
+    assert cmp.checked_method(rows.distinct(), "m").count() == 2
+    with pytest.raises(Exception, match="m: q: repeated simulation_id"):
+        cmp.checked_method(rows, "m").collect()
 
 
 def test_signed_rank_tail_by_enumeration(spark):
