@@ -42,8 +42,8 @@ class Settings:
     block: int = 256  # nodes compared with each other at the start
     rounds: int = 7
     settled: float = 0.01  # share of list entries that still change when rounds end
-    beam: int = 128
-    step: int = 16  # nodes of a beam expanded in one hop
+    beam: int = 256
+    step: int = 32  # nodes of a beam expanded in one hop
     entries: int = 32
 
 
