@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import newick as nw
 from ..operators import features as ft
 from ..operators import triplets as tp
+from ..session import cut_lineage
 
 # Manifest columns that a feature row repeats when the manifest has them.
 METADATA = [
@@ -86,6 +87,8 @@ def extract_features(trees: DataFrame, manifest: DataFrame, spread: bool = False
     caller decides, nothing looks at the data while the job is planned.
     """
     prepared = prepare_manifest(manifest)
+    if "triplets_per_simulation" in manifest.columns:
+        prepared = cut_lineage(prepared)  # a row per simulation, read by every step of the capped plan
     rows = ft.summarize(observe(trees, prepared), extra=["gene_tree_count"], spread=spread)
     seen = F.col("n0") + F.col("n1") + F.col("n2")
     stop = F.raise_error(

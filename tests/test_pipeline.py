@@ -1,23 +1,24 @@
 import os
 
-from pyspark.sql import functions as F
-
 from cladeloom.operators import design as ds
 from cladeloom.plans import pipeline
 from cladeloom.sources import tables
 from cladeloom.streaming import incremental
 
-from test_design import PILOT
+#: Six backbones of six taxa, listed here.
+PLAN = {
+    "experiment_id": "plan", "taxa": ["t1", "t2", "t3", "t4", "t5", "t6"], "backbone_strategy": "explicit", "pendant_base": 1.0, "gene_flow_height": 0.25,
+    "backbone_topologies": [
+        "(((t1,t2),t3),(t4,(t5,t6)))", "((t1,(t2,(t3,t4))),(t5,t6))", "(((((t1,t2),t3),t4),t5),t6)", "((t1,t6),((t2,t5),(t3,t4)))", "(t3,((t1,t2),((t4,t5),t6)))", "(((t6,t5),(t4,t3)),(t2,t1))",
+    ],
+    "backbone_assignment": "cross_product", "ils_levels": [0.05], "gammas": [0.0], "gene_tree_counts": [3], "replicates": 1, "base_seed": 3,
+}
 
 
 def test_from_manifest_to_evaluation(spark, tmp_path):
     """One simulation per backbone whose gene trees all equal the backbone: everything is recovered."""
     at = lambda name: str(tmp_path / name)
-    full = ds.make_manifest(spark, PILOT)
-    rows = full.where((F.col("gamma") == 0) & (F.col("ils_length") == 0.05)).dropDuplicates(["backbone_id"]).withColumn("gene_tree_count", F.lit(3))
-    more = full.where(F.col("gamma") > 0).dropDuplicates(["backbone_id"]).withColumn("gene_tree_count", F.lit(3))
-    manifest = rows.unionByName(more).dropDuplicates(["backbone_id"])
-    manifest.write.parquet(at("manifest"))
+    ds.make_manifest(spark, PLAN).write.parquet(at("manifest"))
     manifest = spark.read.parquet(at("manifest"))
     planned = manifest.collect()
     assert len(planned) >= 4
