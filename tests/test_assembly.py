@@ -77,7 +77,7 @@ def test_exact_refuses_more_than_twelve_taxa(spark):
     rows = [("s", f"a{i:02d}", f"a{i + 1:02d}", f"a{i + 2:02d}", 1.0, 0.0, 0.0) for i in range(12)]
     frame = spark.createDataFrame(rows, "simulation_id string, taxon_a string, taxon_b string, taxon_c string, weight0 double, weight1 double, weight2 double")
     row = asm.assemble(frame, "exact").collect()[0]
-    assert row.assembly_status == "failed" and "at most 12 taxa" in row.assembly_error
+    assert row.assembly_status == "failed" and "up to 12 taxa" in row.assembly_error
     assert asm.assemble(frame, "fm").collect()[0].assembly_status == "completed"
 
 
