@@ -209,35 +209,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts.mapInArrow(_sign_rows(settings), "id bigint, n_shingles bigint, digest binary, sign array<smallint>, keys array<bigint>"), "signed"
     )
     filled = signed.where("n_shingles > 0")
-    chosen = filled.groupBy("id").agg(F.min(F.struct("digest", "n_shingles")).alias("set")).select("id", "set.digest", "set.n_shingles")
+    chosen = filled.groupBy("id").agg(F.min(F.struct("digest", "n_shingles")).alias("set"), F.count("*").alias("rows")).select("id", "set.digest", "set.n_shingles", "rows")
     chosen = stored(chosen, "chosen")
     classes = chosen.groupBy("digest", "n_shingles").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
     # only classes of several ids are looked up again
     several = classes.where("copies > 1").select("digest", "n_shingles", "class_id")
     membership = stored(
-        chosen.join(several, ["digest", "n_shingles"], "left").select("id", "digest", F.coalesce("class_id", "id").alias("class_id")), "classes"
+        chosen.join(several, ["digest", "n_shingles"], "left").select("id", "digest", "rows", F.coalesce("class_id", "id").alias("class_id")), "classes"
     )
-    firsts = filled.join(membership.where("id = class_id"), ["id", "digest"], "left_semi").dropDuplicates(["id"])
+    # all rows but the few that don't stand for a class as they are stay where they were read
+    special = stored(membership.where("id <> class_id OR rows > 1").select("id"), "special")
+    repeated = stored(membership.where("id = class_id AND rows > 1").select("id", "digest"), "repeated")
+    firsts = filled.join(special, "id", "left_anti").unionByName(filled.join(repeated, ["id", "digest"], "left_semi").dropDuplicates(["id"]))
     keyed = firsts.select("id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     held = stored(keyed.join(shared, "key"), "keys")
     company = held.groupBy("id").agg(F.sum("held").alias("company"))
-    held = stored(held.select("key", "id").join(company, "id"), "company")
+    held = stored(held.join(company, "id").select("key", "id", "held", "company"), "company")
     turn = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("company"), "id"))
     hubs = stored(held.select("key", F.col("id").alias("hub"), turn.alias("turn")).where(F.col("turn") <= settings.rounds), "hubs")
     met = held.select("id").distinct()
     signs = stored(firsts.join(met, "id", "left_semi").select("id", "digest", "sign", "n_shingles"), "signs")
-    sets = texts.join(signs.select("id"), "id", "left_semi").mapInArrow(_shingle_rows(settings.words), "id bigint, digest binary, shingles array<bigint>")
-    sets = stored(sets.join(signs.select("id", "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id"]).select("id", "shingles"), "sets")
     placed = held.select("key", "id", F.col("id").alias("component"))
-    labels = None
+    # full sets are needed of classes close to a hub, and of those that meet other classes than the hubs under a key
+    wanted = held.where(F.col("held") > settings.rounds + 1).select("id")
+    close = []
     for turn in range(1, settings.rounds + 1):
-        own = placed.select("key", F.col("id").alias("hub"), F.col("component").alias("hub_component"))
-        told = hubs.where(F.col("turn") == turn).select("key", "hub").join(own, ["key", "hub"])
-        apart = placed.join(told, "key").where("component <> hub_component")
-        close = apart.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
-        labels = _contract(labels, _confirmed(_close(close, signs, settings), sets, settings))
-        placed = _open(placed, labels)
+        apart = held.select("key", "id").join(hubs.where(F.col("turn") == turn).select("key", "hub"), "key").where("id <> hub")
+        pairs = apart.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
+        close.append(stored(_close(pairs, signs, settings), "close"))
+        wanted = wanted.unionAll(close[-1].select("u")).unionAll(close[-1].select("v"))
+    wanted = stored(signs.select("id", "digest").join(wanted.distinct(), "id", "left_semi"), "wanted")
+    sets = texts.join(wanted.select("id"), "id", "left_semi").mapInArrow(_shingle_rows(settings.words), "id bigint, digest binary, shingles array<bigint>")
+    sets = stored(sets.join(wanted, ["id", "digest"], "left_semi").dropDuplicates(["id"]).select("id", "shingles"), "sets")
+    labels = None
+    for turn, pairs in enumerate(close, 1):
+        if labels is not None:
+            pairs = _between(pairs, labels)
+        labels = _contract(labels, _confirmed(pairs, sets, settings))
+    placed = _open(placed, labels, settings.rounds + 1)
     labels = _contract(labels, _confirmed(_left_apart(placed, hubs, sets, settings), sets, settings))
     final = membership.join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select(
         "id", F.coalesce("component", "class_id").alias("component_id")
@@ -275,9 +285,18 @@ def _contract(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(moved.unionAll(merged.join(labels.select("node"), "node", "left_anti").select("node", "component")), "labels")
 
 
-def _open(placed: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows, with their components as they are now, of the keys that still hold several components."""
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose two classes aren't in one component yet."""
+    told = pairs.join(labels.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(
+        labels.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left"
+    )
+    return told.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+
+
+def _open(placed: DataFrame, labels: DataFrame, compared: int) -> DataFrame:
+    """Rows, with their components as they are now, of the keys that still hold several components. In a key of no more
+    than ``compared`` classes the hubs have met everyone."""
     now = placed.select("key", "id").join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
     now = now.select("key", "id", F.coalesce("component", "id").alias("component"))
-    several = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    return stored(now.join(several, "key", "left_semi"), "open")
+    several = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+    return stored(now.join(several.where((F.col("low") != F.col("high")) & (F.col("n") > compared)).select("key"), "key", "left_semi"), "open")
