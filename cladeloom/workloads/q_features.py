@@ -103,6 +103,28 @@ def enhanced17_features(spark, sf):
     )
 
 
+@query("extract_spread", f"{TRIPLES} SELECT {KEYED}, n0, n1, n2, label::bigint AS label, {rounded(ft.feature_columns('enhanced'))} FROM feats")
+def extract_spread(spark, sf):
+    """The same features by the plan that splits a triplet's lengths over tasks."""
+    rows = ex.extract_features(ad.gene_trees(spark, sf), ad.backbones(spark, sf), spread=True)
+    return rows.select(
+        "simulation_id", "triplet_id", "n0", "n1", "n2", big("label").alias("label"), *[r6(c).alias(c) for c in ft.feature_columns("enhanced")]
+    )
+
+
+@query("extract_capped", f"""SELECT simulation_id, CASE WHEN gene_tree_count % 2 = 0 THEN 7 ELSE 20 END::bigint AS triplets, 6::bigint AS taxa,
+gene_tree_count::bigint AS fewest, gene_tree_count::bigint AS most FROM ({BACKBONES})""")
+def extract_capped(spark, sf):
+    """Simulations with an even number of trees keep seven triplets, the others have no cap; every taxon is covered."""
+    cap = F.when(F.col("gene_tree_count") % 2 == 0, 7)
+    rows = ex.extract_features(ad.gene_trees(spark, sf), ad.backbones(spark, sf).withColumn("triplets_per_simulation", cap))
+    seen = F.col("n0") + F.col("n1") + F.col("n2")
+    counted = rows.groupBy("simulation_id").agg(
+        F.count(F.lit(1)).alias("triplets"), F.size(F.array_distinct(F.flatten(F.collect_set(F.array(*ft.TAXA))))).alias("taxa"), F.min(seen).alias("fewest"), F.max(seen).alias("most")
+    )
+    return counted.select("simulation_id", "triplets", big("taxa").alias("taxa"), big("fewest").alias("fewest"), big("most").alias("most"))
+
+
 @query("tree_count_guard", f"""WITH m AS (SELECT simulation_id, gene_tree_count + (hash32 % 3) - 1 AS expected, gene_tree_count FROM
   (SELECT *, {ad.DUCK.hash32('simulation_id', "'plan'")} AS hash32 FROM ({BACKBONES})))
 SELECT simulation_id, expected::bigint AS expected, gene_tree_count::bigint AS found FROM m WHERE expected <> gene_tree_count""")
