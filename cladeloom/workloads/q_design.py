@@ -61,6 +61,12 @@ def balanced_selection_12(spark, sf):
     return ds.select_balanced(grid(spark, sf), 12, 9, exact_seed=False).select("simulation_id")
 
 
+@query("balanced_selection_3")
+def balanced_selection_3(spark, sf):
+    """Three runs per backbone: blocks are chosen so that two margins stay level at once, so there is no SQL statement."""
+    return ds.select_balanced(grid(spark, sf), 3, 9, exact_seed=False).select("backbone_id", "simulation_id", "analysis_selection_rank")
+
+
 @query("balanced_selection_greedy")
 def balanced_selection_greedy(spark, sf):
     """Five runs per backbone: one choice depends on the last, so there is no SQL statement."""

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,8 @@ from cladeloom.functions import topology as topo
 from cladeloom.functions.hashing import deterministic_seed
 from cladeloom.operators import design as ds
 from cladeloom.sources import nexus, tables
+from cladeloom.workloads import q_design
+from cladeloom.workloads.registry import QUERIES
 
 # The published seeds of two ids under base seed 20260828.
 SEEDS = {
@@ -66,6 +69,40 @@ def test_grid_and_balanced_subsets(spark, tmp_path):
     assert seven.groupby("backbone_id").scenario_group.nunique().eq(7).all()
 
 
+def test_three_runs_level_tree_counts_and_pair_types(spark):
+    manifest = q_design.grid(spark, "/root/testdata/sf0.001").withColumn("tree_size", F.abs(F.hash("backbone_id")) % 9 + 4)
+    three = ds.select_balanced(manifest, 3, 9, exact_seed=False).toPandas()
+    assert three.groupby("backbone_id").size().eq(3).all()
+    for rows, factor in ((three, "gene_tree_count"), (three[three.gamma > 0], "pair_type")):
+        counts = rows.groupby(["tree_size", factor]).size().unstack(fill_value=0)
+        assert (counts.max(axis=1) - counts.min(axis=1)).max() <= 1
+    assert three.groupby("backbone_id").gene_tree_count.nunique().eq(3).all() and three[three.gamma > 0].groupby("backbone_id").pair_type.nunique().eq(2).all()
+    found = QUERIES["balanced_selection_3"](spark, "/root/testdata/sf0.001").toPandas()
+    assert found.simulation_id.is_unique and found.groupby("backbone_id").size().eq(3).all()
+
+
+def test_blocks_are_as_level_as_a_full_search_gets_them():
+    draw = random.Random(4)
+    for number in (2, 3, 5, 6, 8):
+        sizes = [0] * 12
+        for _ in range(number):
+            sizes[draw.choice(range(0, 12, draw.choice([1, 3])))] += 1
+        sums = {(0,) * 7}
+        for o, n in enumerate(sizes):
+            for _ in range(n):
+                # what each block leaves out: a tree count, a pair type
+                sums = {tuple(v + (k in ((o + 3 - b) % 4, 4 + (o + 2 + 2 * b) % 3)) for k, v in enumerate(s)) for s in sums for b in range(4)}
+        dealt = ds.deal_blocks(sizes)
+        assert (dealt >= 0).all() and dealt.sum(axis=1).tolist() == sizes
+        left = [0] * 7
+        for o in range(12):
+            for b in range(4):
+                left[(o + 3 - b) % 4] += int(dealt[o, b])
+                left[4 + (o + 2 + 2 * b) % 3] += int(dealt[o, b])
+        ranges = lambda s: (max(s[:4]) - min(s[:4]), max(s[4:]) - min(s[4:]))
+        assert ranges(left) == min(map(ranges, sums))
+
+
 def test_too_few_topologies_stop(spark):
     cfg = design(taxon_counts=[3], backbones_per_taxon_count=4)
     with pytest.raises(Exception, match="only 3 topologies"):
