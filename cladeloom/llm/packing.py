@@ -4,10 +4,11 @@ A solution is a set of bins. Crossover copies well-filled bins of one parent int
 hold the same pieces, and puts the displaced pieces back by best fit, largest first. Mutation empties some of the
 least filled bins. Solutions are ranked by the number of bins, then by the sum of squared fills.
 
-Pieces are dealt by a hash into blocks of about ``block_pieces``. Every block is evolved on several islands, a row per
+Pieces are dealt by a hash into blocks of about ``block_pieces``, or of more if they are so short that a block would fill
+fewer than ``block_bins`` sequences (at most ``1.5 * block_bins * capacity`` pieces then). Every block is evolved on several islands, a row per
 (block, island); after each epoch an island gets the elite of the next island of its block by a join. The
-emptiest bins of all blocks are then dissolved, their pieces dealt into fewer blocks and evolved again, until one
-block is left, so a block's own remainder isn't lost. Pieces that fill a sequence alone take no part in this.
+emptiest bins of all blocks are then dissolved, their pieces dealt into at most half as many blocks and evolved again,
+until one block is left, so a block's own remainder isn't lost. Pieces that fill a sequence alone take no part in this.
 
 Rules for unusual rows: a NULL text is an empty document, one end token. Repeated rows, and rows with a NULL id, are
 documents of their own. Only documents longer than a sequence are cut. An empty table packs into nothing.
@@ -40,6 +41,7 @@ PIECE = "uid bigint, doc_id bigint, piece int, start bigint, length bigint, ids_
 class Settings:
     capacity: int = 4096
     block_pieces: int = 2048
+    block_bins: int = 32  # a block fills at least so many sequences, if there are several blocks
     islands: int = 2
     epochs: int = 2
     generations: int = 12  # in each epoch
@@ -234,9 +236,15 @@ def _lay_out(settings: Settings, level: int, last: bool):
     return run
 
 
-def _level(pieces: DataFrame, count: int, level: int, settings: Settings) -> tuple[DataFrame, bool]:
-    """Places of ``pieces(uid, length)`` after one round over all blocks, and whether it was the last round."""
-    blocks = max(1, round(count / settings.block_pieces))
+def block_count(count: int, tokens: int, settings: Settings, before: int | None = None) -> int:
+    """Blocks for ``count`` pieces of ``tokens`` in all: each many pieces and many sequences, so that the share of a
+    block's sequences that is dissolved stays small; at most half as many as ``before``, so that rounds end."""
+    blocks = min(round(count / settings.block_pieces), round(tokens / (settings.block_bins * settings.capacity)))
+    return max(1, blocks if before is None else min(blocks, before // 2))
+
+
+def _level(pieces: DataFrame, blocks: int, level: int, settings: Settings) -> DataFrame:
+    """Places of ``pieces(uid, length)`` after one round over all blocks; nothing is loose after a round over one."""
     # sort_array orders by length, then number: both are reversed for longest first
     dealt = pieces.groupBy(F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("length", "uid")), asc=False).alias("held"))
     dealt = stored(dealt.select("block", F.col("held.uid").alias("uids"), F.col("held.length").alias("lengths")), "blocks")
@@ -253,24 +261,24 @@ def _level(pieces: DataFrame, count: int, level: int, settings: Settings) -> tup
         state = stored(rows.mapInArrow(_evolve_rows(settings, epoch), "block bigint, island int, found array<array<int>>, bins bigint, squares double"), "islands")
     best = state.groupBy("block").agg(F.min_by("found", F.struct("bins", "squares", "island"))[0].alias("places"))
     chosen = dealt.join(best, "block").select("block", "uids", "lengths", "places")
-    last = blocks == 1
-    return stored(chosen.mapInArrow(_lay_out(settings, level, last), "uid bigint, sequence_id bigint, offset bigint, loose boolean"), "places"), last
+    return stored(chosen.mapInArrow(_lay_out(settings, level, blocks == 1), "uid bigint, sequence_id bigint, offset bigint, loose boolean"), "places")
 
 
 def pack(pieces: DataFrame, settings: Settings | None = None) -> DataFrame:
     """``pieces`` (columns of :data:`PIECE`) with ``sequence_id`` and ``offset``."""
     settings = settings or Settings()
-    if settings.block_pieces * 2 > 1 << 24:
+    if max(settings.block_pieces, settings.block_bins * settings.capacity) * 2 > 1 << 24:
         raise ValueError("a block may hold 8 million pieces at most")
     full = pieces.where(F.col("length") == settings.capacity)
     placed = [full.select("uid", (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
     rest = pieces.where(F.col("length") < settings.capacity).select("uid", "length")
-    level, last = 0, False
-    while not last:
-        count = rest.count()
-        if count == 0:
+    level, blocks = 0, None
+    while blocks != 1:
+        left = rest.agg(F.count(F.lit(1)).alias("count"), F.sum("length").alias("tokens")).first()
+        if left["count"] == 0:
             break
-        places, last = _level(rest, count, level, settings)
+        blocks = block_count(left["count"], left["tokens"], settings, blocks)
+        places = _level(rest, blocks, level, settings)
         placed.append(places.where(~F.col("loose")).select("uid", "sequence_id", "offset"))
         rest = pieces.select("uid", "length").join(places.where("loose").select("uid"), "uid", "left_semi")
         level += 1

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from cladeloom.llm.packing import Block, ChunkIds, Settings, pack, pieces_of
+from cladeloom.llm.packing import PIECE, Block, ChunkIds, Settings, block_count, pack, pieces_of
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -61,6 +61,25 @@ def test_evolution_beats_best_fit_where_it_can():
     assert block.cost(block.evolve([])[0])[0] <= block.cost(block.first(0.0))[0]
 
 
+def test_very_short_documents(spark, frame):
+    # 5000 NULL texts are 5000 end tokens: two sequences, reached in one round
+    rows = [r.asDict() for r in pack(pieces_of(frame([(i, None) for i in range(5000)]), PATH)).collect()]
+    assert sorted(r["doc_id"] for r in rows) == list(range(5000)) and valid(rows, 4096) == 2
+    # several blocks, and one-token pieces among longer ones
+    short = spark.range(6000).selectExpr("id AS uid", "id AS doc_id", "0 AS piece", "0L AS start", "IF(id % 5 = 0, 5L + id % 13, 1L) AS length", "0L AS ids_crc32")
+    rows = [r.asDict() for r in pack(short.to(spark.createDataFrame([], PIECE).schema), Settings(capacity=64, block_pieces=128, block_bins=16)).collect()]
+    assert sorted(r["uid"] for r in rows) == list(range(6000))
+    assert valid(rows, 64) <= -(-sum(r["length"] for r in rows) // 64) * 1.01 + 1
+
+
+def test_rounds_end():
+    settings, blocks, rounds = Settings(), None, 0
+    while blocks != 1:  # the worst case: everything comes back
+        blocks, rounds = block_count(10**10, 10**13, settings, blocks), rounds + 1
+    assert rounds < 30
+    assert block_count(4000, 4000, settings) == 1 and block_count(10**6, 10**6, settings) == 8
+
+
 def test_block_bound():
     with pytest.raises(ValueError, match="8 million"):
         pack(None, Settings(block_pieces=1 << 24))
