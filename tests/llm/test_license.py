@@ -1,7 +1,7 @@
 import random
 from itertools import combinations
 
-from cladeloom.llm.license_scan import TEMPLATES, Templates, align, increasing, scan, words_of
+from cladeloom.llm.license_scan import FULL_TEXTS, TEMPLATES, Templates, align, all_forms, increasing, scan, words_of
 
 
 def test_longest_increasing_subsequence():
@@ -52,3 +52,36 @@ def test_unusual_rows(spark, frame, odd):
     rows = scan(frame([*odd, (1, mit), (1, mit), (None, mit)])).collect()
     assert sorted(str(r.id) for r in rows) == ["1", "1", "None"] and {r.license for r in rows} == {"MIT"}
     assert scan(frame([])).count() == 0
+
+
+def test_full_texts_and_headers_by_name():
+    known = Templates(all_forms())
+    for form in all_forms():
+        text = "Some file.\n" + form.text + "\nCopyright somebody."
+        assert {x[0]: x[1] for x in known.scan(text.encode(), 0.8)}.get(form.licence) == 1.0, form.licence
+    for name in FULL_TEXTS:
+        text = max((f.text for f in all_forms() if f.licence == name), key=len)
+        words = text.split()
+        for body in (text, " ".join(words[:20] + ["changed"] + words[21:])):
+            found = {x[0] for x in known.scan(body.encode(), 0.8)}
+            # a text may quote the header of its own family
+            assert name in found and all(f.split("-")[0] == name.split("-")[0] and "later" in f or f == name for f in found), (name, found)
+
+
+def test_near_misses_keep_their_own_name():
+    known = Templates(all_forms())
+    wanted = {
+        "Released under the BSD License.": set(),
+        "This work is licensed under the GNU General Public License, version 2.": {"GPL-2.0-only"},
+        "This work is licensed under the GNU Lesser General Public License, version 3.": set(),
+        "This work is licensed under the GNU Affero General Public License, version 3.": set(),
+        "Licensed under CC BY-SA 4.0.": set(),
+        "Licensed under CC BY-NC-SA 4.0.": set(),
+        "Licensed under CC BY-NC 3.0.": set(),
+        "Licensed under the Apache License, Version 1.1.": set(),
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": set(),
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": {"CC-BY-SA-4.0"},
+        "Released under the BSD License. Other parts are: Released under the MIT License.": {"MIT"},
+    }
+    for text, names in wanted.items():
+        assert {x[0] for x in known.scan(text.encode(), 0.8)} == names, text
