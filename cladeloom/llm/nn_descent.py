@@ -1,8 +1,10 @@
 """Nearest neighbours by inner product: NN-descent builds a graph with Spark joins, queries walk it greedily.
 
 1. Equal vectors are one node (the smallest id, with its first ids kept), so copies can't crowd a neighbourhood.
-   Vectors are divided by the largest norm and get one more component that makes them unit vectors: the largest inner
-   product with a query is then the smallest distance, and the graph is one of a metric space.
+   Vectors are divided by a high quantile of the norms, and those up to it get one more component that makes them unit
+   vectors: the largest inner product with a query is then the smallest distance, and the graph is one of a metric space.
+   A vector is kept as 8-bit components with a scale of its own, so a few long vectors don't flatten the others; distances
+   are taken without the difference of numbers near one. The longest vectors are entries of every search.
 2. First neighbours: nodes next to the same pivots (a bounded sample of nodes) are compared in small blocks.
 3. NN-descent: a node introduces its neighbours, and those that have it as neighbour, to each other (a join of edges with
    vectors, then a shuffle to the introducing node). Pairs that beat the worst neighbour of one of them are merged
@@ -30,6 +32,11 @@ from pyspark.sql import functions as F
 from .common import partitions, stored, union
 
 SCALE = 127.0
+#: Below every score: an inner product, or minus a squared distance.
+NONE = -3e38
+#: Norms are divided by this quantile of them, and stay under LONGEST then.
+RADIUS = 0.99
+LONGEST = 1e9
 
 
 @dataclass(frozen=True)
@@ -70,22 +77,40 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _decoded(raw: bytes | pa.Buffer, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """8-bit components and scales of codes in a row."""
+    cells = np.frombuffer(raw, np.int8).reshape(count, -1)
+    return cells[:, 4:], np.ascontiguousarray(cells[:, :4]).view(np.float32)
+
+
 def _vectors(column: pa.ChunkedArray) -> np.ndarray:
-    raw = b"".join(x.as_py() for x in column)
-    return np.frombuffer(raw, np.int8).reshape(len(column), -1).astype(np.float32) / SCALE
+    cells, scale = _decoded(b"".join(x.as_py() for x in column), len(column))
+    return cells.astype(np.float32) * scale
+
+
+def _nearness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Minus the squared distances of all pairs, with the added components."""
+    m, n = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    p, q = np.minimum(m, 1), np.minimum(n, 1)
+    both = np.sqrt(1 - p)[:, None] + np.sqrt(1 - q)[None, :]
+    apart = (p[:, None] - q[None, :]) / np.where(both > 0, both, 1)  # of the added components
+    return 2 * (a @ b.T) - m[:, None] - n[None, :] - apart * apart
 
 
-def unit_vectors(rows: DataFrame, largest: float) -> DataFrame:
-    """``(node, code, cells)``: 8-bit unit vector with the added component."""
+def unit_vectors(rows: DataFrame, radius: float) -> DataFrame:
+    """``(node, code)``: a scale and 8-bit components of the vector divided by ``radius``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.stack([np.asarray(v, np.float64) for v in batch.column(1).to_pylist()]) / largest
-            rest = np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1, keepdims=True)))
-            codes = np.rint(np.hstack([x, rest]) * SCALE).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], names=["node", "code"])
+            x = np.stack([np.asarray(v, np.float64) for v in batch.column(1).to_pylist()])
+            most = np.abs(x).max(axis=1, keepdims=True)
+            x = x / most
+            length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            scale = (np.minimum(most / radius, LONGEST / length) / SCALE).astype(np.float32)
+            cells = np.rint(x * SCALE).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tobytes() + c.tobytes() for f, c in zip(scale, cells, strict=True)], pa.binary())], names=["node", "code"])
 
     return rows.mapInArrow(run, "node bigint, code binary")
 
@@ -94,8 +119,8 @@ EDGE = "u bigint, v bigint, s float"
 
 
 def _best_in_block(ids: np.ndarray, vectors: np.ndarray, degree: int) -> pa.RecordBatch:
-    scores = vectors @ vectors.T
-    np.fill_diagonal(scores, -2.0)
+    scores = _nearness(vectors, vectors)
+    np.fill_diagonal(scores, NONE)
     keep = min(degree, len(ids) - 1)
     best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep] if keep else np.empty((len(ids), 0), int)
     return pa.RecordBatch.from_arrays(
@@ -108,15 +133,15 @@ def first_neighbours(nodes: DataFrame, settings: Settings) -> DataFrame:
     parts = []
     for number in range(settings.pivot_sets):
         sample = nodes.orderBy(F.xxhash64("node", F.lit(number))).limit(settings.pivots).collect()
-        pivots = np.stack([np.frombuffer(r["code"], np.int8) for r in sample]).astype(np.float32) / SCALE
+        pivots = _vectors(pa.chunked_array([pa.array([bytes(r["code"]) for r in sample], pa.binary())]))
 
         def cell(batches: Iterator[pa.RecordBatch], pivots=pivots) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    near = _vectors(batch.column(1)) @ pivots.T
+                    near = _nearness(_vectors(batch.column(1)), pivots)
                     first = near.argmax(axis=1)
                     strength = near.max(axis=1)
-                    near[np.arange(len(near)), first] = -2.0
+                    near[np.arange(len(near)), first] = NONE
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(first.astype(np.int32)), pa.array(near.argmax(axis=1).astype(np.int32)), pa.array(strength), batch.column(0), batch.column(1)],
                         names=["cell", "next", "strength", "node", "code"],
@@ -192,13 +217,13 @@ def _introduce(settings: Settings):
             if len(ids) < 2 or not fresh.any():
                 continue
             vectors = _vectors(rows["code"])
-            scores = vectors @ vectors.T
+            scores = _nearness(vectors, vectors)
             useful = (fresh[:, None] | fresh[None, :]) & (scores > worst[:, None]) & (ids[:, None] != ids[None, :])
-            scores = np.where(useful, scores, -2.0)
+            scores = np.where(useful, scores, np.float32(NONE))
             top = min(settings.met, len(ids))
             best = np.argpartition(-scores, top - 1, axis=1)[:, :top]
             value = np.take_along_axis(scores, best, 1)
-            good = value > -2.0
+            good = value > np.float32(NONE)
             if good.any():
                 found.append((np.repeat(ids, top)[good.ravel()], ids[best][good], value[good]))
                 count += int(good.sum())
@@ -229,7 +254,7 @@ def build_graph(nodes: DataFrame, settings: Settings) -> DataFrame:
         edges = _edges(graph)
         pairs = edges.select("u", "v", "fresh").unionAll(_sampled_reverse(edges, settings.reverse, turn).select("u", "v", "fresh"))
         pairs = pairs.groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
-        full = graph.select(F.col("node").alias("v"), F.when(F.size("scores") >= settings.degree, F.array_min("scores")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
+        full = graph.select(F.col("node").alias("v"), F.when(F.size("scores") >= settings.degree, F.array_min("scores")).otherwise(F.lit(NONE)).cast("float").alias("worst"))
         known = nodes.select(F.col("node").alias("v"), "code").join(full, "v")
         met = pairs.join(known, "v").repartition(partitions(nodes.sparkSession), "u").sortWithinPartitions("u")
         found = met.select("u", "v", "fresh", "worst", "code").mapInArrow(_introduce(settings), EDGE)
@@ -272,7 +297,8 @@ def _hop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for query, target, worst, near, codes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
             ids = near.values.to_numpy()
             goal = np.frombuffer(target.as_py(), np.float32)
-            scores = np.frombuffer(codes.as_buffer(), np.int8).reshape(len(ids), -1)[:, : len(goal)] @ goal
+            cells, scale = _decoded(codes.as_buffer(), len(ids))
+            scores = (cells @ goal) * scale[:, 0]
             good = scores > worst
             if good.any():
                 out.append((query, None, ids[good], scores[good].astype(np.float32), None))
@@ -312,12 +338,12 @@ def _sent(done: np.ndarray, step: int) -> np.ndarray:
     return after
 
 
-def greedy_search(starts: DataFrame, near: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
-    """Final beams of ``starts(query, vector, node)``; ``node`` may be NULL or a node to start from."""
+def greedy_search(starts: DataFrame, near: DataFrame, nodes: DataFrame, longest: DataFrame, settings: Settings) -> DataFrame:
+    """Final beams of ``starts(query, vector, node)``; ``node`` may be NULL or a node to start from. ``longest`` are nodes by norm."""
     spark = starts.sparkSession
-    entries = nodes.orderBy(F.xxhash64("node", F.lit("entry"))).limit(settings.entries).collect()
-    at = np.array([r["node"] for r in entries], np.int64)
-    codes = np.stack([np.frombuffer(r["code"], np.int8) for r in entries]).astype(np.float32)
+    entries = {r["node"]: bytes(r["code"]) for part in (nodes.orderBy(F.xxhash64("node", F.lit("entry"))), longest) for r in part.limit(settings.entries).collect()}
+    at = np.array(list(entries), np.int64)
+    codes = _vectors(pa.chunked_array([pa.array(list(entries.values()), pa.binary())]))
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,9 +351,9 @@ def greedy_search(starts: DataFrame, near: DataFrame, nodes: DataFrame, settings
             for query, vector, node in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 goal = np.asarray(vector, np.float64)
                 goal = (goal / np.sqrt((goal * goal).sum())).astype(np.float32)
-                ids, scores = at, codes[:, : len(goal)] @ goal
+                ids, scores = at, codes @ goal
                 if node is not None:  # where the walk starts; its score is set so that it is expanded first
-                    ids, scores = np.append(ids[ids != node], node), np.append(scores[ids != node], np.float32(SCALE * 4))
+                    ids, scores = np.append(ids[ids != node], node), np.append(scores[ids != node], np.float32(-NONE))
                 best = np.lexsort((ids, -scores))
                 out.append((query, goal.tobytes(), ids[best], scores[best], np.zeros(len(ids), bool)))
             yield _lists(out, _STATE_NAMES, _STATE_KINDS)
@@ -336,7 +362,7 @@ def greedy_search(starts: DataFrame, near: DataFrame, nodes: DataFrame, settings
     state = stored(starts.select("query", "vector", "node").mapInArrow(begin, STATE), "beams")
     while True:
         open_nodes = F.slice(F.filter(F.arrays_zip("ids", "done"), lambda x: ~x["done"]), 1, settings.step)
-        worst = F.when(F.size("scores") >= settings.beam, F.array_min("scores")).otherwise(F.lit(-1e9)).cast("float")
+        worst = F.when(F.size("scores") >= settings.beam, F.array_min("scores")).otherwise(F.lit(NONE)).cast("float")
         sent = state.select("query", "target", worst.alias("worst"), F.explode(open_nodes.getField("ids")).alias("node"))
         found = sent.join(near, "node").select("query", "target", "worst", "near", "codes").mapInArrow(_hop, STATE)
         dealt = state.unionAll(found).repartition(partitions(spark), "query").sortWithinPartitions("query")
@@ -367,16 +393,18 @@ def nearest(rows: DataFrame, queries: str, count: int = 20, id_col: str = "vec_i
     firsts = vectors.withColumn("turn", turn).where(F.col("turn") <= count + 1)
     classes = stored(firsts.groupBy("vector").agg(F.min("id").alias("node"), F.sort_array(F.collect_list("id")).alias("ids")), "nodes")
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    largest = classes.agg(F.max(norm).alias("m")).first()["m"]
+    # the quantile of the nodes' norms; all are positive
+    radius = classes.agg(F.percentile_approx(norm, F.lit(RADIUS), F.lit(10_000)).alias("m")).first()["m"]
     wanted = vectors.where(queries).select(F.col("id").alias("query"), "vector")
-    if largest is None:
+    if radius is None:
         found = wanted.select("query", F.lit(None).cast("bigint").alias("node"))
     else:
-        nodes = stored(unit_vectors(classes.select("node", "vector"), largest), "codes")
+        nodes = stored(unit_vectors(classes.select("node", "vector"), radius), "codes")
         graph = build_graph(nodes, settings)
         near = search_blocks(graph, nodes, settings)
         starts = wanted.join(classes.select("vector", "node"), "vector", "left").select("query", "vector", "node")
-        beams = greedy_search(starts, near, nodes, settings)
+        longest = nodes.join(classes.select("node", norm.alias("norm")).orderBy(F.desc("norm"), "node").limit(settings.entries), "node").select("node", "code")
+        beams = greedy_search(starts, near, nodes, longest, settings)
         found = beams.select("query", F.explode("ids").alias("node"))
     scored = found.join(classes.select("node", F.col("vector").alias("other"), "ids"), "node").join(wanted, "query")
     product = F.aggregate(F.zip_with("vector", "other", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)

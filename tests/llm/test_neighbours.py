@@ -56,3 +56,16 @@ def test_few_or_no_rows(spark):
     assert [(r.query_id, r["rank"], r.id, r.score) for r in rows] == [(0, 1, 3, 1.0), (0, 2, 20, 0.0), (20, 1, 3, 1.0), (20, 2, 0, 0.0)]
     assert nearest(few.limit(0), "id % 20 = 0", 20).count() == 0
     assert nearest(few.limit(1), "id % 20 = 0", 20).count() == 0
+
+
+def test_one_very_long_vector_does_not_flatten_the_others(spark):
+    draw = np.random.default_rng(8)
+    vectors = draw.normal(size=(3000, 32)) * draw.uniform(0.7, 1.4, size=(3000, 1))
+    vectors[7] *= 1000
+    table = spark.createDataFrame([(i, v.tolist(), 1, "x", "y", "z") for i, v in enumerate(vectors)], SCHEMA)
+    matrix, ids = vectors.astype(np.float32).astype(float), np.arange(3000)
+    found = {}
+    for r in nearest(table, "id % 20 = 0", 20, settings=Settings(beam=64)).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.id)
+    hits = sum(len(set(found[i]) & set(exact(ids, matrix, i, 20))) for i in range(0, 3000, 20))
+    assert hits >= 0.9 * 20 * 150, hits / 3000
