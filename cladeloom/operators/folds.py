@@ -10,12 +10,13 @@ from .plan_tools import attach
 from .ranking import row_numbers
 
 
-def group_folds(df: DataFrame, group: str, folds: int, seed: int, strata: str | None = None) -> DataFrame:
+def group_folds(df: DataFrame, group: str, folds: int, seed: int, strata: str | None = None, turned: bool = True) -> DataFrame:
     """One row per group: group, stratum, rows, fold (1..folds). Whole groups, balanced within each stratum.
 
-    Groups of a stratum are ordered by rows (largest first, ties by hash) and dealt to the folds in turn; the next
-    stratum goes on at the fold where the one before stopped. So the groups per fold differ by at most one, within
-    every stratum and over all of them. A group in two strata or a stratum with fewer groups than folds stops the job.
+    Groups of a stratum are ordered by rows (largest first, ties by hash) and dealt to the folds back and forth: every
+    second full round, counted over all strata, runs backwards, so rows stay level too. The next stratum goes on at the
+    fold where the one before stopped, so the groups per fold differ by at most one, within every stratum and over all
+    of them. Without ``turned`` every round runs forwards and only groups are level. A group in two strata or a stratum with fewer groups than folds stops the job.
     """
     if folds < 2:
         raise ValueError(f"{folds} fold leaves nothing to hold out")
@@ -33,10 +34,14 @@ def group_folds(df: DataFrame, group: str, folds: int, seed: int, strata: str |
     few = F.raise_error(F.format_string(f"Every stratum needs at least {folds} groups; %s has %d", F.col("stratum").cast("string"), F.col("groups")))
     # one row per stratum
     totals = sizes.groupBy("stratum").agg(F.count(F.lit(1)).alias("__groups"))
-    before = F.sum("__groups").over(Window.partitionBy(F.lit(1)).orderBy("stratum").rowsBetween(Window.unboundedPreceding, -1))
-    starts = totals.select("stratum", F.coalesce(before, F.lit(0)).alias("__start"))
+    before = lambda value: F.coalesce(F.sum(value).over(Window.partitionBy(F.lit(1)).orderBy("stratum").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rounds = lambda groups: F.floor(F.col(groups) / folds)
+    starts = totals.select("stratum", before(F.col("__groups")).alias("__start"), before(rounds("__groups")).alias("__rounds"))
     ranked = attach(ranked, starts, ["stratum"])
-    fold = (F.col("__start") + F.col("rank") - 1) % folds + 1
+    turn, place = F.floor((F.col("rank") - 1) / folds), (F.col("rank") - 1) % folds
+    if turned:
+        place = F.when((turn < rounds("groups")) & ((F.col("__rounds") + turn) % 2 == 1), folds - 1 - place).otherwise(place)
+    fold = (F.col("__start") + place) % folds + 1
     return ranked.select(
         group, "stratum", "rows", F.when(F.col("groups") < folds, few.cast("int")).otherwise(fold.cast("int")).alias("fold")
     )

@@ -118,7 +118,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY rows DESC, md5(
 SELECT user_id, stratum::bigint AS stratum, rows, ((k + (SELECT count(*) FROM s WHERE s.stratum < r.stratum)) % {FOLDS} + 1)::bigint AS fold FROM r""")
 def balanced_folds(spark, sf):
     rows = ad.table(spark, sf, "events").select("user_id", (F.col("user_id") % 3).alias("stratum_id"))
-    return fd.group_folds(rows, "user_id", FOLDS, 11, "stratum_id").select("user_id", big("stratum").alias("stratum"), "rows", big("fold").alias("fold"))
+    return fd.group_folds(rows, "user_id", FOLDS, 11, "stratum_id", turned=False).select("user_id", big("stratum").alias("stratum"), "rows", big("fold").alias("fold"))
 
 
 @query("bounded_sample", """SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY md5('5|training-sample|' || user_id || '|' || event_id), event_id) <= 20""")

@@ -155,6 +155,16 @@ def test_remainders_of_strata_go_round_the_folds(spark):
         fd.group_folds(spark.createDataFrame(groups, "g string, s string"), "g", 7, 9, "s").collect()
 
 
+def test_rows_of_folds_stay_level(spark):
+    groups = [(f"g{i}", "s") for i in range(1, 11) for _ in range(i)]
+    placed = fd.group_folds(spark.createDataFrame(groups, "g string, s string"), "g", 5, 9, "s").toPandas()
+    assert placed.groupby("fold").rows.sum().tolist() == [11] * 5
+    # one full round in every stratum: forwards and backwards by turns over the strata
+    groups = [(f"g{s}_{i}", f"s{s}") for s in range(8) for i in range(1, 6) for _ in range(i)]
+    placed = fd.group_folds(spark.createDataFrame(groups, "g string, s string"), "g", 5, 9, "s").toPandas()
+    assert placed.groupby("fold").rows.sum().tolist() == [24] * 5 and placed.groupby(["stratum", "fold"]).size().eq(1).all()
+
+
 def test_quoted_labels(spark):
     frame = spark.createDataFrame([(1, "('it''s',B);"), (2, "('a b':1,\"c,(d\":2);"), (3, "('x'y,B);"), (4, "((A,B),'C');"), (5, "('open,B);")], "i int, t string")
     rows = {r.i: r for r in nw.with_tree(frame, "t", "p").withColumn("e", nw.newick_error(F.col("t"))).collect()}
