@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .q_chat import op9_chat_format
+from .q_codes import OP13_SQL, op13_laesa_codes
 from .q_language import op1_language_id
 from .q_license import op6_license_scan
 from .q_near import OP3_SQL, op3_near_dedup
@@ -28,10 +29,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_chat_format": op9_chat_format,
     "op10_nn_descent": op10_nn_descent,
+    "op13_laesa_codes": op13_laesa_codes,
 }
 ORACLES: dict[str, str] = {
     "op2_bm25_search": OP2_SQL,
     "op3_near_dedup": OP3_SQL,
     "op4_warc": OP4_SQL,
     "op7_substring_dedup": OP7_SQL,
+    "op13_laesa_codes": OP13_SQL,
 }
