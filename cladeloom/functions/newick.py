@@ -123,6 +123,12 @@ def _detail(body: Column) -> Column:
 
 
 AFTER_QUOTE = "text follows a quoted label"
+UNBALANCED = "parentheses do not match"
+#: Everything :func:`newick_error` can say.
+PROBLEMS = [
+    "a quoted label has no end", "text follows the statement", "a comma or a closing parenthesis is missing", "a colon without a branch length",
+    "a branch length is not a number", "a leaf has no label", AFTER_QUOTE, UNBALANCED,
+]
 _QUOTE_LEFT = r"[(,)]\s*(?:'[^']*|\"[^\"]*)$"
 
 
@@ -145,17 +151,18 @@ def newick_error(text: Column) -> Column:
             lambda s: s["outside"] | (s["depth"] != 0),
         )
         return F.when(body.rlike(_MISPLACED) | body.rlike(_QUOTE_LEFT), _detail(body)).when(
-            walk, F.lit("parentheses do not match")
+            walk, F.lit(UNBALANCED)
         )
 
     return F.when(text.isNull(), F.lit("a leaf has no label")).when(text.rlike(_AFTER_QUOTE), F.lit(AFTER_QUOTE)).otherwise(let(statement_body(text), check))
 
 
-def with_tree(df: DataFrame, text: str | Column, name: str = "tree") -> DataFrame:
+def with_tree(df: DataFrame, text: str | Column, name: str = "tree", written: bool = False) -> DataFrame:
     """Add ``name`` and ``name_error`` for a statement.
 
     ``name`` is a struct: taxa and leaf_depths (text order), joins (depth, dist), opens, missing_lengths. An
-    unreadable statement gives NULL and says why in ``name_error``.
+    unreadable statement gives NULL and says why in ``name_error``. With ``written`` the struct also keeps what only
+    :func:`to_newick` needs: the leaves' own lengths, and label and length of every node that closes after a leaf.
     """
     source = F.col(text) if isinstance(text, str) else text
     body, parts, walk = f"__{name}_body", f"__{name}_parts", f"__{name}_walk"
@@ -171,6 +178,13 @@ def with_tree(df: DataFrame, text: str | Column, name: str = "tree") -> DataFram
             ).otherwise(F.array().cast("array<double>")).alias("closes"),
         ),
     )
+    node = lambda c: F.struct(
+        show_quoted(F.trim(F.regexp_extract(c, r"^\)([^:(),]*)", 1))).alias("label"), F.regexp_extract(c, r":([^(),]*)", 1).try_cast("double").alias("length")
+    )
+    text_parts = F.transform(F.split(F.col(body), ","), lambda p: F.struct(
+        F.regexp_extract(p, r"^[\s(]*[^:()]*:([^()]*)", 1).try_cast("double").alias("length"),
+        F.transform(F.regexp_extract_all(p, F.lit(r"\)[^()]*"), F.lit(0)), node).alias("closes"),
+    ))
     start = F.struct(
         F.array().cast("array<double>").alias("path"),
         F.array().cast("array<struct<depth:int,dist:double>>").alias("joins"),
@@ -217,6 +231,7 @@ def with_tree(df: DataFrame, text: str | Column, name: str = "tree") -> DataFram
         w["leaf_depths"].alias("leaf_depths"), joins.alias("joins"), opens.alias("opens"),
         # closes followed by another token before any length; nothing follows the root's
         F.regexp_count(b, F.lit(r"\)[^:(),]*(?=[(),])")).alias("missing_lengths"),
+        *([text_parts.alias("parts")] if written else []),
     )
     local = F.when(b.isNull(), F.lit("a leaf has no label")).when(source.rlike(_AFTER_QUOTE), F.lit(AFTER_QUOTE)).when(
         b.rlike(_MISPLACED) | (b.rlike("['\"]") & b.rlike(_QUOTE_LEFT)), _detail(b)
@@ -229,50 +244,137 @@ def with_tree(df: DataFrame, text: str | Column, name: str = "tree") -> DataFram
         .withColumn(name, F.when(F.col(f"{name}_error").isNull() & balanced, tree))
         .withColumn(
             f"{name}_error",
-            F.coalesce(F.col(f"{name}_error"), F.when(F.col(name).isNull(), F.lit("parentheses do not match"))),
+            F.coalesce(F.col(f"{name}_error"), F.when(F.col(name).isNull(), F.lit(UNBALANCED))),
         )
         .drop(body, parts, walk)
     )
 
 
+def number_text(value: Column) -> Column:
+    """A double with ten significant digits, without trailing zeros: plain from 1e-4 to below 1e10, else with an exponent.
+
+    The shortest decimal that stands for the double is rounded, half up.
+    """
+
+    def shown(parts: Column) -> Column:
+        digits, power = F.replace(parts[0], F.lit("."), F.lit("")), parts[1].cast("int")
+        bare = lambda text: F.regexp_replace(text, r"\.?0+$", "")
+        plain = F.when(power >= 0, F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2))).otherwise(
+            F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        )
+        # a number without a fraction ends in the point
+        plain = F.when(plain.endswith("."), F.regexp_replace(plain, r"\.$", "")).otherwise(bare(plain))
+        return F.when((power >= -4) & (power < 10), plain).otherwise(F.concat(bare(parts[0]), F.lit("e"), parts[1]))
+
+    sign = F.when(value < 0, "-").otherwise("")
+    return F.when(value == 0, "0").otherwise(F.concat(sign, let(F.split(F.format_string("%.9e", F.abs(value)), "e"), shown)))
+
+
+def _label_text(label: Column) -> Column:
+    """A label, quoted if it holds punctuation or blanks."""
+    return F.when(~label.rlike(r"[(),:;\[\]\s'\"]"), label).when(~label.contains("'"), F.concat(F.lit("'"), label, F.lit("'"))).otherwise(F.concat(F.lit('"'), label, F.lit('"')))
+
+
+def to_newick(tree: Column, include_lengths: bool = True) -> Column:
+    """The statement of a tree that :func:`with_tree` parsed with ``written``, node labels and lengths included.
+
+    Leaves are in text order; what opens and closes around a leaf follows from its depth and those of the joins beside it.
+    """
+    length = lambda x: F.when(x.isNotNull(), F.concat(F.lit(":"), number_text(x))).otherwise("") if include_lengths else F.lit("")
+    depth = lambda i: F.coalesce(F.get(tree["joins"], i)["depth"], F.lit(0))
+
+    def leaf(label: Column, i: Column) -> Column:
+        part = F.get(tree["parts"], i)
+        closes = F.transform(part["closes"], lambda c: F.concat(F.lit(")"), _label_text(c["label"]), length(c["length"])))
+        opens = F.get(tree["leaf_depths"], i) - F.when(i > 0, depth(i - 1)).otherwise(0)
+        return F.concat(F.repeat(F.lit("("), opens), _label_text(label), length(part["length"]), F.array_join(closes, ""))
+
+    return F.concat(F.array_join(F.transform(tree["taxa"], leaf), ","), F.lit(";"))
+
+
 def leaf_guard(tree: Column) -> Column:
     """NULL when all leaves are distinct, else the complaint."""
     return F.when(F.size(F.array_distinct(tree["taxa"])) != F.size(tree["taxa"]), F.lit("a label occurs twice in the tree"))
 
 
 def pair_mrca(tree: Column, first: Column, second: Column) -> Column:
-    """Struct (depth, dist) of the MRCA of the leaves at two 1-based positions."""
+    """Struct (depth, dist) of the MRCA of the leaves at two 1-based positions, for a few pairs of a tree.
+
+    Many pairs of one tree take :func:`with_ranges`.
+    """
     low = F.least(first, second)
     return F.array_min(F.slice(tree["joins"], low, F.greatest(first, second) - low))
 
 
-def node_spans(tree: Column) -> Column:
-    """Distinct internal nodes with two or more children as (first, last) leaf positions."""
-    n = F.size(tree["taxa"])
-    depths = F.transform(tree["joins"], lambda j: j["depth"])
+def with_ranges(df: DataFrame, tree: str = "tree", name: str = "ranges") -> DataFrame:
+    """Adds ``name``, with which :func:`range_mrca` finds the MRCA of any two leaves in constant time.
+
+    ``minima[k][i]`` is the shallowest of the 2**k joins from i on, ``steps[m - 1]`` the largest such k and 2**k for a run of m
+    joins: any run is covered by two overlapping ones. O(n log n) entries, made once a tree.
+    """
+    joins, n = F.col(tree)["joins"], F.size(F.col(tree)["joins"])
+    steps = F.transform(
+        F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
+        lambda m: let(F.length(F.bin(m)) - 1, lambda k: F.struct(k.alias("level"), F.call_function("shiftleft", F.lit(1), k).alias("width"))),
+    )
+    highest = F.length(F.bin(n)) - 1
 
-    def span(depth: Column, index: Column) -> Column:
-        before = F.reverse(F.slice(depths, F.lit(1), index))
-        after = F.slice(depths, index + 2, F.greatest(n - 2 - index, F.lit(0)))
-        # number of joins on each side that are not shallower than this one
-        left = _run(before, depth)
-        right = _run(after, depth)
-        return F.struct((index - left + 1).alias("first"), (index + 2 + right).alias("last"))
+    def grow(levels: Column, k: Column) -> Column:
+        half = F.call_function("shiftleft", F.lit(1), k - 1)
+        wider = lambda last: F.transform(
+            F.slice(last, F.lit(1), F.size(last) - half), lambda low, i: F.least(low, F.get(last, i + half))
+        )
+        return F.concat(levels, F.array(let(F.element_at(levels, -1), wider)))
 
-    return F.array_distinct(F.transform(depths, span))
+    minima = F.aggregate(F.when(highest > 0, F.sequence(F.lit(1), highest)).otherwise(F.array().cast("array<int>")), F.array(joins), grow)
+    return df.withColumn(name, F.when(F.col(tree).isNotNull(), F.struct(steps.alias("steps"), minima.alias("minima"))))
 
 
-def colless(tree: Column) -> Column:
-    """Sum over internal nodes of the difference in leaf count of the two children; for binary trees."""
-    n = F.size(tree["taxa"])
+def range_mrca(ranges: Column, first: Column, second: Column) -> Column:
+    """Struct (depth, dist) of the MRCA of the leaves at two 1-based positions: NULL if one is 0 or NULL, empty if they are equal."""
+    low, high = F.least(first, second), F.greatest(first, second)
+    step = F.get(ranges["steps"], high - low - 1)
+    row = F.get(ranges["minima"], step["level"])
+    same = F.struct(F.lit(None).cast("int").alias("depth"), F.lit(None).cast("double").alias("dist"))
+    found = F.least(F.get(row, low - 1), F.get(row, high - 1 - step["width"]))
+    return F.when(low > 0, F.when(high > low, found).when(high == low, same))
+
+
+def _spans(tree: Column) -> Column:
+    """For each join, how many joins left and right of it in a row are not shallower, in one pass to each side.
+
+    A stack holds the joins that are still waiting for a shallower one, by place and depth.
+    """
     depths = F.transform(tree["joins"], lambda j: j["depth"])
 
-    def imbalance(depth: Column, index: Column) -> Column:
-        left = _run(F.reverse(F.slice(depths, F.lit(1), index)), depth)
-        right = _run(F.slice(depths, index + 2, F.greatest(n - 2 - index, F.lit(0))), depth)
-        return F.abs(left - right)
+    def reach(values: Column) -> Column:
+        """Places between each value and the nearest smaller one before it."""
+        start = F.struct(
+            F.array().cast("array<struct<at:int,depth:int>>").alias("stack"), F.array().cast("array<int>").alias("out"), F.lit(0).alias("at")
+        )
+
+        def step(s: Column, depth: Column) -> Column:
+            # depths grow along the stack, so those that are not smaller are its end
+            lower = F.filter(s["stack"], lambda x: x["depth"] < depth)
+            return let(lower, lambda kept: F.struct(
+                F.concat(kept, F.array(F.struct(s["at"].alias("at"), depth.alias("depth")))).alias("stack"),
+                F.concat(s["out"], F.array(s["at"] - F.coalesce(F.element_at(F.when(F.size(kept) > 0, kept), -1)["at"], F.lit(-1)) - 1)).alias("out"),
+                (s["at"] + 1).alias("at"),
+            ))
 
-    return F.aggregate(F.transform(depths, imbalance), F.lit(0), lambda total, x: total + x)
+        return F.aggregate(values, start, step, lambda s: s["out"])
+
+    return F.arrays_zip(reach(depths).alias("left"), F.reverse(reach(F.reverse(depths))).alias("right"))
+
+
+def node_spans(tree: Column) -> Column:
+    """Distinct internal nodes with two or more children as (first, last) leaf positions."""
+    return F.array_distinct(F.transform(_spans(tree), lambda s, i: F.struct((i - s["left"] + 1).alias("first"), (i + 2 + s["right"]).alias("last"))))
+
+
+def colless(tree: Column) -> Column:
+    """Sum over internal nodes of the difference in leaf count of the two children; for binary trees."""
+    return F.aggregate(_spans(tree), F.lit(0), lambda total, s: total + F.abs(s["left"] - s["right"]))
 
 
 def normalized_colless(tree: Column) -> Column:
@@ -281,18 +383,11 @@ def normalized_colless(tree: Column) -> Column:
     return F.when(most > 0, colless(tree) / most).otherwise(F.lit(0.0))
 
 
-def path_distance(tree: Column, first: Column, second: Column) -> Column:
-    """Number of edges between the leaves at two 1-based positions."""
+def path_distance(tree: Column, first: Column, second: Column, ranges: Column | None = None) -> Column:
+    """Number of edges between the leaves at two 1-based positions; with ``ranges`` in constant time."""
     depth = lambda i: F.element_at(tree["leaf_depths"], i)
-    return depth(first) + depth(second) - 2 * (pair_mrca(tree, first, second)["depth"] - 1)
-
-
-def _run(depths: Column, floor: Column) -> Column:
-    """Length of the leading run of values that are at least ``floor``."""
-    return F.coalesce(
-        F.array_position(F.transform(depths, lambda d: d < floor), True).cast("int") - 1,
-        F.lit(0),
-    ) + F.when(F.exists(depths, lambda d: d < floor), F.lit(0)).otherwise(F.size(depths) + 1)
+    node = pair_mrca(tree, first, second) if ranges is None else range_mrca(ranges, first, second)
+    return depth(first) + depth(second) - 2 * (node["depth"] - 1)
 
 
 def clades(tree: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.hashing import md5_int
 from .evaluation import rate
 from .plan_tools import attach
-from .ranking import grouped_median, row_numbers, value_bin  # noqa: F401
+from .ranking import grouped_median, value_bin
 
 # The normal quantile of a 95 % interval, and the taxon-count regimes (lower bounds excluded).
 Z95 = 1.959963984540054
@@ -129,27 +129,78 @@ def paired_scenarios(reference: DataFrame, baseline: DataFrame) -> DataFrame:
     )
 
 
+#: Distribution function of the number of times a cluster is drawn, up to the precision of a double.
+POISSON = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(13)]
+
+
+def multiplicity(seed: int, cluster: Column, repetition: Column) -> Column:
+    """How often a cluster is drawn in a repetition: a Poisson number of mean one, by the hash of both."""
+    share = (md5_int(F.lit(str(seed)), repetition.cast("string"), cluster.cast("string")) + F.lit(0.5)) / F.lit(4294967296.0)
+    times = F.lit(0)
+    for bound in POISSON:
+        times = times + (share >= F.lit(bound)).cast("int")
+    return times
+
+
 def bootstrap_interval(df: DataFrame, cluster: str, value: str, repetitions: int, seed: int) -> DataFrame:
     """2.5 and 97.5 % points of the ratio estimate when whole clusters are drawn with replacement.
 
-    Clusters are numbered; every (repetition, place) takes the cluster with the number its hash names. Only
-    sums and counts of clusters are resampled, and draws are summed per repetition before the shuffle.
+    Every cluster draws its own number of copies in each repetition, so no draw has to look up another cluster: a task adds
+    up its clusters per repetition, and the shuffle carries one pair of sums per repetition and task whatever the number of
+    clusters. Copies are Poisson numbers: the usual form for distributed data, whose resamples hold as many clusters as there are
+    only on average. A repetition that draws no cluster has no estimate.
     """
     clusters = df.groupBy(cluster).agg(F.sum(value).alias("total"), F.count(value).alias("size"))
-    key = F.md5(F.col(cluster).cast("string"))
-    numbered = row_numbers(clusters, [], [F.substring(key, 1, 3)], [key, F.col(cluster)], "number", total="clusters")
-    draws = numbered.select(
-        (F.col("number") - 1).alias("place"), "clusters", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("repetition")
-    ).select(
-        "repetition",
-        (md5_int(F.lit(str(seed)), F.col("repetition").cast("string"), F.col("place").cast("string")) % F.col("clusters") + 1).alias("number"),
+    draws = clusters.select(cluster, "total", "size", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("repetition"))
+    times = multiplicity(seed, F.col(cluster), F.col("repetition"))
+    drawn = draws.select("repetition", (F.col("total") * times).alias("total"), (F.col("size") * times).alias("size"))
+    estimates = drawn.groupBy("repetition").agg(F.sum("total").alias("total"), F.sum("size").alias("size")).where("size > 0")
+    points = F.percentile(F.col("total") / F.col("size"), F.array(F.lit(0.025), F.lit(0.975)))
+    return estimates.agg(points.alias("p")).select(F.col("p")[0].alias("ci_low"), F.col("p")[1].alias("ci_high"))
+
+
+def grid_problems(methods: DataFrame, names: list[str], sizes: list[int], per_cell: int = 30) -> DataFrame:
+    """What keeps the rows of all methods from being complete: ``problem, method, tree_size, simulation_id, expected, found``.
+
+    One pass over all methods: cells (method, tree size) are counted and held against the planned grid, and every
+    simulation has to occur exactly once in each method. ``missing``, ``short`` and ``surplus`` name a planned cell, ``foreign`` one
+    outside the plan, ``absent`` and ``doubled`` a simulation of a method.
+    """
+    spark = methods.sparkSession
+    rows = methods.select("method", "tree_size", "simulation_id")
+    kind = rows.schema["tree_size"].dataType.simpleString()
+    planned = spark.createDataFrame([(m,) for m in names], "method string").withColumn("tree_size", F.explode(F.lit(sizes).cast(f"array<{kind}>"))).withColumn("expected", F.lit(per_cell).cast("bigint"))
+    cells = rows.groupBy("method", "tree_size").agg(F.count(F.lit(1)).alias("found"))
+    both = attach_outer(planned, cells, ["method", "tree_size"]).withColumn("found", F.coalesce("found", F.lit(0).cast("bigint")))
+    problem = (
+        F.when(F.col("expected").isNull(), "foreign").when(F.col("found") == 0, "missing")
+        .when(F.col("found") < F.col("expected"), "short").when(F.col("found") > F.col("expected"), "surplus")
     )
-    estimates = (
-        draws.join(numbered.select("number", "total", "size"), "number")
-        .groupBy("repetition").agg((F.sum("total") / F.sum("size")).alias("estimate"))
+    bad_cells = both.withColumn("problem", problem).where("problem IS NOT NULL").select(
+        "problem", "method", "tree_size", F.lit(None).cast(rows.schema["simulation_id"].dataType).alias("simulation_id"), F.coalesce("expected", F.lit(0).cast("bigint")).alias("expected"), "found"
     )
-    points = F.percentile("estimate", F.array(F.lit(0.025), F.lit(0.975)))
-    return estimates.agg(points.alias("p")).select(F.col("p")[0].alias("ci_low"), F.col("p")[1].alias("ci_high"))
+    counts = [F.count(F.when(F.col("method") == m, 1)).alias(f"__{k}") for k, m in enumerate(names)]
+    each = F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"__{k}").alias("found")) for k, m in enumerate(names)])
+    bad_ids = (
+        rows.where(F.col("method").isin(names)).groupBy("simulation_id").agg(*counts)
+        .where(" OR ".join(f"__{k} <> 1" for k in range(len(names))))
+        .select("simulation_id", F.inline(F.filter(each, lambda x: x["found"] != 1)))
+    )
+    bad_ids = bad_ids.select(
+        F.when(F.col("found") == 0, "absent").otherwise("doubled").alias("problem"), "method", F.lit(None).cast(kind).alias("tree_size"), "simulation_id", F.lit(1).cast("bigint").alias("expected"), "found"
+    )
+    return bad_cells.unionByName(bad_ids)
+
+
+def attach_outer(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Full outer join that also pairs NULL keys."""
+    names = {k: f"__r_{k}" for k in keys}
+    renamed = right.withColumnsRenamed(names)
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(names[k]))
+    joined = left.join(renamed, condition, "full_outer")
+    return joined.withColumns({k: F.coalesce(F.col(k), F.col(names[k])) for k in keys}).drop(*names.values())
 
 
 def signed_ranks(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:

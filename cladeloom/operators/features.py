@@ -58,13 +58,16 @@ def derived(counted: DataFrame) -> DataFrame:
     )
 
 
-def summarize(observations: DataFrame, extra: list[str] | None = None, spread: bool = True) -> DataFrame:
+def summarize(observations: DataFrame, extra: list[str] | None = None, spread: bool = True, label: str | None = None) -> DataFrame:
     """Observations (simulation_id, triplet_id, taxon_a..c, topo, bl) to one feature row per triplet.
 
     With ``spread``, equal lengths of a triplet and topology are counted before the one shuffle of observations;
     counts, means, deviations and medians all come from that table, and no group is ever held by one task. Without it,
     one aggregation does everything and holds the lengths of one triplet at a time: for inputs whose groups are
     bounded by a contract, such as the enforced number of trees of a simulation.
+
+    ``label`` names a column that is set on one row per triplet, whose topology and length are NULL: the triplet's label
+    travels with its observations instead of being joined to them.
     """
     group = [*KEY, *TAXA, *(extra or [])]
     if not spread:
@@ -72,9 +75,10 @@ def summarize(observations: DataFrame, extra: list[str] | None = None, spread: b
         wide = [F.count(F.when(F.col("topo") == k, 1)).alias(f"n{k}") for k in range(3)]
         for k in range(3):
             wide += [F.avg(of(k)).alias(f"mean_bl{k}"), F.median(of(k)).alias(f"median_bl{k}"), F.stddev_pop(of(k)).alias(f"std_bl{k}")]
+        wide += [F.max(label).alias(label)] if label else []
         return derived(observations.groupBy(*group).agg(*wide))
     counted = observations.groupBy(*group, "topo", value_bin(F.col("bl")).alias("__bin"), F.col("bl").alias("__value")).agg(
-        F.count(F.lit(1)).alias("__n"), F.count("bl").alias("__valid")
+        F.count(F.lit(1)).alias("__n"), F.count("bl").alias("__valid"), *([F.max(label).alias(label)] if label else [])
     )
     rows = moments(counted, [*group, "topo"])
     # a filter on the count stays above the shared shuffle, one on the value would be moved below it
@@ -83,6 +87,10 @@ def summarize(observations: DataFrame, extra: list[str] | None = None, spread: b
     at = lambda name, k: F.max(F.when(F.col("topo") == k, F.col(name)))  # noqa: E731  one row per topology
     wide = [F.coalesce(at("n", k), F.lit(0)).alias(f"n{k}") for k in range(3)]
     wide += [at(stat, k).alias(f"{stat}_bl{k}") for k in range(3) for stat in ("mean", "median", "std")]
+    if label:
+        labels = counted.groupBy(*group, "topo").agg(F.max(label).alias(label))
+        rows = attach(rows, labels, [*group, "topo"], "left")
+        wide.append(F.max(label).alias(label))
     return derived(rows.groupBy(*group).agg(*wide))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -14,8 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import metrics as mt
-from .features import KEY, feature_columns, first_argmax
-from ..session import cut_lineage
+from ..functions.hashing import md5_int
+from ..session import checkpoint_folder
+from ..sources import publishing
+from .features import _LENGTHS, KEY, feature_columns, first_argmax
 from .folds import bounded_sample, default_strata, group_folds, with_folds
 from .ranking import grouped_median
 
@@ -23,6 +26,11 @@ from .ranking import grouped_median
 ROTATIONS = [(0, 1, 2), (1, 2, 0), (2, 0, 1)]
 INDEXED = ["p", "n", "mean_bl", "median_bl", "std_bl", "g_asym"]
 
+#: Where a missing value lies for boosting: beyond all values on one side, or on the other.
+BELOW, ABOVE = -1e300, 1e300
+#: Share of the training groups (in percent) that decides when boosting stops, and the least gain of a round.
+HELD_PERCENT, LEAST_GAIN = 15, 5e-4
+
 
 def augment(df: DataFrame) -> DataFrame:
     """Each row three times, topology-indexed columns and label rotated alike. Map-only."""
@@ -73,7 +81,7 @@ class Classifier:
     def raw_probabilities(self, df: DataFrame) -> DataFrame:
         """Add raw_prob0..2."""
         columns = feature_columns(self.feature_set)
-        rows = with_indicators(df, columns)
+        rows = with_indicators(df, columns) if self.kind == "forest" else with_directions(df, columns)
         if self.kind == "forest":
             rows = self.models[0].transform(rows)
             p = vector_to_array("probability")
@@ -83,11 +91,11 @@ class Classifier:
         else:
             for k, model in enumerate(self.models):
                 rows = model.transform(rows).withColumn(f"__m{k}", F.get(vector_to_array("rawPrediction"), F.lit(1)))
-                rows = rows.drop("rawPrediction", "probability", "prediction", *_helpers(columns))
+                rows = rows.drop("rawPrediction", "probability", "prediction", "features")
             top = F.greatest("__m0", "__m1", "__m2")
             e = [F.exp(F.col(f"__m{k}") - top) for k in range(3)]
             rows = rows.withColumns({f"raw_prob{k}": e[k] / (e[0] + e[1] + e[2]) for k in range(3)}).drop("__m0", "__m1", "__m2")
-        return rows.drop(*[f"{c}_missing" for c in columns], *_helpers(columns))
+        return rows.drop(*[f"{c}_missing" for c in columns], *_helpers(columns), *_directions(columns))
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Add raw_prob0..2, prob0..2, raw_prediction, prediction."""
@@ -108,7 +116,8 @@ def load_classifier(spark: SparkSession, path: str) -> Classifier:
     if missing:
         raise ValueError(f"Invalid model bundle, missing {sorted(missing)}")
     models = [PipelineModel.load(os.path.join(path, f"model{k}")) for k in range(sidecar["models"])]
-    return Classifier(models, sidecar["kind"], sidecar["feature_set"], sidecar.get("temperature", 1.0))
+    extra = {k: v for k, v in sidecar.items() if k not in ("kind", "feature_set", "feature_columns", "temperature", "models")}
+    return Classifier(models, sidecar["kind"], sidecar["feature_set"], sidecar.get("temperature", 1.0), extra)
 
 
 def _helpers(columns: list[str]) -> list[str]:
@@ -123,24 +132,50 @@ def _stages(columns: list[str]) -> list:
     ]
 
 
-def fit_classifier(train: DataFrame, feature_set: str, seed: int, kind: str = "forest", iterations: int = 40) -> Classifier:
+def _directions(columns: list[str]) -> list[str]:
+    """Input columns of boosting: every feature, and a second time those that a row may lack."""
+    return [*[f"{c}_low" for c in columns], *[f"{c}_high" for c in columns if c in _LENGTHS]]
+
+
+def with_directions(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Missing values beyond all present ones, below in ``_low`` and above in ``_high``.
+
+    A split of one column sends missing rows left, the same split of the other right, so a tree chooses a direction for
+    them at every node and no value is made up.
+    """
+    low = {f"{c}_low": F.coalesce(F.col(c).cast("double"), F.lit(BELOW)) for c in columns}
+    return df.withColumns({**low, **{f"{c}_high": F.coalesce(F.col(c).cast("double"), F.lit(ABOVE)) for c in columns if c in _LENGTHS}})
+
+
+def held_out(group: str, seed: int) -> Column:
+    """Whether a group decides about stopping; whole groups, by a hash."""
+    return md5_int(F.lit(str(seed)), F.lit("early-stopping"), F.col(group).cast("string")) % 100 < HELD_PERCENT
+
+
+def fit_classifier(train: DataFrame, feature_set: str, seed: int, kind: str = "forest", iterations: int = 40, group: str | None = None) -> Classifier:
     """Fit on the rows and their rotations. ``boosted`` joins three one-against-rest boosters by softmax.
 
-    MLlib's boosting is binary and its own best match; the forest handles three classes and is the default.
+    MLlib's boosting is binary and its own best match; the forest handles three classes and is the default. With ``group``,
+    boosting adds rounds only as long as they help on groups it doesn't learn from, ``iterations`` at most.
     """
     columns = feature_columns(feature_set)
-    rows = with_indicators(augment(train), columns).select(*columns, *[f"{c}_missing" for c in columns], F.col("label").cast("double").alias("label"))
+    turned = augment(train)
     if kind == "forest":
+        rows = with_indicators(turned, columns).select(*columns, *[f"{c}_missing" for c in columns], F.col("label").cast("double").alias("label"))
         model = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=iterations, maxDepth=6, seed=seed)
         return Classifier([Pipeline(stages=[*_stages(columns), model]).fit(rows)], kind, feature_set)
     if kind != "boosted":
         raise ValueError("kind must be 'forest' or 'boosted'")
+    held = F.lit(False) if group is None else held_out(group, seed)
+    rows = with_directions(turned, columns).select(*_directions(columns), "label", held.alias("held"))
+    both = group is not None and rows.agg(F.count_distinct("held")).first()[0] == 2
     models = []
     for k in range(3):
-        booster = GBTClassifier(featuresCol="features", labelCol="is_class", maxIter=iterations, stepSize=0.06, maxDepth=5, seed=seed + k)
+        stopping = {"validationIndicatorCol": "held", "validationTol": LEAST_GAIN} if both else {}
+        booster = GBTClassifier(featuresCol="features", labelCol="is_class", maxIter=iterations, stepSize=0.06, maxDepth=5, seed=seed + k, **stopping)
         binary = rows.withColumn("is_class", (F.col("label") == k).cast("double"))
-        models.append(Pipeline(stages=[*_stages(columns), booster]).fit(binary))
-    return Classifier(models, kind, feature_set)
+        models.append(Pipeline(stages=[VectorAssembler(inputCols=_directions(columns), outputCol="features"), booster]).fit(binary))
+    return Classifier(models, kind, feature_set, extra={"rounds": [m.stages[-1].getNumTrees for m in models]})
 
 
 def calibrated(df: DataFrame, temperature: Column) -> DataFrame:
@@ -150,11 +185,11 @@ def calibrated(df: DataFrame, temperature: Column) -> DataFrame:
     return rows.withColumn("raw_prediction", first_argmax(raw)).withColumn("prediction", first_argmax(mt.prob()))
 
 
-def _out_of_fold(df: DataFrame, fold: str, folds: int, feature_set: str, seed: int, kind: str, iterations: int) -> DataFrame:
+def _out_of_fold(df: DataFrame, fold: str, folds: int, feature_set: str, seed: int, kind: str, iterations: int, group: str) -> DataFrame:
     """raw_prob0..2 of every row from the model that did not see its fold."""
     parts = []
     for k in range(1, folds + 1):
-        model = fit_classifier(df.where(F.col(fold) != k), feature_set, seed + k, kind, iterations)
+        model = fit_classifier(df.where(F.col(fold) != k), feature_set, seed + k, kind, iterations, group)
         parts.append(model.raw_probabilities(df.where(F.col(fold) == k)))
     out = parts[0]
     for part in parts[1:]:
@@ -170,7 +205,7 @@ def inner_temperature(train: DataFrame, group: str, strata: str | None, inner_fo
     if usable < 2:
         return 1.0
     rows = with_folds(train, group_folds(train, group, usable, seed, strata), group, "inner_fold")
-    scored = _out_of_fold(rows, "inner_fold", usable, feature_set, seed, kind, iterations)
+    scored = _out_of_fold(rows, "inner_fold", usable, feature_set, seed, kind, iterations, group)
     return float(mt.fit_temperature(scored).first()["temperature"])
 
 
@@ -207,9 +242,12 @@ def cross_validate(
     calibration_rows: int = 10,
     kind: str = "forest",
     iterations: int = 40,
+    out: str | None = None,
 ) -> CrossValidation:
     """Grouped cross-validation: every row is predicted by a model that never saw its group.
 
+    Rows are written once, partitioned by fold, and read fold by fold; each fold's predictions are written once, as a verified
+    batch of the table at ``out`` (by default in the checkpoint folder), and everything after reads that table.
     ``rows_per_simulation`` bounds the rows used for fitting, and ``calibration_rows`` those for the final
     temperature; prediction covers all rows either way. Temperatures of a fold come from inner folds of its
     training rows only.
@@ -219,38 +257,46 @@ def cross_validate(
     if calibration not in ("none", "temperature"):
         raise ValueError(f"no such calibration: {calibration}")
     group = "backbone_id" if cv_mode == "backbone" else "scenario_group"
-    missing = [c for c in [*feature_columns(feature_set), "label", group] if c not in features.columns]
+    columns = feature_columns(feature_set)
+    missing = [c for c in [*columns, "label", group] if c not in features.columns]
     if missing:
         raise ValueError(f"Missing columns: {missing}")
-    # every fit and every fold reads these rows again: compute them once, in files that outlive an executor
-    features = cut_lineage(features)
+    spark = features.sparkSession
+    work = f"{checkpoint_folder(spark)}/folds-{uuid.uuid4().hex}"
     strata = strata or default_strata(features, cv_mode, folds)
-    assignments = group_folds(features, group, folds, seed, strata)
-    rows = with_folds(features, assignments, group)
+    assignments = _written(group_folds(features, group, folds, seed, strata), f"{work}/assignments")
+    counts = [f"n{k}" for k in range(3) if f"n{k}" in features.columns]
+    kept = list(dict.fromkeys([*KEY, group, *([strata] if strata else []), *counts, *columns, "label"]))
+    rows = _written(with_folds(features.select(*kept), assignments, group), f"{work}/rows", "fold")
     fit_rows = rows
     if rows_per_simulation is not None:
-        fit_rows = bounded_sample(rows, "simulation_id", ["triplet_id"], rows_per_simulation, seed, "training-sample")
-    rows, fit_rows = cut_lineage(rows), cut_lineage(fit_rows)
-    parts, temperatures = [], {}
+        fit_rows = _written(bounded_sample(rows, "simulation_id", ["triplet_id"], rows_per_simulation, seed, "training-sample"), f"{work}/sample", "fold")
+    out, temperatures = out or f"{work}/predictions", {}
     for k in range(1, folds + 1):
         train = fit_rows.where(F.col("fold") != k)
         t = 1.0
         if calibration == "temperature":
             t = inner_temperature(train, group, strata, inner_folds, feature_set, seed + 100 * k, kind, iterations)
         temperatures[k] = t
-        model = fit_classifier(train, feature_set, seed + k, kind, iterations)
-        parts.append(calibrated(model.raw_probabilities(rows.where(F.col("fold") == k)), F.lit(t)))
-    predictions = parts[0]
-    for part in parts[1:]:
-        predictions = predictions.unionByName(part)
-    final = fit_classifier(fit_rows, feature_set, seed, kind, iterations)
+        model = fit_classifier(train, feature_set, seed + k, kind, iterations, group)
+        scored = calibrated(model.raw_probabilities(rows.where(F.col("fold") == k)), F.lit(t))
+        publishing.publish(scored.select(*PREDICTION_COLUMNS), out, f"fold{k}", replace_all=k == 1)
+    predictions = publishing.read_published(spark, out)
+    final = fit_classifier(fit_rows, feature_set, seed, kind, iterations, group)
     if calibration == "temperature":
         chosen = predictions
         if rows_per_simulation is not None:
             chosen = bounded_sample(predictions, "simulation_id", ["triplet_id"], calibration_rows, seed, "final-calibration")
         final.temperature = float(mt.fit_temperature(chosen).first()["temperature"])
-    final.extra = {"cv_mode": cv_mode, "calibration": calibration, "strata_column": strata}
+    final.extra = {**final.extra, "cv_mode": cv_mode, "calibration": calibration, "strata_column": strata}
     return CrossValidation(predictions, assignments, temperatures, final)
 
 
+def _written(df: DataFrame, path: str, partition: str | None = None) -> DataFrame:
+    """``df`` as Parquet in the shared folder and read back: computed once, and a filter on ``partition`` reads only its files."""
+    writer = df.write.partitionBy(partition) if partition else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 PREDICTION_COLUMNS = [*KEY, "label", *[f"raw_prob{k}" for k in range(3)], *[f"prob{k}" for k in range(3)], "fold", "raw_prediction", "prediction"]

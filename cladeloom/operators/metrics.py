@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .features import first_argmax
 
@@ -104,22 +108,64 @@ def scaled(values: list[Column], temperature: float | Column) -> list[Column]:
     return [x / (parts[0] + parts[1] + parts[2]) for x in parts]
 
 
+#: Keys whose sums one task holds before it hands them on.
+KEYS_HELD = 1000
+
+
+def _loss_sums(keys: list[str]):
+    """Sums of the losses at every temperature, one set of rows per key and task: map-side and mergeable."""
+    grid = np.array(TEMPERATURES)
+
+    def flush(held: dict) -> pa.RecordBatch:
+        size = len(grid)
+        columns = [pa.array([k[i] for k in held for _ in range(size)], kinds[i]) for i in range(len(keys))]
+        steps = pa.array(np.tile(np.arange(size, dtype=np.int32), len(held)))
+        sums = pa.array(np.concatenate([v[1] for v in held.values()]) if held else np.empty(0))
+        rows = pa.array(np.repeat([v[0] for v in held.values()], size).astype(np.int64))
+        return pa.RecordBatch.from_arrays([*columns, steps, sums, rows], names=[*keys, "step", "total", "n"])
+
+    kinds: list = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            kinds[:] = [batch.schema.field(k).type for k in keys]
+            logs = np.stack([batch.column(f"p{k}").to_numpy(zero_copy_only=False) for k in range(3)], axis=1)
+            label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.float64)
+            good = np.isfinite(logs).all(axis=1) & np.isin(label, (0, 1, 2))
+            gaps = logs - logs.max(axis=1, keepdims=True)
+            names = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * batch.num_rows
+            numbers: dict = {}
+            codes = np.fromiter((numbers.setdefault(n, len(numbers)) for n in names), np.int64, len(names))
+            for name, code in numbers.items():
+                mine = np.flatnonzero(good & (codes == code))
+                if not len(mine):
+                    continue
+                scaled = gaps[mine][:, :, None] / grid
+                own = gaps[mine, label[mine].astype(np.int64)][:, None] / grid
+                loss = np.minimum(np.log(np.exp(scaled).sum(axis=1)) - own, -math.log(FLOOR)).sum(axis=0)
+                n, total = held.get(name, (0, 0.0))
+                held[name] = (n + len(mine), total + loss)
+            if len(held) >= KEYS_HELD:
+                yield flush(held)
+                held = {}
+        if held:
+            yield flush(held)
+
+    return run
+
+
 def temperature_losses(df: DataFrame, prefix: str = "raw_prob", keys: list[str] | None = None) -> DataFrame:
-    """Mean log loss at each of the 161 temperatures. The grid is expanded and summed before the shuffle."""
+    """Mean log loss at each of the 161 temperatures: one row per key and step.
+
+    A task adds an array of 161 losses per row to the sums of the row's key, so it hands on 161 rows per key, not per row.
+    """
     keys = keys or []
-    logs = [F.log(F.least(F.greatest(v, F.lit(FLOOR)), F.lit(1.0))) for v in prob(prefix)]
-    # relative to the largest log probability; only exponentials are left to compute per temperature
-    rows = df.select(*keys, *[x.alias(f"__l{k}") for k, x in enumerate(logs)], "label").withColumn("__top", F.greatest("__l0", "__l1", "__l2"))
-    near = rows.select(
-        *keys, *[(F.col(f"__l{k}") - F.col("__top")).alias(f"__d{k}") for k in range(3)],
-        of_label([F.col(f"__l{k}") - F.col("__top") for k in range(3)]).alias("__own"),
-    )
-    steps = F.array(*[F.struct(F.lit(k).alias("step"), F.lit(t).alias("temperature")) for k, t in enumerate(TEMPERATURES)])
-    grid = near.select("*", F.inline(steps))
-    t = F.col("temperature")
-    total = F.exp(F.col("__d0") / t) + F.exp(F.col("__d1") / t) + F.exp(F.col("__d2") / t)
-    loss = F.least(F.log(total) - F.col("__own") / t, F.lit(-math.log(FLOOR)))
-    return grid.groupBy(*keys, "step", "temperature").agg(F.avg(loss).alias("log_loss"))
+    logs = [F.log(F.least(F.greatest(v, F.lit(FLOOR)), F.lit(1.0))).alias(f"p{k}") for k, v in enumerate(prob(prefix))]
+    rows = df.select(*keys, *logs, F.col("label").cast("double").alias("label"))
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("step", T.IntegerType()), T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType())])
+    sums = rows.mapInArrow(_loss_sums(keys), schema).groupBy(*keys, "step").agg((F.sum("total") / F.sum("n")).alias("log_loss"))
+    return sums.select(*keys, "step", F.get(F.lit(TEMPERATURES), F.col("step")).alias("temperature"), "log_loss")
 
 
 def fit_temperature(df: DataFrame, prefix: str = "raw_prob", keys: list[str] | None = None) -> DataFrame:

@@ -57,108 +57,103 @@ def resolve(tree: Column, a: Column, b: Column, c: Column) -> Column:
     """
     position = lambda x: F.array_position(tree["taxa"], x).cast("int")
     pa, pb, pc = position(a), position(b), position(c)
-    ab, ac, bc = nw.pair_mrca(tree, pa, pb), nw.pair_mrca(tree, pa, pc), nw.pair_mrca(tree, pb, pc)
-    return _resolved(pa, pb, pc, ab, ac, bc)
+    node = lambda x, y: F.when((x > 0) & (y > 0), nw.pair_mrca(tree, x, y))
+    return _resolved(node(pa, pb), node(pa, pc), node(pb, pc), (pa > 0) & (pb > 0) & (pc > 0))
 
 
-def _resolved(pa, pb, pc, ab, ac, bc) -> Column:
-    present = (pa > 0) & (pb > 0) & (pc > 0)
+def _resolved(ab: Column, ac: Column, bc: Column, present: Column) -> Column:
     # of the three pair depths two are always equal and the third is at least as deep
     topo = (
         F.when(ab["depth"] > ac["depth"], F.lit(0))
         .when(ac["depth"] > ab["depth"], F.lit(1))
         .when(bc["depth"] > ab["depth"], F.lit(2))
     )
-    deepest = F.greatest(ab["dist"], ac["dist"], bc["dist"])
-    root = F.least(ab["dist"], ac["dist"], bc["dist"])
     by_depth = (
         F.when(ab["depth"] > ac["depth"], ab["dist"] - ac["dist"])
         .when(ac["depth"] > ab["depth"], ac["dist"] - ab["dist"])
         .when(bc["depth"] > ab["depth"], bc["dist"] - ab["dist"])
-        .otherwise(deepest - root)
     )
     return F.struct(
         F.when(present, topo).alias("topo"),
-        F.when(present, F.when(topo.isNotNull(), by_depth)).alias("bl"),
+        F.when(present, by_depth).alias("bl"),
         F.when(~present, F.lit("planned taxa are absent")).when(topo.isNull(), F.lit("the tree leaves the triplet open")).alias("problem"),
     )
 
 
+def _named(a: Column, b: Column, c: Column, ab: Column, ac: Column, bc: Column) -> Column:
+    """One generated triplet: its taxa and how the tree resolves it. The MRCAs are computed once."""
+    def finish(v: Column) -> Column:
+        present = v["ab"].isNotNull() & v["ac"].isNotNull() & v["bc"].isNotNull()
+        return F.struct(a.alias("taxon_a"), b.alias("taxon_b"), c.alias("taxon_c"), _resolved(v["ab"], v["ac"], v["bc"], present).alias("r"))
+
+    return nw.let(F.struct(ab.alias("ab"), ac.alias("ac"), bc.alias("bc")), finish)
+
+
 def tree_triplets(df: DataFrame, tree: str, carry: list[str], taxa: str | None = None) -> DataFrame:
     """Every triplet of every tree: carry, taxon_a..c, triplet_id, topo, bl. Map-only.
 
-    ``taxa`` names an array column to draw the triplets from; by default the tree's own leaves. The MRCA of
-    the first two taxa is computed once per pair, before the third is generated.
+    ``taxa`` names an array column to draw the triplets from; by default the tree's own leaves.
     """
-    n = F.size("__taxa")
-    t = F.col("__tree")
-    at = lambda i: F.element_at("__taxa", F.col(i))
-    position = lambda x: F.array_position(t["taxa"], x).cast("int")
-    pairs = (
-        df.select(*carry, F.col(tree).alias("__tree"), (F.col(taxa) if taxa else F.col(tree)["taxa"]).alias("__from"))
-        .withColumn("__taxa", F.array_sort("__from"))
-        .select(*carry, "__tree", "__taxa", _steps(F.lit(1), n - 2).alias("__i"))
-        .select(*carry, "__tree", "__taxa", "__i", _steps(F.col("__i") + 1, n - 1).alias("__j"))
-        .withColumn("taxon_a", at("__i")).withColumn("taxon_b", at("__j"))
-        .withColumn("__pa", position(F.col("taxon_a"))).withColumn("__pb", position(F.col("taxon_b")))
-        .withColumn("__ab", nw.pair_mrca(t, F.col("__pa"), F.col("__pb")))
-    )
-    triples = (
-        pairs.select(
-            *carry, "__tree", "__taxa", "taxon_a", "taxon_b", "__pa", "__pb", "__ab",
-            _steps(F.col("__j") + 1, n).alias("__k"),
-        )
-        .where(F.col("__k").isNotNull())
-        .withColumn("taxon_c", at("__k")).withColumn("__pc", position(F.col("taxon_c")))
-        .withColumn("__ac", nw.pair_mrca(t, F.col("__pa"), F.col("__pc")))
-        .withColumn("__bc", nw.pair_mrca(t, F.col("__pb"), F.col("__pc")))
-    )
-    return _finish(
-        triples.withColumn(
-            "__r", _resolved(F.col("__pa"), F.col("__pb"), F.col("__pc"), F.col("__ab"), F.col("__ac"), F.col("__bc"))
-        ),
-        carry,
-    )
+    plan = F.lit(None).cast("array<struct<x:int,y:int,z:int>>")
+    rows = df.withColumns({"__all": F.col(taxa) if taxa else F.col(tree)["taxa"], "__none": plan})
+    return any_triplets(rows, tree, "__all", "__none", carry)
 
 
 def planned_triplets(df: DataFrame, tree: str, plan: str, carry: list[str]) -> DataFrame:
-    """The triplets of the array-of-struct column ``plan`` in each tree. Map-only.
+    """The triplets of the array-of-struct column ``plan`` (taxon_a, taxon_b, taxon_c) in each tree. Map-only.
 
     Adds ``problem``, which names a missing taxon or an unresolved triplet.
     """
-    exploded = df.select(*carry, F.col(tree).alias("__tree"), F.explode_outer(plan).alias("__p"))
-    exploded = exploded.select(*carry, "__tree", "__p.taxon_a", "__p.taxon_b", "__p.taxon_c")
-    resolved = exploded.withColumn("__r", resolve(F.col("__tree"), F.col("taxon_a"), F.col("taxon_b"), F.col("taxon_c")))
-    return _finish(resolved, carry)
+    taxa = F.array_sort(F.array_distinct(F.flatten(F.transform(plan, lambda p: F.array(p["taxon_a"], p["taxon_b"], p["taxon_c"])))))
+    rows = df.withColumn("__all", taxa).withColumn("__places", plan_places(F.col(plan), F.col("__all")))
+    return any_triplets(rows, tree, "__all", "__places", carry)
+
+
+def plan_places(plan: Column, taxa: Column) -> Column:
+    """A plan's taxa (taxon_a..c) as places (x, y, z) in the sorted array ``taxa``, looked up once a plan and not once a tree."""
+    place = lambda t: (F.array_position(taxa, t) - 1).cast("int")
+    return F.transform(plan, lambda p: F.struct(place(p["taxon_a"]).alias("x"), place(p["taxon_b"]).alias("y"), place(p["taxon_c"]).alias("z")))
 
 
 def any_triplets(df: DataFrame, tree: str, taxa: str, plan: str, carry: list[str]) -> DataFrame:
-    """The triplets of each row's ``plan``, or all triplets of its ``taxa`` where the plan is NULL; trees are read once."""
-    n, t, whole = F.size("__taxa"), F.col("__tree"), F.col("__plan").isNull()
+    """The triplets of each row's ``plan``, or all triplets of its ``taxa`` where the plan is NULL; trees are read once.
+
+    A plan holds places (x, y, z) in the sorted taxa. Everything about a tree is computed before its first row is
+    generated: range minima of its joins, and for whole trees the MRCAs of all pairs of taxa, each in constant time. A row of
+    the first taxon then carries those, a row of the first two only the two lines of MRCAs the third needs, and a row of a triplet
+    neither: a tree of n taxa costs O(n^3) in all, and no triplet's row copies a tree.
+    """
+    t, at = F.col("__tree"), F.col("__at")
+    names, m = F.col("__taxa"), F.col("__m")
+    n, whole = F.size(names), F.col("__plan").isNull()
     numbers = lambda a, b: F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
-    position = lambda x: F.array_position(t["taxa"], x).cast("int")
-    kept = [*carry, "__tree", "__plan", "__taxa"]
     rows = df.select(*carry, F.col(tree).alias("__tree"), F.col(plan).alias("__plan"), F.array_sort(taxa).alias("__taxa"))
+    rows = nw.with_ranges(rows, "__tree", "__ranges")
+    rows = rows.withColumn("__at", F.transform(names, lambda x: F.array_position(t["taxa"], x).cast("int")))
+    node = lambda x, y: nw.range_mrca(F.col("__ranges"), x, y)
+    # line i holds the MRCAs with the taxa after i
+    lines = F.transform(at, lambda p, i: F.transform(F.slice(at, i + 2, n), lambda q: node(p, q)))
+    place = lambda i: F.get(at, i)
+    chosen = F.transform("__plan", lambda p: _named(
+        F.get(names, p["x"]), F.get(names, p["y"]), F.get(names, p["z"]),
+        node(place(p["x"]), place(p["y"])), node(place(p["x"]), place(p["z"])), node(place(p["y"]), place(p["z"])),
+    ))
+    rows = rows.withColumn("__m", F.when(whole, lines)).withColumn("__chosen", chosen)
     # a row with a plan passes the first two generators as one row
-    rows = rows.select(*kept, F.explode(F.when(whole, numbers(F.lit(1), n - 2)).otherwise(F.array(F.lit(1)))).alias("__i"))
-    rows = rows.select(*kept, "__i", F.explode(F.when(whole, numbers(F.col("__i") + 1, n - 1)).otherwise(F.array(F.lit(2)))).alias("__j"))
-    rows = rows.withColumn("__a", F.element_at("__taxa", F.col("__i"))).withColumn("__b", F.element_at("__taxa", F.col("__j")))
-    rows = rows.withColumn("__pa", position(F.col("__a"))).withColumn("__pb", position(F.col("__b")))
-    rows = rows.withColumn("__ab", F.when(whole, nw.pair_mrca(t, F.col("__pa"), F.col("__pb"))))
-    third = F.transform(
-        numbers(F.col("__j") + 1, n), lambda k: F.struct(F.col("__a").alias("taxon_a"), F.col("__b").alias("taxon_b"), F.element_at("__taxa", k).alias("taxon_c"))
-    )
-    rows = rows.select(*carry, "__tree", "__plan", "__pa", "__pb", "__ab", F.explode(F.when(whole, third).otherwise(F.col("__plan"))).alias("__p"))
-    rows = rows.select(
-        *carry, "__tree", "__plan", "__ab", "__p.*",
-        F.when(whole, F.col("__pa")).otherwise(position(F.col("__p.taxon_a"))).alias("__pa"),
-        F.when(whole, F.col("__pb")).otherwise(position(F.col("__p.taxon_b"))).alias("__pb"),
-        position(F.col("__p.taxon_c")).alias("__pc"),
-    )
-    pa, pb, pc = F.col("__pa"), F.col("__pb"), F.col("__pc")
-    rows = rows.withColumn("__ab", F.when(whole, F.col("__ab")).otherwise(nw.pair_mrca(t, pa, pb)))
-    rows = rows.withColumn("__ac", nw.pair_mrca(t, pa, pc)).withColumn("__bc", nw.pair_mrca(t, pb, pc))
-    return _finish(rows.withColumn("__r", _resolved(pa, pb, pc, F.col("__ab"), F.col("__ac"), F.col("__bc"))), carry)
+    kept = [*carry, "__taxa", "__chosen"]
+    rows = rows.select(*kept, "__m", F.explode_outer(F.when(m.isNotNull(), numbers(F.lit(0), n - 3)).otherwise(F.array(F.lit(0)))).alias("__i"))
+    i = F.col("__i")
+    second = F.transform(numbers(i + 1, n - 2), lambda j: F.struct(j.alias("j"), F.get(m, j).alias("line")))
+    none = F.array(F.struct(F.lit(None).cast("int").alias("j"), F.lit(None).cast("array<struct<depth:int,dist:double>>").alias("line")))
+    rows = rows.where(i.isNotNull()).select(*kept, "__i", F.get(m, i).alias("__line"), F.when(m.isNotNull(), second).otherwise(none).alias("__seconds"))
+    rows = rows.select(*kept, "__i", "__line", F.explode_outer("__seconds").alias("__s"))
+    j, line = F.col("__s.j"), F.col("__line")
+    third = F.transform(numbers(j + 1, n - 1), lambda k: _named(
+        F.get(names, i), F.get(names, j), F.get(names, k), F.get(line, j - i - 1), F.get(line, k - i - 1), F.get(F.col("__s.line"), k - j - 1)
+    ))
+    rows = rows.where(F.col("__s").isNotNull()).select(*carry, F.when(j.isNotNull(), third).otherwise(F.col("__chosen")).alias("__thirds"))
+    rows = rows.select(*carry, F.explode_outer("__thirds").alias("__p")).where(F.col("__p").isNotNull())
+    return _finish(rows.select(*carry, "__p.taxon_a", "__p.taxon_b", "__p.taxon_c", F.col("__p.r").alias("__r")), carry)
 
 
 def _finish(resolved: DataFrame, carry: list[str]) -> DataFrame:

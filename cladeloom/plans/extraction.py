@@ -52,14 +52,17 @@ def prepare_manifest(manifest: DataFrame) -> DataFrame:
 
 
 def observe(trees: DataFrame, prepared: DataFrame) -> DataFrame:
-    """One row per gene tree and planned triplet: simulation_id, gene_tree_count, taxa, topo, bl.
+    """One row per gene tree and planned triplet: simulation_id, gene_tree_count, taxa, topo, bl, label.
+
+    The backbone goes through the same plan as one more tree of its simulation: its rows have a ``label`` instead of
+    a topology and length, so labels reach their triplets in the one shuffle of observations.
 
     A gene tree that cannot be read, lacks a planned taxon or internal length, or leaves a planned triplet
     unresolved stops the job with its simulation in the message. The join side that travels with the trees
     holds only the plan; whether it is broadcast is left to its size at run time.
     """
     side = prepared.select("simulation_id", F.col("gene_tree_count").cast("bigint").alias("gene_tree_count"), "taxa")
-    plan = F.lit(None).cast("array<struct<taxon_a:string,taxon_b:string,taxon_c:string>>")
+    plan = F.lit(None).cast("array<struct<x:int,y:int,z:int>>")
     if "triplets_per_simulation" in prepared.columns:
         seed = F.col("seed") if "seed" in prepared.columns else F.lit(0)
         n, cap = F.size("taxa").cast("bigint"), F.col("triplets_per_simulation").cast("bigint")
@@ -67,16 +70,23 @@ def observe(trees: DataFrame, prepared: DataFrame) -> DataFrame:
         drawn = tp.capped_plan(limited, "simulation_id", "taxa", "triplets_per_simulation", "__seed0")
         # at most the cap of a simulation
         drawn = drawn.groupBy("simulation_id").agg(F.collect_list(F.struct("taxon_a", "taxon_b", "taxon_c")).alias("plan"))
-        side = side.join(drawn, "simulation_id", "left")
+        side = side.join(drawn, "simulation_id", "left").withColumn("plan", tp.plan_places(F.col("plan"), F.col("taxa")))
     else:
         side = side.withColumn("plan", plan)
     # one read and one parse of the trees: whoever has no plan takes all triplets
-    joined = nw.with_tree(trees.select("simulation_id", "newick").join(side, "simulation_id"), "newick")
-    problem = ft.tree_problem(F.col("tree"), F.col("tree_error"), F.col("taxa"))
+    both = trees.select("simulation_id", "newick", F.lit(False).alias("backbone")).unionByName(
+        prepared.select("simulation_id", F.col("backbone_newick").alias("newick"), F.lit(True).alias("backbone"))
+    )
+    joined = nw.with_tree(both.join(side, "simulation_id"), "newick")
+    # a manifest's backbones have been checked, and need no lengths
+    problem = F.when(~F.col("backbone"), ft.tree_problem(F.col("tree"), F.col("tree_error"), F.col("taxa")))
     checked = F.when(problem.isNotNull(), F.raise_error(F.concat_ws(": ", F.col("simulation_id"), problem))).otherwise(F.col("tree"))
-    rows = tp.any_triplets(joined.withColumn("tree", checked), "tree", "taxa", "plan", ["simulation_id", "gene_tree_count"])
+    rows = tp.any_triplets(joined.withColumn("tree", checked), "tree", "taxa", "plan", ["simulation_id", "gene_tree_count", "backbone"])
     stop = F.raise_error(F.concat_ws(": ", F.col("simulation_id"), F.col("problem"), F.col("triplet_id")))
-    return rows.withColumn("topo", F.when(F.col("problem").isNotNull(), stop).otherwise(F.col("topo"))).drop("problem")
+    topo = F.when(F.col("problem").isNotNull(), stop).otherwise(F.col("topo"))
+    return rows.withColumns({
+        "label": F.when(F.col("backbone"), topo), "topo": F.when(~F.col("backbone"), topo), "bl": F.when(~F.col("backbone"), F.col("bl"))
+    }).drop("problem", "backbone")
 
 
 def extract_features(trees: DataFrame, manifest: DataFrame, spread: bool = False) -> DataFrame:
@@ -89,16 +99,15 @@ def extract_features(trees: DataFrame, manifest: DataFrame, spread: bool = False
     prepared = prepare_manifest(manifest)
     if "triplets_per_simulation" in manifest.columns:
         prepared = cut_lineage(prepared)  # a row per simulation, read by every step of the capped plan
-    rows = ft.summarize(observe(trees, prepared), extra=["gene_tree_count"], spread=spread)
+    rows = ft.summarize(observe(trees, prepared), extra=["gene_tree_count"], spread=spread, label="label")
     seen = F.col("n0") + F.col("n1") + F.col("n2")
     stop = F.raise_error(
         F.format_string("%s: expected %d gene trees, found %d", F.col("simulation_id"), F.col("gene_tree_count"), seen)
     )
     rows = rows.withColumn("n0", F.when(seen != F.col("gene_tree_count"), stop).otherwise(F.col("n0"))).drop("gene_tree_count")
     kept = [c for c in METADATA if c in manifest.columns]
-    labelled = rows.join(prepared.select("simulation_id", *kept, "btree"), "simulation_id")
-    label = tp.resolve(F.col("btree"), *[F.col(t) for t in ft.TAXA])["topo"]
-    return labelled.withColumn("label", label).drop("btree")
+    # the label comes last, as readers of older tables expect
+    return rows.join(prepared.select("simulation_id", *kept), "simulation_id").select(*[c for c in rows.columns if c != "label"], *kept, "label")
 
 
 def unmatched_simulations(trees: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import argparse
 import json
+import re
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import newick as nw
 from ..operators import assembly as asm
 from ..operators import comparison as cmp
 from ..operators import design as ds
@@ -16,7 +18,7 @@ from ..operators import features as ft
 from ..operators import learning as ln
 from ..operators import weights as wt
 from ..session import build_session
-from ..sources import tables
+from ..sources import numbering, publishing, tables
 from . import extraction as ex
 
 ASSEMBLED = ["inferred_newick", "assembly_status", "assembly_error", "assembly_seconds"]
@@ -28,7 +30,7 @@ def make_manifest(spark: SparkSession, config: str, out: str) -> dict:
 
 
 def select_manifest(spark: SparkSession, manifest: str, out: str, runs: int = 12, seed: int = 20260828) -> dict:
-    source = tables.read_table(spark, manifest)
+    source = numbering.read_numbered(spark, manifest)
     tables.write_table(ds.select_balanced(source, runs, seed), out, "overwrite")
     chosen = tables.read_table(spark, out).agg(
         F.count(F.lit(1)).alias("selected_runs"), F.count_distinct("backbone_id").alias("backbones"), F.sum("gene_tree_count").alias("gene_trees")
@@ -36,23 +38,29 @@ def select_manifest(spark: SparkSession, manifest: str, out: str, runs: int = 12
     return {"selected_manifest": out, "runs_per_backbone": runs, **chosen.first().asDict()}
 
 
+def row_range(rows: DataFrame, start_row: int | None, end_row: int | None, name: str = "source_manifest_row") -> DataFrame:
+    """Rows with a number from ``start_row`` to ``end_row``, both included; a range that isn't within the table stops the job."""
+    last = rows.agg(F.max(name)).first()[0] or 0
+    low, high = 1 if start_row is None else start_row, last if end_row is None else end_row
+    if not 1 <= low <= high <= last:
+        raise ValueError(f"rows {low} to {high} aren't a range within the {last} rows of the manifest")
+    return rows.where(F.col(name).between(low, high))
+
+
 def extract(spark: SparkSession, manifest: str, trees_dir: str, out: str, start_row: int | None = None, end_row: int | None = None, overwrite: bool = False) -> dict:
-    """Features of all manifest rows, or of a 1-based inclusive range of rows by simulation_id order.
+    """Features of all manifest rows, or of a 1-based inclusive range of rows in the manifest's own order.
 
-    Without ``overwrite``, simulations already in ``out`` are skipped and the rest is appended.
+    Without ``overwrite``, simulations already in ``out`` are skipped. The others become one batch, named by its
+    simulations, that is published after it has been read back and compared: a repeated attempt replaces its batch. A
+    gene tree that stops the job is reported with its file and line.
     """
     rows = tables.read_table(spark, manifest)
     if start_row is not None or end_row is not None:
-        low, high = start_row or 1, end_row or 2**62
-        if low < 1 or high < low:
-            raise ValueError("Row range must be 1-based and not empty")
-        numbered = cmp.row_numbers(rows, [], [F.substring("simulation_id", 1, 24)], [F.col("simulation_id")], "__row")
-        rows = numbered.where(F.col("__row").between(low, high)).drop("__row")
+        rows = row_range(numbering.read_numbered(spark, manifest, "__row"), start_row, end_row, "__row").drop("__row")
     requested = rows.count()
     if not requested:
-        raise ValueError("Manifest is empty")
-    resume = not overwrite and tables.exists(spark, out)
-    if resume:
+        raise ValueError("the manifest has no rows")
+    if not overwrite and tables.exists(spark, out):
         rows = tables.pending(rows, tables.read_table(spark, out, ["simulation_id"]))
     trees = tables.read_gene_trees(spark, trees_dir)
     missing = rows.join(trees.select("simulation_id").distinct(), "simulation_id", "left_anti").select("simulation_id").limit(5).collect()
@@ -60,17 +68,34 @@ def extract(spark: SparkSession, manifest: str, trees_dir: str, out: str, start_
         raise FileNotFoundError("No gene trees for " + ", ".join(r[0] for r in missing))
     new = rows.count()
     if new:
-        tables.write_table(ex.extract_features(trees, rows), out, "append" if resume else "overwrite")
+        ids = rows.select("simulation_id")
+        try:
+            publishing.publish(ex.extract_features(trees, rows), out, publishing.batch_of(ids), ids, replace_all=overwrite)
+        except publishing.VerificationError:
+            raise
+        except Exception as error:
+            where = bad_line(spark, trees_dir, str(error))
+            if where is None:
+                raise
+            raise ValueError(where) from error
     done = tables.read_table(spark, out, ["simulation_id"]).groupBy("simulation_id").count().agg(
         F.sum("count").alias("feature_rows"), F.min("count").alias("minimum_triplets"), F.max("count").alias("maximum_triplets")
     )
     return {"requested_simulations": requested, "completed_simulations": new, "skipped_existing": requested - new, **done.first().asDict()}
 
 
+def bad_line(spark: SparkSession, trees_dir: str, message: str) -> str | None:
+    """``path:line: problem`` of the gene tree a failed job complains about; only its simulation's file is read again."""
+    found = re.search(rf"([^\s:\]]+): (?:{'|'.join(map(re.escape, nw.PROBLEMS))})", message)
+    if found is None:
+        return None
+    file = next((f for f in tables.tree_files(spark, trees_dir) if tables.stem(f) == found.group(1)), None)
+    line = None if file is None else numbering.first_bad_lines(spark, file, nw.newick_error).first()
+    return None if line is None else f"{line.file}:{line.line}: {line.problem}"
+
+
 def train(spark: SparkSession, features: str, out: str, **options) -> dict:
-    run = ln.cross_validate(tables.read_table(spark, features), **options)
-    tables.write_table(run.predictions.select(*ln.PREDICTION_COLUMNS), f"{out}/oof_predictions", "overwrite")
-    run.predictions = tables.read_table(spark, f"{out}/oof_predictions")
+    run = ln.cross_validate(tables.read_table(spark, features), out=f"{out}/oof_predictions", **options)
     tables.write_table(run.fold_metrics(), f"{out}/fold_metrics", "overwrite")
     tables.write_table(run.assignments, f"{out}/fold_assignments", "overwrite")
     tables.write_table(run.calibration_curve(), f"{out}/calibration_curve", "overwrite")
@@ -103,7 +128,9 @@ def assemble(spark: SparkSession, features: str, out: str, method: str = "fm", m
     solved = asm.assemble(weighted, method).join(first, "simulation_id").withColumns(
         {"method": F.lit(method), "weight_mode": F.lit(mode), "probability_source": F.lit(source)}
     )
-    tables.write_table(solved, out, "append" if resume else "overwrite")
+    ids = first.select("simulation_id")
+    if not resume or ids.limit(1).count():
+        publishing.publish(solved, out, publishing.batch_of(ids), ids, replace_all=not resume)
     written = tables.read_table(spark, out)
     if manifest is not None and tables.cover_problems(wanted, written).limit(1).count():
         raise RuntimeError("Assembly output does not exactly cover the manifest")

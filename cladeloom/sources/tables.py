@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .publishing import BATCH
+
 
 def read_config(path: str) -> dict:
     with open(path, encoding="utf-8") as handle:
@@ -19,6 +22,16 @@ def file_stem() -> Column:
     return F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1), r"\.(tre|csv)(\.gz)?$", "")
 
 
+def stem(path: str) -> str:
+    """What :func:`file_stem` gives for a path."""
+    return re.sub(r"\.(tre|csv)(\.gz)?$", "", path.rsplit("/", 1)[-1])
+
+
+def tree_files(spark: SparkSession, path: str) -> list[str]:
+    """Files that :func:`read_gene_trees` reads, as the scan lists them."""
+    return list(spark.read.text(path).inputFiles())
+
+
 def read_gene_trees(spark: SparkSession, path: str) -> DataFrame:
     """One row per non-blank line of ``<simulation_id>.tre`` files: simulation_id, newick.
 
@@ -34,7 +47,8 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
         reader = spark.read.option("header", True).option("enforceSchema", False)
         df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     else:
-        df = spark.read.parquet(path)
+        # a table published in batches has their name as a column
+        df = spark.read.parquet(path).drop(BATCH)
     if columns is None:
         return df
     missing = [c for c in columns if c not in df.columns]

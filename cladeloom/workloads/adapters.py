@@ -124,6 +124,46 @@ def tree_pairs_sql(d: Dialect, events: str) -> str:
     )
 
 
+def large_trees_sql(d: Dialect, supplier: str) -> str:
+    """One tree of 40 taxa per supplier, of 180 for every 25th: a ladder of ladders, its lengths multiples of 1/64.
+
+    ``size`` taxa are cut into ladders of ``step`` leaves, and those hang on one long ladder. Taxon numbers are dealt by a
+    multiplication without a common factor.
+    """
+    factor = d.pick(["7", "11", "13", "17", "19"], "s_suppkey % 5")
+    label = lambda i: f"'T' || {_padded(d, f'((({i}) * {factor} + s_suppkey) % size)')}"
+    length = lambda i: f"{d.text(f'(1 + ((s_suppkey + ({i})) * 37) % 63) / 64e0')}"
+    leaf = lambda i: f"',' || {label(i)} || ':1'"
+    if d.name == "spark":
+        inner = (
+            f"concat(repeat('(', step - 1), {label('b * step')}, ':1', array_join(transform(sequence(1, step - 1), x -> "
+            f"concat({leaf('b * step + x')}, '):', {length('b * step + x')})), ''))"
+        )
+        blocks = f"transform(sequence(0, cast(size / step as int) - 1), b -> {inner})"
+        rest = f"array_join(transform(slice(blocks, 2, size), (k, i) -> concat(',', k, '):', {length('i')})), '')"
+        text = f"concat(repeat('(', size(blocks) - 1), blocks[0], {rest})"
+        size_of = "cast(CASE WHEN s_suppkey % 25 = 0 THEN 180 ELSE 40 END as int)"
+        step_of = "cast(element_at(array(2, 4, 5, 10, 20), cast(1 + s_suppkey % 5 as int)) as int)"
+    else:
+        inner = (
+            f"repeat('(', step - 1) || {label('b * step')} || ':1' || array_to_string(list_transform(range(1, step), lambda x: "
+            f"{leaf('b * step + x')} || '):' || {length('b * step + x')}), '')"
+        )
+        blocks = f"list_transform(range(0, size // step), lambda b: {inner})"
+        rest = f"array_to_string(list_transform(blocks[2:], lambda k, i: ',' || k || '):' || {length('i - 1')}), '')"
+        text = f"repeat('(', len(blocks) - 1) || blocks[1] || {rest}"
+        size_of = "CASE WHEN s_suppkey % 25 = 0 THEN 180 ELSE 40 END"
+        step_of = "([2, 4, 5, 10, 20])[1 + s_suppkey % 5]"
+    return (
+        f"SELECT tree_id, size, regexp_replace(whole, ':[0-9.]+$', '') || ';' AS newick FROM (SELECT tree_id, size, s_suppkey, {text} AS whole FROM "
+        f"(SELECT *, {blocks} AS blocks FROM (SELECT s_suppkey, s_suppkey AS tree_id, {size_of} AS size, {step_of} AS step FROM {supplier}) AS sized) AS cut) AS joined"
+    )
+
+
+def _padded(d: Dialect, number: str) -> str:
+    return f"lpad({d.text(number)}, 3, '0')"
+
+
 def observations_sql(d: Dialect, lineitem: str) -> str:
     """One triplet observation per line item."""
     return (
@@ -170,8 +210,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def derive(spark: SparkSession, sf_dir: str, maker, name: str) -> DataFrame:
     source = table(spark, sf_dir, name)
     if maker in (gene_trees_sql, tree_pairs_sql):
-        # a row becomes a tree whose parsing is work for the processor, so rows are dealt evenly whatever the files are like
-        source = source.select("event_id", "user_id", "event_type", "value").repartition("event_id")
+        # a row becomes a tree whose parsing is work for the processor, so rows are dealt evenly whatever the files are like;
+        # without a number, adaptive execution would put so few bytes into one task
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        source = source.select("event_id", "user_id", "event_type", "value").repartition(tasks, "event_id")
     return spark.sql(maker(SPARK, "{source}"), source=source)
 
 
@@ -191,6 +233,11 @@ def observations(spark, sf_dir):
     return derive(spark, sf_dir, observations_sql, "lineitem")
 
 
+def large_trees(spark, sf_dir):
+    rows = derive(spark, sf_dir, large_trees_sql, "supplier")
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "tree_id")
+
+
 def manifest(spark, sf_dir):
     return derive(spark, sf_dir, manifest_sql, "orders")
 

@@ -9,8 +9,7 @@ from ..functions import topology as topo
 from ..operators import comparison as cmp
 from ..operators import design as ds
 from ..operators.ranking import row_numbers
-from ..sources import nexus
-from ..sources import tables
+from ..sources import nexus, numbering, tables
 from . import adapters as ad
 from .q_trees import BACKBONES, relation
 from .registry import big, query, r6
@@ -73,10 +72,14 @@ def balanced_selection_greedy(spark, sf):
     return ds.select_balanced(grid(spark, sf), 5, 9, exact_seed=False).select("backbone_id", "simulation_id", "analysis_selection_rank")
 
 
-@query("selection_rank", f"SELECT simulation_id, row_number() OVER (PARTITION BY backbone_id ORDER BY simulation_id) AS analysis_selection_rank FROM ({MAN})")
+@query("selection_rank", """WITH numbered AS (SELECT *, row_number() OVER () AS source_manifest_row FROM orders)
+SELECT o_orderkey, source_manifest_row, row_number() OVER (PARTITION BY o_custkey ORDER BY source_manifest_row) AS analysis_selection_rank FROM numbered""")
 def selection_rank(spark, sf):
-    rows = row_numbers(ad.manifest(spark, sf), ["backbone_id"], [F.substring("simulation_id", 1, 5)], [F.col("simulation_id")], "analysis_selection_rank")
-    return rows.select("simulation_id", "analysis_selection_rank")
+    """Source rows of a table in its file order, and ranks in that order within a group."""
+    rows = numbering.read_numbered(spark, f"{sf}/orders.parquet").select(
+        "o_orderkey", "source_manifest_row", F.col("o_custkey").alias("backbone_id"), F.col("o_orderkey").cast("string").alias("simulation_id")
+    )
+    return ds.with_selection_rank(rows).select("o_orderkey", "source_manifest_row", big("analysis_selection_rank").alias("analysis_selection_rank"))
 
 
 @query("manifest_audit", f"""SELECT count(*) AS rows, count(DISTINCT simulation_id) AS unique_ids, count(DISTINCT backbone_id) AS backbones,

@@ -160,10 +160,13 @@ def paired_differences(spark, sf):
 REPS = 200
 
 
+_SHARE = f"({ad.DUCK.hash32("'7'", 'r', 'backbone_id')} + 0.5e0) / 4294967296e0"
+
+
 @query("cluster_bootstrap", f"""WITH c AS (SELECT backbone_id, sum(nrf_reduction) AS total, count(*) AS size FROM ({SCENARIO}) WHERE baseline = 'frequency' GROUP BY 1),
-numbered AS (SELECT *, row_number() OVER (ORDER BY md5(backbone_id), backbone_id) AS number, count(*) OVER () AS clusters FROM c),
-draws AS (SELECT r AS repetition, {ad.DUCK.hash32("'7'", 'r', 'number - 1')} % clusters + 1 AS number FROM numbered, range(1, {REPS + 1}) t(r)),
-est AS (SELECT repetition, sum(total) / sum(size) AS e FROM draws JOIN numbered USING (number) GROUP BY 1)
+shares AS (SELECT c.*, r AS repetition, {_SHARE} AS u FROM c, range(1, {REPS + 1}) t(r)),
+draws AS (SELECT *, {' + '.join(f'(u >= {x!r}e0)::int' for x in cmp.POISSON)} AS times FROM shares),
+est AS (SELECT repetition, sum(total * times) / sum(size * times) AS e FROM draws GROUP BY 1 HAVING sum(size * times) > 0)
 SELECT round(quantile_cont(e, 0.025), 6) AS ci_low, round(quantile_cont(e, 0.975), 6) AS ci_high FROM est""")
 def cluster_bootstrap(spark, sf):
     rows = cmp.paired_scenarios(one(spark, sf, "model"), one(spark, sf, "frequency"))
@@ -284,6 +287,34 @@ def id_set_integrity(spark, sf):
     return cmp.id_differences(left, right)
 
 
+def incomplete_sql(d, events):
+    """The methods' rows with simulations that one method lacks and others that one method has twice."""
+    source = f"SELECT *, cast(substr(simulation_id, 2) as bigint) AS event_id FROM ({methods_sql(d, events)}) AS whole"
+    return (
+        f"SELECT * FROM ({source}) AS kept WHERE NOT (method = 'frequency' AND event_id % 97 = 5) "
+        f"UNION ALL SELECT * FROM ({source}) AS again WHERE method = 'majority' AND event_id % 89 = 3"
+    )
+
+
+PER_CELL, PLANNED = 60, list(range(4, 171))
+INC = incomplete_sql(ad.DUCK, "events")
+
+
+@query("report_completeness", f"""WITH m AS ({INC}), names AS (SELECT unnest({METHODS}) AS method),
+cells AS (SELECT method, tree_size, count(*) AS found FROM m GROUP BY ALL),
+planned AS (SELECT method, s AS tree_size, {PER_CELL}::bigint AS expected FROM names, range({PLANNED[0]}, {PLANNED[-1] + 1}) t(s)),
+grid AS (SELECT coalesce(p.method, c.method) AS method, coalesce(p.tree_size, c.tree_size) AS tree_size, expected, coalesce(found, 0) AS found FROM planned p FULL OUTER JOIN cells c
+  ON p.method = c.method AND p.tree_size = c.tree_size),
+ids AS (SELECT DISTINCT simulation_id FROM m), each AS (SELECT i.simulation_id, n.method, count(m.simulation_id) AS found FROM ids i CROSS JOIN names n
+  LEFT JOIN m ON m.simulation_id = i.simulation_id AND m.method = n.method GROUP BY ALL)
+SELECT CASE WHEN expected IS NULL THEN 'foreign' WHEN found = 0 THEN 'missing' WHEN found < expected THEN 'short' ELSE 'surplus' END AS problem, method, tree_size::bigint AS tree_size,
+  NULL::varchar AS simulation_id, coalesce(expected, 0)::bigint AS expected, found FROM grid WHERE expected IS NULL OR found <> expected
+UNION ALL SELECT CASE WHEN found = 0 THEN 'absent' ELSE 'doubled' END, method, NULL, simulation_id, 1, found FROM each WHERE found <> 1""")
+def report_completeness(spark, sf):
+    rows = cmp.grid_problems(ad.derive(spark, sf, incomplete_sql, "events"), METHODS, PLANNED, PER_CELL)
+    return rows.select("problem", "method", big("tree_size").alias("tree_size"), "simulation_id", "expected", "found")
+
+
 @query("truthy_parse", "SELECT o_orderkey, (CASE o_orderkey % 6 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN true ELSE false END) AS flag FROM orders")
 def truthy_parse(spark, sf):
     texts = F.array(*[F.lit(x) for x in (" True ", "1", "YES", "1.0", "no", "")])

@@ -10,9 +10,11 @@ from ..operators import features as ft
 from ..operators import folds as fd
 from ..operators import learning as ln
 from ..operators import metrics as mt
+from ..session import cut_lineage
 from . import adapters as ad
 from .q_assembly import PRED, argmax
 from .q_features import OBS, counted, full, gene_features
+from .q_trees import BACKBONES
 from .registry import big, query, r6
 
 TOP = "greatest(prob0, prob1, prob2)"
@@ -100,11 +102,21 @@ def cyclic_augment(spark, sf):
     return ln.augment(rows).select("event_id", "topology_permutation", *[r6(f"p{k}").alias(f"p{k}") for k in range(3)], big("label").alias("label"))
 
 
-@query("impute_median_indicator", f"""WITH f AS (SELECT * FROM {full(OBS + " WHERE l_linenumber > 3", 'simulation_id, triplet_id')})
+def sparse_sql(d, lineitem):
+    """Every line item as an observation of a finer triplet, so that many triplets lack a topology."""
+    return f"SELECT * REPLACE (triplet_id || '/' || {d.text('round(bl * 40)')} AS triplet_id) FROM ({ad.observations_sql(d, lineitem)}) AS seen" if d.name == "duckdb" else (
+        f"SELECT simulation_id, triplet_id || '/' || {d.text('cast(round(bl * 40) as bigint)')} AS triplet_id, taxon_a, taxon_b, taxon_c, topo, bl FROM ({ad.observations_sql(d, lineitem)}) AS seen"
+    )
+
+
+SPARSE = sparse_sql(ad.DUCK, "lineitem").replace("round(bl * 40)", "round(bl * 40)::bigint")
+
+
+@query("impute_median_indicator", f"""WITH f AS (SELECT * FROM {full(SPARSE, 'simulation_id, triplet_id')})
 SELECT simulation_id, triplet_id, {', '.join(f'round(coalesce({c}, (SELECT median({c}) FROM f)), 6) AS {c}, ({c} IS NULL)::int::double AS {c}_missing' for c in ('mean_bl0', 'mean_bl1', 'mean_bl2'))} FROM f""")
 def impute_median_indicator(spark, sf):
     columns = [f"mean_bl{k}" for k in range(3)]
-    source = ad.derive(spark, sf, lambda d, t: ad.observations_sql(d, t) + " WHERE l_linenumber > 3", "lineitem")
+    source = ad.derive(spark, sf, sparse_sql, "lineitem")
     rows = source.groupBy("simulation_id", "triplet_id").agg(*[F.avg(F.when(F.col("topo") == k, F.col("bl"))).alias(c) for k, c in enumerate(columns)])
     rows = ln.median_fill(rows, columns)
     return rows.select("simulation_id", "triplet_id", *[r6(c).alias(c) for c in columns], *[f"{c}_missing" for c in columns])
@@ -113,12 +125,18 @@ def impute_median_indicator(spark, sf):
 FOLDS = 5
 
 
-@query("balanced_folds", f"""WITH s AS (SELECT user_id, count(*) AS rows, user_id % 3 AS stratum FROM events GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY rows DESC, md5('11|' || user_id), user_id) - 1 AS k FROM s)
-SELECT user_id, stratum::bigint AS stratum, rows, ((k + (SELECT count(*) FROM s WHERE s.stratum < r.stratum)) % {FOLDS} + 1)::bigint AS fold FROM r""")
+def dealt_sql(groups: str, group: str, seed: int, folds: int) -> str:
+    """Folds of ``groups`` (group, rows, stratum): back and forth by size, each stratum from where the one before stopped."""
+    return f"""(WITH s AS ({groups}), z AS (SELECT stratum, count(*) AS n FROM s GROUP BY 1),
+b AS (SELECT stratum, n, coalesce(sum(n) OVER w, 0) AS start, coalesce(sum(n // {folds}) OVER w, 0) AS rounds FROM z WINDOW w AS (ORDER BY stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT s.*, b.n, b.start, b.rounds, row_number() OVER (PARTITION BY s.stratum ORDER BY rows DESC, md5('{seed}|' || {group}), {group}) - 1 AS k FROM s JOIN b USING (stratum))
+SELECT {group}, stratum, rows, ((start + CASE WHEN k // {folds} < n // {folds} AND (rounds + k // {folds}) % 2 = 1 THEN {folds - 1} - k % {folds} ELSE k % {folds} END) % {folds} + 1)::bigint AS fold FROM r)"""
+
+
+@query("balanced_folds", f"SELECT user_id, stratum::bigint AS stratum, rows, fold FROM {dealt_sql('SELECT user_id, count(*) AS rows, user_id % 3 AS stratum FROM events GROUP BY ALL', 'user_id', 11, FOLDS)}")
 def balanced_folds(spark, sf):
     rows = ad.table(spark, sf, "events").select("user_id", (F.col("user_id") % 3).alias("stratum_id"))
-    return fd.group_folds(rows, "user_id", FOLDS, 11, "stratum_id", turned=False).select("user_id", big("stratum").alias("stratum"), "rows", big("fold").alias("fold"))
+    return fd.group_folds(rows, "user_id", FOLDS, 11, "stratum_id").select("user_id", big("stratum").alias("stratum"), "rows", big("fold").alias("fold"))
 
 
 @query("bounded_sample", """SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY md5('5|training-sample|' || user_id || '|' || event_id), event_id) <= 20""")
@@ -128,9 +146,8 @@ def bounded_sample(spark, sf):
 
 
 def trained(spark, sf, **options):
-    rows = gene_features(spark, sf)
-    rows = rows.withColumn("backbone_id", F.col("simulation_id"))
-    return ln.cross_validate(rows, **options)
+    rows = gene_features(spark, sf).withColumn("backbone_id", F.col("simulation_id"))
+    return ln.cross_validate(cut_lineage(rows, "features"), **options)
 
 
 @query("oof_forest")
@@ -138,3 +155,16 @@ def oof_forest(spark, sf):
     """Out-of-fold predictions of the grouped cross-validation over all gene-tree features."""
     run = trained(spark, sf, feature_set="enhanced", folds=2, inner_folds=2, rows_per_simulation=20, iterations=5)
     return run.predictions.select(*[r6(c).alias(c) if "prob" in c else F.col(c) for c in ln.PREDICTION_COLUMNS])
+
+
+@query("oof_properties", f"""SELECT simulation_id, fold, 20::bigint AS rows, 20::bigint AS triplets, 20::bigint AS whole, 20::bigint AS raw_whole, 20::bigint AS labelled
+FROM {dealt_sql(f"SELECT simulation_id, 20 AS rows, 'all' AS stratum FROM ({BACKBONES})", 'simulation_id', 20260828, 3)}""")
+def oof_properties(spark, sf):
+    """What holds of any out-of-fold table: every triplet once, whole groups in the planned fold, probabilities that add up to one."""
+    run = trained(spark, sf, feature_set="enhanced", folds=3, calibration="none", rows_per_simulation=20, iterations=3)
+    total = lambda p: F.col(f"{p}0") + F.col(f"{p}1") + F.col(f"{p}2")
+    good = lambda p: F.count(F.when((F.abs(total(p) - 1) < 1e-9) & (F.least(*[f"{p}{k}" for k in range(3)]) >= 0), 1))
+    return run.predictions.groupBy("simulation_id", big("fold").alias("fold")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("triplet_id").alias("triplets"), good("prob").alias("whole"), good("raw_prob").alias("raw_whole"),
+        F.count(F.when(F.col("label").between(0, 2), 1)).alias("labelled"),
+    )

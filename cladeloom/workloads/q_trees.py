@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import newick as nw
 from ..functions import topology as topo
 from ..operators import triplets as tp
+from ..session import checkpoint_folder
+from ..sources import numbering
 from . import adapters as ad
 from .registry import big, query, r6
 
@@ -82,6 +86,20 @@ def newick_errors(spark, sf):
     return ad.tree_pairs(spark, sf).select("event_id", nw.newick_error(F.col("inferred_newick")).alias("problem"))
 
 
+@query("newick_bad_lines", f"""WITH p AS (SELECT *, pair_type || '-' || shape_number AS file FROM ({PAIRS})),
+n AS (SELECT file, inferred_newick, row_number() OVER (PARTITION BY file ORDER BY event_id) AS line FROM p)
+SELECT file, min(line) AS line, 'parentheses do not match' AS problem, arg_min(inferred_newick, line) AS text FROM n
+WHERE len(replace(inferred_newick, '(', '')) <> len(replace(inferred_newick, ')', '')) GROUP BY file""")
+def newick_bad_lines(spark, sf):
+    """Trees written as text, a file per group in the order of the events, and the first line of each file that isn't a tree."""
+    folder = f"{checkpoint_folder(spark)}/lines-{uuid.uuid4().hex}"
+    rows = ad.tree_pairs(spark, sf).select(F.concat_ws("-", "pair_type", "shape_number").alias("file"), "event_id", "inferred_newick")
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").sortWithinPartitions("file", "event_id")
+    rows.select("file", F.col("inferred_newick").alias("value")).write.partitionBy("file").text(folder)
+    found = numbering.first_bad_lines(spark, f"{folder}/*", nw.newick_error)
+    return found.select(F.regexp_extract("file", "file=([^/]*)/", 1).alias("file"), "line", "problem", "text")
+
+
 @query("leaf_set", RELP + f""" SELECT p.event_id, string_agg(taxon, ',' ORDER BY taxon) AS taxa
 FROM ({PAIRS}) p LEFT JOIN leaves l ON l.id = p.event_id GROUP BY p.event_id""")
 def leaf_set(spark, sf):
@@ -132,10 +150,10 @@ def path_distance(spark, sf):
 def pair_mrca(spark, sf):
     t = F.col("tree")
     at = lambda c: F.array_position(t["taxa"], F.col(c)).cast("int")
-    rows = parsed(spark, sf).select("tree_id", "tree", F.explode_outer(t["taxa"]).alias("first"))
-    rows = rows.select("tree_id", "tree", "first", F.explode_outer(F.filter(t["taxa"], lambda x: x > F.col("first"))).alias("second"))
+    rows = nw.with_ranges(parsed(spark, sf)).select("tree_id", "tree", "ranges", F.explode_outer(t["taxa"]).alias("first"))
+    rows = rows.select("tree_id", "tree", "ranges", "first", F.explode_outer(F.filter(t["taxa"], lambda x: x > F.col("first"))).alias("second"))
     rows = rows.where(F.col("second").isNotNull())
-    node = nw.pair_mrca(t, at("first"), at("second"))
+    node = nw.range_mrca(F.col("ranges"), at("first"), at("second"))
     return rows.select("tree_id", "first", "second", big(node["depth"]).alias("depth"), r6(node["dist"]).alias("root_distance"))
 
 
@@ -144,6 +162,14 @@ def topology_only_newick(spark, sf):
     return ad.gene_trees(spark, sf).select("tree_id", nw.topology_only(F.col("newick")).alias("topology"))
 
 
+@query("newick_write", REL + """ SELECT id AS tree_id, string_agg(CASE WHEN tok LIKE ':%' THEN ':' || rtrim(rtrim(round(substr(tok, 2)::decimal(18, 12), 10)::varchar, '0'), '.') ELSE tok END, '' ORDER BY pos) || ';' AS written
+FROM tk GROUP BY id""")
+def newick_write(spark, sf):
+    """Every tree parsed and written again, lengths with ten digits."""
+    rows = nw.with_tree(ad.gene_trees(spark, sf), "newick", written=True)
+    return rows.select("tree_id", nw.to_newick(F.col("tree")).alias("written"))
+
+
 @query("topology_key", "WITH RECURSIVE " + relation(TREES, "tree_id", "newick") + """,
 up AS (SELECT id, pos AS lo, pos AS hi, taxon AS key, 'x' AS shape FROM leaves),
 """ + "".join(
@@ -191,6 +217,33 @@ def triplet_problems(spark, sf):
     return rows.select("event_id", "triplet_id", "problem")
 
 
+LARGE = ad.large_trees_sql(ad.DUCK, "supplier")
+
+
+@query("large_tree_triplets", f"""WITH {relation(LARGE, 'tree_id', 'newick')}
+SELECT id AS tree_id, a AS first, count(*) FILTER (topo = 0) AS n0, count(*) FILTER (topo = 1) AS n1, count(*) FILTER (topo = 2) AS n2,
+  sum(bl) AS total_length, sum(topo * (997 * substr(b, 2)::bigint + 31 * substr(c, 2)::bigint))::bigint AS mark FROM trip GROUP BY ALL""")
+def large_tree_triplets(spark, sf):
+    """All triplets of trees with 40 and 180 taxa, summed up by their first taxon; lengths are multiples of 1/64, so sums are exact."""
+    rows = tp.tree_triplets(nw.with_tree(ad.large_trees(spark, sf), "newick"), "tree", ["tree_id"])
+    number = lambda t: F.substring(t, 2, 3).cast("bigint")
+    return rows.groupBy("tree_id", F.col("taxon_a").alias("first")).agg(
+        *[F.count(F.when(F.col("topo") == k, 1)).alias(f"n{k}") for k in range(3)], F.sum("bl").alias("total_length"),
+        F.sum(F.col("topo") * (997 * number("taxon_b") + 31 * number("taxon_c"))).alias("mark"),
+    )
+
+
+@query("large_tree_clades", f"""WITH {relation(LARGE, 'tree_id', 'newick')},
+sides AS (SELECT n.id, n.opos, abs(count(*) FILTER (l.pos < w.pos) - count(*) FILTER (l.pos > w.pos)) AS gap
+  FROM nodes n JOIN wk w ON w.id = n.id AND w.tok = ',' AND w.dep = n.dep AND w.pos > n.opos AND w.pos < n.cpos
+  JOIN leaves l ON l.id = n.id AND l.pos > n.opos AND l.pos < n.cpos GROUP BY ALL)
+SELECT id AS tree_id, count(*) AS clades, md5(string_agg(clade, ';' ORDER BY clade)) AS digest, any_value(total)::bigint AS colless
+FROM clades JOIN (SELECT id, sum(gap) AS total FROM sides GROUP BY id) USING (id) GROUP BY id""")
+def large_tree_clades(spark, sf):
+    rows = nw.with_tree(ad.large_trees(spark, sf), "newick").withColumn("all", nw.clades(F.col("tree")))
+    return rows.select("tree_id", big(F.size("all")).alias("clades"), F.md5(F.array_join("all", ";")).alias("digest"), big(nw.colless(F.col("tree"))).alias("colless"))
+
+
 @query("true_labels", f"""WITH {relation(BACKBONES, 'simulation_id', 'backbone_newick')}
 SELECT id AS simulation_id, a || ',' || b || ',' || c AS triplet_id, topo::bigint AS label FROM trip""")
 def true_labels(spark, sf):
