@@ -13,10 +13,10 @@ from cladeloom.session import build_session  # noqa: E402
 from cladeloom.workloads import load_all  # noqa: E402
 from cladeloom.workloads.registry import QUERIES  # noqa: E402
 
-# parsing, features, medians that split groups, both assemblies, evaluation, calibration, statistics
+# parsing, features, medians that split groups, both assemblies, evaluation, trees of 40 and 180 taxa, calibration, statistics
 HEADLINE = [
     "newick_parse", "rooted_rf", "triplet_topology", "enhanced17_features", "enhanced17_observations", "flagship", "assemble_fm",
-    "strata_grouping_sets", "prob_metrics", "temperature_fit", "balanced_folds", "cluster_bootstrap", "balanced_selection_12",
+    "strata_grouping_sets", "large_tree_triplets", "prob_metrics", "temperature_fit", "balanced_folds", "cluster_bootstrap", "balanced_selection_12",
 ]
 
 
