@@ -58,35 +58,25 @@ def resolve(tree: Column, a: Column, b: Column, c: Column) -> Column:
     position = lambda x: F.array_position(tree["taxa"], x).cast("int")
     pa, pb, pc = position(a), position(b), position(c)
     node = lambda x, y: F.when((x > 0) & (y > 0), nw.pair_mrca(tree, x, y))
-    return _resolved(node(pa, pb), node(pa, pc), node(pb, pc), (pa > 0) & (pb > 0) & (pc > 0))
+    found = nw.let(_resolved(node(pa, pb), node(pa, pc), node(pb, pc)), lambda r: r)
+    return F.struct(found["topo"].alias("topo"), found["bl"].alias("bl"), _problem(found).alias("problem"))
 
 
-def _resolved(ab: Column, ac: Column, bc: Column, present: Column) -> Column:
+def _resolved(ab: Column, ac: Column, bc: Column) -> Column:
+    """Struct (topo, bl, absent) from the MRCAs of the three pairs; an MRCA is NULL if one of its taxa is absent."""
     # of the three pair depths two are always equal and the third is at least as deep
-    topo = (
-        F.when(ab["depth"] > ac["depth"], F.lit(0))
-        .when(ac["depth"] > ab["depth"], F.lit(1))
-        .when(bc["depth"] > ab["depth"], F.lit(2))
-    )
-    by_depth = (
-        F.when(ab["depth"] > ac["depth"], ab["dist"] - ac["dist"])
-        .when(ac["depth"] > ab["depth"], ac["dist"] - ab["dist"])
-        .when(bc["depth"] > ab["depth"], bc["dist"] - ab["dist"])
-    )
-    return F.struct(
-        F.when(present, topo).alias("topo"),
-        F.when(present, by_depth).alias("bl"),
-        F.when(~present, F.lit("planned taxa are absent")).when(topo.isNull(), F.lit("the tree leaves the triplet open")).alias("problem"),
+    as_row = lambda topo, bl, absent=False: F.struct(F.lit(topo).cast("int").alias("topo"), bl.cast("double").alias("bl"), F.lit(absent).alias("absent"))
+    return (
+        F.when(ab.isNull() | ac.isNull() | bc.isNull(), as_row(None, F.lit(None), True))
+        .when(ab["depth"] > ac["depth"], as_row(0, ab["dist"] - ac["dist"]))
+        .when(ac["depth"] > ab["depth"], as_row(1, ac["dist"] - ab["dist"]))
+        .when(bc["depth"] > ab["depth"], as_row(2, bc["dist"] - ab["dist"]))
+        .otherwise(as_row(None, F.lit(None)))
     )
 
 
-def _named(a: Column, b: Column, c: Column, ab: Column, ac: Column, bc: Column) -> Column:
-    """One generated triplet: its taxa and how the tree resolves it. The MRCAs are computed once."""
-    def finish(v: Column) -> Column:
-        present = v["ab"].isNotNull() & v["ac"].isNotNull() & v["bc"].isNotNull()
-        return F.struct(a.alias("taxon_a"), b.alias("taxon_b"), c.alias("taxon_c"), _resolved(v["ab"], v["ac"], v["bc"], present).alias("r"))
-
-    return nw.let(F.struct(ab.alias("ab"), ac.alias("ac"), bc.alias("bc")), finish)
+def _problem(r: Column) -> Column:
+    return F.when(r["absent"], F.lit("planned taxa are absent")).when(r["topo"].isNull(), F.lit("the tree leaves the triplet open"))
 
 
 def tree_triplets(df: DataFrame, tree: str, carry: list[str], taxa: str | None = None) -> DataFrame:
@@ -134,9 +124,9 @@ def any_triplets(df: DataFrame, tree: str, taxa: str, plan: str, carry: list[str
     # line i holds the MRCAs with the taxa after i
     lines = F.transform(at, lambda p, i: F.transform(F.slice(at, i + 2, n), lambda q: node(p, q)))
     place = lambda i: F.get(at, i)
-    chosen = F.transform("__plan", lambda p: _named(
-        F.get(names, p["x"]), F.get(names, p["y"]), F.get(names, p["z"]),
-        node(place(p["x"]), place(p["y"])), node(place(p["x"]), place(p["z"])), node(place(p["y"]), place(p["z"])),
+    pairs = lambda p: F.struct(*[node(place(p[u]), place(p[v])).alias(u + v) for u, v in ("xy", "xz", "yz")])
+    chosen = F.transform("__plan", lambda p: F.struct(
+        *[F.get(names, p[v]).alias(f"taxon_{t}") for t, v in zip("abc", "xyz")], nw.let(pairs(p), lambda v: _resolved(v["xy"], v["xz"], v["yz"])).alias("r")
     ))
     rows = rows.withColumn("__m", F.when(whole, lines)).withColumn("__chosen", chosen)
     # a row with a plan passes the first two generators as one row
@@ -148,19 +138,25 @@ def any_triplets(df: DataFrame, tree: str, taxa: str, plan: str, carry: list[str
     rows = rows.where(i.isNotNull()).select(*kept, "__i", F.get(m, i).alias("__line"), F.when(m.isNotNull(), second).otherwise(none).alias("__seconds"))
     rows = rows.select(*kept, "__i", "__line", F.explode_outer("__seconds").alias("__s"))
     j, line = F.col("__s.j"), F.col("__line")
-    third = F.transform(numbers(j + 1, n - 1), lambda k: _named(
-        F.get(names, i), F.get(names, j), F.get(names, k), F.get(line, j - i - 1), F.get(line, k - i - 1), F.get(F.col("__s.line"), k - j - 1)
-    ))
-    rows = rows.where(F.col("__s").isNotNull()).select(*carry, F.when(j.isNotNull(), third).otherwise(F.col("__chosen")).alias("__thirds"))
-    rows = rows.select(*carry, F.explode_outer("__thirds").alias("__p")).where(F.col("__p").isNotNull())
-    return _finish(rows.select(*carry, "__p.taxon_a", "__p.taxon_b", "__p.taxon_c", F.col("__p.r").alias("__r")), carry)
+    rows = rows.where(F.col("__s").isNotNull()).select(
+        *carry, "__taxa", "__chosen", "__line", "__s", "__i", F.get(line, j - i - 1).alias("__ab"), F.get(names, i).alias("__a"), F.get(names, j).alias("__b")
+    )
+    # the two lines run over the same third taxa; names of the first two stay in columns of their own
+    resolved = F.zip_with(F.slice(line, j - i + 1, n), F.col("__s.line"), lambda ac, bc: _resolved(F.col("__ab"), ac, bc))
+    empty = F.array().cast("array<string>")
+    third = F.arrays_zip(empty.alias("taxon_a"), empty.alias("taxon_b"), F.slice(names, j + 2, n).alias("taxon_c"), resolved.alias("r"))
+    rows = rows.select(*carry, "__a", "__b", F.when(j.isNotNull(), third).otherwise(F.col("__chosen")).alias("__thirds"))
+    rows = rows.select(*carry, "__a", "__b", F.explode_outer("__thirds").alias("__p")).where(F.col("__p").isNotNull())
+    return _finish(rows.select(
+        *carry, F.coalesce("__p.taxon_a", "__a").alias("taxon_a"), F.coalesce("__p.taxon_b", "__b").alias("taxon_b"), "__p.taxon_c", F.col("__p.r").alias("__r")
+    ), carry)
 
 
 def _finish(resolved: DataFrame, carry: list[str]) -> DataFrame:
     return resolved.select(
         *carry, "taxon_a", "taxon_b", "taxon_c",
         triplet_id(F.col("taxon_a"), F.col("taxon_b"), F.col("taxon_c")).alias("triplet_id"),
-        F.col("__r.topo").alias("topo"), F.col("__r.bl").alias("bl"), F.col("__r.problem").alias("problem"),
+        F.col("__r.topo").alias("topo"), F.col("__r.bl").alias("bl"), _problem(F.col("__r")).alias("problem"),
     )
 
 
