@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 
 from cladeloom.llm.language_id import Bounds, Scorer, language_of, ngrams_of, split_words, train
@@ -24,16 +26,73 @@ def test_backoff_by_hand(spark):
     model = train(rows, bounds=Bounds(longest_ngram=3))
     assert model.languages == ["aa", "bb"]
     logs = np.log([(2 + 0.5) / (3 + 0.5 * 4), 0.5 / (2 + 0.5 * 4)])
-    assert np.allclose(model.word_logs[model.words["sun"]], logs)
+    assert np.allclose(model.words.sums(np.array([model.words.find("sun")]), np.ones(1)), logs)
     scorer = Scorer(model)
     # no three-letter piece of "^so$" but "^so" is known: the shorter ones aren't asked
-    assert np.allclose(scorer.unseen("so"), model.ngram_logs[[model.ngrams["^so"]]].mean(axis=0))
+    assert np.allclose(scorer.unseen("so"), model.ngrams.sums(np.array([model.ngrams.find("^so")]), np.ones(1)))
     assert ngrams_of("so", 3) == ["^so", "so$"]
-    assert np.array_equal(scorer.unseen("qqq"), np.zeros(2)) or "q" not in model.ngrams
+    assert model.ngrams.find("q") == -1 and model.words.find("su") == -1
     assert scorer.score("luna nova")[0] == "bb"
     assert list(split_words("Ab1c ½ É")) == ["ab", "c", "é"]
 
 
+def plain_scores(labelled, texts, longest):
+    """Log frequencies and back-off by dictionaries of words and n-grams."""
+    languages = sorted({lang for _, lang in labelled if lang})
+    words, grams = {lang: Counter() for lang in languages}, {lang: Counter() for lang in languages}
+    for text, lang in labelled:
+        if lang and text:
+            words[lang].update(split_words(text))
+    for lang in languages:
+        for word, n in words[lang].items():
+            for length in range(1, longest + 1):
+                for gram in ngrams_of(word, length):
+                    grams[lang][gram] += n
+
+    def log(table, key, lang):
+        known = len(set().union(*table.values()))
+        return np.log((table[lang][key] + 0.5) / (sum(table[lang].values()) + 0.5 * known))
+
+    out = []
+    for text in texts:
+        found = list(split_words(text or ""))
+        if not found:
+            out.append(("und", 0.0))
+            continue
+        sums = np.zeros(len(languages))
+        for word in found:
+            if any(word in words[lang] for lang in languages):
+                sums += [log(words, word, lang) for lang in languages]
+                continue
+            for length in range(min(longest, len(word) + 2), 0, -1):
+                known = [g for g in ngrams_of(word, length) if any(g in grams[lang] for lang in languages)]
+                if known:
+                    sums += [np.mean([log(grams, g, lang) for g in known]) for lang in languages]
+                    break
+        best = int(np.argmax(sums))
+        out.append((languages[best], float(1 / np.exp(sums - sums[best]).sum())))
+    return out
+
+
+def test_against_dictionaries(spark, frame, documents):
+    rows = documents.limit(60).collect()
+    labelled = [(r.text, r.lang if r.doc_id % 3 else None) for r in rows]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(labelled)], "doc_id bigint, text string, lang string")
+    model = train(docs, bounds=Bounds(longest_ngram=4))
+    texts = [(r.text or "")[:300] for r in rows] + ["", "12", "zzzz qqq", "the la de und"]
+    scorer = Scorer(model)
+    for text, (lang, score) in zip(texts, plain_scores(labelled, texts, 4), strict=True):
+        found = scorer.score(text)
+        assert found[0] == lang and abs(found[1] - score) < 1e-4
+
+
+def test_every_language_can_be_predicted(spark):
+    rows = spark.createDataFrame([(i, f"w{chr(97 + i // 26)}{chr(97 + i % 26)} common", f"l{i:03d}") for i in range(300)], "doc_id bigint, text string, lang string")
+    scorer = Scorer(train(rows))
+    assert len(scorer.model.languages) == 300
+    assert all(scorer.score(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}")[0] == f"l{i:03d}" for i in range(300))
+
+
 def test_unusual_rows(spark, frame, odd):
     docs = frame(odd)
     found = docs.select("doc_id", "text", language_of(docs, trained(docs)).alias("f")).collect()
