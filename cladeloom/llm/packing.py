@@ -115,8 +115,16 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: i
     return stored(cut.select(F.monotonically_increasing_id().alias("uid"), "*"), "pieces")
 
 
+class Bins(list):
+    """Lists of piece numbers, and the fill of each. Lists are shared by the solutions that hold them and are never changed."""
+
+    def __init__(self, bins: list[list[int]], fills: list[int]):
+        super().__init__(bins)
+        self.fills = fills
+
+
 class Block:
-    """The pieces of one block, longest first, and solutions over them: lists of bins of piece numbers."""
+    """The pieces of one block, longest first, and solutions over them."""
 
     def __init__(self, lengths: list[int], settings: Settings, seed: int):
         self.lengths, self.settings, self.draw = lengths, settings, random.Random(seed)
@@ -124,50 +132,56 @@ class Block:
 
     def fill(self, bins: list[list[int]]) -> list[int]:
         lengths = self.lengths
-        return [sum(lengths[i] for i in b) for b in bins]
+        return bins.fills if isinstance(bins, Bins) else [sum([lengths[i] for i in b]) for b in bins]
 
     def cost(self, bins: list[list[int]]) -> tuple[int, float]:
-        return len(bins), -sum(x * x for x in self.fill(bins)) / self.settings.capacity**2
+        return len(bins), -sum([x * x for x in self.fill(bins)]) / self.settings.capacity**2
 
-    def place(self, bins: list[list[int]], pieces: list[int]) -> list[list[int]]:
+    def place(self, bins: Bins, pieces: list[int]) -> Bins:
         """Best fit, longest first: each piece goes to the fullest bin that still takes it."""
-        capacity, lengths = self.settings.capacity, self.lengths
-        room = sorted((capacity - used, at) for at, used in enumerate(self.fill(bins)))
+        capacity, lengths, fills = self.settings.capacity, self.lengths, bins.fills
+        room = sorted([(capacity - used, at) for at, used in enumerate(fills)])
         for i in sorted(pieces):  # piece numbers are in order of length
             at = bisect_left(room, (lengths[i], -1))
             if at == len(room):
                 bins.append([i])
+                fills.append(lengths[i])
                 insort(room, (capacity - lengths[i], len(bins) - 1))
             else:
                 free, where = room.pop(at)
-                bins[where].append(i)
+                bins[where] = [*bins[where], i]
+                fills[where] += lengths[i]
                 insort(room, (free - lengths[i], where))
         return bins
 
-    def first(self, noise: float) -> list[list[int]]:
+    def first(self, noise: float) -> Bins:
         """Best fit decreasing; with noise, some pieces come out of turn."""
         late = [i for i in range(len(self.lengths)) if noise and self.draw.random() < noise]
         chosen = set(late)
-        return self.place(self.place([], [i for i in range(len(self.lengths)) if i not in chosen]), late)
+        return self.place(self.place(Bins([], []), [i for i in range(len(self.lengths)) if i not in chosen]), late)
 
-    def cross(self, base: list[list[int]], giver: list[list[int]]) -> list[list[int]]:
-        order = sorted(range(len(giver)), key=self.fill(giver).__getitem__, reverse=True)
+    def cross(self, base: list[list[int]], giver: list[list[int]]) -> Bins:
+        fills = self.fill(giver)
+        order = sorted(range(len(giver)), key=fills.__getitem__, reverse=True)
         order = order[: max(1, len(order) // 2)]
-        taken = [giver[i] for i in self.draw.sample(order, max(1, len(order) // 2))]
-        injected = {i for b in taken for i in b}
-        stay = [b for b in base if injected.isdisjoint(b)]
-        displaced = [i for b in base if not injected.isdisjoint(b) for i in b if i not in injected]
-        return self.place([list(b) for b in taken] + [list(b) for b in stay], displaced)
-
-    def mutate(self, bins: list[list[int]]) -> list[list[int]]:
-        fill = self.fill(bins)
-        order = sorted(range(len(bins)), key=lambda i: fill[i] * self.draw.uniform(0.9, 1.0))
+        taken = self.draw.sample(order, max(1, len(order) // 2))
+        injected = {i for at in taken for i in giver[at]}
+        stay = [at for at, b in enumerate(base) if injected.isdisjoint(b)]
+        kept = set(stay)
+        displaced = [i for at, b in enumerate(base) if at not in kept for i in b if i not in injected]
+        own = self.fill(base)
+        return self.place(Bins([giver[at] for at in taken] + [base[at] for at in stay], [fills[at] for at in taken] + [own[at] for at in stay]), displaced)
+
+    def mutate(self, bins: list[list[int]]) -> Bins:
+        fills = self.fill(bins)
+        order = sorted(range(len(bins)), key=lambda i: fills[i] * self.draw.uniform(0.9, 1.0))
         gone = set(order[: max(2, len(bins) // 20)])
-        return self.place([list(b) for i, b in enumerate(bins) if i not in gone], [i for g in gone for i in bins[g]])
+        stay = [i for i in range(len(bins)) if i not in gone]
+        return self.place(Bins([bins[i] for i in stay], [fills[i] for i in stay]), [i for g in gone for i in bins[g]])
 
-    def evolve(self, start: list[list[list[int]]]) -> list[list[list[int]]]:
+    def evolve(self, start: list[list[list[int]]]) -> list[Bins]:
         size = self.settings.population
-        solutions = start + [self.first(0.0 if not start and n == 0 else 0.1) for n in range(size - len(start))]
+        solutions = [Bins(s, self.fill(s)) for s in start] + [self.first(0.0 if not start and n == 0 else 0.1) for n in range(size - len(start))]
         ranked = sorted(((self.cost(s), n, s) for n, s in enumerate(solutions)), key=lambda x: x[:2])
         count = len(ranked)
         for _ in range(self.settings.generations):
