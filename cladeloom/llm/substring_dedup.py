@@ -81,25 +81,27 @@ def _batch(columns: list, names: list[str], kinds: list[pa.DataType]) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
+ANCHOR = "id bigint, version bigint, anchor bigint, start int, windows int, again boolean"
+
+
 def _anchor_rows(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
+        kinds = [pa.int64()] * 3 + [pa.int32(), pa.int32(), pa.bool_()]
         for batch in batches:
             for offset in range(0, batch.num_rows, 1000):
                 part = batch.slice(offset, 1000)
-                ids, anchors, starts = [], [], []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                out: list[list[np.ndarray]] = [[] for _ in kinds]
+                for doc_id, version, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
                     words = (text.as_py() or b"").split()
                     if len(words) < settings.window:
                         continue
-                    a, s, _, again = runs_of(known.of(words), settings)
-                    if again.any():  # such a run meets itself
-                        a, s = np.concatenate([a, a[again]]), np.concatenate([s, s[again]])
-                    ids.append(np.full(len(a), doc_id, np.int64))
-                    anchors.append(a.view(np.int64))
-                    starts.append(s.astype(np.int32))
-                if ids:
-                    yield _batch([np.concatenate(ids), np.concatenate(anchors), np.concatenate(starts)], ["id", "anchor", "start"], [pa.int64(), pa.int64(), pa.int32()])
+                    a, s, n, again = runs_of(known.of(words), settings)
+                    row = [np.full(len(a), doc_id, np.int64), np.full(len(a), version, np.int64), a.view(np.int64), s.astype(np.int32), n.astype(np.int32), again]
+                    for held, values in zip(out, row, strict=True):
+                        held.append(values)
+                if out[0]:
+                    yield _batch([np.concatenate(x) for x in out], [c.split()[0] for c in ANCHOR.split(", ")], kinds)
 
     return run
 
@@ -108,23 +110,27 @@ RUN = "id bigint, version bigint, anchor bigint, h1 bigint, h2 bigint, start int
 
 
 def _run_rows(settings: Settings):
+    """Digests of the words of the wanted runs; their places are known from the first reading of the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
             for offset in range(0, batch.num_rows, 500):
                 part = batch.slice(offset, 500)
-                out = []
-                for doc_id, version, text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3), strict=True):
-                    words = (text.as_py() or b"").split()
-                    hashes = known.of(words)
-                    anchors, starts, counts, again = runs_of(hashes, settings)
-                    for i in np.flatnonzero(np.isin(starts, wanted.values.to_numpy())):
-                        s, n = int(starts[i]), int(counts[i])
-                        digest = xxhash.xxh3_128_digest(hashes[s : s + n + settings.window - 1].tobytes())
-                        out.append((doc_id, version, int(anchors[i].view(np.int64)), int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), s, n, bool(again[i])))
-                kinds = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.bool_()]
-                columns = list(zip(*out, strict=True)) or [[]] * 8
-                yield _batch(columns, [c.split()[0] for c in RUN.split(", ")], kinds)
+                digests, sizes = [], []
+                for text, wanted in zip(part.column(2), part.column(3), strict=True):
+                    hashes = known.of((text.as_py() or b"").split())
+                    starts = wanted.values.field("start").to_numpy()
+                    ends = starts + wanted.values.field("windows").to_numpy() + settings.window - 1
+                    sizes.append(len(starts))
+                    digests += [xxhash.xxh3_128_digest(hashes[s:e].data) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+                owner = np.repeat(np.arange(part.num_rows), sizes)
+                flat = [part.column(c).to_numpy()[owner] for c in (0, 1)]
+                runs = pa.concat_arrays([w.values for w in part.column(3)]) if len(owner) else None
+                held = {c: runs.field(c) if runs is not None else [] for c in ("anchor", "start", "windows", "again")}
+                columns = [*flat, held["anchor"], halves[:, 0], halves[:, 1], held["start"], held["windows"], held["again"]]
+                yield _batch(columns, [c.split()[0] for c in RUN.split(", ")], [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.bool_()])
 
     return run
 
@@ -221,10 +227,12 @@ def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``(id, version, start, words)``: stretches of words covered by repeats; stretches may overlap."""
     settings = settings or Settings()
     texts = _texts(docs, id_col, text_col)
-    anchors = stored(texts.select("id", "text").mapInArrow(_anchor_rows(settings), "id bigint, anchor bigint, start int"), "anchors")
-    again = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    wanted = stored(anchors.join(again, "anchor", "left_semi").groupBy("id").agg(F.collect_set("start").alias("starts")), "wanted")
-    runs = stored(texts.join(wanted, "id").select("id", "version", "text", "starts").mapInArrow(_run_rows(settings), RUN), "runs")
+    anchors = stored(texts.mapInArrow(_anchor_rows(settings), ANCHOR), "anchors")
+    # a run that holds its anchor twice meets itself
+    again = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.max("again").alias("inner")).where("n > 1 OR inner").select("anchor")
+    place = F.struct("anchor", "start", "windows", "again")
+    wanted = stored(anchors.join(again, "anchor", "left_semi").groupBy("id", "version").agg(F.collect_set(place).alias("runs")), "wanted")
+    runs = stored(texts.join(wanted, ["id", "version"]).select("id", "version", "text", "runs").mapInArrow(_run_rows(settings), RUN), "runs")
     content = ["anchor", "h1", "h2"]
     firsts = stored(
         runs.groupBy(*content).agg(
