@@ -11,7 +11,8 @@ Merges never cross a place that no piece spans (before a run of marks, around a
 that no piece holds in a row), so the text between such places is encoded once and remembered.
 
 Rules for unusual rows: a NULL or empty text has no pieces, only the end id. A text may be as long as a row may be.
-Repeated rows are encoded alike. Other columns pass through.
+Repeated rows are encoded alike. Other columns pass through, but for one that has the name of the result, which is replaced.
+Decoding goes from ids to text alone: pieces, byte pieces and control ids, whatever their order.
 """
 
 from __future__ import annotations
@@ -159,6 +160,11 @@ class Encoder:
             raise ValueError("only models with pieces of at most 255 characters are supported")
         self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.known, self.parts = Remembered(CHUNKS_KEPT, self.chunk), Remembered(CHUNKS_KEPT, self.part)
+        # what each id stands for: nothing, a text, or one byte of a character
+        self.byte_of = np.full(len(model.pieces), -1, np.int16)
+        self.byte_of[list(self.bytes.values())] = list(self.bytes)
+        shown = {UNKNOWN: lambda p: model.trainer_spec.unk_surface, CONTROL: lambda p: "", BYTE: lambda p: ""}
+        self.texts = [shown.get(p.type, lambda p: p.piece.replace(MARK, " "))(p) for p in model.pieces]
 
     def merge(self, chunk: str) -> list[str]:
         """Symbols after all merges, best score first, the leftmost of equal ones."""
@@ -232,6 +238,32 @@ class Encoder:
                 spans += [0] * (len(raw) - 1) + [1]
         return np.array(ids, "<i4").tobytes(), bytes(spans)
 
+    def decode(self, ids: np.ndarray) -> str:
+        """Text of any ids: bytes in a row are read as UTF-8, each that belongs to no character as U+FFFD; control ids show
+        nothing; the space that normalisation puts in front goes again."""
+        bytes_of = self.byte_of[ids]
+        strips = self.rules.dummy_prefix or self.rules.squeeze
+        if not (bytes_of >= 0).any() and not self.rules.squeeze and (not len(ids) or self.texts[ids[0]]):
+            text = "".join(map(self.texts.__getitem__, ids.tolist()))
+            return text[1:] if strips and text.startswith(" ") and ids[0] != self.unknown else text
+        out: list[str] = []
+        held, empty, stripping = bytearray(), True, strips
+        for number, byte in zip([*ids.tolist(), None], [*bytes_of.tolist(), -1], strict=True):
+            if byte >= 0:
+                held.append(byte)
+                continue
+            if held:
+                out.append(_characters(bytes(held)))
+                held, empty = bytearray(), False
+            if number is None:
+                break
+            text = self.texts[number]
+            if empty and stripping and number != self.unknown and text.startswith(" "):
+                text, stripping = text[1:], self.rules.squeeze
+            out.append(text)
+            empty = empty and not text
+        return "".join(out)
+
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
         """Ids without the end id, begin and end byte of each piece, and the decoded text."""
         normal, begins = normalise(text or "", self.rules)
@@ -242,10 +274,25 @@ class Encoder:
         ids, spans = zip(*found, strict=True)
         ends = np.cumsum(np.frombuffer(b"".join(spans), np.uint8), dtype=np.int64)
         bounds = begins[np.concatenate([[0], ends])].astype(np.int32)
-        decoded = normal.replace(MARK, " ")
-        if (self.rules.dummy_prefix or self.rules.squeeze) and decoded.startswith(" "):
-            decoded = decoded[1:]
-        return np.frombuffer(b"".join(ids), "<i4"), bounds[:-1], bounds[1:], decoded
+        numbers = np.frombuffer(b"".join(ids), "<i4")
+        return numbers, bounds[:-1], bounds[1:], self.decode(numbers)
+
+
+def _characters(raw: bytes) -> str:
+    """UTF-8 read leniently: a byte that starts no whole character becomes U+FFFD, and reading goes on at the next one."""
+    out, at = [], 0
+    while at < len(raw):
+        for width in range(1, 5):
+            try:
+                out.append(raw[at : at + width].decode())
+            except UnicodeDecodeError:
+                continue
+            at += width
+            break
+        else:
+            out.append("\ufffd")
+            at += 1
+    return "".join(out)
 
 
 ENCODED = "ids array<int>, begins array<int>, ends array<int>, decoded string"

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 
@@ -61,3 +62,18 @@ def test_unusual_rows(spark, frame, odd):
         assert r.encoded.begins[-1] == r.encoded.ends[-1] == len(raw)
         assert b"".join(raw[a:b] for a, b in zip(r.encoded.begins, r.encoded.ends, strict=True)) == raw
     assert encode(frame([]), PATH).count() == 0
+
+
+def test_decoding_of_any_ids():
+    """Ids that no text gives: stray bytes, control ids, unknown ones, marks in a row."""
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    encoder = Encoder(PATH)
+    draw = random.Random(12)
+    marks = [i for i in range(library.vocab_size()) if set(library.id_to_piece(i)) == {"\u2581"}]
+    pools = [list(encoder.bytes.values()), [0, 1, 2], marks or [5], range(library.vocab_size())]
+    for _ in range(3000):
+        ids = [draw.choice(draw.choice(pools)) for _ in range(draw.randrange(0, 9))]
+        assert encoder.decode(np.array(ids, np.int32)) == library.decode(ids), ids
+    for text in ("na\u00efve \u4f60\u597d \U0001f600 x", "  two  spaces ", "\u0301", "tab\tand\nline"):
+        ids = library.encode(text)
+        assert encoder.encode(text)[3] == encoder.decode(np.array(ids, np.int32)) == library.decode(ids)
