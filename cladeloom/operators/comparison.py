@@ -98,6 +98,33 @@ def checked_method(df: DataFrame, name: str) -> DataFrame:
     return rows.withColumn("exact_match", F.when(problem.isNotNull(), stop).otherwise(flag)).select(*df.columns)
 
 
+def standardized(df: DataFrame, name: str, oracle: bool = False) -> DataFrame:
+    """Rows of one method as the report takes them: simulation_id, tree_size, exact_match, normalized_rooted_rf.
+
+    The tree size may be called ``taxon_count``; truth may be a text or a number. A missing column, a repeated id, a row
+    that isn't completed or a number out of its range stops the job with the method and the id.
+    """
+    size = next((c for c in ("tree_size", "taxon_count") if c in df.columns), None)
+    missing = [c for c in ("simulation_id", "exact_match", "normalized_rooted_rf") if c not in df.columns] + ([] if size else ["tree_size or taxon_count"])
+    if missing:
+        raise ValueError(f"{name} is missing columns: {missing}")
+    status, fine = ("oracle_status", "completed") if oracle else ("evaluation_status", "ok")
+    done = F.col(status).eqNullSafe(F.lit(fine)) if status in df.columns else F.lit(True)
+    key, taxa, rf = F.col("simulation_id").cast("string"), F.col(size).try_cast("double"), F.col("normalized_rooted_rf").try_cast("double")
+    within = lambda x, low, high: F.coalesce(x.between(low, high), F.lit(False))
+    problem = (
+        F.when(F.col("__rows") > 1, "repeated simulation_id").when(~done, f"{status} is not {fine}")
+        .when(~within(taxa, 4, 180) | (taxa != F.floor(taxa)), "tree size is not a whole number from 4 to 180")
+        .when(~within(rf, 0.0, 1.0), "normalized_rooted_rf is not a number from 0 to 1")
+    )
+    repeats = df.groupBy(key.alias("__id")).agg(F.count(F.lit(1)).alias("__rows"))
+    rows = df.join(repeats, key.eqNullSafe(F.col("__id")))
+    stop = F.raise_error(F.concat_ws(": ", F.lit(name), key, problem)).cast("string")
+    return rows.select(
+        F.when(problem.isNotNull(), stop).otherwise(key).alias("simulation_id"), taxa.cast("int").alias("tree_size"), as_boolean(F.col("exact_match")).alias("exact_match"), rf.alias("normalized_rooted_rf")
+    )
+
+
 def first_wins(df: DataFrame, key: list[str], order: list[Column], columns: list[str]) -> DataFrame:
     """The first row of each key; an aggregation, so repeats collapse before the shuffle."""
     names = [f"__o{i}" for i in range(len(order))]

@@ -136,13 +136,22 @@ def evaluate_external(manifest: DataFrame, trees: DataFrame, runs: DataFrame | N
 
     The first statement of the text is used as it stands, comments included in labels.
     """
+    return split_external(marked_external(manifest, trees), runs)
+
+
+def marked_external(manifest: DataFrame, trees: DataFrame) -> DataFrame:
+    """Every manifest row with its external tree's distances, or with what is wrong in ``problem``."""
     texts = trees.select("simulation_id", nw.topology_only(nw.first_statement(F.col("text"))).alias("inferred_newick"),
                          F.lit(True).alias("__found"))
     joined = with_rf(manifest.join(texts, "simulation_id", "left"), "backbone_newick", "inferred_newick")
     problem = F.when(F.col("__found").isNull(), "No tree for the simulation").when(
         F.col("inferred_newick").isNull(), "No complete Newick statement"
     ).otherwise(F.col("problem"))
-    marked = joined.withColumn("problem", problem).drop("__found")
+    return joined.withColumn("problem", problem).drop("__found")
+
+
+def split_external(marked: DataFrame, runs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(evaluated, failures) of marked rows; run times are joined to the evaluated ones."""
     failures = late_where(marked, F.col("problem").isNotNull()).select("simulation_id", F.col("problem").alias("error"))
     good = late_where(marked, F.col("problem").isNull()).withColumnRenamed("resolved", "fully_resolved").drop("problem", "taxon_match")
     if runs is not None:
@@ -150,6 +159,25 @@ def evaluate_external(manifest: DataFrame, trees: DataFrame, runs: DataFrame | N
     return good, failures
 
 
+def external_summary(requested: DataFrame, evaluated: DataFrame, failures: DataFrame, method: str) -> dict:
+    """Numbers of one external method over all requested simulations; a few single rows come to the driver."""
+    timed = "runtime_seconds" in evaluated.columns
+    exact = F.count(F.when(F.col("exact_match"), 1))
+    aggregates = [
+        F.count(F.lit(1)).alias("evaluated_simulations"), exact.alias("exact_tree_count"), rate("exact_match").alias("rooted_exact_match_accuracy"),
+        F.avg("normalized_rooted_rf").alias("mean_normalized_rooted_rf"), F.median("normalized_rooted_rf").alias("median_normalized_rooted_rf"),
+        F.count(F.when(F.col("fully_resolved"), 1)).alias("fully_resolved_inferred_trees"),
+    ]
+    if timed:
+        aggregates += [F.sum("runtime_seconds").alias("total_runtime_seconds"), F.avg("runtime_seconds").alias("mean_runtime_seconds")]
+    found = evaluated.agg(*aggregates).first().asDict()
+    if timed:
+        median = grouped_median(evaluated.withColumn("__one", F.lit(1)), ["__one"], "runtime_seconds").first()
+        found["median_runtime_seconds"] = median["median"] if median else None
+    wrong = failures.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("error").startswith("Taxon mismatch"), 1)).alias("taxa")).first()
+    return {"method": method, "requested_simulations": requested.count(), "failed_simulations": wrong.n, "taxon_mismatches": wrong.taxa, **found}
+
+
 def external_strata(evaluated: DataFrame) -> DataFrame:
     return by_strata(evaluated, EXTERNAL_STRATA, [
         F.count("simulation_id").alias("simulations"),

@@ -1,10 +1,11 @@
-"""The nine steps a user runs, each from files to files."""
+"""The steps a user runs, each from files to files."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import re
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from ..operators import evaluation as ev
 from ..operators import features as ft
 from ..operators import learning as ln
 from ..operators import weights as wt
-from ..session import build_session
+from ..session import build_session, cut_lineage
 from ..sources import numbering, publishing, tables
 from . import extraction as ex
 
@@ -147,6 +148,44 @@ def evaluate(spark: SparkSession, assembled: str, out: str) -> dict:
     return summary
 
 
+def evaluate_external(spark: SparkSession, manifest: str, trees_dir: str, out: str, method: str, runs: str | None = None) -> dict:
+    """Trees that another program left as ``<simulation_id>.tre`` files against a manifest's backbones.
+
+    Writes per_simulation, failures, stratified_metrics and a summary. Files are read and parsed once. ``runs`` names a table
+    with ``runtime_seconds`` per simulation, at most one row each.
+    """
+    requested = tables.read_table(spark, manifest)
+    repeated = requested.groupBy("simulation_id").count().where("count > 1").limit(1).collect()
+    if repeated or not requested.limit(1).count():
+        raise ValueError(f"the manifest repeats {repeated[0][0]}" if repeated else "the manifest has no rows")
+    texts = spark.read.text(trees_dir, wholetext=True).select(tables.file_stem().alias("simulation_id"), F.col("value").alias("text"))
+    marked = cut_lineage(ev.marked_external(requested, texts), "external")
+    times = None
+    if runs is not None:
+        times = tables.read_table(spark, runs, ["simulation_id", "runtime_seconds"])
+        if times.groupBy("simulation_id").count().where("count > 1").limit(1).count():
+            raise ValueError(f"{runs} has several rows for a simulation")
+    good, failures = ev.split_external(marked, times)
+    tables.write_table(good.withColumn("method", F.lit(method)), f"{out}/per_simulation", "overwrite")
+    tables.write_table(failures, f"{out}/failures", "overwrite")
+    good, failures = tables.read_table(spark, f"{out}/per_simulation"), tables.read_table(spark, f"{out}/failures")
+    tables.write_table(ev.external_strata(good), f"{out}/stratified_metrics", "overwrite")
+    summary = ev.external_summary(requested, good, failures, method)
+    tables.write_json(spark, summary, f"{out}/summary")
+    return summary
+
+
+def check_report(spark: SparkSession, methods: list[tuple[str, str]], out: str, sizes: list[int], per_cell: int = 30) -> dict:
+    """Guards of the final report: every method's rows are sound, complete and about the same simulations; faults are written."""
+    parts = [cmp.standardized(tables.read_table(spark, path), name).withColumn("method", F.lit(name)) for name, path in methods]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    tables.write_table(cmp.grid_problems(rows, [name for name, _ in methods], sizes, per_cell), f"{out}/problems", "overwrite")
+    found = tables.read_table(spark, f"{out}/problems").groupBy("problem").count().collect()
+    return {"problems": sum(r["count"] for r in found), **{r["problem"]: r["count"] for r in found}}
+
+
 def compare(spark: SparkSession, reference: tuple[str, str], baselines: list[tuple[str, str]], out: str, repetitions: int = 10_000, seed: int = 20260909) -> None:
     """Summaries, scenario differences and tests of one method against others over the same simulations."""
     name, path = reference
@@ -218,12 +257,34 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--model")
         s.add_argument("--overwrite", action="store_true")
     step("evaluate", "assembled", "out")
+    s = step("evaluate-external", "manifest", "trees-dir", "out", "method")
+    s.add_argument("--runs")
+    s.add_argument("--allow-incomplete", action="store_true")
+    s = step("compare", "out")
+    s.add_argument("--reference", type=_named, required=True)
+    s.add_argument("--baseline", type=_named, action="append", required=True)
+    s.add_argument("--bootstrap-reps", type=int, default=10_000)
+    s.add_argument("--seed", type=int, default=20260909)
+    s = step("check-report", "out")
+    s.add_argument("--method", type=_named, action="append", required=True)
+    s.add_argument("--smallest", type=int, default=4)
+    s.add_argument("--largest", type=int, default=180)
+    s.add_argument("--per-cell", type=int, default=30)
     return top
 
 
-def main(argv: list[str] | None = None) -> None:
+def _named(text: str) -> tuple[str, str]:
+    name, found, path = text.partition("=")
+    if not found or not name or not path:
+        raise argparse.ArgumentTypeError("write NAME=PATH")
+    return name, path
+
+
+def main(argv: list[str] | None = None) -> int:
+    """Runs one step and prints its result; 2 if what it looked at is incomplete, else 0."""
     a = parser().parse_args(argv)
     spark = build_session("cladeloom")
+    code = 0
     if a.step == "make-manifest":
         result = make_manifest(spark, a.config, a.out)
     elif a.step == "select-manifest":
@@ -236,10 +297,19 @@ def main(argv: list[str] | None = None) -> None:
                        calibration_rows=a.final_calibration_rows_per_simulation)
     elif a.step.startswith("assemble"):
         result = assemble(spark, a.features, a.out, a.method, a.weight_mode, a.probability_source, a.probabilities, a.model, a.manifest, a.overwrite)
+    elif a.step == "evaluate-external":
+        result = evaluate_external(spark, a.manifest, a.trees_dir, a.out, a.method, a.runs)
+        code = 2 if result["failed_simulations"] and not a.allow_incomplete else 0
+    elif a.step == "compare":
+        result = compare(spark, a.reference, a.baseline, a.out, a.bootstrap_reps, a.seed)
+    elif a.step == "check-report":
+        result = check_report(spark, a.method, a.out, list(range(a.smallest, a.largest + 1)), a.per_cell)
+        code = 2 if result["problems"] else 0
     else:
         result = evaluate(spark, a.assembled, a.out)
     print(json.dumps(result, indent=2, default=str))
+    return code
 
 
 if __name__ == "__main__":
-    main()
+    sys.exit(main())

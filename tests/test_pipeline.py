@@ -1,5 +1,8 @@
 import os
 
+import pytest
+
+from cladeloom.operators import comparison as cmp
 from cladeloom.operators import design as ds
 from cladeloom.plans import pipeline
 from cladeloom.sources import tables
@@ -53,3 +56,48 @@ def test_run_records(spark):
     new = spark.createDataFrame([("a", "skipped_existing", None), ("b", "completed", 2.0), ("c", "completed", 3.0)], schema)
     rows = {r.simulation_id: (r.status, r.score) for r in tables.upsert_records(old, new).collect()}
     assert rows == {"a": ("completed", 1.0), "b": ("completed", 2.0), "c": ("completed", 3.0)}
+
+
+GOOD = "((A:1,B:1):0.5,C:1.5);"
+
+
+def test_external_trees_with_failures(spark, tmp_path):
+    at = lambda name: str(tmp_path / name)
+    texts = {"right": "log [x;y]\n" + GOOD, "other": "((A,C),B);", "foreign": "((A,X),B);", "broken": "((A,B,C;", "unplanned": GOOD}
+    os.mkdir(at("trees"))
+    for name, text in texts.items():
+        with open(os.path.join(at("trees"), f"{name}.tre"), "w", encoding="utf-8") as handle:
+            handle.write(text + "\n")
+    planned = ["right", "other", "foreign", "broken", "absent"]
+    spark.createDataFrame([(n, GOOD, 3, "b") for n in planned], "simulation_id string, backbone_newick string, tree_size int, backbone_id string").write.parquet(at("manifest"))
+    spark.createDataFrame([("right", 2.0), ("other", 4.0)], "simulation_id string, runtime_seconds double").write.parquet(at("runs"))
+    options = ["--manifest", at("manifest"), "--trees-dir", at("trees"), "--out", at("out"), "--method", "m", "--runs", at("runs")]
+    assert pipeline.main(["evaluate-external", *options]) == 2 and pipeline.main(["evaluate-external", *options, "--allow-incomplete"]) == 0
+    rows = {r.simulation_id: (r.exact_match, r.runtime_seconds) for r in spark.read.parquet(at("out/per_simulation")).collect()}
+    assert rows == {"right": (True, 2.0), "other": (False, 4.0)}
+    assert {r.simulation_id for r in spark.read.parquet(at("out/failures")).collect()} == {"foreign", "broken", "absent"}
+    summary = pipeline.evaluate_external(spark, at("manifest"), at("trees"), at("out"), "m", at("runs"))
+    assert (summary["requested_simulations"], summary["failed_simulations"], summary["taxon_mismatches"], summary["median_runtime_seconds"]) == (5, 3, 1, 3.0)
+    spark.createDataFrame([("right", 1.0)] * 2, "simulation_id string, runtime_seconds double").write.parquet(at("twice"))
+    with pytest.raises(ValueError, match="several rows"):
+        pipeline.evaluate_external(spark, at("manifest"), at("trees"), at("out"), "m", at("twice"))
+
+
+def test_report_guards(spark, tmp_path):
+    at = lambda name: str(tmp_path / name)
+    schema = "simulation_id string, taxon_count string, exact_match string, normalized_rooted_rf double, evaluation_status string"
+    rows = [(f"s{i}", str(4 + i % 2), " Yes" if i % 2 else "0", 0.25, "ok") for i in range(6)]
+    for name, data in (("a", rows), ("b", rows[:-1])):
+        spark.createDataFrame(data, schema).write.parquet(at(name))
+    given = ["check-report", "--method", f"a={at('a')}", "--method", f"b={at('b')}", "--out", at("out"), "--largest", "5", "--per-cell", "3"]
+    assert pipeline.main(given) == 2
+    assert {(r.problem, r.method, r.simulation_id) for r in spark.read.parquet(at("out/problems")).collect()} == {("short", "b", None), ("absent", "b", "s5")}
+    assert pipeline.check_report(spark, [("a", at("a"))], at("out"), [4, 5], 3) == {"problems": 0}
+    exact = {r.simulation_id: r.exact_match for r in cmp.standardized(spark.read.parquet(at("a")), "a").collect()}
+    assert exact == {f"s{i}": i % 2 == 1 for i in range(6)}
+    faults = [("s0", "4", "1", 0.25, "ok"), ("x", "3", "1", 0.25, "ok"), ("x", "4.5", "1", 0.25, "ok"), ("x", "many", "1", 0.25, "ok"), ("x", "4", "1", 1.5, "ok"), ("x", "4", "1", None, "ok"), ("x", "4", "1", 0.5, "failed")]
+    for fault, said in zip(faults, ["repeated", "4 to 180", "4 to 180", "4 to 180", "0 to 1", "0 to 1", "is not ok"], strict=True):
+        with pytest.raises(Exception, match=said):
+            cmp.standardized(spark.createDataFrame([*rows, fault], schema), "a").collect()
+    with pytest.raises(ValueError, match="missing columns"):
+        cmp.standardized(spark.createDataFrame(rows, schema).drop("taxon_count"), "a")
