@@ -21,15 +21,21 @@ def test_stages_in_order_and_what_each_keeps(spark, frame, odd):
     assert sorted(str(r.text) for r in told.collect()) == sorted(str(t) for _, t in odd if any(c.isalpha() for c in t or ""))
     near = by["near_duplicates"](spark, told, "")
     assert near.columns == docs.columns
-    # equal and repeated texts leave one row, the smallest id; rows without an id leave
-    ids = sorted(r.doc_id for r in near.collect())
-    assert ids == [-4, 2, 11, 12, 14]  # 13 is a near copy of 12
+    # equal and repeated texts leave one row, the smallest id; a text without an id, or with the id of another text, stays
+    rows = [(r.doc_id, r.text) for r in near.collect()]
+    ids = [i for i, _ in rows]
+    assert sorted(i for i in ids if i is not None) == [-4, 2, 11, 12, 12, 14]  # 13 is a near copy of 12
+    assert [t for i, t in rows if i is None] == ["no id"] and (12, "another text under a used id") in rows
     left = by["substrings"](spark, near, "").collect()
-    assert {r.doc_id for r in left} == set(ids)
+    assert {r.doc_id for r in left} == set(ids) and len(left) == len(rows)
     texts = {r.doc_id: r.text for r in left}
     assert all(r.n_chars == len(r.text) or r.text in {t for _, t in odd} for r in left)
-    before = {r.doc_id: r.text for r in near.collect()}
+    before = dict(rows)
     assert texts[-4] == before[-4] and texts[11] == before[11]
+    # repeated windows of rows without an id are judged too, behind those with one
+    passage = " ".join(f"word{i}" for i in range(40))
+    cut = by["substrings"](spark, frame([(None, passage + " tail"), (None, "other"), (None, None), (4, passage)]), "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in cut if r.text) == [("4", passage), ("None", "other"), ("None", "tail")] and len(cut) == 4
     empty = frame([])
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, "")
