@@ -1,8 +1,8 @@
 """Four stages from raw documents to packed sequences; every stage works on all that the one before kept.
 
 Each stage takes ``(spark, docs, sf_dir)``. All but the last return the columns they got, so extra columns travel
-along. Empty tables go through every stage. Rows without a ``doc_id`` leave at the near-duplicate stage, which
-couldn't name them; a row repeated as a whole is kept once there.
+along. Empty tables go through every stage. Rows without a ``doc_id`` and different texts under one ``doc_id`` are documents
+of their own in every stage; a row repeated as a whole is kept once from the near-duplicate stage on.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cladeloom.llm.common import read_table
 from cladeloom.llm.language_id import UNDETERMINED, language_of
 from cladeloom.llm.near_dedup import Settings as NearSettings
-from cladeloom.llm.near_dedup import near_duplicates
+from cladeloom.llm.near_rows import one_of_each, renamed_rows, with_identity
 from cladeloom.llm.q_language import trained
 from cladeloom.llm.q_packing import packed
 from cladeloom.llm.substring_dedup import remove_repeats, version_of
@@ -33,16 +33,17 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are linked at 0.8: the one with the smallest id."""
-    kept = near_duplicates(docs, settings=NearSettings(words=5, percent=80)).where("kept").select(F.col("id").alias("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group whose five-word shingles are linked at 0.8: the one with the smallest id, none last."""
+    return one_of_each(docs, NearSettings(words=5, percent=80))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of repeated windows; untouched texts stay as they are, emptied documents go."""
-    left = remove_repeats(docs).where("n_removed > 0").dropDuplicates(["id", "version"])
-    left = left.select(F.col("id").alias("doc_id"), F.col("version").alias("__version"), F.col("kept").alias("__kept"))
-    joined = docs.withColumn("__version", version_of()).join(left, ["doc_id", "__version"], "left").where("__kept IS NULL OR __kept <> ''")
+    """Texts without the words of repeated windows; untouched texts stay as they are, emptied documents go. Rows without
+    an id come behind all others."""
+    named = with_identity(docs, renamed_rows(docs, texts_apart=False))
+    left = remove_repeats(named, "__identity").where("n_removed > 0").dropDuplicates(["id", "version"])
+    left = left.select(F.col("id").alias("__identity"), F.col("version").alias("__version"), F.col("kept").alias("__kept"))
+    joined = named.withColumn("__version", version_of()).join(left, ["__identity", "__version"], "left").where("__kept IS NULL OR __kept <> ''")
     text = F.coalesce("__kept", "text")
     changed = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return joined.withColumns(changed).select(*docs.columns)
