@@ -17,6 +17,7 @@ from ..operators import design as ds
 from ..operators import evaluation as ev
 from ..operators import features as ft
 from ..operators import learning as ln
+from ..operators import oracle as orc
 from ..operators import weights as wt
 from ..session import build_session, cut_lineage
 from ..sources import numbering, publishing, tables
@@ -216,6 +217,31 @@ def compare(spark: SparkSession, reference: tuple[str, str], baselines: list[tup
     tables.write_table(scenarios, f"{out}/scenario_differences", "overwrite")
 
 
+def diagnose_oracle(spark: SparkSession, manifest: str, features: str, out: str, method: str = "fm", baseline: str | None = None,
+                    smallest: int | None = None, largest: int | None = None) -> dict:
+    """Trees from true labels for every manifest row of the wanted sizes, a table per size and, with a model's evaluation, who failed."""
+    wanted = tables.read_table(spark, manifest).where(F.col("tree_size").between(smallest or 0, largest or 2**31 - 1))
+    repeated = wanted.groupBy("simulation_id").count().where("count > 1").limit(1).collect()
+    if repeated or not wanted.limit(1).count():
+        raise ValueError(f"the manifest repeats {repeated[0][0]}" if repeated else "no simulations to diagnose")
+    rows = tables.read_table(spark, features, ["simulation_id", "triplet_id", "taxon_a", "taxon_b", "taxon_c", "label"])
+    tables.write_table(orc.oracle_results(rows, wanted, method), f"{out}/per_simulation", "overwrite")
+    results = tables.read_table(spark, f"{out}/per_simulation")
+    tables.write_table(orc.by_taxon(results), f"{out}/by_taxon", "overwrite")
+    counts = results.agg(
+        F.count(F.lit(1)).alias("simulations"), F.count(F.when(F.col("oracle_status") == "failed", 1)).alias("failed_simulations"),
+        F.count(F.when(F.col("exact_match"), 1)).alias("exact_tree_count"),
+    ).first().asDict()
+    if baseline is not None:
+        model = cmp.checked_method(tables.read_table(spark, baseline).select("simulation_id", "exact_match", "normalized_rooted_rf"), "baseline")
+        tables.write_table(cmp.diagnose(results.where("oracle_status = 'completed'"), model), f"{out}/comparison", "overwrite")
+        diagnosed = tables.read_table(spark, f"{out}/comparison")
+        tables.write_table(cmp.diagnosis_by_size(diagnosed), f"{out}/comparison_by_taxon", "overwrite")
+        counts |= {r.diagnostic_class: r["count"] for r in diagnosed.groupBy("diagnostic_class").count().collect()}
+    tables.write_json(spark, counts, f"{out}/summary")
+    return counts
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="cladeloom")
     steps = top.add_subparsers(dest="step", required=True)
@@ -265,6 +291,11 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--baseline", type=_named, action="append", required=True)
     s.add_argument("--bootstrap-reps", type=int, default=10_000)
     s.add_argument("--seed", type=int, default=20260909)
+    s = step("diagnose-oracle", "manifest", "features", "out")
+    s.add_argument("--method", choices=["fm", "exact"], default="fm")
+    s.add_argument("--baseline")
+    s.add_argument("--smallest", type=int)
+    s.add_argument("--largest", type=int)
     s = step("check-report", "out")
     s.add_argument("--method", type=_named, action="append", required=True)
     s.add_argument("--smallest", type=int, default=4)
@@ -302,6 +333,9 @@ def main(argv: list[str] | None = None) -> int:
         code = 2 if result["failed_simulations"] and not a.allow_incomplete else 0
     elif a.step == "compare":
         result = compare(spark, a.reference, a.baseline, a.out, a.bootstrap_reps, a.seed)
+    elif a.step == "diagnose-oracle":
+        result = diagnose_oracle(spark, a.manifest, a.features, a.out, a.method, a.baseline, a.smallest, a.largest)
+        code = 2 if result["failed_simulations"] else 0
     elif a.step == "check-report":
         result = check_report(spark, a.method, a.out, list(range(a.smallest, a.largest + 1)), a.per_cell)
         code = 2 if result["problems"] else 0
