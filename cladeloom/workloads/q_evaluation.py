@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import comparison as cmp
 from ..operators import evaluation as ev
+from ..operators import oracle as orc
 from . import adapters as ad
 from .q_trees import PAIRS, relation
 from .registry import big, query, r6
@@ -320,3 +321,25 @@ def truthy_parse(spark, sf):
     texts = F.array(*[F.lit(x) for x in (" True ", "1", "YES", "1.0", "no", "")])
     rows = ad.table(spark, sf, "orders")
     return rows.select("o_orderkey", cmp.as_boolean(F.get(texts, (F.col("o_orderkey") % 6).cast("int"))).alias("flag"))
+
+
+@query("oracle_feature_problems", """WITH f AS (SELECT l_orderkey AS k, l_partkey % 40 AS t, CASE WHEN l_quantity > 45 THEN 3 ELSE l_linenumber % 3 END AS label,
+  CASE WHEN l_suppkey % 7 = 6 THEN 'E' WHEN l_suppkey % 2 = 0 THEN 'C' ELSE 'D' END AS c FROM lineitem),
+d AS (SELECT k, count(*) FILTER (n > 1) AS repeated, sum(invalid)::bigint AS invalid FROM (SELECT k, t, count(*) AS n, count(*) FILTER (label > 2) AS invalid FROM f GROUP BY ALL) GROUP BY k),
+x AS (SELECT k, bool_or(c = 'C')::int + bool_or(c = 'D')::int AS seen, bool_or(c = 'C') AS has_c, bool_or(c = 'E')::int AS strange FROM f GROUP BY k)
+SELECT o_orderkey AS simulation_id, CASE WHEN d.k IS NULL THEN 'No feature rows' WHEN repeated > 0 THEN repeated || ' triplets are listed more than once'
+  WHEN invalid > 0 THEN invalid || ' labels are not 0, 1 or 2'
+  WHEN seen < 2 OR strange = 1 THEN 'Taxon mismatch: ' || (2 - seen) || ' lacking' || CASE WHEN seen = 2 THEN '' WHEN has_c THEN ' such as D' ELSE ' such as C' END || ', ' || strange || ' foreign' || CASE strange WHEN 1 THEN ' such as E' ELSE '' END
+  WHEN o_orderkey % 11 = 0 THEN 'tree_size is 5, the backbone has 4 taxa' END AS problem
+FROM orders LEFT JOIN d ON d.k = o_orderkey LEFT JOIN x ON x.k = o_orderkey""")
+def oracle_feature_problems(spark, sf):
+    """Guards of the oracle diagnosis, with orders as simulations and their line items as labelled triplets."""
+    third = F.when(F.col("l_suppkey") % 7 == 6, "E").when(F.col("l_suppkey") % 2 == 0, "C").otherwise("D")
+    features = ad.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("simulation_id"), (F.col("l_partkey") % 40).alias("triplet_id"), F.lit("A").alias("taxon_a"), F.lit("B").alias("taxon_b"),
+        third.alias("taxon_c"), F.when(F.col("l_quantity") > 45, 3).otherwise(F.col("l_linenumber") % 3).alias("label"),
+    )
+    manifest = ad.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("simulation_id"), F.lit("((A,B),(C,D));").alias("backbone_newick"), (F.lit(4) + (F.col("o_orderkey") % 11 == 0).cast("int")).alias("tree_size")
+    )
+    return orc.feature_problems(features, manifest).select("simulation_id", "problem")
