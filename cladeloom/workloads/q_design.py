@@ -37,7 +37,9 @@ GRID = customers_grid_sql(ad.DUCK, "customer")
 
 
 def grid(spark, sf):
-    return ad.derive(spark, sf, customers_grid_sql, "customer")
+    """A customer becomes 108 rows, so a small file of customers is dealt to many tasks first."""
+    customers = ad.dealt(ad.table(spark, sf, "customer").select("c_custkey"), "c_custkey", 2_000)
+    return spark.sql(customers_grid_sql(ad.SPARK, "{source}"), source=customers)
 
 
 @query("factor_grid", f"SELECT backbone_id, gamma, ils_length, gene_tree_count::bigint AS gene_tree_count, count(*) AS cells FROM ({GRID}) GROUP BY ALL")

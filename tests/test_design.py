@@ -156,3 +156,23 @@ def test_the_last_current_record_wins(spark):
     assert [(r.status, r.seconds) for r in tables.upsert_records(old, new, order="at").collect()] == [("completed", 2.0)]
     with pytest.raises(Exception, match="no order column"):
         tables.upsert_records(old, new).collect()
+
+
+def test_a_selection_never_broadcasts_the_manifest(spark):
+    # 15,000 customers make 1.6 million rows, which the planner takes for a small table
+    for runs in (5, 12):
+        chosen = ds.select_balanced(q_design.grid(spark, "/root/testdata/sf0.1"), runs, 9, exact_seed=False)
+        plan = chosen._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    small = ds.select_balanced(q_design.grid(spark, "/root/testdata/sf0.001"), 5, 9, exact_seed=False).toPandas()
+    assert small.groupby("backbone_id").size().eq(5).all() and small.analysis_selection_rank.max() == 5
+
+
+def test_backbones_with_and_without_a_large_grid_go_together(spark):
+    grid = q_design.grid(spark, "/root/testdata/sf0.001")
+    one = grid.agg(F.min("backbone_id")).first()[0]
+    mixed = grid.where((F.col("backbone_id") != one) | (F.col("gamma") != 0.5))
+    chosen = ds.select_balanced(mixed, 12, 9, exact_seed=False).toPandas()
+    assert chosen.groupby("backbone_id").size().eq(12).all() and chosen.simulation_id.is_unique and one in set(chosen.backbone_id)
+    with pytest.raises(Exception, match="does not match exactly one run"):
+        ds.select_balanced(grid.unionByName(grid), 12, 9, exact_seed=False).collect()
