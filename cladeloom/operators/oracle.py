@@ -24,12 +24,13 @@ def feature_problems(features: DataFrame, manifest: DataFrame) -> DataFrame:
 
     Problems: an unreadable backbone, no feature rows, a triplet listed twice, a label other than 0, 1, 2, taxa other than
     the backbone's, a ``tree_size`` other than the number of taxa. Counts are combined before each shuffle; names are
-    never gathered, only the first missing and the first foreign one is told.
+    never gathered, only the first missing and the first foreign one is told. Tables with a row per simulation are asked to be sorted
+    for their joins: the planner takes a compressed column of them for small and would gather it in the driver.
     """
     parsed = nw.with_tree(manifest.select(KEY, "tree_size", "backbone_newick"), "backbone_newick", "__tree")
     tree = F.col("__tree")
     told = cut_lineage(parsed.select(KEY, "tree_size", tree["taxa"].alias("taxa"), F.coalesce(F.col("__tree_error"), nw.leaf_guard(tree)).alias("unreadable")), "backbones")
-    rows = features.join(told.select(KEY), KEY, "left_semi")
+    rows = features.join(told.select(KEY).hint("merge"), KEY, "left_semi")
     valid = F.coalesce(F.col("label").cast("double").isin(0.0, 1.0, 2.0), F.lit(False))
     counts = (
         rows.groupBy(KEY, "triplet_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~valid, 1)).alias("invalid"))
@@ -53,7 +54,7 @@ def feature_problems(features: DataFrame, manifest: DataFrame) -> DataFrame:
         ))
         .when(~F.col("tree_size").cast("int").eqNullSafe(size), F.format_string("tree_size is %s, the backbone has %d taxa", F.col("tree_size").cast("string"), size))
     )
-    return told.join(counts, KEY, "left").join(names, KEY, "left").select(KEY, "taxa", problem.alias("problem"))
+    return told.join(counts.hint("merge"), KEY, "left").join(names.hint("merge"), KEY, "left").select(KEY, "taxa", problem.alias("problem"))
 
 
 def oracle_results(features: DataFrame, manifest: DataFrame, method: str = "fm") -> DataFrame:

@@ -2,6 +2,7 @@ from itertools import combinations
 
 import pytest
 
+from cladeloom.operators import oracle as orc
 from cladeloom.plans import pipeline
 
 TREES = {4: "((A,B),(C,D));", 5: "(((A,B),C),(D,E));"}
@@ -54,3 +55,11 @@ def test_diagnosis_from_files_to_files(spark, tmp_path):
     assert counts["simulations"] == 11 and counts["failed_simulations"] == 7
     with pytest.raises(ValueError, match="no simulations"):
         pipeline.diagnose_oracle(spark, at("manifest"), at("features"), at("x"), largest=3)
+
+
+def test_guards_broadcast_no_table_of_simulations(spark):
+    rows = spark.createDataFrame([("a", t, "A", "B", "C", 0) for t in "xy"] + [("b", "x", "A", "B", "E", 0)], "simulation_id string, triplet_id string, taxon_a string, taxon_b string, taxon_c string, label int")
+    planned = spark.createDataFrame([(s, 3, "((A,B),C);") for s in "abc"], "simulation_id string, tree_size int, backbone_newick string")
+    found = orc.feature_problems(rows, planned)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.simulation_id: r.problem for r in found.collect()} == {"a": None, "b": "Taxon mismatch: 1 lacking such as C, 1 foreign such as E", "c": "No feature rows"}
