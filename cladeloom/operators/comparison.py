@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import md5_int
+from ..session import cut_lineage
 from .evaluation import rate
-from .plan_tools import attach
-from .ranking import grouped_median, value_bin
+from .plan_tools import attach, evenly
+from .ranking import grouped_median, row_numbers, value_bin
 
 # The normal quantile of a 95 % interval, and the taxon-count regimes (lower bounds excluded).
 Z95 = 1.959963984540054
@@ -156,33 +157,28 @@ def paired_scenarios(reference: DataFrame, baseline: DataFrame) -> DataFrame:
     )
 
 
-#: Distribution function of the number of times a cluster is drawn, up to the precision of a double.
-POISSON = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(13)]
-
-
-def multiplicity(seed: int, cluster: Column, repetition: Column) -> Column:
-    """How often a cluster is drawn in a repetition: a Poisson number of mean one, by the hash of both."""
-    share = (md5_int(F.lit(str(seed)), repetition.cast("string"), cluster.cast("string")) + F.lit(0.5)) / F.lit(4294967296.0)
-    times = F.lit(0)
-    for bound in POISSON:
-        times = times + (share >= F.lit(bound)).cast("int")
-    return times
-
-
 def bootstrap_interval(df: DataFrame, cluster: str, value: str, repetitions: int, seed: int) -> DataFrame:
     """2.5 and 97.5 % points of the ratio estimate when whole clusters are drawn with replacement.
 
-    Every cluster draws its own number of copies in each repetition, so no draw has to look up another cluster: a task adds
-    up its clusters per repetition, and the shuffle carries one pair of sums per repetition and task whatever the number of
-    clusters. Copies are Poisson numbers: the usual form for distributed data, whose resamples hold as many clusters as there are
-    only on average. A repetition that draws no cluster has no estimate.
+    Clusters are numbered; every (repetition, place) takes the cluster with the number its hash names, so each resample holds as
+    many clusters as there are. Only sums and counts of clusters are resampled, and draws are summed per repetition before the shuffle.
     """
     clusters = df.groupBy(cluster).agg(F.sum(value).alias("total"), F.count(value).alias("size"))
-    draws = clusters.select(cluster, "total", "size", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("repetition"))
-    times = multiplicity(seed, F.col(cluster), F.col("repetition"))
-    drawn = draws.select("repetition", (F.col("total") * times).alias("total"), (F.col("size") * times).alias("size"))
-    estimates = drawn.groupBy("repetition").agg(F.sum("total").alias("total"), F.sum("size").alias("size")).where("size > 0")
-    points = F.percentile(F.col("total") / F.col("size"), F.array(F.lit(0.025), F.lit(0.975)))
+    key = F.md5(F.col(cluster).cast("string"))
+    numbered = row_numbers(clusters, [], [F.substring(key, 1, 3)], [key, F.col(cluster)], "number", total="clusters")
+    # a row per cluster, read twice: once for its place in every resample, once for its sums
+    numbered = cut_lineage(numbered.select("number", "clusters", "total", "size"), "clusters")
+    draws = evenly(numbered.select("number", "clusters"), "number").select(
+        (F.col("number") - 1).alias("place"), "clusters", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("repetition")
+    ).select(
+        "repetition",
+        (md5_int(F.lit(str(seed)), F.col("repetition").cast("string"), F.col("place").cast("string")) % F.col("clusters") + 1).alias("number"),
+    )
+    estimates = (
+        draws.join(numbered.select("number", "total", "size"), "number")
+        .groupBy("repetition").agg((F.sum("total") / F.sum("size")).alias("estimate"))
+    )
+    points = F.percentile("estimate", F.array(F.lit(0.025), F.lit(0.975)))
     return estimates.agg(points.alias("p")).select(F.col("p")[0].alias("ci_low"), F.col("p")[1].alias("ci_high"))
 
 

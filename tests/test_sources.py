@@ -1,3 +1,4 @@
+import hashlib
 import math
 import os
 import random
@@ -197,6 +198,20 @@ def test_bootstrap_agrees_with_drawing_clusters(spark):
     assert abs(found.ci_low - estimates[100]) < 0.06 * width and abs(found.ci_high - estimates[3900]) < 0.06 * width
 
 
+def test_every_resample_draws_as_many_clusters_as_there_are(spark):
+    values = [(f"c{i}", float(i * i)) for i in range(7) for _ in range(i % 3 + 1)]
+    found = cmp.bootstrap_interval(spark.createDataFrame(values, "c string, v double"), "c", "v", 3, 7).first()
+    digest = lambda text: hashlib.md5(text.encode()).hexdigest()
+    order = sorted({c for c, _ in values}, key=digest)
+    estimates = []
+    for r in (1, 2, 3):
+        drawn = [order[int(digest(f"7|{r}|{place}")[:8], 16) % 7] for place in range(7)]
+        each = [v for c in drawn for k, v in values if k == c]
+        estimates.append(sum(each) / len(each))
+    low, middle, high = sorted(estimates)
+    assert abs(found.ci_low - (low + 0.05 * (middle - low))) < 1e-9 and abs(found.ci_high - (high - 0.05 * (high - middle))) < 1e-9
+
+
 def test_report_grid_names_every_fault(spark):
     rows = [(m, 4 + i % 3, f"s{i}") for m in ("a", "b") for i in range(9)]
     frame = lambda data: spark.createDataFrame(data, "method string, tree_size int, simulation_id string")
