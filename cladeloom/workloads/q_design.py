@@ -44,11 +44,13 @@ def grid(spark, sf):
 
 @query("factor_grid", f"SELECT backbone_id, gamma, ils_length, gene_tree_count::bigint AS gene_tree_count, count(*) AS cells FROM ({GRID}) GROUP BY ALL")
 def factor_grid(spark, sf):
+    """Rows of a backbone are counted before they are multiplied: the grid's cells are many times the backbones, and need no state."""
     values = lambda xs, kind: F.array(*[F.lit(x).cast(kind) for x in xs])
-    rows = ad.table(spark, sf, "customer").select(F.concat(F.lit("bb"), F.col("c_custkey").cast("string")).alias("backbone_id"))
+    rows = ad.table(spark, sf, "customer").groupBy(F.concat(F.lit("bb"), F.col("c_custkey").cast("string")).alias("backbone_id")).agg(F.count(F.lit(1)).alias("cells"))
     for name, xs, kind in (("gamma", (0.0, 0.25, 0.5), "double"), ("ils_length", (0.02, 0.1, 0.5), "double"), ("gene_tree_count", (500, 1000, 2000, 2500), "bigint")):
         rows = rows.withColumn(name, F.explode(values(xs, kind)))
-    return rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(3)))).groupBy("backbone_id", "gamma", "ils_length", "gene_tree_count").agg(F.count(F.lit(1)).alias("cells"))
+    # three replicates a cell
+    return rows.select("backbone_id", "gamma", "ils_length", "gene_tree_count", (3 * F.col("cells")).alias("cells"))
 
 
 @query("balanced_selection_12", f"""WITH o AS (SELECT DISTINCT backbone_id, {ad.DUCK.hash32("'9'", "'selection-offset|' || backbone_id")} % 12 AS o FROM ({GRID})),

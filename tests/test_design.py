@@ -176,3 +176,12 @@ def test_backbones_with_and_without_a_large_grid_go_together(spark):
     assert chosen.groupby("backbone_id").size().eq(12).all() and chosen.simulation_id.is_unique and one in set(chosen.backbone_id)
     with pytest.raises(Exception, match="does not match exactly one run"):
         ds.select_balanced(grid.unionByName(grid), 12, 9, exact_seed=False).collect()
+
+
+def test_the_grid_is_multiplied_after_its_backbones_are_counted(spark, tmp_path):
+    customers = spark.createDataFrame([(1,), (2,), (2,)], "c_custkey bigint")
+    customers.write.parquet(str(tmp_path / "customer.parquet"))
+    cells = QUERIES["factor_grid"](spark, str(tmp_path))
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")
+    assert {(r.backbone_id, r.cells, r.n) for r in cells.groupBy("backbone_id", "cells").agg(F.count("*").alias("n")).collect()} == {("bb1", 3, 36), ("bb2", 6, 36)}
