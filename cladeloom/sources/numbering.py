@@ -42,7 +42,8 @@ def read_numbered(spark: SparkSession, path: str, name: str = "source_manifest_r
         before += r["n"]
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*_SPLIT).schema)
     offsets = spark.createDataFrame(starts, f"{kind}, __offset bigint")
-    return rows.join(offsets, _SPLIT).select(*table.columns, (F.col("__at") + F.col("__offset")).alias(name))
+    # a row per file or split, as the driver made them; joined by sorting, all rows of a file would go to one task
+    return rows.join(F.broadcast(offsets), _SPLIT).select(*table.columns, (F.col("__at") + F.col("__offset")).alias(name))
 
 
 def first_bad_lines(spark: SparkSession, path: str, problem: Callable[[Column], Column]) -> DataFrame:

@@ -198,6 +198,13 @@ def test_bootstrap_agrees_with_drawing_clusters(spark):
     assert abs(found.ci_low - estimates[100]) < 0.06 * width and abs(found.ci_high - estimates[3900]) < 0.06 * width
 
 
+def test_numbered_rows_are_not_sorted_by_file(spark, tmp_path):
+    spark.range(1000).repartition(3).write.parquet(str(tmp_path / "t"))
+    rows = numbering.read_numbered(spark, str(tmp_path / "t"))
+    assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.source_manifest_row for r in rows.collect()) == list(range(1, 1001))
+
+
 def test_every_resample_draws_as_many_clusters_as_there_are(spark):
     values = [(f"c{i}", float(i * i)) for i in range(7) for _ in range(i % 3 + 1)]
     found = cmp.bootstrap_interval(spark.createDataFrame(values, "c string, v double"), "c", "v", 3, 7).first()
