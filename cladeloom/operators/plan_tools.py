@@ -22,12 +22,12 @@ def late_where(df: DataFrame, condition: Column) -> DataFrame:
 
 
 def evenly(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` dealt by ``keys`` to as many tasks as a shuffle may have, for work that its few bytes say nothing about.
+    """``df`` dealt by ``keys`` to as many tasks as a shuffle may have, at least eight a core, for work that its few bytes say nothing about.
 
     Adaptive execution joins small partitions of every other shuffle, and puts such work into few tasks.
     """
     spark = df.sparkSession
-    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    return df.repartition(max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import newick as nw
 from ..operators import features as ft
 from ..operators import triplets as tp
+from ..operators.plan_tools import evenly
 from ..session import cut_lineage
 
 # Manifest columns that a feature row repeats when the manifest has them.
@@ -77,7 +78,8 @@ def observe(trees: DataFrame, prepared: DataFrame) -> DataFrame:
     both = trees.select("simulation_id", "newick", F.lit(False).alias("backbone")).unionByName(
         prepared.select("simulation_id", F.col("backbone_newick").alias("newick"), F.lit(True).alias("backbone"))
     )
-    joined = nw.with_tree(both.join(side, "simulation_id"), "newick")
+    # the trees are parsed after the join: by their bytes they would be put into a few tasks
+    joined = nw.with_tree(evenly(both, "simulation_id").join(side, "simulation_id"), "newick")
     # a manifest's backbones have been checked, and need no lengths
     problem = F.when(~F.col("backbone"), ft.tree_problem(F.col("tree"), F.col("tree_error"), F.col("taxa")))
     checked = F.when(problem.isNotNull(), F.raise_error(F.concat_ws(": ", F.col("simulation_id"), problem))).otherwise(F.col("tree"))

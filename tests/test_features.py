@@ -199,3 +199,11 @@ def test_signed_rank_tail_by_enumeration(spark):
     zero = spark.createDataFrame([(0.0,), (0.0,)], "d double")
     assert cmp.wilcoxon_greater(zero, "d").first().p == 1.0
     assert np.isclose(spark.range(1).select(cmp.wilson(F.lit(8), F.lit(10))[0].alias("x")).first().x, 0.49016, atol=1e-4)
+
+
+def test_trees_are_dealt_evenly_before_they_are_parsed(spark):
+    trees = spark.createDataFrame([("s", "((a:1,b:1):1,c:2);")] * 3, "simulation_id string, newick string")
+    manifest = spark.createDataFrame([("s", "((a,b),c);", 3)], "simulation_id string, backbone_newick string, gene_tree_count int")
+    rows = ex.extract_features(trees, manifest)
+    assert "REPARTITION_BY_NUM" in rows._jdf.queryExecution().executedPlan().toString()
+    assert [(r.n0, r.n1, r.n2, r.label) for r in rows.collect()] == [(3, 0, 0, 0)]
