@@ -390,10 +390,10 @@ def path_distance(tree: Column, first: Column, second: Column, ranges: Column |
     return depth(first) + depth(second) - 2 * (node["depth"] - 1)
 
 
-def clades(tree: Column) -> Column:
-    """Sorted array of nontrivial clades, each its sorted taxa joined by commas."""
+def clades(tree: Column, spans: Column | None = None) -> Column:
+    """Sorted array of nontrivial clades, each its sorted taxa joined by commas; ``spans`` are the tree's if they are known."""
     n = F.size(tree["taxa"])
-    inner = F.filter(node_spans(tree), lambda s: (s["last"] - s["first"] + 1) < n)
+    inner = F.filter(node_spans(tree) if spans is None else spans, lambda s: (s["last"] - s["first"] + 1) < n)
     return F.array_sort(
         F.array_distinct(
             F.transform(
@@ -406,7 +406,7 @@ def clades(tree: Column) -> Column:
     )
 
 
-def is_binary(tree: Column) -> Column:
-    """Every internal node has exactly two children."""
+def is_binary(tree: Column, spans: Column | None = None) -> Column:
+    """Every internal node has exactly two children; ``spans`` are the tree's if they are known."""
     wanted = F.size(tree["taxa"]) - 1
-    return (F.size(node_spans(tree)) == wanted) & (tree["opens"] == wanted)
+    return (F.size(node_spans(tree) if spans is None else spans) == wanted) & (tree["opens"] == wanted)

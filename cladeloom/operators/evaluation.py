@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import newick as nw
-from .plan_tools import late_where
+from .plan_tools import evenly, late_where
 from .ranking import grouped_median
 
 # The strata of an evaluation, each used when all of its columns exist.
@@ -36,14 +36,14 @@ def with_rf(df: DataFrame, true: str, inferred: str) -> DataFrame:
     total = F.size("__tc") + F.size("__ic")
     ok = F.col("problem").isNull()
     return (
-        both.withColumn("__tc", nw.clades(t)).withColumn("__ic", nw.clades(i))
+        both.withColumn("__spans", nw.node_spans(i)).withColumn("__tc", nw.clades(t)).withColumn("__ic", nw.clades(i, F.col("__spans")))
         .withColumn("problem", F.coalesce(unreadable, F.when(~same, mismatch)))
         .withColumn("taxon_match", F.when(unreadable.isNull(), same))
-        .withColumn("resolved", F.when(ok, nw.is_binary(i)))
+        .withColumn("resolved", F.when(ok, nw.is_binary(i, F.col("__spans"))))
         .withColumn("rooted_rf", F.when(ok, distance.cast("bigint")))
         .withColumn("normalized_rooted_rf", F.when(ok, F.when(total > 0, distance / total).otherwise(F.lit(0.0))))
         .withColumn("exact_match", F.when(ok, distance == 0))
-        .drop("__true", "__inf", "__tc", "__ic", "__true_error", "__inf_error")
+        .drop("__true", "__inf", "__tc", "__ic", "__spans", "__true_error", "__inf_error")
     )
 
 
@@ -143,7 +143,8 @@ def marked_external(manifest: DataFrame, trees: DataFrame) -> DataFrame:
     """Every manifest row with its external tree's distances, or with what is wrong in ``problem``."""
     texts = trees.select("simulation_id", nw.topology_only(nw.first_statement(F.col("text"))).alias("inferred_newick"),
                          F.lit(True).alias("__found"))
-    joined = with_rf(manifest.join(texts, "simulation_id", "left"), "backbone_newick", "inferred_newick")
+    # both trees are parsed after the join, so its rows are dealt evenly; the texts, a row per simulation, are not broadcast
+    joined = with_rf(evenly(manifest, "simulation_id").join(texts.hint("merge"), "simulation_id", "left"), "backbone_newick", "inferred_newick")
     problem = F.when(F.col("__found").isNull(), "No tree for the simulation").when(
         F.col("inferred_newick").isNull(), "No complete Newick statement"
     ).otherwise(F.col("problem"))
@@ -155,7 +156,7 @@ def split_external(marked: DataFrame, runs: DataFrame | None = None) -> tuple[Da
     failures = late_where(marked, F.col("problem").isNotNull()).select("simulation_id", F.col("problem").alias("error"))
     good = late_where(marked, F.col("problem").isNull()).withColumnRenamed("resolved", "fully_resolved").drop("problem", "taxon_match")
     if runs is not None:
-        good = good.join(runs.select("simulation_id", "runtime_seconds"), "simulation_id", "left")
+        good = good.join(runs.select("simulation_id", "runtime_seconds").hint("merge"), "simulation_id", "left")
     return good, failures
 
 

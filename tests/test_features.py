@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cladeloom.functions import newick as nw
 from cladeloom.operators import comparison as cmp
+from cladeloom.operators import evaluation as ev
 from cladeloom.operators import features as ft
 from cladeloom.operators import folds as fd
 from cladeloom.operators import metrics as mt
@@ -207,3 +208,12 @@ def test_trees_are_dealt_evenly_before_they_are_parsed(spark):
     rows = ex.extract_features(trees, manifest)
     assert "REPARTITION_BY_NUM" in rows._jdf.queryExecution().executedPlan().toString()
     assert [(r.n0, r.n1, r.n2, r.label) for r in rows.collect()] == [(3, 0, 0, 0)]
+
+
+def test_external_trees_are_dealt_evenly_and_not_broadcast(spark):
+    manifest = spark.createDataFrame([("s", "((a,b),c);"), ("t", "((a,b),c);")], "simulation_id string, backbone_newick string")
+    texts = spark.createDataFrame([("s", "x ((a:1,c:1):1,b:2);")], "simulation_id string, text string")
+    marked = ev.marked_external(manifest, texts)
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "BroadcastHashJoin" not in plan
+    assert {r.simulation_id: (r.rooted_rf, r.resolved, r.problem) for r in marked.collect()} == {"s": (2, True, None), "t": (None, None, "No tree for the simulation")}
