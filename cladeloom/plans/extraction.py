@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import newick as nw
 from ..operators import features as ft
+from ..operators import triplet_arrays as ta
 from ..operators import triplets as tp
-from ..operators.plan_tools import evenly
+from ..operators.plan_tools import evenly, late_where
 from ..session import cut_lineage
 
+#: Pairs of taxa, over all trees of a simulation, that a task may hold where simulations are spread: about eight bytes each.
+HELD_PAIRS = 1 << 26
+
 # Manifest columns that a feature row repeats when the manifest has them.
 METADATA = [
     "experiment_id",
@@ -52,15 +60,11 @@ def prepare_manifest(manifest: DataFrame) -> DataFrame:
     )
 
 
-def observe(trees: DataFrame, prepared: DataFrame) -> DataFrame:
-    """One row per gene tree and planned triplet: simulation_id, gene_tree_count, taxa, topo, bl, label.
-
-    The backbone goes through the same plan as one more tree of its simulation: its rows have a ``label`` instead of
-    a topology and length, so labels reach their triplets in the one shuffle of observations.
+def planned_trees(trees: DataFrame, prepared: DataFrame) -> DataFrame:
+    """Gene trees and backbones, checked and parsed, with their simulation's taxa and plan: simulation_id, gene_tree_count, taxa, plan, backbone, tree.
 
-    A gene tree that cannot be read, lacks a planned taxon or internal length, or leaves a planned triplet
-    unresolved stops the job with its simulation in the message. The join side that travels with the trees
-    holds only the plan; whether it is broadcast is left to its size at run time.
+    A gene tree that cannot be read, or lacks a planned taxon or internal length, stops the job with its simulation in the
+    message. The join side that travels with the trees holds only the plan; whether it is broadcast is left to its size at run time.
     """
     side = prepared.select("simulation_id", F.col("gene_tree_count").cast("bigint").alias("gene_tree_count"), "taxa")
     plan = F.lit(None).cast("array<struct<x:int,y:int,z:int>>")
@@ -83,25 +87,91 @@ def observe(trees: DataFrame, prepared: DataFrame) -> DataFrame:
     # a manifest's backbones have been checked, and need no lengths
     problem = F.when(~F.col("backbone"), ft.tree_problem(F.col("tree"), F.col("tree_error"), F.col("taxa")))
     checked = F.when(problem.isNotNull(), F.raise_error(F.concat_ws(": ", F.col("simulation_id"), problem))).otherwise(F.col("tree"))
-    rows = tp.any_triplets(joined.withColumn("tree", checked), "tree", "taxa", "plan", ["simulation_id", "gene_tree_count", "backbone"])
-    stop = F.raise_error(F.concat_ws(": ", F.col("simulation_id"), F.col("problem"), F.col("triplet_id")))
-    topo = F.when(F.col("problem").isNotNull(), stop).otherwise(F.col("topo"))
+    return joined.withColumn("tree", checked)
+
+
+def observe(trees: DataFrame, prepared: DataFrame) -> DataFrame:
+    """One row per gene tree and planned triplet: simulation_id, gene_tree_count, taxa, topo, bl, label.
+
+    The backbone goes through the same plan as one more tree of its simulation: its rows have a ``label`` instead of
+    a topology and length, so labels reach their triplets in the one shuffle of observations. A tree that leaves a planned
+    triplet unresolved stops the job.
+    """
+    rows = tp.any_triplets(planned_trees(trees, prepared), "tree", "taxa", "plan", ["simulation_id", "gene_tree_count", "backbone"])
+    topo = F.when(F.col("problem").isNotNull(), _open_triplet(F.col("triplet_id"))).otherwise(F.col("topo"))
     return rows.withColumns({
         "label": F.when(F.col("backbone"), topo), "topo": F.when(~F.col("backbone"), topo), "bl": F.when(~F.col("backbone"), F.col("bl"))
     }).drop("problem", "backbone")
 
 
-def extract_features(trees: DataFrame, manifest: DataFrame, spread: bool = False) -> DataFrame:
+def _open_triplet(triplet: Column) -> Column:
+    return F.raise_error(F.concat_ws(": ", F.col("simulation_id"), F.lit(tp.OPEN), triplet))
+
+
+_COUNTED = T.StructType([
+    T.StructField("simulation_id", T.StringType()), *[T.StructField(t, T.StringType()) for t in ft.TAXA], T.StructField("gene_tree_count", T.LongType()),
+    *[T.StructField(f"n{k}", T.LongType()) for k in range(3)],
+    *[T.StructField(f"{stat}_bl{k}", T.DoubleType()) for k in range(3) for stat in ("mean", "median", "std")],
+    T.StructField("label", T.IntegerType()), T.StructField("open", T.BooleanType()),
+])
+
+
+def _count_simulation(trees: pa.Table) -> pa.Table:
+    """Counts and lengths of every planned triplet over the trees of one simulation, and the backbone's topology as its label."""
+    backbone = trees["backbone"].to_numpy()
+    schema = to_arrow_schema(_COUNTED)
+    taxa, plan = (trees[c].filter(trees["backbone"])[0] for c in ("taxa", "plan"))
+    if len(taxa.values) < 3:
+        return schema.empty_table()
+    plan = np.array(plan.values, dtype=np.int64).reshape(-1, 3).T if plan.is_valid else None
+    depths, dists, at = (ta.rectangle(trees[c].combine_chunks()) for c in ("depths", "dists", "at"))
+    parts = []
+    for places, topo, lengths in ta.resolved_blocks(depths, dists, at - 1, plan):
+        size = places.shape[1]
+        label = topo[:, backbone].max(axis=1)
+        part = {c: pa.repeat(trees[c][0], size) for c in ("simulation_id", "gene_tree_count")}
+        part.update({t: taxa.values.take(pa.array(place)) for t, place in zip(ft.TAXA, places)})
+        for k in range(3):
+            n, *stats = ta.length_statistics(topo[:, ~backbone], lengths[:, ~backbone], k)
+            part[f"n{k}"] = pa.array(n)
+            part.update({f"{name}_bl{k}": pa.array(v, mask=n == 0) for name, v in zip(("mean", "median", "std"), stats)})
+        part.update(label=pa.array(label, mask=label < 0), open=pa.array((topo < 0).any(axis=1)))
+        parts.append(pa.table([part[c].cast(schema.field(c).type) for c in schema.names], schema=schema))
+    return pa.concat_tables(parts)
+
+
+def count_simulations(trees: DataFrame, prepared: DataFrame) -> DataFrame:
+    """Counts, statistics of lengths and label per simulation and triplet; ``open`` if a tree leaves the triplet unresolved.
+
+    The parsed trees of a simulation, not their triplets, come together in one task: as many as the manifest says, which is enforced.
+    """
+    tree, backbone = F.col("tree"), F.col("backbone")
+    rows = planned_trees(trees, prepared).select(
+        "simulation_id", "gene_tree_count", "backbone", tree["joins"]["depth"].alias("depths"), tree["joins"]["dist"].alias("dists"),
+        F.transform("taxa", lambda x: F.array_position(tree["taxa"], x).cast("int")).alias("at"), F.when(backbone, F.col("taxa")).alias("taxa"),
+        F.when(backbone, F.flatten(F.transform("plan", lambda p: F.array(p["x"], p["y"], p["z"])))).alias("plan"),
+    )
+    return rows.groupBy("simulation_id", "gene_tree_count").applyInArrow(_count_simulation, _COUNTED)
+
+
+def extract_features(trees: DataFrame, manifest: DataFrame, spread: bool = False, held: int = HELD_PAIRS) -> DataFrame:
     """One feature row per simulation and triplet, with manifest metadata and the backbone's label.
 
-    The number of trees of a simulation comes from the manifest and is enforced, so it bounds each triplet's group.
-    ``spread`` asks for the plan that splits a group over tasks, for simulations of many millions of trees; the
-    caller decides, nothing looks at the data while the job is planned.
+    The number of trees of a simulation comes from the manifest and is enforced, so it bounds what a task holds of it.
+    ``spread`` asks for the plan that splits a triplet's lengths over tasks wherever the manifest has more than ``held`` pairs of
+    taxa in a simulation's trees, or no number of trees; the caller decides, nothing looks at the data while the job is planned.
     """
     prepared = prepare_manifest(manifest)
     if "triplets_per_simulation" in manifest.columns:
         prepared = cut_lineage(prepared)  # a row per simulation, read by every step of the capped plan
-    rows = ft.summarize(observe(trees, prepared), extra=["gene_tree_count"], spread=spread, label="label")
+    n = F.size("taxa").cast("bigint")
+    small = F.coalesce(F.col("gene_tree_count") * n * (n - 1) / 2 <= held, F.lit(False))
+    rows = count_simulations(trees, late_where(prepared, small) if spread else prepared)
+    rows = rows.withColumn("triplet_id", tp.triplet_id(*[F.col(t) for t in ft.TAXA]))
+    rows = rows.withColumn("n0", F.when(F.col("open"), _open_triplet(F.col("triplet_id"))).otherwise(F.col("n0"))).drop("open")
+    rows = ft.derived(rows.select(*ft.KEY, *[c for c in rows.columns if c not in [*ft.KEY, "open"]]))
+    if spread:
+        rows = rows.unionByName(ft.summarize(observe(trees, late_where(prepared, ~small)), extra=["gene_tree_count"], label="label"))
     seen = F.col("n0") + F.col("n1") + F.col("n2")
     stop = F.raise_error(
         F.format_string("%s: expected %d gene trees, found %d", F.col("simulation_id"), F.col("gene_tree_count"), seen)

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import re
 import statistics
 
 import numpy as np
@@ -16,6 +17,7 @@ from cladeloom.operators import features as ft
 from cladeloom.operators import folds as fd
 from cladeloom.operators import metrics as mt
 from cladeloom.operators import ranking as rk
+from cladeloom.operators import triplet_arrays as ta
 from cladeloom.operators import triplets as tp
 from cladeloom.operators import weights as wt
 from cladeloom.plans import extraction as ex
@@ -217,3 +219,31 @@ def test_external_trees_are_dealt_evenly_and_not_broadcast(spark):
     plan = marked._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "BroadcastHashJoin" not in plan
     assert {r.simulation_id: (r.rooted_rf, r.resolved, r.problem) for r in marked.collect()} == {"s": (2, True, None), "t": (None, None, "No tree for the simulation")}
+
+
+def _ladders(rng, names):
+    order = rng.sample(names, len(names))
+    text = f"{order[0]}:1"
+    for name in order[1:]:
+        text = f"({text},{name}:1):{rng.randrange(1, 64) / 64}" if rng.random() < 0.7 else f"({name}:1,{text}):{rng.randrange(1, 64) / 64}"
+    return text.rsplit(":", 1)[0] + ";"
+
+
+def test_simulations_held_whole_and_spread_agree(spark, monkeypatch):
+    """Trees of a simulation come together as arrays, whole, in blocks or split over tasks; some trees have taxa beyond the plan."""
+    rng, names = random.Random(3), list("abcdefgh")
+    plans = [("s", _ladders(rng, names[:6]), 9, None), ("t", _ladders(rng, names[:5]), 4, None), ("u", _ladders(rng, names[:7]), 5, 11), ("v", "(a,b);", 2, None)]
+    plans = [(s, re.sub(r":[0-9.]+", "", text), count, cap) for s, text, count, cap in plans]
+    trees = spark.createDataFrame([(s, _ladders(rng, names[:8 if i % 2 else max(text.count(",") + 1, 3)])) for s, text, count, _ in plans for i in range(count)], "simulation_id string, newick string")
+    manifest = spark.createDataFrame(plans, "simulation_id string, backbone_newick string, gene_tree_count int, triplets_per_simulation int")
+    shown = lambda rows: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in rows.collect())
+    whole = ex.extract_features(trees, manifest)
+    spread = ex.extract_features(trees, manifest, spread=True, held=60)
+    assert "FlatMapGroupsInArrow" in whole._jdf.queryExecution().toString() and whole.columns == spread.columns
+    assert len(shown(whole)) == math.comb(6, 3) + math.comb(5, 3) + 11
+    by_rows = ex.extract_features(trees, manifest, spread=True, held=-1)
+    assert shown(whole) == shown(spread) == shown(by_rows)
+    monkeypatch.setattr(ta, "BLOCK", 30)
+    depths, dists, at = np.array([[1, 3, 2], [2, 1, 2]], dtype=np.int32), np.array([[0.0, 2.0, 1.0], [1.0, 0.0, 1.0]]), np.array([[3, 1, 0, 2], [0, 1, 2, 3]])
+    blocks = list(ta.resolved_blocks(depths, dists, at))
+    assert [b.shape[1] for b, _, _ in blocks] == [4] and np.concatenate([b[1] for b in blocks]).tolist() == [[0, 0], [2, 0], [1, 2], [1, 2]]
