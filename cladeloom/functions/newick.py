@@ -39,7 +39,11 @@ def hide_quoted(text: Column) -> Column:
         ).otherwise(chunk)
 
     hidden = F.array_join(F.transform(chunks, restore), "")
-    return F.when(text.rlike("['\"]"), hidden).otherwise(text)
+    return F.when(has_quote(text), hidden).otherwise(text)
+
+
+def has_quote(text: Column) -> Column:
+    return text.contains("'") | text.contains('"')
 
 
 def show_quoted(label: Column) -> Column:
@@ -172,7 +176,8 @@ def with_tree(df: DataFrame, text: str | Column, name: str = "tree", written: bo
         F.split(F.col(body), ","),
         lambda p: F.struct(
             (F.length(p) - F.length(F.replace(p, F.lit("("), F.lit("")))).alias("opens"),
-            F.trim(F.regexp_extract(p, r"^[\s(]*([^:()]*)", 1)).alias("label"),
+            # what stands before the first colon or closing, without opens and blanks
+            F.trim(F.ltrim(F.substring_index(F.substring_index(p, ":", 1), ")", 1), F.lit("( \t\n\x0b\f\r"))).alias("label"),
             F.when(
                 p.contains(")"), F.transform(F.regexp_extract_all(p, close, F.lit(1)), lambda x: x.try_cast("double"))
             ).otherwise(F.array().cast("array<double>")).alias("closes"),
@@ -227,14 +232,14 @@ def with_tree(df: DataFrame, text: str | Column, name: str = "tree", written: bo
     shallow = F.array_min(joins)["depth"]
     balanced = (opens == count(")")) & F.when(F.size(p) == 1, F.lit(True)).otherwise(shallow >= 1)
     tree = F.struct(
-        F.transform(p, lambda x: show_quoted(x["label"])).alias("taxa"),
+        F.when(has_quote(source), F.transform(p, lambda x: show_quoted(x["label"]))).otherwise(p["label"]).alias("taxa"),
         w["leaf_depths"].alias("leaf_depths"), joins.alias("joins"), opens.alias("opens"),
         # closes followed by another token before any length; nothing follows the root's
         F.regexp_count(b, F.lit(r"\)[^:(),]*(?=[(),])")).alias("missing_lengths"),
         *([text_parts.alias("parts")] if written else []),
     )
-    local = F.when(b.isNull(), F.lit("a leaf has no label")).when(source.rlike(_AFTER_QUOTE), F.lit(AFTER_QUOTE)).when(
-        b.rlike(_MISPLACED) | (b.rlike("['\"]") & b.rlike(_QUOTE_LEFT)), _detail(b)
+    local = F.when(b.isNull(), F.lit("a leaf has no label")).when(has_quote(source) & source.rlike(_AFTER_QUOTE), F.lit(AFTER_QUOTE)).when(
+        b.rlike(_MISPLACED) | (has_quote(b) & b.rlike(_QUOTE_LEFT)), _detail(b)
     )
     return (
         df.withColumn(body, statement_body(source))
@@ -340,6 +345,28 @@ def range_mrca(ranges: Column, first: Column, second: Column) -> Column:
     return F.when(low > 0, F.when(high > low, found).when(high == low, same))
 
 
+def pair_nodes(df: DataFrame, tree: str, carry: list[str]) -> DataFrame:
+    """One row per pair of a tree's taxa in order: carry, first, second, first_depth, second_depth (of the leaves), node (their MRCA).
+
+    Range minima and the pairs' MRCAs are found before the first row is generated; a taxon's row carries its own line of
+    them, and no row of a pair carries a tree.
+    """
+    t, ranges = F.col(tree), F.col("__ranges")
+    rows = with_ranges(df.select(*carry, tree), tree, "__ranges")
+    leaf = lambda x: let(F.array_position(t["taxa"], x).cast("int"), lambda i: F.struct(x.alias("taxon"), i.alias("at"), F.get(t["leaf_depths"], i - 1).alias("depth")))
+    rows = rows.withColumn("__leaves", F.transform(F.array_sort(t["taxa"]), leaf))
+    leaves = F.col("__leaves")
+    line = lambda x, i: F.struct(
+        x.alias("leaf"),
+        F.transform(F.slice(leaves, i + 2, F.size(leaves)), lambda y: F.struct(
+            y["taxon"].alias("second"), y["depth"].alias("second_depth"), range_mrca(ranges, x["at"], y["at"]).alias("node")
+        )).alias("others"),
+    )
+    rows = rows.select(*carry, F.explode(F.transform(leaves, line)).alias("__line"))
+    rows = rows.select(*carry, F.col("__line.leaf.taxon").alias("first"), F.col("__line.leaf.depth").alias("first_depth"), F.explode("__line.others").alias("__p"))
+    return rows.where(F.col("__p.second") > F.col("first")).select(*carry, "first", "__p.second", "first_depth", "__p.second_depth", "__p.node")
+
+
 def _spans(tree: Column) -> Column:
     """For each join, how many joins left and right of it in a row are not shallower, in one pass to each side.
 
@@ -386,8 +413,12 @@ def normalized_colless(tree: Column) -> Column:
 def path_distance(tree: Column, first: Column, second: Column, ranges: Column | None = None) -> Column:
     """Number of edges between the leaves at two 1-based positions; with ``ranges`` in constant time."""
     depth = lambda i: F.element_at(tree["leaf_depths"], i)
-    node = pair_mrca(tree, first, second) if ranges is None else range_mrca(ranges, first, second)
-    return depth(first) + depth(second) - 2 * (node["depth"] - 1)
+    return edges(depth(first), depth(second), pair_mrca(tree, first, second) if ranges is None else range_mrca(ranges, first, second))
+
+
+def edges(first_depth: Column, second_depth: Column, node: Column) -> Column:
+    """Number of edges between two leaves of these depths whose MRCA is ``node``."""
+    return first_depth + second_depth - 2 * (node["depth"] - 1)
 
 
 def clades(tree: Column, spans: Column | None = None) -> Column:

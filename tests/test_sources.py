@@ -2,6 +2,7 @@ import hashlib
 import math
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -254,3 +255,19 @@ def test_boosting_stops_on_groups_it_does_not_learn_from(spark):
     assert scored.columns[: len(frame.columns)] == frame.columns
     right = scored.where(F.greatest("raw_prob0", "raw_prob1", "raw_prob2") == F.get(F.array("raw_prob0", "raw_prob1", "raw_prob2"), F.col("label"))).count()
     assert right > 200
+
+
+def test_rows_of_pairs_carry_no_tree(spark):
+    draw = random.Random(8)
+    texts = [(n, draw.sample(range(n), n)) for n in (1, 2, 3, 20)]
+    frame = spark.createDataFrame([(n, "(T000:1);" if n == 1 else re.sub(r"T(\d+)", lambda m, o=o: f"T{o[int(m[1])]:03d}", ladder(n))) for n, o in texts] + [(0, "((broken;")], "n int, s string")
+    tree = nw.with_tree(frame, "s")
+    found = nw.pair_nodes(tree, "tree", ["n"])
+    assert found.groupBy("n").count().collect() and {r["n"]: r["count"] for r in found.groupBy("n").count().collect()} == {2: 1, 3: 3, 20: 190}
+    at = lambda c: F.array_position(F.col("tree")["taxa"], F.col(c)).cast("int")
+    joined = found.withColumn("edges", nw.edges(F.col("first_depth"), F.col("second_depth"), F.col("node"))).join(tree.select("n", "tree"), "n")
+    right = nw.pair_mrca(F.col("tree"), at("first"), at("second")).eqNullSafe(F.col("node")) & (nw.path_distance(F.col("tree"), at("first"), at("second")) == F.col("edges"))
+    assert joined.where(~right | (F.col("first") >= F.col("second"))).count() == 0
+    # a generator's row holds a taxon's own line, not the tree
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 2 and not re.search(r"Generate explode[^\n]*\n[^\n]*Project \[n#\d+, tree#", plan)
