@@ -362,8 +362,9 @@ def pair_nodes(df: DataFrame, tree: str, carry: list[str]) -> DataFrame:
             y["taxon"].alias("second"), y["depth"].alias("second_depth"), range_mrca(ranges, x["at"], y["at"]).alias("node")
         )).alias("others"),
     )
-    rows = rows.select(*carry, F.explode(F.transform(leaves, line)).alias("__line"))
-    rows = rows.select(*carry, F.col("__line.leaf.taxon").alias("first"), F.col("__line.leaf.depth").alias("first_depth"), F.explode("__line.others").alias("__p"))
+    # outer generators: from others Catalyst derives filters that repeat the parsing below it
+    rows = rows.select(*carry, F.explode_outer(F.transform(leaves, line)).alias("__line"))
+    rows = rows.select(*carry, F.col("__line.leaf.taxon").alias("first"), F.col("__line.leaf.depth").alias("first_depth"), F.explode_outer("__line.others").alias("__p"))
     return rows.where(F.col("__p.second") > F.col("first")).select(*carry, "first", "__p.second", "first_depth", "__p.second_depth", "__p.node")
 
 

@@ -108,3 +108,25 @@ def length_statistics(topo: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np
     row = np.arange(len(count))
     median = (ordered[row, (some - 1) // 2] + ordered[row, some // 2]) / 2
     return count, mean, median, np.sqrt((off * off).sum(axis=1) / some)
+
+
+def trees_together(n: int) -> int:
+    """Trees of ``n`` taxa whose triplets with one first taxon make arrays that stay in a processor's cache."""
+    return max(1, (1 << 16) // comb(n, 2))
+
+
+def sums_by_first(depths: np.ndarray, dists: np.ndarray, at: np.ndarray, numbers: np.ndarray) -> list[np.ndarray]:
+    """Trees x first taxa: numbers of triplets of each topology, total internal length, and the topology times the taxa's ``numbers``."""
+    trees, n = at.shape
+    out = [np.zeros((trees, n - 2), dtype=np.int64) for _ in range(3)] + [np.zeros((trees, n - 2)), np.zeros((trees, n - 2), dtype=np.int64)]
+    second, third = 997 * numbers.T, 31 * numbers.T
+    for (x, y, z), topo, lengths in resolved_blocks(depths, dists, at):
+        cuts = np.flatnonzero(np.diff(x, prepend=-1))
+        firsts = x[cuts]
+        add = lambda into, values: into.__setitem__((slice(None), firsts), into[:, firsts] + np.add.reduceat(values, cuts, axis=0).T)
+        for k in range(3):
+            add(out[k], (topo == k).astype(np.int64))
+        known = topo >= 0
+        add(out[3], np.where(known, lengths, 0.0))
+        add(out[4], np.where(known, topo, 0) * (second[y] + third[z]))
+    return out
