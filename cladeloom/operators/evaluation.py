@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import newick as nw
+from .clade_arrays import robinson_foulds
 from .plan_tools import evenly, late_where
 from .ranking import grouped_median
 
@@ -32,18 +33,20 @@ def with_rf(df: DataFrame, true: str, inferred: str) -> DataFrame:
     mismatch = F.concat(
         F.lit("Taxon mismatch; missing=["), F.array_join(missing, ", "), F.lit("], extra=["), F.array_join(extra, ", "), F.lit("]")
     )
-    distance = F.size(F.array_except("__tc", "__ic")) + F.size(F.array_except("__ic", "__tc"))
-    total = F.size("__tc") + F.size("__ic")
-    ok = F.col("problem").isNull()
+    ok, rf = F.col("problem").isNull(), F.col("__rf")
+    taxa = F.array_sort(t["taxa"])
+    places = lambda tree: F.transform(taxa, lambda x: F.array_position(tree["taxa"], x).cast("int"))
+    held = lambda tree: [F.when(ok, tree["joins"]["depth"]), F.when(ok, places(tree))]
+    n = F.size(i["taxa"])
     return (
-        both.withColumn("__spans", nw.node_spans(i)).withColumn("__tc", nw.clades(t)).withColumn("__ic", nw.clades(i, F.col("__spans")))
-        .withColumn("problem", F.coalesce(unreadable, F.when(~same, mismatch)))
+        both.withColumn("problem", F.coalesce(unreadable, F.when(~same, mismatch)))
         .withColumn("taxon_match", F.when(unreadable.isNull(), same))
-        .withColumn("resolved", F.when(ok, nw.is_binary(i, F.col("__spans"))))
-        .withColumn("rooted_rf", F.when(ok, distance.cast("bigint")))
-        .withColumn("normalized_rooted_rf", F.when(ok, F.when(total > 0, distance / total).otherwise(F.lit(0.0))))
-        .withColumn("exact_match", F.when(ok, distance == 0))
-        .drop("__true", "__inf", "__tc", "__ic", "__spans", "__true_error", "__inf_error")
+        .withColumn("__rf", robinson_foulds(*held(t), *held(i)))
+        .withColumn("resolved", F.when(ok, (rf["nodes"] == n - 1) & (i["opens"] == n - 1)))
+        .withColumn("rooted_rf", F.when(ok, rf["distance"].cast("bigint")))
+        .withColumn("normalized_rooted_rf", F.when(ok, F.when(rf["total"] > 0, rf["distance"] / rf["total"]).otherwise(F.lit(0.0))))
+        .withColumn("exact_match", F.when(ok, rf["distance"] == 0))
+        .drop("__true", "__inf", "__rf", "__true_error", "__inf_error")
     )
 
 

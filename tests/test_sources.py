@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cladeloom.functions import newick as nw
 from cladeloom.operators import comparison as cmp
+from cladeloom.operators import evaluation as ev
 from cladeloom.operators import folds as fd
 from cladeloom.operators import learning as ln
 from cladeloom.operators import triplets as tp
@@ -288,3 +289,30 @@ def test_sums_of_triplets_agree_with_their_rows(spark):
     assert len(shown(found)) == 3 * (1 + 5 + 38) + 3 and shown(found) == shown(rows)
     # nothing repeats the parsing
     assert "Filter" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_distances_by_arrays_agree_with_sets_of_clades(spark):
+    """Trees of up to 130 taxa, some with nodes of many children, one unreadable and one over other taxa."""
+    draw = random.Random(6)
+
+    def text(n, names):
+        forest = [f"{x}:1" for x in names]
+        while len(forest) > 1:
+            some = [forest.pop(draw.randrange(len(forest))) for _ in range(min(len(forest), draw.choice([2, 2, 2, 4])))]
+            forest.append(f"({','.join(some)}):1")
+        return forest[0].rsplit(":", 1)[0] + ";" if n > 1 else "(x0:1);"
+
+    sizes = [n for n in (1, 2, 3, 5, 8, 62, 63, 130) for _ in range(3)]
+    rows = [(k, text(n, names := [f"x{i}" for i in range(n)]), text(n, names)) for k, n in enumerate(sizes)]
+    rows += [(90, rows[-1][1], rows[-1][1]), (91, "((a,b),c);", "((a,b);"), (92, "((a,b),c);", "((a,b),d);")]
+    found = ev.with_rf(spark.createDataFrame(rows, "k int, t string, i string"), "t", "i")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "robinson_foulds" in plan and "Filter" not in plan
+    both = nw.with_tree(nw.with_tree(found, "t", "tt"), "i", "it")
+    one, two = nw.clades(F.col("tt")), nw.clades(F.col("it"))
+    for r in both.select("*", one.alias("c"), two.alias("d"), nw.is_binary(F.col("it")).alias("b")).collect():
+        if r.k > 90:
+            assert r.problem and r.rooted_rf is None and r.resolved is None and r.exact_match is None and r.taxon_match is (None if r.k == 91 else False)
+            continue
+        distance, total = len(set(r.c) ^ set(r.d)), len(r.c) + len(r.d)
+        assert (r.rooted_rf, r.resolved, r.exact_match) == (distance, r.b, distance == 0) and r.normalized_rooted_rf == (distance / total if total else 0.0)
