@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -26,6 +28,8 @@ from .ranking import grouped_median
 ROTATIONS = [(0, 1, 2), (1, 2, 0), (2, 0, 1)]
 INDEXED = ["p", "n", "mean_bl", "median_bl", "std_bl", "g_asym"]
 
+#: Tells MLlib that a label is one of three classes, so it doesn't read all rows to find out.
+CLASSES = {"ml_attr": {"type": "nominal", "num_vals": 3}}
 #: Where a missing value lies for boosting: beyond all values on one side, or on the other.
 BELOW, ABOVE = -1e300, 1e300
 #: Share of the training groups (in percent) that decides when boosting stops, and the least gain of a round.
@@ -161,7 +165,7 @@ def fit_classifier(train: DataFrame, feature_set: str, seed: int, kind: str = "f
     columns = feature_columns(feature_set)
     turned = augment(train)
     if kind == "forest":
-        rows = with_indicators(turned, columns).select(*columns, *[f"{c}_missing" for c in columns], F.col("label").cast("double").alias("label"))
+        rows = with_indicators(turned, columns).select(*columns, *[f"{c}_missing" for c in columns], F.col("label").cast("double").alias("label", metadata=CLASSES))
         model = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=iterations, maxDepth=6, seed=seed)
         return Classifier([Pipeline(stages=[*_stages(columns), model]).fit(rows)], kind, feature_set)
     if kind != "boosted":
@@ -204,7 +208,8 @@ def inner_temperature(train: DataFrame, group: str, strata: str | None, inner_fo
     usable = min(inner_folds, int(smallest))
     if usable < 2:
         return 1.0
-    rows = with_folds(train, group_folds(train, group, usable, seed, strata), group, "inner_fold")
+    # every fit reads its rows several times: they are joined to their folds once
+    rows = _written(with_folds(train, group_folds(train, group, usable, seed, strata), group, "inner_fold"), f"{_folder(train)}/rows", "inner_fold")
     scored = _out_of_fold(rows, "inner_fold", usable, feature_set, seed, kind, iterations, group)
     return float(mt.fit_temperature(scored).first()["temperature"])
 
@@ -214,7 +219,12 @@ class CrossValidation:
     predictions: DataFrame
     assignments: DataFrame
     temperatures: dict
-    model: Classifier
+    final: Callable[[], Classifier]
+
+    @cached_property
+    def model(self) -> Classifier:
+        """The classifier of all rows, fitted when it is first asked for: out-of-fold predictions don't need it."""
+        return self.final()
 
     def fold_metrics(self) -> DataFrame:
         raw = mt.probability_metrics(self.predictions, "raw_prob", ["fold"])
@@ -262,7 +272,7 @@ def cross_validate(
     if missing:
         raise ValueError(f"Missing columns: {missing}")
     spark = features.sparkSession
-    work = f"{checkpoint_folder(spark)}/folds-{uuid.uuid4().hex}"
+    work = _folder(features)
     strata = strata or default_strata(features, cv_mode, folds)
     assignments = _written(group_folds(features, group, folds, seed, strata), f"{work}/assignments")
     counts = [f"n{k}" for k in range(3) if f"n{k}" in features.columns]
@@ -282,19 +292,30 @@ def cross_validate(
         scored = calibrated(model.raw_probabilities(rows.where(F.col("fold") == k)), F.lit(t))
         publishing.publish(scored.select(*PREDICTION_COLUMNS), out, f"fold{k}", replace_all=k == 1)
     predictions = publishing.read_published(spark, out)
-    final = fit_classifier(fit_rows, feature_set, seed, kind, iterations, group)
-    if calibration == "temperature":
-        chosen = predictions
-        if rows_per_simulation is not None:
-            chosen = bounded_sample(predictions, "simulation_id", ["triplet_id"], calibration_rows, seed, "final-calibration")
-        final.temperature = float(mt.fit_temperature(chosen).first()["temperature"])
-    final.extra = {**final.extra, "cv_mode": cv_mode, "calibration": calibration, "strata_column": strata}
+
+    def final() -> Classifier:
+        fitted = fit_classifier(fit_rows, feature_set, seed, kind, iterations, group)
+        if calibration == "temperature":
+            chosen = predictions
+            if rows_per_simulation is not None:
+                chosen = bounded_sample(predictions, "simulation_id", ["triplet_id"], calibration_rows, seed, "final-calibration")
+            fitted.temperature = float(mt.fit_temperature(chosen).first()["temperature"])
+        fitted.extra = {**fitted.extra, "cv_mode": cv_mode, "calibration": calibration, "strata_column": strata}
+        return fitted
+
     return CrossValidation(predictions, assignments, temperatures, final)
 
 
+def _folder(df: DataFrame) -> str:
+    return f"{checkpoint_folder(df.sparkSession)}/folds-{uuid.uuid4().hex}"
+
+
 def _written(df: DataFrame, path: str, partition: str | None = None) -> DataFrame:
-    """``df`` as Parquet in the shared folder and read back: computed once, and a filter on ``partition`` reads only its files."""
-    writer = df.write.partitionBy(partition) if partition else df.write
+    """``df`` as Parquet in the shared folder and read back: computed once, and a filter on ``partition`` reads only its files.
+
+    Feature rows are few bytes for the work of a fit, so partitioned tables are dealt evenly to two tasks a core, and so are the files they are read from.
+    """
+    writer = df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *KEY).write.partitionBy(partition) if partition else df.write
     writer.parquet(path)
     return df.sparkSession.read.parquet(path)
 
