@@ -19,8 +19,12 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import repeat
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -32,7 +36,7 @@ from .common import Remembered
 
 MARK = "▁"
 #: Chunks whose pieces one Python worker keeps in each generation of its cache.
-CHUNKS_KEPT = 280_000
+CHUNKS_KEPT = 400_000
 #: Characters up to which rescanning all offers is quicker than a queue.
 SHORT = 48
 #: Texts whose pieces are held at once.
@@ -172,18 +176,18 @@ class Encoder:
             return self.merge_long(chunk)
         score, none = self.scores.get, float("-inf")
         symbols = list(chunk)
-        offers = [score(a + b, none) for a, b in zip(chunk, chunk[1:], strict=False)]
+        offers = list(map(score, map(add, chunk, chunk[1:]), repeat(none)))
         while offers:
             best = max(offers)
             if best == none:
                 break
             at = offers.index(best)
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            symbols[at] = pair = symbols[at] + symbols.pop(at + 1)
             del offers[at]
             if at:
-                offers[at - 1] = score(symbols[at - 1] + symbols[at], none)
+                offers[at - 1] = score(symbols[at - 1] + pair, none)
             if at < len(offers):
-                offers[at] = score(symbols[at] + symbols[at + 1], none)
+                offers[at] = score(pair + symbols[at + 1], none)
         return symbols
 
     def merge_long(self, chunk: str) -> list[str]:
@@ -214,9 +218,22 @@ class Encoder:
                 offer(left[a], a)
         return [s for s in symbols if s is not None]
 
-    def chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        """Ids of a chunk, and how many characters each piece spans: part by part, where no piece holds two neighbouring
-        characters in a row and merges therefore end."""
+    def chunk(self, chunk: str) -> tuple[bytes, bytes, str]:
+        """Ids of a chunk, how many characters each piece spans, and what the ids are decoded to behind other ids: a chunk
+        holds whole characters, so texts of chunks follow one another."""
+        if len(chunk) <= SHORT:
+            pieces = self.merge(chunk)
+            try:
+                ids = list(map(self.ids.__getitem__, pieces))
+                return array("i", ids).tobytes(), bytes(map(len, pieces)), "".join(map(self.texts.__getitem__, ids))
+            except KeyError:  # a character without a piece
+                ids, spans = self.part(chunk)
+        else:
+            ids, spans = self.split(chunk)
+        return ids, spans, self.decode(np.frombuffer(ids, "<i4"), first=False)
+
+    def split(self, chunk: str) -> tuple[bytes, bytes]:
+        """Ids and spans part by part, where no piece holds two neighbouring characters in a row and merges therefore end."""
         start, found = 0, []
         for at in range(1, len(chunk)):
             if chunk[at - 1 : at + 1] not in self.pairs:
@@ -238,11 +255,11 @@ class Encoder:
                 spans += [0] * (len(raw) - 1) + [1]
         return np.array(ids, "<i4").tobytes(), bytes(spans)
 
-    def decode(self, ids: np.ndarray) -> str:
+    def decode(self, ids: np.ndarray, first: bool = True) -> str:
         """Text of any ids: bytes in a row are read as UTF-8, each that belongs to no character as U+FFFD; control ids show
-        nothing; the space that normalisation puts in front goes again."""
+        nothing; the space that normalisation puts in front goes again, if the ids are the ``first`` ones of a text."""
         bytes_of = self.byte_of[ids]
-        strips = self.rules.dummy_prefix or self.rules.squeeze
+        strips = first and (self.rules.dummy_prefix or self.rules.squeeze)
         if not (bytes_of >= 0).any() and not self.rules.squeeze and (not len(ids) or self.texts[ids[0]]):
             text = "".join(map(self.texts.__getitem__, ids.tolist()))
             return text[1:] if strips and text.startswith(" ") and ids[0] != self.unknown else text
@@ -271,11 +288,14 @@ class Encoder:
         if not found:
             none = np.empty(0, np.int32)
             return none, none, none, ""
-        ids, spans = zip(*found, strict=True)
+        ids, spans, shown = zip(*found, strict=True)
         ends = np.cumsum(np.frombuffer(b"".join(spans), np.uint8), dtype=np.int64)
         bounds = begins[np.concatenate([[0], ends])].astype(np.int32)
         numbers = np.frombuffer(b"".join(ids), "<i4")
-        return numbers, bounds[:-1], bounds[1:], self.decode(numbers)
+        if self.rules.squeeze:
+            return numbers, bounds[:-1], bounds[1:], self.decode(numbers)
+        start = self.decode(np.frombuffer(ids[0], "<i4"))
+        return numbers, bounds[:-1], bounds[1:], start + "".join(shown[1:])
 
 
 def _characters(raw: bytes) -> str:
@@ -295,18 +315,21 @@ def _characters(raw: bytes) -> str:
     return "".join(out)
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a Python worker, with all it remembers: later tasks of the worker go on with it."""
+    return Encoder(path)
+
+
 ENCODED = "ids array<int>, begins array<int>, ends array<int>, decoded string"
 
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", into: str = "encoded") -> DataFrame:
     """``docs`` with a struct column ``into``: ids (the end id last), begin and end byte of each piece in the UTF-8 text
     (the end id spans nothing at the end), and the text that decoding the ids gives."""
-    kept: list[Encoder] = []
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if not kept:
-            kept.append(Encoder(model_path))
-        encoder = kept[0]
+        encoder = encoder_of(model_path)
         for part in (batch.iloc[at : at + TEXTS_HELD] for batch in texts for at in range(0, max(1, len(batch)), TEXTS_HELD)):
             ids, begins, ends, decoded = [], [], [], []
             for text in part:

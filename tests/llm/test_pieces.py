@@ -77,3 +77,19 @@ def test_decoding_of_any_ids():
     for text in ("na\u00efve \u4f60\u597d \U0001f600 x", "  two  spaces ", "\u0301", "tab\tand\nline"):
         ids = library.encode(text)
         assert encoder.encode(text)[3] == encoder.decode(np.array(ids, np.int32)) == library.decode(ids)
+
+
+def test_worker_keeps_its_encoder_and_chunks_decode_apart():
+    """Chunks that are remembered with their text: bytes on both sides of a chunk's border, marks alone, first and later."""
+    from cladeloom.llm.sentence_pieces import encoder_of
+
+    library, draw = sentencepiece.SentencePieceProcessor(model_file=PATH), random.Random(21)
+    encoder = encoder_of(PATH)
+    assert encoder_of(PATH) is encoder
+    for _ in range(1500):
+        text = "".join(draw.choice(["\U0001f600", "́", "\n", " ", "▁", "a", "word", "\x7f", "", "z" * 50]) for _ in range(draw.randrange(9)))
+        ids, _, _, decoded = encoder.encode(text)
+        assert ids.tolist() == library.encode(text) and decoded == library.decode(ids.tolist()), repr(text)
+        for chunk in encoder.chunks.findall(text.replace(" ", "▁")):
+            kept = encoder.known[chunk]
+            assert encoder.decode(np.frombuffer(kept[0], "<i4"), first=False) == kept[2]
