@@ -11,8 +11,9 @@
    components, and the next hub meets only the classes of other components.
 4. What these rounds leave apart is compared without listing the pairs of a key: every class of an open key is
    written as its difference from the key's first hub, and two classes can only be linked if they share enough of
-   their differences. They are joined on shared differences, the new shingles first, at positions that still allow
-   enough of them (a prefix filter); then confirmed. So no pair within the distance goes unchecked.
+   their differences. They are joined on shared differences, rare ones first, at positions that still allow enough of
+   them (a prefix filter); then confirmed. Where an element has very many holders, they meet one of them at a time
+   before, and only pairs of different components are listed. So no pair within the distance goes unchecked.
 5. Components of all links, carried back to every row of the input.
 
 Rules for unusual rows: a NULL text or one without words has an empty set and is linked with nothing. A row with a
@@ -47,6 +48,7 @@ class Settings:
     chunks: int = 10
     distance: int = 19  # symbols that may differ; less than two a chunk
     rounds: int = 1  # hubs that every key tries before its open pairs are looked for by their differences
+    pairs_a_row: int = 8  # pairs for a row of differences up to which they are listed without more links first
 
     @property
     def symbols(self) -> int:
@@ -163,12 +165,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFra
 
 
 def _left_apart(placed: DataFrame, hubs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """Distinct pairs ``(u, v)`` of different components under one first hub h that may be linked.
+    """Classes under one first hub h, by the elements of their difference from it that two linked ones have to share first:
+    ``(hub, id, left, fewest, element, component, out, d, excess)``, ``left`` being how many shared elements stand from there
+    on and ``excess`` d less c times the size of the class.
 
     With D the symmetric difference from h and A the sum of both set sizes, u and v are linked only if their own
     difference, of size ``d_u + d_v - 2 * shared``, is at most ``c * A``, c = (100 - percent) / (100 + percent). One of the two
     isn't linked with h, so ``d > c * (size + size of h)`` holds for it, and ``shared`` has to be positive. In any common
-    order of the elements, the first shared one stands at ``d - shared + 1`` at the latest, on both sides.
+    order of the elements, the first one shared has at least ``shared - 1`` elements of either difference behind it.
+    Elements that few classes of the hub hold come first: what many of them lost alike is only joined on by classes with too
+    few elements of their own. Elements of a single component link nothing and stand before all others.
     """
     c = (100 - settings.percent) / (100 + settings.percent)
     own = placed.select("key", F.col("id").alias("hub"), F.col("component").alias("hub_component"))
@@ -178,27 +184,74 @@ def _left_apart(placed: DataFrame, hubs: DataFrame, sets: DataFrame, settings: S
     gained, lost = F.array_except("shingles", "of_hub"), F.array_except("of_hub", "shingles")
     rows = met.select(
         "hub", "id", "component", (F.col("component") != F.col("hub_component")).alias("out"), F.size("shingles").alias("n"),
-        F.concat(F.array_sort(gained), F.array_sort(lost)).alias("difference"),
+        F.concat(gained, lost).alias("difference"),
     ).withColumn("d", F.size("difference"))
-    # the latest position at which a partner could still share enough
-    reach = F.when(F.col("out"), F.least(F.col("d"), F.floor(F.col("n") * (c * (1 + 100 / settings.percent))) + 1)).otherwise(
-        F.floor(F.col("d") * (1 + c) / 2) + 1
+    # the fewest elements, this one included, that have to follow the first shared one
+    fewest = F.when(F.col("out"), F.col("d") - F.floor(F.col("n") * (c * (1 + 100 / settings.percent)) + 1e-6)).otherwise(
+        F.col("d") - F.floor(F.col("d") * (1 + c) / 2 + 1e-6)
     )
-    rows = stored(rows.withColumn("difference", F.slice("difference", 1, F.least(reach, F.col("d")).cast("int"))), "differences")
-    listed = rows.select("hub", "id", "component", "out", "n", "d", F.posexplode("difference").alias("at", "element"))
-    outside = listed.where("out").select("hub", "element", F.col("id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("m"), F.col("d").alias("du"), F.col("at").alias("pu"))
-    inside = listed.select("hub", "element", F.col("id").alias("v"), F.col("component").alias("cv"), "n", F.col("d").alias("dv"), F.col("at").alias("pv"), "out")
-    shared = F.greatest(F.lit(1), F.ceil((F.col("du") + F.col("dv") - (F.col("m") + F.col("n")) * c) / 2 - 1e-6))
-    found = outside.join(
-        inside,
-        (outside.hub == inside.hub)
-        & (outside.element == inside.element)
-        & (F.col("cu") != F.col("cv"))
-        & (~F.col("out") | (F.col("u") < F.col("v")))
-        & (F.col("pu") <= F.col("du") - shared)
-        & (F.col("pv") <= F.col("dv") - shared),
-    )
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    rows = stored(rows.withColumn("fewest", fewest), "differences")
+    each = rows.select("hub", "id", "component", "fewest", F.explode("difference").alias("element"))
+    common = each.groupBy("hub", "element").agg(F.count("*").alias("holders"), F.min("component").alias("low"), F.max("component").alias("high"))
+    common = common.where("low <> high").select("hub", "element", "holders")
+    behind = each.join(common, ["hub", "element"]).groupBy("hub", "id", "fewest").agg(F.sort_array(F.collect_list(F.struct("holders", "element")), asc=False).alias("common"))
+    behind = behind.select("hub", "id", "fewest", F.posexplode("common").alias("at", "e")).select("hub", "id", (F.col("at") + 1).alias("left"), "fewest", "e.element")
+    return stored(behind.where("left >= fewest").join(rows.select("hub", "id", "component", "out", "d", (F.col("d") - F.col("n") * c).alias("excess")), ["hub", "id"]), "listed")
+
+
+def _share_enough(settings: Settings) -> Column:
+    """Rows ``a`` and ``b`` of one hub and element may be linked, and have not both been linked with the hub."""
+    shared = F.ceil((F.col("a.excess") + F.col("b.excess")) / 2 - 1e-6)
+    return (F.col("a.out") | F.col("b.out")) & (F.least("a.left", "b.left") >= shared)
+
+
+def _crossing(listed: DataFrame) -> tuple[int, int]:
+    """How many rows are listed, and how many pairs of them share an element but no component."""
+    blocks = listed.groupBy("hub", "element", "component").agg(F.count("*").alias("n"))
+    groups = blocks.groupBy("hub", "element").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n").cast("double")).alias("alike"))
+    rows, pairs = groups.agg(F.sum("n"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("alike")) / 2)).first()
+    return rows or 0, int(pairs or 0)
+
+
+def _to_one(listed: DataFrame, turn: int, settings: Settings) -> DataFrame:
+    """Distinct pairs ``(u, v)``: in every group of an element one class, the nearest to the hub and later any, with all others."""
+    chosen = (F.col("d"), F.col("id")) if turn == 0 else (F.xxhash64("id", "element", F.lit(turn)), F.col("id"))
+    whole = F.struct(*[c.alias(f"by_{i}") for i, c in enumerate(chosen)], "id", "component", "out", "excess", "left")
+    ones = listed.groupBy("hub", "element").agg(F.min(whole).alias("one")).select("hub", "element", "one.id", "one.component", "one.out", "one.excess", "one.left")
+    same = (F.col("a.hub") == F.col("b.hub")) & (F.col("a.element") == F.col("b.element")) & (F.col("a.component") != F.col("b.component"))
+    found = ones.alias("a").join(listed.alias("b"), same & _share_enough(settings))
+    return found.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
+
+
+def _across(listed: DataFrame, settings: Settings) -> DataFrame:
+    """Distinct pairs ``(u, v)`` of different components that share a listed element; pairs within one are never made."""
+    # a component's rows of an element meet those of another one only if the best of both would do
+    blocks = listed.groupBy("hub", "element", "component").agg(F.max("out").alias("out"), F.max("left").alias("left"), F.min("excess").alias("excess"))
+    same = (F.col("a.hub") == F.col("b.hub")) & (F.col("a.element") == F.col("b.element")) & (F.col("a.component") < F.col("b.component"))
+    meet = blocks.alias("a").join(blocks.alias("b"), same & _share_enough(settings)).select("a.hub", "a.element", "a.component", F.col("b.component").alias("other"))
+    one = meet.join(listed, ["hub", "element", "component"]).alias("a")
+    same = (F.col("a.hub") == F.col("b.hub")) & (F.col("a.element") == F.col("b.element")) & (F.col("a.other") == F.col("b.component"))
+    found = one.join(listed.alias("b"), same & _share_enough(settings))
+    return found.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
+
+
+def _joined_apart(labels: DataFrame, listed: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """``labels`` after all links between ``listed`` rows. Where they would make many pairs, classes meet one class of an
+    element at a time, as long as that links some: a group of near copies is one component then, and lists no pair."""
+    turn = 0
+    while True:
+        rows, pairs = _crossing(listed)
+        if pairs <= settings.pairs_a_row * rows:
+            break
+        links = _confirmed(_to_one(listed, turn, settings), sets, settings)
+        if links.isEmpty():
+            break
+        labels = _contract(labels, links)
+        now = listed.drop("component").join(listed.select("id", "component").distinct().join(labels.select(F.col("node").alias("id"), F.col("component").alias("low")), "id", "left").select("id", F.coalesce("low", "component").alias("component")), "id")
+        several = now.groupBy("hub", "element").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("hub", "element")
+        listed = stored(now.join(several, ["hub", "element"], "left_semi").select(listed.columns), "listed")
+        turn += 1
+    return _contract(labels, _confirmed(_across(listed, settings), sets, settings)) if pairs else labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
@@ -248,7 +301,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = _between(pairs, labels)
         labels = _contract(labels, _confirmed(pairs, sets, settings))
     placed = _open(placed, labels, settings.rounds + 1)
-    labels = _contract(labels, _confirmed(_left_apart(placed, hubs, sets, settings), sets, settings))
+    labels = _joined_apart(labels, _left_apart(placed, hubs, sets, settings), sets, settings)
     final = membership.join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select(
         "id", F.coalesce("component", "class_id").alias("component_id")
     )

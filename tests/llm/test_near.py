@@ -78,3 +78,55 @@ def test_components_of_a_path_and_a_star(spark):
     found = {r.node: r.component for r in components(spark.createDataFrame(path + star + loops, "u bigint, v bigint")).collect()}
     assert {found[i] for i in range(41)} == {0} and {found[i] for i in [1000, *range(100, 150)]} == {100}
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def left_apart(spark, texts, hub, labels=()):
+    """Listed differences and full sets of one key that holds all texts, each a component of its own but for ``labels``."""
+    from cladeloom.llm.common import WordHashes
+    from cladeloom.llm.near_dedup import _left_apart, shingle_set
+
+    hashes, component = WordHashes(), dict(labels)
+    placed = spark.createDataFrame([(1, i, component.get(i, i)) for i in range(len(texts))], "key bigint, id bigint, component bigint")
+    hubs = spark.createDataFrame([(1, hub, 1)], "key bigint, hub bigint, turn int")
+    sets = [(i, shingle_set(t.encode(), 2, hashes).view("int64").tolist()) for i, t in enumerate(texts)]
+    sets = spark.createDataFrame(sets, "id bigint, shingles array<bigint>").cache()
+    return _left_apart(placed, hubs, sets, Settings(words=2)), sets
+
+
+def test_rare_differences_come_first(spark):
+    """Classes with a passage of the hub and a line that it lacks, all else their own: few pairs, all linked ones among them."""
+    from cladeloom.llm.near_dedup import _across
+
+    draw = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+    line = " ".join(f"l{i}" for i in range(15))
+    texts = [" ".join(base)] + [" ".join([line, *base, *(f"u{draw.randrange(10**9)}" for _ in range(80))]) for _ in range(150)]
+    texts += [mutated(draw, texts[i].split(), 4) for i in (3, 4, 5)]
+    listed, _ = left_apart(spark, texts, 0)
+    pairs = {(r.u, r.v) for r in _across(listed, Settings(words=2)).collect()}
+    truth = brute(list(enumerate(texts)), 2)
+    assert {(3, 151), (4, 152), (5, 153)} <= pairs and [truth[i][1] for i in (151, 152, 153)] == [3, 4, 5]
+    assert len(pairs) < 100  # 11,628 with new shingles before lost ones
+
+
+def test_a_second_group_of_near_copies_lists_no_pairs(spark):
+    """Copies of a text far from the hub are linked one by one before pairs are listed, so few pairs are."""
+    from cladeloom.llm import near_dedup
+    from cladeloom.llm.near_dedup import _crossing, _joined_apart
+
+    draw = random.Random(6)
+    base = [f"b{i}" for i in range(120)]
+    variant = mutated(draw, base, 16).split()
+    texts = [" ".join(base), " ".join(variant)] + [mutated(draw, variant, draw.randrange(1, 9)) for _ in range(200)]
+    settings, seen, whole = Settings(words=2), [], near_dedup._crossing
+    listed, sets = left_apart(spark, texts, 0)
+    assert whole(listed)[1] > 20 * len(texts)
+    near_dedup._crossing = lambda rows: seen.append(whole(rows)) or seen[-1]
+    try:
+        labels = _joined_apart(spark.createDataFrame([], "node bigint, component bigint"), listed, sets, settings)
+    finally:
+        near_dedup._crossing = whole
+    found = {r.node: r.component for r in labels.collect()}
+    assert {i: found.get(i, i) for i in range(len(texts))} == {i: c for i, (_, c) in brute(list(enumerate(texts)), 2).items()}
+    # 19,986 pairs when all were listed at once
+    assert seen[-1][1] <= settings.pairs_a_row * seen[-1][0] < seen[0][1]
