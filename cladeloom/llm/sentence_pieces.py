@@ -39,6 +39,8 @@ MARK = "▁"
 CHUNKS_KEPT = 400_000
 #: Characters up to which rescanning all offers is quicker than a queue.
 SHORT = 48
+#: Letters and the stops behind them: a word and its stop are remembered apart, if no piece holds both in a row.
+LETTERS, STOPS = "a-zA-Z\u00c0-\u024f", ".,;:!?"
 #: Texts whose pieces are held at once.
 TEXTS_HELD = 200
 # kinds of a piece in the public model format
@@ -159,10 +161,13 @@ class Encoder:
             raise ValueError("only models with a piece for every byte are supported")
         joined = [p for p in self.ids if len(p) > 1]
         whole = any(MARK in p.lstrip(MARK) for p in joined) or any("\n" in p for p in joined)
-        self.chunks = re.compile(r"(?s).+") if whole else re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
         if max(map(len, self.ids)) > 255:
             raise ValueError("only models with pieces of at most 255 characters are supported")
         self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        bound = {p[1] for p in self.pairs if re.match(f"[{LETTERS}]", p)}
+        stops = "".join(c for c in STOPS if c not in bound)
+        word = f"{MARK}*+[{LETTERS}]++(?=[{stops}])|" if stops else ""
+        self.chunks = re.compile(r"(?s).+") if whole else re.compile(f"{word}{MARK}*[^{MARK}\n]+|{MARK}+|\n")
         self.known, self.parts = Remembered(CHUNKS_KEPT, self.chunk), Remembered(CHUNKS_KEPT, self.part)
         # what each id stands for: nothing, a text, or one byte of a character
         self.byte_of = np.full(len(model.pieces), -1, np.int16)

@@ -93,3 +93,17 @@ def test_worker_keeps_its_encoder_and_chunks_decode_apart():
         for chunk in encoder.chunks.findall(text.replace(" ", "▁")):
             kept = encoder.known[chunk]
             assert encoder.decode(np.frombuffer(kept[0], "<i4"), first=False) == kept[2]
+
+
+def test_words_are_remembered_without_their_stops():
+    """A word with other stops behind it is not merged again, and stops that stand in other places keep their pieces."""
+    library, encoder, draw = sentencepiece.SentencePieceProcessor(model_file=PATH), Encoder(PATH), random.Random(31)
+    encoder.encode("Esjaque")
+    merged = []
+    encoder.known.compute = lambda chunk, f=encoder.chunk: merged.append(chunk) or f(chunk)
+    encoder.encode("Esjaque. Esjaque, Esjaque; Esjaque!")
+    assert not any("Esjaque" in chunk for chunk in merged)
+    for _ in range(3000):
+        text = "".join(draw.choice(["word", "É", "e.g", ".", ",", "...", '"', ")", "?!", "²", "'s", "日", " ", "▁", "\n", "7", "z" * 60]) for _ in range(draw.randrange(12)))
+        ids, _, _, decoded = encoder.encode(text)
+        assert ids.tolist() == library.encode(text) and decoded == library.decode(ids.tolist()), repr(text)
