@@ -38,3 +38,37 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "i
     for k in keys:
         condition = condition & F.col(k).eqNullSafe(F.col(names[k]))
     return left.join(renamed, condition, how).drop(*names.values())
+
+
+#: Bits a key has in the filter of :func:`among`, and the most 64-bit words that filter has (32 MB).
+SET_BITS, MOST_WORDS = 4, 1 << 22
+
+
+def among(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is in ``few``, a small part of them by assumption, a stored table of one column.
+
+    A filter of bits made from ``few``, one value of 32 MB at most however many keys there are, goes to all tasks. It lets nothing out that
+    belongs, and what it lets through is joined: only those rows are shuffled. With more keys it lets more through.
+    """
+    words, wanted = 64, min(MOST_WORDS, few.count() // 4)  # four keys a word, of 64 bits
+    while words < wanted:
+        words *= 2
+    number = F.xxhash64(key)
+    # a key's word comes from one hash, its bits from six binary places of another one each
+    at = lambda column: F.pmod(number, F.lit(words)).alias(column)
+    other = F.xxhash64(F.lit(1), F.col(key))
+    mask = F.lit(0).cast("bigint")
+    for i in range(SET_BITS):
+        place = F.shiftright(other, 6 * i).bitwiseAND(F.lit(63)).cast("int")
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), place))
+    # every word in one row, gathered 64 at a time
+    empty = df.sparkSession.range(words).select(F.col("id").alias("__w"), F.lit(0).cast("bigint").alias("__m"))
+    bits = few.select(at("__w"), mask.alias("__m")).unionAll(empty).groupBy("__w").agg(F.bit_or("__m").alias("__m"))
+    gathered = lambda key, value: F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda x: x[value])
+    bits = bits.groupBy(F.floor(F.col("__w") / 64).alias("__row")).agg(gathered("__w", "__m").alias("__words"))
+    bits = bits.agg(F.flatten(gathered("__row", "__words")).alias("__words"))
+    rows = df.select("*", at("__w"), mask.alias("__m"))
+    hit = F.get(bits.scalar(), F.col("__w").cast("int")).bitwiseAND(F.col("__m")) == F.col("__m")
+    # a generated key keeps the join above the filter
+    met = rows.select(*[c for c in df.columns if c != key], F.explode(F.when(hit, F.array(key))).alias(key))
+    return met.join(few.hint("merge"), key, "left_semi").select(*df.columns)

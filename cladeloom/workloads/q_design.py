@@ -21,12 +21,14 @@ def customers_grid_sql(d, customer):
     """Every customer as a backbone with the whole grid of 108 candidate cells."""
     split = "explode" if d.name == "spark" else "unnest"
     lists = {"ils_length": "0.02e0, 0.1e0, 0.5e0", "gene_tree_count": "500, 1000, 2000, 2500", "gamma": "0.0e0, 0.25e0, 0.5e0", "k": "0, 1, 2"}
-    text = f"SELECT c_custkey AS cust FROM {customer}"
+    # Spark's customers come with their backbone
+    bb = "bb" if d.name == "spark" else f"'bb' || {d.text('cust')}"
+    text = f"SELECT c_custkey AS cust{', bb' if d.name == 'spark' else ''} FROM {customer}"
     for name, values in lists.items():
         text = f"SELECT *, {split}({'array(' + values + ')' if d.name == 'spark' else '[' + values + ']'}) AS {name} FROM ({text}) AS t"
     pair = d.pick(["'close'", "'distant'", "'intermediate'"], "k")
     return (
-        f"SELECT 'bb' || {d.text('cust')} AS backbone_id, 4 + cust % 177 AS tree_size, gamma, ils_length, gene_tree_count, "
+        f"SELECT {bb} AS backbone_id, 4 + cust % 177 AS tree_size, gamma, ils_length, gene_tree_count, "
         f"CASE WHEN gamma = 0 THEN 'none' ELSE {pair} END AS pair_type, cast(CASE WHEN gamma = 0 THEN k + 1 ELSE 1 END as int) AS replicate, "
         f"'bb' || {d.text('cust')} || '|' || {d.text('gene_tree_count')} || '|' || {d.text('cast(100 * ils_length as int)')} || '|' || {d.text('cast(100 * gamma as int)')} || '|' || {d.text('k')} AS simulation_id, "
         f"'bb' || {d.text('cust')} || '|' || {d.text('gene_tree_count')} || '|' || {d.text('cast(100 * ils_length as int)')} || '|' || {d.text('cast(100 * gamma as int)')} AS scenario_group FROM ({text}) AS g"
@@ -37,8 +39,9 @@ GRID = customers_grid_sql(ad.DUCK, "customer")
 
 
 def grid(spark, sf):
-    """A customer becomes 108 rows, so a small file of customers is dealt to many tasks first."""
-    customers = ad.dealt(ad.table(spark, sf, "customer").select("c_custkey"), "c_custkey", 2_000)
+    """A customer becomes 108 rows, so a small file of customers is dealt to many tasks first: by backbone, as the rows are grouped afterwards."""
+    customers = ad.table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("bb"), F.col("c_custkey").cast("string")).alias("bb"))
+    customers = ad.dealt(customers, "bb", 2_000)
     return spark.sql(customers_grid_sql(ad.SPARK, "{source}"), source=customers)
 
 

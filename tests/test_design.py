@@ -1,12 +1,15 @@
 import math
 import random
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from cladeloom.functions import topology as topo
 from cladeloom.functions.hashing import deterministic_seed
 from cladeloom.operators import design as ds
+from cladeloom.operators import plan_tools
 from cladeloom.sources import nexus, tables
 from cladeloom.workloads import q_design
 from cladeloom.workloads.registry import QUERIES
@@ -185,3 +188,71 @@ def test_the_grid_is_multiplied_after_its_backbones_are_counted(spark, tmp_path)
     plan = cells._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Aggregate")
     assert {(r.backbone_id, r.cells, r.n) for r in cells.groupBy("backbone_id", "cells").agg(F.count("*").alias("n")).collect()} == {("bb1", 3, 36), ("bb2", 6, 36)}
+
+
+def candidates(backbones, draw, widest=5):
+    """Rows of :func:`design._pick_together` for several backbones with uneven grids, missing values and shared scenarios."""
+    rows = []
+    for b in range(backbones):
+        gammas = [draw.choice([0.0, 0.1, 0.25, 0.5]) for _ in range(3)] if b % 5 else [i / 8 for i in range(widest)]
+        cells = [(g, i, n, None if draw.random() < 0.05 else k, None if draw.random() < 0.05 else f"s{draw.randrange(40)}") for g in dict.fromkeys(gammas) for i in (0.02, 0.1) for n in (500, 1000, 2500) for k in ("close", "none") if draw.random() < 0.7]
+        cells = cells or [(0.0, 0.1, 500, "none", "s0")]
+        sizes = {}
+        for c in cells:
+            sizes[c[:4]] = sizes.get(c[:4], 0) + 1
+        mine = [(*c, None, None, n) for c, n in sizes.items()] + [(*c[:4], c[4], f"b{b}r{j}", None) for j, c in enumerate(cells)]
+        rows += [(*r, place) for place, r in enumerate(mine, 1)]
+    types = [pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32()]
+    names = ["gamma", "ils_length", "gene_tree_count", "pair_type", "scenario_group", "simulation_id", "__size", "__place"]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+
+@pytest.mark.parametrize("widest", [5, 12])
+def test_backbones_picked_together_are_picked_as_alone(widest):
+    rows = candidates(60, random.Random(4), widest)
+    alone, at = [], [i for i, p in enumerate(rows.column("__place").to_pylist()) if p == 1] + [len(rows)]
+    for a, b in zip(at, at[1:], strict=False):
+        few = rows.slice(a, b - a).filter(pc.field("__size").is_null())
+        few = few.append_column("__weight", pa.array([1.0] * len(few))).append_column("__tie", pa.array(range(len(few))))
+        alone += sorted(set(ds.greedy_pick(few, 7).column("simulation_id").to_pylist()))
+    assert sorted(ds._pick_together(rows, 7).to_pylist()) == sorted(alone)
+    batches = rows.to_batches(max_chunksize=37)
+    before, ds._AT_ONCE = ds._AT_ONCE, 200
+    try:
+        found = [x for batch in ds._pick_batches(7)(iter(batches)) for x in batch.column(0).to_pylist()]
+    finally:
+        ds._AT_ONCE = before
+    assert sorted(found) == sorted(alone)
+
+
+def test_the_greedy_choice_shuffles_backbones_and_what_it_chose(spark, monkeypatch):
+    """Every candidate of every backbone was written six times."""
+    plans, write = {}, ds.cut_lineage
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ds, "cut_lineage", lambda df, name: plans.update({name: plan(df)}) or write(df, name))
+    chosen = ds.select_balanced(q_design.grid(spark, "/root/testdata/sf0.001"), 5, 9, exact_seed=False)
+    dealt = [line for line in plans["picked"].splitlines() if "Exchange " in line]
+    assert dealt and all("REPARTITION_BY_NUM" in line for line in dealt)  # of backbones, before they are multiplied
+    joined = plan(chosen).split("SortMergeJoin", 1)[1].split("Exchange hashpartitioning(simulation_id", 1)[1]
+    assert "Generate explode(CASE WHEN" in joined  # only what the filter lets through
+
+
+def test_rows_among_a_few_keys(spark, tmp_path, monkeypatch):
+    rows = spark.range(5000).select(F.when(F.col("id") % 50 != 7, F.concat(F.lit("k"), (F.col("id") % 2000).cast("string"))).alias("key"), "id")
+    keys = [f"k{i}" for i in range(0, 2000, 37)]
+    spark.createDataFrame([(k,) for k in [*keys, None, keys[0]]], "key string").write.parquet(str(tmp_path / "few"))
+    few = spark.read.parquet(str(tmp_path / "few"))
+    wanted = sorted(r.id for r in rows.collect() if r.key in keys)
+    found = plan_tools.among(rows, few, "key")
+    assert found.columns == ["key", "id"] and sorted(r.id for r in found.collect()) == wanted and len(wanted) > len(keys)
+    monkeypatch.setattr(plan_tools, "SET_BITS", 1)  # a filter that lets much through
+    assert sorted(r.id for r in plan_tools.among(rows, few, "key").collect()) == wanted
+    assert plan_tools.among(rows, few.where("false"), "key").count() == 0
+
+
+def test_ids_that_stand_in_several_backbones_are_all_chosen(spark):
+    cells = [("a", 0.0, 0.1, 50, "none", "g1", "x"), ("a", 0.5, 0.1, 50, "close", "g2", "y"), ("b", 0.0, 0.1, 50, "none", "g3", "x"), ("b", 0.0, 0.1, 50, "none", "g3", "x"),
+             (None, 0.0, 0.1, 50, "none", "g4", "z"), ("b", 0.5, None, 50, None, None, "w"), ("b", 0.0, 0.1, 50, "none", "g3", None)]
+    manifest = spark.createDataFrame(cells, "backbone_id string, gamma double, ils_length double, gene_tree_count int, pair_type string, scenario_group string, simulation_id string")
+    chosen = ds.select_balanced(manifest, 7, 9, exact_seed=False).collect()
+    assert sorted((r.backbone_id or "", r.simulation_id) for r in chosen) == [("", "z"), ("a", "x"), ("a", "y"), ("b", "w"), ("b", "x"), ("b", "x")]
